@@ -4,3 +4,4 @@ from gaugeline.catalog.registry import QUERIES, SQL  # noqa: F401
 from gaugeline.catalog import records  # noqa: F401
 from gaugeline.catalog import outliers  # noqa: F401
 from gaugeline.catalog import reports  # noqa: F401
+from gaugeline.catalog import features  # noqa: F401

@@ -59,6 +59,6 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def tm(column: str) -> str:
+def tm(column: str, name: str | None = None) -> str:
     """SQL twin of `text_times`."""
-    return f"strftime({column}, '%Y-%m-%d %H:%M:%S.%f') AS {column}"
+    return f"strftime({column}, '%Y-%m-%d %H:%M:%S.%f') AS {name or column}"

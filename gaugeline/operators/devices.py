@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gaugeline import schema
 from gaugeline.functions.scalars import entries, or_empty
 from gaugeline.operators.records import page_bounds
+from gaugeline.plans.groups import attach
 from gaugeline.plans.ordered import Running, ordered
 
 
@@ -50,12 +51,12 @@ def device_code_check(devices: DataFrame) -> DataFrame:
 
 def unknown_devices(messages: DataFrame, devices: DataFrame) -> DataFrame:
     """Messages from devices that are not registered."""
-    return messages.join(devices.select("dev_code"), "dev_code", "left_anti")
+    return attach(messages, devices.select("dev_code"), ["dev_code"], "left_anti")
 
 
 def existing_devices(requests: DataFrame, devices: DataFrame) -> DataFrame:
     """Registrations for codes that are taken."""
-    return requests.join(devices.select("dev_code"), "dev_code", "left_semi")
+    return attach(requests, devices.select("dev_code"), ["dev_code"], "left_semi")
 
 
 def device_patch(devices: DataFrame, patches: DataFrame,
@@ -129,10 +130,10 @@ def reading_dims(readings: DataFrame, points: DataFrame, gateways: DataFrame,
                  projects: DataFrame, how: str = "left") -> DataFrame:
     """Readings with the names of their measure point, gateway and project.
 
-    Dimension tables are joined by equality; the optimizer broadcasts those whose
-    size it knows to be small.
+    Measure points may be many, and one may hold most readings, so hot ones are
+    attached apart; the gateway and project tables are left to the optimizer.
     """
-    return (readings.join(points, "measure_point_id", how)
+    return (attach(readings, points, ["measure_point_id"], how)
             .join(gateways, "gateway_code", how)
             .join(projects, "project_id", how))
 
