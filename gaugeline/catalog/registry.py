@@ -90,6 +90,8 @@ def with_views(text: str, *names: str) -> str:
         return text
     views = ",\n".join(f"{n} AS ({VIEWS[n].strip()})" for n in chosen)
     body = text.strip()
+    if body.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {views},\n{body[15:]}"
     if body.startswith("WITH "):
         return f"WITH {views},\n{body[5:]}"
     return f"WITH {views}\n{body}"

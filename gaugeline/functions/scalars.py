@@ -14,7 +14,7 @@ def ratio(part: Column, whole: Column) -> Column:
 def leading_int(text: Column) -> Column:
     """The integer a text starts with; 0 for anything else."""
     digits = F.regexp_extract(text, r"^\s*([+-]?\d+)", 1)
-    return F.coalesce(F.nullif(digits, F.lit("")).cast("bigint"), F.lit(0).cast("bigint"))
+    return F.coalesce(F.nullif(digits, F.lit("")).try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def split_list(text: Column) -> Column:

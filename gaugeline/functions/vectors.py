@@ -15,7 +15,8 @@ def scale(xs: Column, by: Column) -> Column:
 
 
 def divide(xs: Column, by: Column) -> Column:
-    return F.transform(xs, lambda x: x / by)
+    """Elements divided by a number; null elements where it is 0."""
+    return F.transform(xs, lambda x: x / F.nullif(by, F.lit(0)))
 
 
 def plus(a: Column, b: Column) -> Column:

@@ -42,16 +42,16 @@ def outlier_details(vals: Column, min_n: int = schema.RECORD_MIN_VALUES,
 
     array<struct<value_index, value, expected_mean, expected_std, z_score>>
     """
-    n = F.size(vals)
+    n = F.nullif(F.size(vals), F.lit(0))
     mean = total(vals) / n
     spread = F.sqrt(F.aggregate(
         vals, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean)) / n)
     detail = F.transform(vals, lambda x, i: F.struct(
         i.alias("value_index"), x.alias("value"), mean.alias("expected_mean"),
-        spread.alias("expected_std"), ((x - mean) / spread).alias("z_score")))
+        spread.alias("expected_std"), ((x - mean) / F.nullif(spread, F.lit(0.0))).alias("z_score")))
     flagged = F.filter(detail, lambda d: F.abs(d["z_score"]) > threshold)
     nothing = F.filter(detail, lambda d: F.lit(False))
-    return F.when((n >= min_n) & (spread >= min_sigma), flagged).otherwise(nothing)
+    return F.when((F.size(vals) >= min_n) & (spread >= min_sigma), flagged).otherwise(nothing)
 
 
 def record_outliers_in_arrays(records: DataFrame, vals: str = "vals", **limits: float) -> DataFrame:
@@ -115,7 +115,7 @@ def cf_online_outlier(
                               F.col("ls")[0].alias("ls"), F.col("ss")[0].alias("ss"))
         own = own.unionByName(before)
     leaf_keys = [*keys, "leaf"]
-    reached = (ordered(own, leaf_keys, ["position"], within=scan)
+    reached = (ordered(own, leaf_keys, ["position"], bound=scan.sizes)
                .running(__count=Running("sum", F.col("n")))
                .result()
                .filter(F.col("__count") >= min_baseline)
@@ -142,7 +142,7 @@ def cf_online_outlier(
     asks = probes.select(*leaf_keys, "position", F.lit(0).alias("n"), zero.alias("ls"),
                          zero.alias("ss"), "__v", F.lit(1).alias("__probe"))
     timeline = updates.unionByName(asks).withColumn("__turn", 1 - F.col("__probe"))
-    state = (ordered(timeline, leaf_keys, ["position", "__turn"], within=scan)
+    state = (ordered(timeline, leaf_keys, ["position", "__turn"], bound=scan.sizes)
              .running(n_before=Running("sum", F.col("n")), ls_before=Running("sum", F.col("ls")),
                       ss_before=Running("sum", F.col("ss")))
              .result().filter("__probe = 1"))

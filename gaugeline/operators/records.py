@@ -59,6 +59,6 @@ def quality_grade(outlier_count: Column, value_count: Column | None = None,
     """C with any outlier, else A; with `bands`, A to D by outlier share."""
     if bands is None:
         return F.when(outlier_count > 0, "C").otherwise("A")
-    share = outlier_count / value_count
+    share = F.coalesce(outlier_count / F.nullif(value_count, F.lit(0)), F.lit(0.0))
     a, b, c = bands
     return F.when(share <= a, "A").when(share <= b, "B").when(share <= c, "C").otherwise("D")

@@ -45,7 +45,9 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
 
 def attach(rows: DataFrame, per_key: DataFrame, keys: list[str], how: str = "left",
            sizes: Sizes | None = None) -> DataFrame:
-    """Join one row per key to many rows of that key, without a hot task.
+    """Join one or a few rows per key to many rows of that key, without a hot task.
+
+    `sizes` may come from the same rows measured by coarser keys.
 
     While one task can hold the largest key this is a plain join.  Otherwise the
     rows of the hot keys (at most HOT_SHARE of them, so a bounded table) meet

@@ -16,7 +16,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeline.plans.groups import group_limit, join_on, measure
+from gaugeline.plans.groups import Sizes, group_limit, join_on, measure
 from gaugeline.session import settle
 
 CHUNK = "_chunk"
@@ -41,6 +41,7 @@ class Ordered:
     order: list[str]
     split: bool
     limit: int
+    sizes: Sizes
 
     @property
     def parts(self) -> list[str]:
@@ -134,23 +135,23 @@ class Ordered:
 
 
 def ordered(df: DataFrame, keys: list[str], order: list[str],
-            size_of: DataFrame | None = None, within: Ordered | None = None) -> Ordered:
+            size_of: DataFrame | None = None, bound: Sizes | None = None) -> Ordered:
     """Prepare `df` for ordered scans; `order` must be total within a key.
 
-    `size_of` may name a cheaper frame with the same keys to measure.  `within`
-    is an earlier scan over the same rows by the same or coarser keys: where that
-    one needed no split, neither does this one, and nothing is measured again.
+    `size_of` may name a cheaper frame with the same keys to measure.  `bound` is
+    what was measured for the same rows by the same or coarser keys: where that
+    needs no split, neither does this, and nothing is measured again.
     """
     limit = group_limit(df)
-    if within is not None and not within.split:
-        return Ordered(df, keys, order, False, limit)
+    if bound is not None and bound.largest <= limit:
+        return Ordered(df, keys, order, False, limit, bound)
     sizes = measure(df if size_of is None else size_of, keys)
     if sizes.largest <= limit:
-        return Ordered(df, keys, order, False, limit)
+        return Ordered(df, keys, order, False, limit, sizes)
     pieces = math.ceil(sizes.total / limit)
     chunked = (df.repartitionByRange(pieces, *keys, *order)
                .withColumn(CHUNK, F.spark_partition_id()))
-    return Ordered(settle(chunked), keys, order, True, limit)
+    return Ordered(settle(chunked), keys, order, True, limit, sizes)
 
 
 def top_per_key(scan: Ordered, by: list[Column], keep: int) -> DataFrame:
