@@ -6,3 +6,4 @@ from gaugeline.catalog import outliers  # noqa: F401
 from gaugeline.catalog import reports  # noqa: F401
 from gaugeline.catalog import features  # noqa: F401
 from gaugeline.catalog import clusters  # noqa: F401
+from gaugeline.catalog import streams  # noqa: F401

@@ -222,6 +222,7 @@ def single_link(points: DataFrame, k: int, dim: int) -> DataFrame:
     merges at that distance are done in order of their lowest ids until k are left.
     Copies of one point always stay together.
     """
+    points = settle(points.drop("label"))
     x = F.col("features")
     copies = points.groupBy("features").agg(F.min("id").alias("label"))
     if copies.count() <= k:

@@ -17,6 +17,8 @@ GRID_DIMS = 3
 # Cell widths keep this relative distance from eps, so that rounding in the cell
 # number can neither part neighbours nor join strangers.
 MARGIN = 1e-9
+# A side of a cell pair with at most this many points is measured point by point.
+FEW = 32
 
 
 def nearest_of(features: Column, centroids: Column) -> Column:
@@ -214,42 +216,52 @@ def neighbour_cells(boxes: DataFrame, eps: float, dim: int, axes: list[int]) ->
 def linked_cells(points: DataFrame, pairs: DataFrame, eps: float, dim: int) -> DataFrame:
     """Those of the neighbouring cell pairs that hold two points within eps.
 
-    `points` has cell, id and features.  Boxes decide most pairs: far boxes are
-    out, boxes that fit into eps are in.  What is left is looked at again with
-    every box cut in half along each side.  Boxes shrink to single points, where
-    gap and span agree, so every pair is decided exactly and no dense cell is
-    ever paired point by point.
+    `points` has cell, id and features.  Boxes decide many pairs: far boxes are
+    out, boxes that fit into eps are in.  Where one side of an open pair holds at
+    most FEW points, these are measured against the other side, so a point meets a
+    bounded number of others.  Two full sides are looked at again with every box
+    cut in half along each side.  Boxes shrink to single points, where gap and
+    span agree, so every pair is decided exactly and no two dense cells are ever
+    paired point by point.
     """
     width = eps / math.sqrt(dim) * (1 - MARGIN)
-    open_pairs = settle(pairs.filter("cell < other").select(
+    open_pairs = pairs.filter("cell < other").select(
         F.col("cell").alias("home"), F.col("other").alias("away"),
-        F.col("cell").alias("a"), F.col("other").alias("b")))
+        F.col("cell").alias("a"), F.col("other").alias("b"))
     linked = None
     level = 0
     while True:
-        side = width / 2 ** level
-        part = F.transform("features", lambda v: F.floor(v / side))
-        boxes = _box(points.withColumn("part", part), ["part"], dim).select("part", "lo", "hi")
-        one = boxes.select(F.col("part").alias("a"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"))
-        two = boxes.select(F.col("part").alias("b"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"))
+        side, finer = width / 2 ** level, width / 2 ** (level + 1)
+        parted = points.withColumn("part", F.transform("features", lambda v: F.floor(v / side)))
+        boxes = _box(parted, ["part"], dim).select("part", "n", "lo", "hi")
+        one, two = (boxes.select(*[F.col(c).alias(x + c) for c in boxes.columns]) for x in "ab")
         args = [F.col(c) for c in ("alo", "ahi", "blo", "bhi")]
-        judged = settle(open_pairs.join(one, "a").join(two, "b").withColumns(
-            {"gap": _box_gap(*args), "span": _box_span(*args)}).filter(F.col("gap") <= eps)
-            .select("home", "away", "a", "b", (F.col("span") <= eps).alias("inside")))
+        judged = settle(
+            open_pairs.join(one, F.col("a") == F.col("apart")).join(two, F.col("b") == F.col("bpart"))
+            .withColumns({"gap": _box_gap(*args), "span": _box_span(*args)})
+            .filter(F.col("gap") <= eps)
+            .select("home", "away", "a", "b", (F.col("span") <= eps).alias("inside"),
+                    F.least("an", "bn").alias("fewer"), (F.col("an") <= F.col("bn")).alias("a_fewer")))
         found = judged.filter("inside").select("home", "away").distinct()
-        linked = found if linked is None else linked.unionByName(found)
         undecided = judged.filter("not inside").join(found, ["home", "away"], "left_anti")
-        finer = width / 2 ** (level + 1)
-        halves = points.select(
-            part.alias("part"),
-            F.transform("features", lambda v: F.floor(v / finer)).alias("half")).distinct()
+        small = undecided.filter(F.col("fewer") <= FEW).select(
+            "home", "away", F.when(F.col("a_fewer"), F.col("a")).otherwise(F.col("b")).alias("part"),
+            F.when(F.col("a_fewer"), F.col("b")).otherwise(F.col("a")).alias("full"))
+        probes = small.join(parted.select("part", F.col("features").alias("probe")), "part").select(
+            "home", "away", F.col("full").alias("part"), "probe")
+        met = attach(parted.select("part", "features"), probes, ["part"], "inner")
+        met = met.filter(vec.distance(F.col("probe"), F.col("features")) <= eps)
+        found = found.unionByName(met.select("home", "away").distinct())
+        linked = found if linked is None else linked.unionByName(found)
+        full = undecided.filter(F.col("fewer") > FEW)
+        if full.isEmpty():
+            return settle(linked.distinct())
+        halves = parted.select(
+            "part", F.transform("features", lambda v: F.floor(v / finer)).alias("half")).distinct()
         open_pairs = settle(
-            undecided
-            .join(halves.select(F.col("part").alias("a"), F.col("half").alias("a2")), "a")
+            full.join(halves.select(F.col("part").alias("a"), F.col("half").alias("a2")), "a")
             .join(halves.select(F.col("part").alias("b"), F.col("half").alias("b2")), "b")
             .select("home", "away", F.col("a2").alias("a"), F.col("b2").alias("b")))
-        if open_pairs.isEmpty():
-            return settle(linked)
         live = open_pairs.select(F.explode(F.array("home", "away")).alias("cell")).distinct()
         points = settle(attach(points, live, ["cell"], "left_semi"))
         level += 1
@@ -258,10 +270,11 @@ def linked_cells(points: DataFrame, pairs: DataFrame, eps: float, dim: int) -> D
 def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """Component of each vertex: the lowest id in it.
 
-    vertices: id; edges: a, b.  Every round hooks each vertex and its current root
-    to the lowest label seen across an edge and then halves the paths, so rounds
-    grow with the logarithm of the graph.  Both sides of the joins are stored
-    tables, so adaptive execution can split a root that holds most vertices.
+    vertices: id; edges: a, b.  In every round a vertex takes the lowest of its own
+    label, the labels offered across its edges, those offered to its root, and its
+    root's root; so paths halve and rounds grow with the logarithm of the graph.
+    All joins are between stored tables, so adaptive execution can split a root
+    that holds most vertices.
     """
     links = settle(edges.select("a", "b").unionByName(
         edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
@@ -270,13 +283,15 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         mine = labels.select(F.col("id").alias("a"), F.col("component").alias("ra"))
         theirs = labels.select(F.col("id").alias("b"), F.col("component").alias("rb"))
         across = links.join(mine, "a").join(theirs, "b").filter("rb < ra")
-        offers = across.select(F.col("a").alias("id"), F.col("rb").alias("offer")).unionByName(
-            across.select(F.col("ra").alias("id"), F.col("rb").alias("offer")))
-        best = offers.groupBy("id").agg(F.min("offer").alias("offer"))
-        hooked = settle(labels.join(best, "id", "left").select(
-            "id", F.least("component", "offer").alias("component"), "offer"))
-        if hooked.filter("offer is not null").isEmpty():
-            return labels
-        roots = hooked.select(F.col("id").alias("component"), F.col("component").alias("__root"))
-        labels = settle(hooked.drop("offer").join(roots, "component").select(
-            "id", F.col("__root").alias("component")))
+        best = across.select(F.explode(F.array("a", "ra")).alias("id"), "rb").groupBy("id").agg(
+            F.min("rb").alias("offer"))
+        to_root = best.select(F.col("id").alias("component"), F.col("offer").alias("root_offer"))
+        above = labels.select(F.col("id").alias("component"), F.col("component").alias("above"))
+        step = (labels.join(best, "id", "left").join(to_root, "component", "left")
+                .join(above, "component", "left"))
+        lowest = F.least("component", "offer", "root_offer", "above")
+        labels = settle(step.select("id", lowest.alias("component"),
+                                    (lowest < F.col("component")).alias("moved")))
+        if labels.filter("moved").isEmpty():
+            return labels.drop("moved")
+        labels = labels.drop("moved")
