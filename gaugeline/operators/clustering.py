@@ -96,35 +96,49 @@ def lloyd(points: DataFrame, keys: list[str], k: int, rounds: int, dim: int) ->
     hi = [F.max(x[i]) for i in range(dim)]
     starts = F.array(*[F.struct(F.lit(c).alias("label"), F.array(*[
         a + (c + 0.5) / k * (b - a) for a, b in zip(lo, hi)]).alias("centroid")) for c in range(k)])
-    centroids = settle(grouped.groupBy(*keys).agg(starts.alias("__all")))
+    centroids = grouped.groupBy(*keys).agg(starts.alias("__all"))
+    if not keys:
+        return _lloyd_of_one(grouped, centroids, rounds, dim)
+    centroids = settle(centroids)
     sizes = measure(grouped, keys)
     for _ in range(rounds):
-        placed = _attach_centroids(grouped, centroids, keys, sizes)
-        label = nb.nearest_of(x, F.col("__all"))["label"]
-        w = F.col("weight")
-        moved = placed.select(*keys, "features", "weight", label.alias("label")).groupBy(
-            *keys, "label").agg(F.sum("weight").alias("__n"), F.array(*[
-                F.sum(x[i] * w) for i in range(dim)]).alias("__s"))
-        updates = moved.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(
-            "label", vec.divide(F.col("__s"), F.col("__n")).alias("c")))).alias("__new"))
-        after = _attach_centroids(centroids, updates, keys, None, small=True)
-        after = settle(after.select(*keys, "__all", F.transform("__all", lambda c: F.struct(
-            c["label"].alias("label"),
-            F.coalesce(F.try_element_at(F.col("__new"), c["label"]), c["centroid"]).alias("centroid")
-        )).alias("__next")))
-        still = after.filter(F.col("__all") != F.col("__next")).isEmpty()
+        moved = _new_means(attach(grouped, centroids, keys, "inner", sizes), keys, dim)
+        updates = moved.groupBy(*keys).agg(F.map_from_entries(F.collect_list(
+            F.struct("label", "mean"))).alias("__new"))
+        after = settle(join_on(centroids, updates, keys).select(
+            *keys, "__all", F.transform("__all", lambda c: F.struct(
+                c["label"].alias("label"), F.coalesce(F.try_element_at(
+                    F.col("__new"), c["label"]), c["centroid"]).alias("centroid"))).alias("__next")))
         centroids = after.select(*keys, F.col("__next").alias("__all"))
-        if still:
+        if after.filter(F.col("__all") != F.col("__next")).isEmpty():
             break
     return centroids.select(*keys, F.inline("__all"))
 
 
-def _attach_centroids(rows: DataFrame, per_key: DataFrame, keys: list[str], sizes,
-                      small: bool = False) -> DataFrame:
-    if not keys:
-        column = [c for c in per_key.columns if c not in rows.columns][0]
-        return rows.withColumn(column, per_key.select(column).scalar())
-    return join_on(rows, per_key, keys) if small else attach(rows, per_key, keys, "inner", sizes)
+def _new_means(placed: DataFrame, keys: list[str], dim: int) -> DataFrame:
+    """Weighted mean of the vectors nearest to each centroid in `__all`."""
+    x, w = F.col("features"), F.col("weight")
+    label = nb.nearest_of(x, F.col("__all"))["label"]
+    sums = placed.select(*keys, "features", "weight", label.alias("label")).groupBy(
+        *keys, "label").agg(F.sum("weight").alias("n"),
+                            F.array(*[F.sum(x[i] * w) for i in range(dim)]).alias("s"))
+    return sums.select(*keys, "label", vec.divide(F.col("s"), F.col("n")).alias("mean"))
+
+
+def _lloyd_of_one(grouped: DataFrame, starts: DataFrame, rounds: int, dim: int) -> DataFrame:
+    """Rounds for one set of centroids: k vectors travel to the driver and back as literals."""
+    kind = "array<struct<label:int,centroid:array<double>>>"
+    session = grouped.sparkSession
+    current = {c["label"]: list(c["centroid"]) for c in starts.first()[0]}
+    for _ in range(rounds):
+        literal = F.array(*[F.struct(F.lit(c).alias("label"), F.array(*map(F.lit, m)).alias("centroid"))
+                            for c, m in sorted(current.items())]).cast(kind)
+        means = _new_means(grouped.withColumn("__all", literal), [], dim).collect()
+        after = {**current, **{r["label"]: list(r["mean"]) for r in means}}
+        if after == current:
+            break
+        current = after
+    return session.createDataFrame(sorted(current.items()), "label int, centroid array<double>")
 
 
 def assign(points: DataFrame, centroids: DataFrame, keys: list[str]) -> DataFrame:
@@ -299,7 +313,7 @@ def dbscan_1d(points: DataFrame, keys: list[str], value: str, eps: float = schem
     whose first core has the lowest id.
     """
     sizes = measure(points, keys)
-    values = nb.distinct_values(points, keys, value)
+    values = settle(nb.distinct_values(points, keys, value))
     values = settle(nb.eps_counts(values, keys, eps, sizes))
     cores = values.filter(F.col("neighbors") >= min_points)
     scan = ordered(cores, keys, ["x"], bound=sizes).neighbour(-1, before=F.col("x"))

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeline import schema
-from gaugeline.plans.groups import attach, join_on, with_group_aggs
+from gaugeline.plans.groups import Sizes, attach, join_on, with_group_aggs
 from gaugeline.plans.ordered import HOME, Ordered, Running, ordered
-from gaugeline.functions.vectors import total
+from gaugeline.functions.vectors import let, total
 
 
 def zscore_in_group(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
@@ -43,15 +43,20 @@ def outlier_details(vals: Column, min_n: int = schema.RECORD_MIN_VALUES,
     array<struct<value_index, value, expected_mean, expected_std, z_score>>
     """
     n = F.nullif(F.size(vals), F.lit(0))
-    mean = total(vals) / n
-    spread = F.sqrt(F.aggregate(
-        vals, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean)) / n)
-    detail = F.transform(vals, lambda x, i: F.struct(
-        i.alias("value_index"), x.alias("value"), mean.alias("expected_mean"),
-        spread.alias("expected_std"), ((x - mean) / F.nullif(spread, F.lit(0.0))).alias("z_score")))
-    flagged = F.filter(detail, lambda d: F.abs(d["z_score"]) > threshold)
-    nothing = F.filter(detail, lambda d: F.lit(False))
-    return F.when((F.size(vals) >= min_n) & (spread >= min_sigma), flagged).otherwise(nothing)
+
+    def details(mean: Column, spread: Column) -> Column:
+        steep = F.when((n >= min_n) & (spread >= min_sigma), spread)
+        scored = F.transform(vals, lambda x, i: F.struct(
+            i.alias("value_index"), x.alias("value"), mean.alias("expected_mean"),
+            spread.alias("expected_std"), ((x - mean) / steep).alias("z_score")))
+        return F.filter(scored, lambda d: F.abs(d["z_score"]) > threshold)
+
+    def spread_of(mean: Column) -> Column:
+        squares = F.aggregate(vals, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
+        return F.sqrt(squares / n)
+
+    return let(total(vals) / n, lambda mean: let(
+        spread_of(mean), lambda spread: details(mean, spread)))
 
 
 def record_outliers_in_arrays(records: DataFrame, vals: str = "vals", **limits: float) -> DataFrame:
@@ -81,7 +86,7 @@ def cf_online_outlier(
     threshold: float = schema.RADIUS_THRESHOLD, sigma_factor: float = schema.SIGMA_FACTOR,
     min_points: int = schema.MIN_DETECT_POINTS, min_baseline: int = schema.MIN_BASELINE_POINTS,
     radius_floor: float = schema.RADIUS_FLOOR, sigma_floor: float = schema.SIGMA_FLOOR,
-    prior: DataFrame | None = None,
+    prior: DataFrame | None = None, bound: Sizes | None = None,
 ) -> DataFrame:
     """Score each reading against the leaf CFs of the earlier readings of its key.
 
@@ -98,11 +103,11 @@ def cf_online_outlier(
     """
     step = 2.0 * threshold
     v = F.col(value)
-    scan = ordered(readings, keys, order).position("position")
+    scan = ordered(readings, keys, order, bound=bound).position("position")
     rows = scan.result().withColumn("cell", F.floor(v / step))
     if prior is not None:
         seen = prior.groupBy(*keys).agg(F.max("seen").alias("__seen"))
-        rows = attach(rows, seen, keys)
+        rows = attach(rows, seen, keys, "left", scan.sizes)
         rows = rows.withColumn("position", F.col("position") + F.coalesce("__seen", F.lit(0)))
         rows = rows.drop("__seen")
 
@@ -132,9 +137,9 @@ def cf_online_outlier(
                                  lambda c: c > F.col("cell")))
     same = F.exists(ready, lambda b: b["leaf"] == F.col("cell"))
     asking = rows.select(*keys, "position", "cell", v.alias("__v"))
-    asking = attach(asking, leaves, keys, "inner") if scan.split else join_on(asking, leaves, keys)
-    probes = (asking.select(*keys, "position", "__v", F.explode(F.array_compact(F.array(
-                  below, F.when(same, F.col("cell")), above))).alias("leaf")))
+    asking = attach(asking, leaves, keys, "inner", scan.sizes)
+    probes = asking.select(*keys, "position", "__v", F.explode(F.array_compact(F.array(
+        below, F.when(same, F.col("cell")), above))).alias("leaf"))
 
     # 3. CF of each candidate just before the reading: probes and updates in one scan
     updates = own.withColumn("__v", F.lit(None).cast("double")).withColumn("__probe", F.lit(0))
@@ -168,18 +173,18 @@ def cf_online_outlier(
 def consecutive_alerts(scored: DataFrame, keys: list[str], order: list[str],
                        limit: int = schema.CONSECUTIVE_LIMIT,
                        size_of: DataFrame | None = None,
-                       prior: DataFrame | None = None) -> DataFrame:
+                       prior: DataFrame | None = None, bound: Sizes | None = None) -> DataFrame:
     """Run length of outliers per key, alert flag and suggestion for each reading.
 
     `prior` (keys, streak) continues the runs of an earlier batch.
     """
-    scan = ordered(scored, keys, order, size_of=size_of).position("__at")
+    scan = ordered(scored, keys, order, size_of=size_of, bound=bound).position("__at")
     scan = scan.running(__reset=Running("max", F.when(~F.col("is_outlier"), F.col("__at"))))
     rows = scan.result()
     before = F.lit(0).cast("bigint")
     if prior is not None:
         carried = prior.select(*keys, F.col("streak").alias("__carried"))
-        rows = attach(rows, carried, keys) if scan.split else join_on(rows, carried, keys, "left")
+        rows = attach(rows, carried, keys, "left", scan.sizes)
         before = F.coalesce("__carried", F.lit(0))
     run = F.when(F.col("__reset").isNull(), F.col("__at") + 1 + before).otherwise(
         F.col("__at") - F.col("__reset"))

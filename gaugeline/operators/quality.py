@@ -15,6 +15,7 @@ from gaugeline.functions import vectors as vec
 from gaugeline.operators import neighbors as nb
 from gaugeline.plans.groups import attach, join_on, measure
 from gaugeline.plans.ordered import Running, ordered
+from gaugeline.session import settle
 
 SILHOUETTES = ("squared", "euclidean")
 
@@ -121,10 +122,9 @@ def silhouette_1d(points: DataFrame, keys: list[str], value: str, noise: int | N
     compared with the running sums of every cluster of its key.
     `include_self` divides a by n instead of n - 1.
     """
-    points = without_noise(points, noise)
-    sizes = measure(points, keys)
-    values = points.groupBy(*keys, "label", F.col(value).alias("x")).agg(
-        F.count(F.lit(1)).alias("weight"))
+    values = settle(without_noise(points, noise).groupBy(
+        *keys, "label", F.col(value).alias("x")).agg(F.count(F.lit(1)).alias("weight")))
+    sizes = measure(values, keys)
     w, x = F.col("weight"), F.col("x")
     scan = ordered(values, [*keys, "label"], ["x"], bound=sizes).running(
         __c=Running("sum", w), __s=Running("sum", w * x))
@@ -195,10 +195,10 @@ def silhouette_squared(points: DataFrame, keys: list[str], dim: int, noise: int
     rows = (attach(rows, lists, keys, "inner") if keys
             else rows.withColumn("__all", lists.scalar()))
     f = F.col("features")
-    gaps = F.transform("__all", lambda c: F.struct(
+    gaps = vec.let(vec.total(vec.squares(f)), lambda own: F.transform("__all", lambda c: F.struct(
         c["label"].alias("label"), c["n"].alias("n"),
-        F.greatest(vec.total(vec.squares(f)) - 2.0 * vec.total(F.zip_with(
-            f, c["centroid"], lambda p, q: p * q)) + c["q"], F.lit(0.0)).alias("d")))
+        F.greatest(own - 2.0 * vec.total(F.zip_with(
+            f, c["centroid"], lambda p, q: p * q)) + c["q"], F.lit(0.0)).alias("d"))))
     rows = rows.withColumn("__gaps", gaps).drop("__all")
     mine = F.filter("__gaps", lambda g: g["label"] == F.col("label"))[0]
     rows = rows.withColumns({
@@ -267,7 +267,7 @@ def evaluate_clusters(points: DataFrame, keys: list[str], dim: int, noise: int |
     points = without_noise(points, noise)
     if value is not None:
         points = points.withColumn("features", F.array(F.col(value).cast("double")))
-    clusters = cluster_features(points, keys, dim)
+    clusters = settle(cluster_features(points, keys, dim))
     if value is not None:
         shape = silhouette_1d(points, keys, value)
     elif silhouette == "squared":

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from gaugeline import schema
 from gaugeline.functions.scalars import entries
 from gaugeline.operators import cf, outliers
-from gaugeline.plans.groups import attach, join_on
+from gaugeline.plans.groups import attach, join_on, measure
 
 
 def record_outliers(records: DataFrame, **limits: float) -> DataFrame:
@@ -127,16 +127,18 @@ class OnlineDetector:
         keys, order = self.keys, [self.time, self.tie]
         leaves, runs = self._read(batch_id - 1, "leaves"), self._read(batch_id - 1, "runs")
         place = F.struct(self.time, self.tie)
+        sizes = measure(batch, keys)
         rows = batch.withColumn("late", F.lit(False))
         if runs is not None:
             last = runs.select(*keys, F.col("last").alias("__last"))
-            rows = attach(rows.drop("late"), last, keys).withColumn(
+            rows = attach(rows.drop("late"), last, keys, "left", sizes).withColumn(
                 "late", F.coalesce(place <= F.col("__last"), F.lit(False))).drop("__last")
         late = rows.filter("late")
         fresh = rows.filter(~F.col("late")).drop("late")
         scored = outliers.cf_online_outlier(fresh, keys, order, self.value, prior=leaves,
-                                            **self.settings)
-        flags = outliers.consecutive_alerts(scored, keys, order, self.limit, size_of=fresh, prior=runs)
+                                            bound=sizes, **self.settings)
+        flags = outliers.consecutive_alerts(scored, keys, order, self.limit, size_of=fresh,
+                                            prior=runs, bound=sizes)
         path = f"{self.folder}/flags/batch={batch_id}"
         flags.withColumn("late", F.lit(False)).unionByName(
             late, allowMissingColumns=True).write.mode("overwrite").parquet(path)
