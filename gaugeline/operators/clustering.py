@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from typing import NamedTuple
 
 from pyspark.ml.clustering import GaussianMixture, KMeans
@@ -16,6 +17,9 @@ from gaugeline.plans.groups import Sizes, attach, join_on, measure
 from gaugeline.plans.ordered import Running, ordered, top_per_key
 from gaugeline.session import settle
 
+# So many candidate pairs may be listed to finish a single-link clustering.
+LISTED_PAIRS = 10_000_000
+
 
 def cluster_centroids(points: DataFrame, keys: list[str], dim: int) -> DataFrame:
     """Mean vector and size of each label."""
@@ -231,10 +235,10 @@ def single_link(points: DataFrame, k: int, dim: int) -> DataFrame:
     """k clusters by single link in any dimension: label 0-based by lowest id.
 
     Single link at height t is the component split of the graph of points within
-    t.  The height is bracketed by doubling and then halved until the split has k
-    parts.  If no height gives k parts because merges share one distance, the
-    merges at that distance are done in order of their lowest ids until k are left.
-    Copies of one point always stay together.
+    t.  The height is bracketed by splits with more and with fewer than k parts.
+    Once the pairs within the upper height are few enough to list, the remaining
+    merges are taken in the order of (distance, lowest ids); until then the
+    bracket is narrowed.  Copies of one point always stay together.
     """
     points = settle(points.drop("label"))
     x = F.col("features")
@@ -242,58 +246,62 @@ def single_link(points: DataFrame, k: int, dim: int) -> DataFrame:
     if copies.count() <= k:
         return renumber_from_zero(attach(points, copies, ["features"], "inner"))
     spread = points.agg(*[F.max(x[i]) - F.min(x[i]) for i in range(dim)]).first()
-    high = max(sum(s * s for s in spread) ** 0.5, 1e-12)
-    low, low_split, high_split = 0.0, None, None
+    low, high, many = 0.0, max(math.hypot(*spread), 1e-12), None
     step = high / 2
     while True:
-        split = eps_components(points, step, dim)
+        split = settle(eps_components(points, step, dim).drop("cell"))
         parts = split.select("component").distinct().count()
         if parts == k:
-            return renumber_from_zero(split.withColumnRenamed("component", "label").drop("cell"))
+            return renumber_from_zero(split.withColumnRenamed("component", "label"))
         if parts > k:
-            low, low_split = step, split
+            low, many = step, split
         else:
-            high, high_split = step, split
-        middle = (low + high) / 2 if low > 0 else high / 4
-        if middle in (low, high) or (low > 0 and high - low <= 1e-12 * high):
-            break
-        step = middle
-    return renumber_from_zero(_merge_ties(low_split if low_split is not None else
-                                          points.withColumn("component", F.col("id")),
-                                          high, k, dim))
+            high = step
+        if many is not None:
+            close = high - low <= 1e-12 * high
+            if close or _pairs_within(points, high, dim) <= LISTED_PAIRS:
+                return renumber_from_zero(_merge_nearest(many, high, k, dim))
+        step = (low + high) / 2 if low > 0 else high / 4
+
+
+def _pairs_within(points: DataFrame, eps: float, dim: int) -> int:
+    """Upper bound of the pairs a grid of width eps has to look at."""
+    x = F.col("features")
+    axes = nb.widest_dims(points, dim)
+    cells = points.groupBy(*[F.floor(x[i] / eps).alias(f"c{i}") for i in axes]).count()
+    return (cells.agg(F.sum(F.col("count").cast("double") * F.col("count"))).first()[0] or 0) * 3 ** len(axes)
 
 
-def _merge_ties(split: DataFrame, height: float, k: int, dim: int) -> DataFrame:
-    """Merge components at one shared distance, lowest ids first, until k are left."""
+def _merge_nearest(split: DataFrame, height: float, k: int, dim: int) -> DataFrame:
+    """Merge the nearest components, by (distance, ids) up to `height`, until k are left."""
     labels = settle(split.select("id", "features", F.col("component").alias("label")))
-    near = nb.eps_neighbors(labels, height, dim).filter("id < other")
     part = labels.select("id", "label")
-    links = (near.join(part.withColumnRenamed("label", "la"), "id")
-             .join(part.select(F.col("id").alias("other"), F.col("label").alias("lb")), "other")
-             .filter("la <> lb")
-             .groupBy(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"))
-             .agg(F.min(F.struct("id", "other")).alias("rank")))
-    links = settle(links)
-    names = settle(labels.select(F.col("label").alias("id")).distinct()
-                   .withColumn("component", F.col("id")))
+    links = settle(
+        nb.eps_neighbors(labels, height, dim).filter("id < other")
+        .join(part.withColumnRenamed("label", "la"), "id")
+        .join(part.select(F.col("id").alias("other"), F.col("label").alias("lb")), "other")
+        .filter("la <> lb")
+        .groupBy(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"))
+        .agg(F.min(F.struct("distance", "id", "other")).alias("rank")))
+    parts = settle(labels.select(F.col("label").alias("id")).distinct())
+    names = parts.withColumn("component", F.col("id"))
     chosen = None
     while True:
         # each part takes its first link to another part; together a spanning forest
         ends = (links.join(names.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a")
                 .join(names.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
                 .filter("ca <> cb"))
-        picks = ends.select("a", "b", "rank", F.explode(F.array("ca", "cb")).alias("c")).groupBy(
-            "c").agg(F.min_by(F.struct("a", "b", "rank"), "rank").alias("e")).select("e.*").distinct()
-        picks = settle(picks)
+        picks = settle(ends.select("a", "b", "rank", F.explode(F.array("ca", "cb")).alias("c"))
+                       .groupBy("c").agg(F.min_by(F.struct("a", "b", "rank"), "rank").alias("e"))
+                       .select("e.*").distinct())
         if picks.isEmpty():
             break
         chosen = picks if chosen is None else settle(chosen.unionByName(picks).distinct())
-        names = nb.connected_components(names.select("id"), chosen)
-    spare = labels.select("label").distinct().count() - k
-    merges = chosen.orderBy("rank").limit(spare)
-    parts = nb.connected_components(labels.select(F.col("label").alias("id")).distinct(), merges)
-    return attach(labels, parts.withColumnRenamed("id", "label"), ["label"], "inner").drop(
-        "label").withColumnRenamed("component", "label")
+        names = nb.connected_components(parts, chosen)
+    merges = chosen.orderBy("rank").limit(parts.count() - k)
+    merged = nb.connected_components(parts, merges).withColumnRenamed("id", "label")
+    return attach(labels, merged, ["label"], "inner").drop("label").withColumnRenamed(
+        "component", "label")
 
 
 def renumber_from_zero(points: DataFrame) -> DataFrame:

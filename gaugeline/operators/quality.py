@@ -47,10 +47,10 @@ def davies_bouldin(points: DataFrame, keys: list[str], dim: int, noise: int | No
     centers = clusters.select(*on, F.col("centroid").alias("__c"))
     gaps = attach(points, centers, on, "inner").withColumn(
         "__d", vec.distance(F.col("features"), F.col("__c")))
-    spread = gaps.groupBy(*on).agg(F.avg("__d").alias("s"))
+    spread = gaps.groupBy(*on).agg(F.avg("__d").alias("__s"))
     pairs = nb.centroid_pairs(clusters.select(*on, "centroid"), keys).filter("distance > 0")
-    si = spread.select(*keys, F.col("label").alias("a"), F.col("s").alias("si"))
-    sj = spread.select(*keys, F.col("label").alias("b"), F.col("s").alias("sj"))
+    si = spread.select(*keys, F.col("label").alias("a"), F.col("__s").alias("si"))
+    sj = spread.select(*keys, F.col("label").alias("b"), F.col("__s").alias("sj"))
     ratios = join_on(join_on(pairs, si, [*keys, "a"]), sj, [*keys, "b"]).withColumn(
         "r", (F.col("si") + F.col("sj")) / F.col("distance"))
     worst = ratios.groupBy(*keys, F.col("a").alias("label")).agg(F.max("r").alias("r"))
@@ -85,10 +85,11 @@ def calinski_harabasz(points: DataFrame, keys: list[str], dim: int, noise: int |
             F.sum(vec.distance(F.col("features"), F.col("__c"))).alias("__w"))
         parts = join_on(both, gaps, on)
     sums = parts.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"),
-        F.sum(F.col("n") * between).alias("b"), F.sum("__w").alias("w"))
-    usable = (F.col("k") > 1) & (F.col("k") < F.col("n")) & (F.col("w") > 0)
-    score = (F.col("b") / (F.col("k") - 1)) / (F.col("w") / (F.col("n") - F.col("k")))
+        F.count(F.lit(1)).alias("__k"), F.sum("n").alias("__rows"),
+        F.sum(F.col("n") * between).alias("__b"), F.sum("__w").alias("__in"))
+    k, n, w = F.col("__k"), F.col("__rows"), F.col("__in")
+    usable = (k > 1) & (k < n) & (w > 0)
+    score = (F.col("__b") / (k - 1)) / (w / (n - k))
     return sums.select(*keys, F.when(usable, score).otherwise(0.0).alias("calinski_harabasz"))
 
 
@@ -105,11 +106,11 @@ def _mean_silhouette(points: DataFrame, keys: list[str], a: Column, b: Column) -
     scored = points.withColumn("__s", s)
     sums = scored.groupBy(*keys, "label").agg(
         F.sum(F.col("__s") * F.col("weight")).alias("__s"), F.sum("weight").alias("__n"))
-    per_key = sums.groupBy(*keys).agg(F.sum("__s").alias("s"), F.sum("__n").alias("n"),
-                                      F.count(F.lit(1)).alias("k"))
-    usable = (F.col("k") > 1) & (F.col("k") < F.col("n"))
-    return per_key.select(*keys, F.when(usable, F.col("s") / F.col("n")).otherwise(0.0)
-                          .alias("silhouette"))
+    per_key = sums.groupBy(*keys).agg(F.sum("__s").alias("__sum"), F.sum("__n").alias("__rows"),
+                                      F.count(F.lit(1)).alias("__k"))
+    usable = (F.col("__k") > 1) & (F.col("__k") < F.col("__rows"))
+    mean = F.col("__sum") / F.col("__rows")
+    return per_key.select(*keys, F.when(usable, mean).otherwise(0.0).alias("silhouette"))
 
 
 def silhouette_1d(points: DataFrame, keys: list[str], value: str, noise: int | None = None,

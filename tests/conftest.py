@@ -22,9 +22,9 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-@pytest.fixture(params=[None, 4], ids=["whole", "split"])
+@pytest.fixture(params=[None, 9], ids=["whole", "split"])
 def any_split(request, spark):
-    """Runs a test with plain windows and with every key above 4 rows split."""
+    """Runs a test with plain windows and with every key above 9 rows split."""
     if request.param:
         spark.conf.set(LIMIT_SETTING, str(request.param))
     yield request.param
