@@ -109,9 +109,13 @@ def latest_by_key(spark, sf_dir):
     WHERE project_id = 1 AND data_type = 2
       AND record_time >= m - INTERVAL 30 DAY AND record_time <= m - INTERVAL 20 DAY""", ("records",))
 def record_query(spark, sf_dir):
+    """A filter over the stored record table: months are pruned, the rest is pushed to the scan."""
+    path = scratch(spark, "detect_data")
+    tables.write_table(fx.records(spark, sf_dir), path, "detect_data")
     end = latest_time(spark, sf_dir)
-    df = rec.record_query(fx.records(spark, sf_dir), project_id=1, data_type=2,
-                          start=end - timedelta(days=30), end=end - timedelta(days=20))
+    start, end = end - timedelta(days=30), end - timedelta(days=20)
+    stored = tables.read_table(spark, path, "record_time", start, end)
+    df = rec.record_query(stored, project_id=1, data_type=2, start=start, end=end)
     return text_times(df.select("record_id", "project_id", "gateway_code", "dev_code", "data_type",
                                 "record_time", "factor"), "record_time")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gaugeline import schema
-from gaugeline.catalog.common import flagged_stream, newest, rounded, text_times, tm
+from gaugeline.catalog.common import flagged_stream, latest_time, rounded, text_times, tm
 from gaugeline.catalog.registry import define, query
 from gaugeline.operators import devices as dev, records as rec, reports
 from gaugeline.sources import fixtures as fx
@@ -81,7 +81,7 @@ def detection_trend_week(spark, sf_dir):
          (SELECT count(*) AS n, count(*) FILTER (is_outlier) AS o FROM flagged
           WHERE value_time >= date_trunc('day', {ASOF})) t""", ("devices", "flagged"))
 def overview(spark, sf_dir):
-    asof = newest(fx.events(spark, sf_dir), "ts")
+    asof = F.lit(latest_time(spark, sf_dir))
     rows = reports.overview(fx.devices(spark, sf_dir), flagged_stream(spark, sf_dir), asof,
                             dev.is_online(F.col("last_seen"), asof))
     return rounded(rows, "outlier_rate")
@@ -93,7 +93,7 @@ def overview(spark, sf_dir):
     FROM (SELECT CASE WHEN last_seen >= {ASOF} - INTERVAL 6 HOUR THEN 'online' ELSE 'offline' END AS status
           FROM devices) GROUP BY status""", ("devices",))
 def device_group_stats(spark, sf_dir):
-    asof = newest(fx.events(spark, sf_dir), "ts")
+    asof = F.lit(latest_time(spark, sf_dir))
     df = fx.devices(spark, sf_dir).withColumn("name", F.when(
         dev.is_online(F.col("last_seen"), asof, minutes=360), "online").otherwise("offline"))
     return rounded(reports.share_by(df, ["name"]), "percentage")
@@ -103,7 +103,7 @@ def device_group_stats(spark, sf_dir):
     SELECT dev_code, CASE WHEN last_seen >= {ASOF} - INTERVAL 5 MINUTE THEN 'online' ELSE 'offline' END
            AS status FROM devices""", ("devices",))
 def device_status(spark, sf_dir):
-    asof = newest(fx.events(spark, sf_dir), "ts")
+    asof = F.lit(latest_time(spark, sf_dir))
     return dev.device_status(fx.devices(spark, sf_dir), asof).select("dev_code", "status")
 
 
@@ -111,7 +111,7 @@ def device_status(spark, sf_dir):
     SELECT count(*) AS total, count(*) FILTER (last_seen >= {ASOF} - INTERVAL 5 MINUTE) AS online,
            count(*) FILTER (last_seen < {ASOF} - INTERVAL 5 MINUTE) AS offline FROM devices""", ("devices",))
 def device_online_stats(spark, sf_dir):
-    return dev.device_online_stats(fx.devices(spark, sf_dir), newest(fx.events(spark, sf_dir), "ts"))
+    return dev.device_online_stats(fx.devices(spark, sf_dir), F.lit(latest_time(spark, sf_dir)))
 
 
 @query("device_list", f"""
@@ -119,7 +119,7 @@ def device_online_stats(spark, sf_dir):
     WHERE type = 'SN' AND last_seen < {ASOF} - INTERVAL 5 MINUTE
     ORDER BY devices.created_at DESC, dev_code LIMIT 20 OFFSET 20""", ("devices",))
 def device_list(spark, sf_dir):
-    asof = newest(fx.events(spark, sf_dir), "ts")
+    asof = F.lit(latest_time(spark, sf_dir))
     rows = dev.device_list(fx.devices(spark, sf_dir), asof, type="SN", status="offline", page=2)
     return text_times(rows.select("dev_code", "name", "type", "project_id", "created_at"), "created_at")
 

@@ -331,15 +331,16 @@ def dbscan_1d(points: DataFrame, keys: list[str], value: str, eps: float = schem
     parts = cores.groupBy(*keys, "island").agg(F.min("first_id").alias("first_core"))
     cores = attach(cores, parts, [*keys, "island"], "inner", sizes).select(
         *keys, "x", F.struct("x", "first_core").alias("core"))
-    line = join_on(values.select(*keys, "x"), cores, [*keys, "x"], "left")
+    line = join_on(values.select(*keys, "x", "first_id"), cores, [*keys, "x"], "left")
     scan = ordered(line, keys, ["x"], bound=sizes).running(
         below=Running("last", F.col("core")), above=Running("last", F.col("core"), backward=True))
     x = F.col("x")
     by_below = F.when(x - F.col("below.x") <= eps, F.col("below.first_core"))
     by_above = F.when(F.col("above.x") - x <= eps, F.col("above.first_core"))
-    found = scan.result().select(*keys, "x", F.least(by_below, by_above).alias("label"))
-    found = found.withColumnRenamed("x", value)
-    return renumber_labels(attach(points, found, [*keys, value], "left", sizes), keys, bound=sizes)
+    found = settle(scan.result().select(
+        *keys, "x", F.col("first_id").alias("id"), F.least(by_below, by_above).alias("label")))
+    found = renumber_labels(found, keys, bound=sizes).select(*keys, F.col("x").alias(value), "label")
+    return attach(points.drop("label"), found, [*keys, value], "inner", sizes)
 
 
 def dbscan(points: DataFrame, eps: float = schema.DBSCAN_EPS,

@@ -9,6 +9,7 @@ from gaugeline import schema
 from gaugeline.plans.groups import Sizes, attach, join_on, with_group_aggs
 from gaugeline.plans.ordered import HOME, Ordered, Running, ordered
 from gaugeline.functions.vectors import let, total
+from gaugeline.session import settle
 
 
 def zscore_in_group(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
@@ -103,17 +104,20 @@ def cf_online_outlier(
     """
     step = 2.0 * threshold
     v = F.col(value)
-    scan = ordered(readings, keys, order, bound=bound).position("position")
-    rows = scan.result().withColumn("cell", F.floor(v / step))
+    narrow = readings.select(*keys, *order, v.alias("__v"), F.floor(v / step).alias("cell"))
+    scan = ordered(narrow, keys, order, bound=bound).position("position")
+    rows = scan.result()
     if prior is not None:
         seen = prior.groupBy(*keys).agg(F.max("seen").alias("__seen"))
         rows = attach(rows, seen, keys, "left", scan.sizes)
         rows = rows.withColumn("position", F.col("position") + F.coalesce("__seen", F.lit(0)))
         rows = rows.drop("__seen")
+    rows = settle(rows)
 
     # 1. when does each (key, cell) become a baseline?
+    x = F.col("__v")
     own = rows.select(*keys, F.col("cell").alias("leaf"), "position", F.lit(1).alias("n"),
-                      v.alias("ls"), (v * v).alias("ss"))
+                      x.alias("ls"), (x * x).alias("ss"))
     if prior is not None:
         before = prior.select(*keys, F.col("leaf_id").alias("leaf"),
                               F.lit(-1).cast("bigint").alias("position"), F.col("n"),
@@ -136,7 +140,7 @@ def cf_online_outlier(
     above = F.array_min(F.filter(F.transform(ready, lambda b: b["leaf"]),
                                  lambda c: c > F.col("cell")))
     same = F.exists(ready, lambda b: b["leaf"] == F.col("cell"))
-    asking = rows.select(*keys, "position", "cell", v.alias("__v"))
+    asking = rows.select(*keys, "position", "cell", "__v")
     asking = attach(asking, leaves, keys, "inner", scan.sizes)
     probes = asking.select(*keys, "position", "__v", F.explode(F.array_compact(F.array(
         below, F.when(same, F.col("cell")), above))).alias("leaf"))
@@ -160,7 +164,8 @@ def cf_online_outlier(
                         F.col("leaf").alias("nearest_cell"))
     best = near.groupBy(*keys, "position").agg(
         F.min(F.struct("distance", "nearest_cell", "scale")).alias("__b"))
-    scored = join_on(rows, best, [*keys, "position"], "left")
+    found = join_on(rows.drop("__v"), best, [*keys, "position"], "left")
+    scored = join_on(readings, found, [*keys, *order])
     z = F.col("__b.distance") / F.col("__b.scale")
     return (scored
             .withColumn("nearest_cell", F.col("__b.nearest_cell"))

@@ -63,12 +63,11 @@ def overview(devices: DataFrame, readings: DataFrame, asof: Column, online: Colu
         F.count_distinct("project_id").alias("total_projects"))
     day = F.date_trunc("day", asof)
     today = readings.filter((F.col("value_time") >= day) & (F.col("value_time") <= asof))
-    done = today.agg(F.count(F.lit(1)).alias("n"), F.count_if("is_outlier").alias("o"))
-    return seen.withColumns({
-        "detections_today": done.select("n").scalar(),
-        "outliers_today": done.select("o").scalar(),
-        "outlier_rate": ratio(done.select("o").scalar(), done.select("n").scalar()),
-    })
+    done = today.agg(F.struct(F.count(F.lit(1)).alias("n"), F.count_if("is_outlier").alias("o")))
+    return seen.withColumn("__t", done.scalar()).withColumns({
+        "detections_today": F.col("__t.n"), "outliers_today": F.col("__t.o"),
+        "outlier_rate": ratio(F.col("__t.o"), F.col("__t.n")),
+    }).drop("__t")
 
 
 def gateway_rollup(detections: DataFrame, leaves: DataFrame) -> DataFrame:

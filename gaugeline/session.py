@@ -8,10 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Times are in UTC, and stored so that row groups can be skipped by time.
+NEEDED = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
+}
+_SETTLED: list[str] = []
+
+
 def build_session(app: str = "gaugeline", master: str | None = None, **conf: str) -> SparkSession:
     """A session in UTC with adaptive execution; `conf` overrides any setting."""
     settings = {
-        "spark.sql.session.timeZone": "UTC",
+        **NEEDED,
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -26,8 +34,9 @@ def build_session(app: str = "gaugeline", master: str | None = None, **conf: str
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Settings that must hold for right results on a session made elsewhere."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """The needed settings on a session made elsewhere."""
+    for key, value in NEEDED.items():
+        spark.conf.set(key, value)
     return spark
 
 
@@ -57,4 +66,13 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _SETTLED.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables `settle` wrote in this process; call it when a job's results are stored."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _SETTLED:
+        path = jvm.org.apache.hadoop.fs.Path(_SETTLED.pop())
+        path.getFileSystem(conf).delete(path, True)

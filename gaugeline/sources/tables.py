@@ -38,11 +38,11 @@ def read_table(spark: SparkSession, path: str, time: str,
                start: datetime | None = None, end: datetime | None = None) -> DataFrame:
     """Rows of a time range; the range also prunes the month partitions."""
     df = spark.read.option("basePath", path).parquet(path)
-    df = df.withColumn(MONTH, F.col(MONTH).cast("string"))
+    ym = F.col(MONTH).cast("int")
     if start is not None:
-        df = df.filter((F.col(time) >= F.lit(start)) & (F.col(MONTH) >= f"{start:%Y%m}"))
+        df = df.filter((F.col(time) >= F.lit(start)) & (ym >= int(f"{start:%Y%m}")))
     if end is not None:
-        df = df.filter((F.col(time) <= F.lit(end)) & (F.col(MONTH) <= f"{end:%Y%m}"))
+        df = df.filter((F.col(time) <= F.lit(end)) & (ym <= int(f"{end:%Y%m}")))
     return df.drop(MONTH)
 
 
