@@ -97,8 +97,7 @@ def cf_online_outlier(
     closest baseline cell below or above.  Only those three are looked up, with
     one ordered scan over (key, cell): cost is linear in the readings.
 
-    `prior` carries leaves and counts of an earlier run (streams):
-    keys, leaf_id, n, ls, ss, seen.
+    `prior` carries the leaf CFs of all earlier readings (streams): keys, leaf_id, n, ls, ss.
 
     Adds: position, cell, nearest_cell, distance, z_score, is_outlier.
     """
@@ -108,7 +107,7 @@ def cf_online_outlier(
     scan = ordered(narrow, keys, order, bound=bound).position("position")
     rows = scan.result()
     if prior is not None:
-        seen = prior.groupBy(*keys).agg(F.max("seen").alias("__seen"))
+        seen = prior.groupBy(*keys).agg(F.sum("n").alias("__seen"))
         rows = attach(rows, seen, keys, "left", scan.sizes)
         rows = rows.withColumn("position", F.col("position") + F.coalesce("__seen", F.lit(0)))
         rows = rows.drop("__seen")

@@ -40,7 +40,11 @@ def _totals(clusters: DataFrame, keys: list[str]) -> DataFrame:
 
 def davies_bouldin(points: DataFrame, keys: list[str], dim: int, noise: int | None = None,
                    clusters: DataFrame | None = None) -> DataFrame:
-    """Mean over clusters of the worst (s_i + s_j) / d_ij; one cluster gives 0."""
+    """Mean over clusters of the worst (s_i + s_j) / d_ij; one cluster gives 0.
+
+    Each cluster row meets the list of its key's clusters, so pairs of clusters are
+    compared where they are and never become rows.
+    """
     points = without_noise(points, noise)
     clusters = clusters if clusters is not None else cluster_features(points, keys, dim)
     on = [*keys, "label"]
@@ -48,14 +52,17 @@ def davies_bouldin(points: DataFrame, keys: list[str], dim: int, noise: int | No
     gaps = attach(points, centers, on, "inner").withColumn(
         "__d", vec.distance(F.col("features"), F.col("__c")))
     spread = gaps.groupBy(*on).agg(F.avg("__d").alias("__s"))
-    pairs = nb.centroid_pairs(clusters.select(*on, "centroid"), keys).filter("distance > 0")
-    si = spread.select(*keys, F.col("label").alias("a"), F.col("__s").alias("si"))
-    sj = spread.select(*keys, F.col("label").alias("b"), F.col("__s").alias("sj"))
-    ratios = join_on(join_on(pairs, si, [*keys, "a"]), sj, [*keys, "b"]).withColumn(
-        "r", (F.col("si") + F.col("sj")) / F.col("distance"))
-    worst = ratios.groupBy(*keys, F.col("a").alias("label")).agg(F.max("r").alias("r"))
-    all_labels = join_on(spread.select(*on), worst, on, "left")
-    return all_labels.groupBy(*keys).agg(F.avg(F.coalesce("r", F.lit(0.0))).alias("davies_bouldin"))
+    rows = join_on(clusters.select(*on, "centroid"), spread, on)
+    lists = rows.groupBy(*keys).agg(
+        F.collect_list(F.struct("label", "centroid", "__s")).alias("__all"))
+    rows = _with_key_row(rows, lists, keys)
+
+    def ratio(other: Column) -> Column:
+        gap = F.nullif(vec.distance(F.col("centroid"), other["centroid"]), F.lit(0.0))
+        return F.when(other["label"] != F.col("label"), (F.col("__s") + other["__s"]) / gap)
+
+    worst = F.array_max(F.transform("__all", ratio))
+    return rows.groupBy(*keys).agg(F.avg(F.coalesce(worst, F.lit(0.0))).alias("davies_bouldin"))
 
 
 def calinski_harabasz(points: DataFrame, keys: list[str], dim: int, noise: int | None = None,

@@ -12,6 +12,7 @@ from gaugeline import schema
 from gaugeline.functions.scalars import entries
 from gaugeline.operators import cf, outliers
 from gaugeline.plans.groups import attach, join_on, measure
+from gaugeline.session import settle
 
 
 def record_outliers(records: DataFrame, **limits: float) -> DataFrame:
@@ -98,38 +99,53 @@ def run_available(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpo
 class OnlineDetector:
     """Online CF outliers and alerts over a stream, with the state in tables.
 
-    The state after batch b is two tables under `folder`/state/b: leaf CFs with the
-    readings seen per key, and the current run per key with its last time.  Batch
-    b reads the state of b - 1, scores its readings against it, and writes flags
-    and state under its own number, so a repeated batch overwrites its own output
-    and nothing else.  Readings not after the last time of their key are written
-    as late and change no state.
+    The state is the leaf CFs per key and, per key, the current run and the last
+    time seen.  CFs add up, so a batch writes only what its own readings add, under
+    its own number; every `compact_every` batches the sum of all so far is written
+    as well, and reading the state means that sum and the few batches after it.  A
+    repeated batch overwrites its own output and nothing else.  Readings not after
+    the last time of their key are written as late and change no state.
     """
 
     def __init__(self, spark: SparkSession, folder: str, keys: list[str], time: str, tie: str,
-                 value: str, limit: int = schema.CONSECUTIVE_LIMIT, **settings: float) -> None:
+                 value: str, limit: int = schema.CONSECUTIVE_LIMIT, compact_every: int = 16,
+                 **settings: float) -> None:
         self.spark = spark
         self.folder = folder.rstrip("/")
         self.keys = keys
         self.time, self.tie, self.value = time, tie, value
         self.limit = limit
+        self.compact_every = compact_every
         self.settings = settings
 
-    def _state(self, batch_id: int, name: str) -> str:
-        return f"{self.folder}/state/{batch_id}/{name}"
-
-    def _read(self, batch_id: int, name: str) -> DataFrame | None:
-        if batch_id < 0:
+    def _parts(self, kind: str, last: int) -> DataFrame | None:
+        """The tables that together hold the state after batch `last`."""
+        if last < 0:
             return None
-        return self.spark.read.parquet(self._state(batch_id, name))
+        base = (last + 1) // self.compact_every * self.compact_every - 1
+        paths = [f"{self.folder}/{kind}/sum/{base}"] if base >= 0 else []
+        paths += [f"{self.folder}/{kind}/batch/{b}" for b in range(base + 1, last + 1)]
+        return self.spark.read.parquet(*paths)
+
+    def _leaves(self, last: int) -> DataFrame | None:
+        parts = self._parts("leaves", last)
+        return None if parts is None else cf.cf_merge(parts, [*self.keys, "leaf_id"])
+
+    def _runs(self, last: int) -> DataFrame | None:
+        parts = self._parts("runs", last)
+        return None if parts is None else parts.groupBy(*self.keys).agg(
+            F.max_by("streak", "last").alias("streak"), F.max("last").alias("last"))
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         keys, order = self.keys, [self.time, self.tie]
-        leaves, runs = self._read(batch_id - 1, "leaves"), self._read(batch_id - 1, "runs")
         place = F.struct(self.time, self.tie)
         sizes = measure(batch, keys)
+        present = batch.select(*keys).distinct()
+        leaves, runs = self._leaves(batch_id - 1), self._runs(batch_id - 1)
         rows = batch.withColumn("late", F.lit(False))
         if runs is not None:
+            leaves = join_on(leaves, present, keys, "left_semi")
+            runs = settle(join_on(runs, present, keys, "left_semi"))
             last = runs.select(*keys, F.col("last").alias("__last"))
             rows = attach(rows.drop("late"), last, keys, "left", sizes).withColumn(
                 "late", F.coalesce(place <= F.col("__last"), F.lit(False))).drop("__last")
@@ -142,24 +158,31 @@ class OnlineDetector:
         path = f"{self.folder}/flags/batch={batch_id}"
         flags.withColumn("late", F.lit(False)).unionByName(
             late, allowMissingColumns=True).write.mode("overwrite").parquet(path)
-        done = self.spark.read.parquet(path).filter("not late")
-        self._write_state(done, batch_id, leaves, runs, place)
+        self._write_state(self.spark.read.parquet(path).filter("not late"), batch_id, place)
 
-    def _write_state(self, done: DataFrame, batch_id: int, leaves: DataFrame | None,
-                     runs: DataFrame | None, place) -> None:
-        keys = self.keys
+    def _write_state(self, done: DataFrame, batch_id: int, place) -> None:
         threshold = float(self.settings.get("threshold", schema.RADIUS_THRESHOLD))
-        now = cf.cf_leaves(done, keys, self.value, threshold=threshold)
-        every = now if leaves is None else now.unionByName(leaves.select(now.columns))
-        merged = cf.cf_merge(every, [*keys, "leaf_id"])
-        seen = merged.groupBy(*keys).agg(F.sum("n").alias("seen"))
-        join_on(merged, seen, keys).write.mode("overwrite").parquet(self._state(batch_id, "leaves"))
-        newest = done.groupBy(*keys).agg(F.max_by("streak", place).alias("streak"),
-                                         F.max(place).alias("last"))
-        if runs is not None:
-            kept = join_on(runs, newest, keys, "left_anti")
-            newest = newest.unionByName(kept.select(newest.columns))
-        newest.write.mode("overwrite").parquet(self._state(batch_id, "runs"))
+        added = cf.cf_leaves(done, self.keys, self.value, threshold=threshold)
+        newest = done.groupBy(*self.keys).agg(F.max_by("streak", place).alias("streak"),
+                                              F.max(place).alias("last"))
+        for kind, table in (("leaves", added), ("runs", newest)):
+            table.write.mode("overwrite").parquet(f"{self.folder}/{kind}/batch/{batch_id}")
+        if (batch_id + 1) % self.compact_every == 0:
+            for kind, parts in (("leaves", self._all_leaves), ("runs", self._all_runs)):
+                parts(batch_id).write.mode("overwrite").parquet(f"{self.folder}/{kind}/sum/{batch_id}")
+
+    def _before_sum(self, kind: str, batch_id: int) -> DataFrame:
+        """The earlier sum, if any, and the batches since, `batch_id` included."""
+        own = self.spark.read.parquet(f"{self.folder}/{kind}/batch/{batch_id}")
+        earlier = self._parts(kind, batch_id - 1)
+        return own if earlier is None else earlier.unionByName(own)
+
+    def _all_leaves(self, batch_id: int) -> DataFrame:
+        return cf.cf_merge(self._before_sum("leaves", batch_id), [*self.keys, "leaf_id"])
+
+    def _all_runs(self, batch_id: int) -> DataFrame:
+        return self._before_sum("runs", batch_id).groupBy(*self.keys).agg(
+            F.max_by("streak", "last").alias("streak"), F.max("last").alias("last"))
 
     def flags(self) -> DataFrame:
         """All flags written so far."""

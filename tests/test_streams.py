@@ -18,9 +18,9 @@ def rows(xs, start=0):
 SCHEMA = "key string, id bigint, ts timestamp, value double"
 
 
-def detector(spark, folder):
+def detector(spark, folder, **settings):
     return jobs.OnlineDetector(spark, str(folder), ["key"], "ts", "id", "value", min_baseline=3,
-                               threshold=2.0)
+                               threshold=2.0, **settings)
 
 
 def batch_answer(spark, data):
@@ -42,6 +42,15 @@ def test_state_carries_over_batches(spark, tmp_path):
     assert got == batch_answer(spark, data)
 
 
+def test_state_is_summed_up_now_and_then(spark, tmp_path):
+    data = rows(XS)
+    d = detector(spark, tmp_path, compact_every=2)
+    for b, (lo, hi) in enumerate([(0, 4), (4, 9), (9, 13), (13, 16), (16, 20)]):
+        d(spark.createDataFrame(data[lo:hi], SCHEMA), b)
+    got = sorted((r.id, r.position, r.is_outlier, r.streak, r.suggestion) for r in d.flags().collect())
+    assert got == batch_answer(spark, data)
+
+
 def test_repeated_batch_changes_nothing(spark, tmp_path):
     data = rows(XS)
     d = detector(spark, tmp_path)
