@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -38,6 +40,18 @@ class Replay:
             yield i
 
 
+@contextmanager
+def state_partitions(spark):
+    """State of a stream started inside has no more partitions than the session has cores."""
+    setting = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(min(int(before), max(8, spark.sparkContext.defaultParallelism))))
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def collected(replay, stream, name, mode="append"):
     """The rows a stream over a replay sends out, with the number of their batch."""
     out = scratch(replay.spark, name)
@@ -47,7 +61,8 @@ def collected(replay, stream, name, mode="append"):
             f"{out}/rows/b={batch_id}")
 
     for _ in replay.arrivals():
-        jobs.run_available(stream, keep, f"{out}/checkpoint", mode)
+        with state_partitions(replay.spark):
+            jobs.run_available(stream, keep, f"{out}/checkpoint", mode)
     columns = StructType([*stream.schema.fields, StructField("batch_id", IntegerType())])
     return replay.spark.read.schema(columns).parquet(f"{out}/rows/*")
 

@@ -1,9 +1,8 @@
 """Clustering features: N, linear sum and square sum per dimension.
 
 A CF is the columns `n bigint, ls array<double>, ss array<double>`.  CFs add up,
-so building and merging are plain aggregates with map-side combine.  The tree of
-the reference design is replaced by its leaves: a grid whose cells are small
-enough that every leaf keeps to the radius threshold.
+so building and merging are plain aggregates with map-side combine.  Leaves are
+the cells of a grid small enough that each keeps to the radius threshold.
 """
 
 from __future__ import annotations
