@@ -139,6 +139,11 @@ class OnlineDetector:
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         keys, order = self.keys, [self.time, self.tie]
         place = F.struct(self.time, self.tie)
+        # Read the source once; from here on the work is a batch job of the main
+        # session, with adaptive execution, which streams run without.
+        arrived = f"{self.folder}/input/{batch_id}"
+        batch.write.mode("overwrite").parquet(arrived)
+        batch = self.spark.read.schema(batch.schema).parquet(arrived)
         sizes = measure(batch, keys)
         present = batch.select(*keys).distinct()
         leaves, runs = self._leaves(batch_id - 1), self._runs(batch_id - 1)
