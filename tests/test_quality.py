@@ -37,8 +37,7 @@ def blobs(dim, seed, n=12, centers=(0, 5, 9)):
     return xs, [i for i in range(len(centers)) for _ in range(n)]
 
 
-@pytest.mark.parametrize("include_self", [False, True])
-@pytest.mark.parametrize("mixed", [False, True])
+@pytest.mark.parametrize("include_self, mixed", [(False, False), (True, True)])
 def test_silhouette_on_a_line(spark, any_split, include_self, mixed):
     xs, labels = blobs(1, 1)
     xs = [[round(x[0])] for x in xs]
