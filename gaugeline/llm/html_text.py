@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from gaugeline.llm.common import table
 from gaugeline.llm.language import sample
+from gaugeline.llm.subword import words_of
 
 TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/?)([A-Za-z][A-Za-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>|[!?/][^>]*>)", re.S)
 MARK = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -146,7 +147,6 @@ def told(path: tuple[tuple[str, ...], ...]) -> int:
 
 PATH_BUCKETS, WORD_BUCKETS, PATH_DIM, WORD_DIM, SIZES, HIDDEN = 1024, 1024, 12, 4, 5, 12
 INPUT = PATH_DIM + WORD_DIM + SIZES
-WORDS_READ = 32
 LEARN_PAGES = 400
 LEARN_BLOCKS = 120
 
@@ -162,22 +162,26 @@ class Coded:
     sizes: np.ndarray
 
 
-def code(found: list[Block]) -> Coded:
-    n = max(1, len(found))
-    path, path_of, word, word_of, sizes = [], [], [], [], np.zeros((len(found), SIZES), np.float32)
-    cache: dict = {}
-    for k, b in enumerate(found):
-        if b.path not in cache:
-            cache[b.path] = sorted({crc32(w.encode()) % PATH_BUCKETS for element in b.path for w in element})
-        path += cache[b.path]
-        path_of += [k] * len(cache[b.path])
-        words = b.text.split(" ", 2 * WORDS_READ)
-        if len(words) > WORDS_READ:  # of a long block the words are read from its start, as its length is a feature too
-            words = words[:WORDS_READ]
-        word += [crc32(w.lower().encode("utf-8", "surrogatepass")) % WORD_BUCKETS for w in words]
-        word_of += [k] * len(words)
-        sizes[k] = (np.log1p(len(b.text)) / 5, b.linked / len(b.text), b.text[-1] in ".!?…", k / n, len(b.path) / 10)
-    return Coded(*[np.array(x, np.int64) for x in (path, path_of, word, word_of)], sizes)
+def code(pages: list[list[Block]]) -> list[Coded]:
+    """The features of each page, from all words of its blocks."""
+    texts = [b.text for found in pages for b in found]
+    words = words_of(pa.array(texts, pa.string()), lower=True)
+    buckets = np.array([crc32(w.encode("utf-8", "surrogatepass")) % WORD_BUCKETS for w in words.unique.to_pylist()], np.int64)
+    per_word, cache, out, done = buckets[words.codes], {}, [], 0
+    for found in pages:
+        n = len(found)
+        path, path_of, sizes = [], [], np.zeros((n, SIZES), np.float32)
+        for k, b in enumerate(found):
+            if b.path not in cache:
+                cache[b.path] = sorted({crc32(w.encode()) % PATH_BUCKETS for element in b.path for w in element})
+            path += cache[b.path]
+            path_of += [k] * len(cache[b.path])
+            sizes[k] = (np.log1p(len(b.text)) / 5, b.linked / len(b.text), b.text[-1] in ".!?…", k / n, len(b.path) / 10)
+        bounds = words.bounds[done:done + n + 1]
+        done += n
+        out.append(Coded(np.array(path, np.int64), np.array(path_of, np.int64), per_word[bounds[0]:bounds[-1]],
+                         np.repeat(np.arange(n), np.diff(bounds)), sizes))
+    return out
 
 
 class Labeller:
@@ -203,11 +207,11 @@ class Labeller:
         for k, c in enumerate(pages):
             n = len(c.sizes)
             real[k, :n] = True
-            for at, dim, ids, of, what in ((0, PATH_DIM, c.path, c.path_of, "path"),
-                                           (PATH_DIM, WORD_DIM, c.word, c.word_of, "word")):
-                total, count = np.zeros((n, dim), np.float32), np.bincount(of, minlength=n)[:, None]
-                np.add.at(total, of, self.p[what][ids])
-                x[k, :n, at:at + dim] = total / np.sqrt(np.maximum(count, 1))
+            for at, dim, ids, of, what, power in ((0, PATH_DIM, c.path, c.path_of, "path", 0.5),
+                                                  (PATH_DIM, WORD_DIM, c.word, c.word_of, "word", 1.0)):
+                count = np.maximum(np.bincount(of, minlength=n), 1) ** power
+                for d in range(dim):
+                    x[k, :n, at + d] = np.bincount(of, self.p[what][ids, d], n) / count
             x[k, :n, -SIZES:] = c.sizes
         return x, real
 
@@ -269,11 +273,11 @@ class Labeller:
             grad[f"h{side}"], grad[f"c{side}"] = d_wh, flat.sum(0)
             grad[f"x{side}"] = x.reshape(-1, INPUT).T @ flat
             dx += d_z @ self.p[f"x{side}"].T
-        for at, dim, what in ((0, PATH_DIM, "path"), (PATH_DIM, WORD_DIM, "word")):
+        for at, dim, what, power in ((0, PATH_DIM, "path", 0.5), (PATH_DIM, WORD_DIM, "word", 1.0)):
             g = np.zeros_like(self.p[what])
             for k, c in enumerate(pages):
                 ids, of = (c.path, c.path_of) if what == "path" else (c.word, c.word_of)
-                scale = 1 / np.sqrt(np.maximum(np.bincount(of, minlength=len(c.sizes)), 1))
+                scale = 1 / np.maximum(np.bincount(of, minlength=len(c.sizes)), 1) ** power
                 np.add.at(g, ids, dx[k, of, at:at + dim] * scale[of, None])
             grad[what] = g
         return grad
@@ -300,7 +304,7 @@ class Labeller:
         order = sorted((k for k in range(len(pages)) if pages[k]), key=lambda k: len(pages[k]))
         for a in range(0, len(order), size):
             own = order[a:a + size]
-            x, real = self.inputs([code(pages[k]) for k in own])
+            x, real = self.inputs(code([pages[k] for k in own]))
             z = self.logits(x, real)
             for row, k in enumerate(own):
                 out[k] = (z[row, :len(pages[k])] > 0).tolist()
@@ -350,7 +354,7 @@ def learn(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", row
             made += [lesson(r, found) for _ in range(2)]
     if made:
         rounds = max(12, min(60, 4_000 // len(made)))
-        model.fit([code(b) for b, _ in made], [y for _, y in made], rounds)
+        model.fit(code([b for b, _ in made]), [y for _, y in made], rounds)
     return model
 
 

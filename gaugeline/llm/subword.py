@@ -19,7 +19,7 @@ _MULTIPLY, _MIX = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 _START, _END, _PAIR, _TWICE = 2, 3, U(0x632BE59BD9B4E019), U(0x2545F4914F6CDD1D)
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
+def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> U(32))) * _MIX
     h = (h ^ (h >> U(29))) * _MULTIPLY
     return h ^ (h >> U(32))
@@ -60,23 +60,36 @@ def words_of(texts: pa.Array, lower: bool = False) -> Words:
     return Words(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), bounds, coded.dictionary)
 
 
-def features_of(unique: pa.Array, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, bucket) of every feature of every word, and a hash per word."""
+def _marked(unique: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all words with a mark before and after each; the word and the place in it of each."""
     sizes = pc.utf8_length(unique).to_numpy(zero_copy_only=False).astype(np.int64)
-    n = len(sizes)
-    if n == 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U)
     chars = np.frombuffer("".join(unique.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
     ends = np.cumsum(sizes + 2)
     starts = ends - sizes - 2
-    marked = np.full(ends[-1], _END, np.uint64)
+    marked = np.full(ends[-1] if len(ends) else 0, _END, np.uint64)
     marked[starts] = _START
     inner = np.ones(len(marked), bool)
     inner[starts] = inner[ends - 1] = False
     marked[inner] = chars
-    word = np.repeat(np.arange(n), sizes + 2)
-    at = (np.arange(len(marked)) - starts[word]).astype(U)
-    whole = _mixed(np.add.reduceat(_mixed(marked + (at << U(32))), starts))
+    return marked, np.repeat(np.arange(len(sizes)), sizes + 2), starts
+
+
+def word_hashes(unique: pa.Array) -> np.ndarray:
+    """A 64-bit hash per word, of its code points and their places."""
+    if not len(unique):
+        return np.zeros(0, U)
+    marked, word, starts = _marked(unique)
+    place = (np.arange(len(marked)) - starts[word]).astype(U)
+    return mixed(np.add.reduceat(mixed(mixed(marked) + place * _PAIR), starts))
+
+
+def features_of(unique: pa.Array, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, bucket) of every feature of every word, and a hash per word."""
+    n = len(unique)
+    if n == 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U)
+    marked, word, _ = _marked(unique)
+    whole = word_hashes(unique)
     shift = U(64 - shape.bits)
     of, bucket = [np.arange(n)], [whole >> shift]
     h = np.zeros(len(marked), U)
@@ -87,7 +100,7 @@ def features_of(unique: pa.Array, shape: Shape) -> tuple[np.ndarray, np.ndarray,
         if k + 1 in shape.grams:
             inside = word[: len(h)] == word[k:]
             of.append(word[: len(h)][inside])
-            bucket.append(_mixed(h[inside]) >> shift)
+            bucket.append(mixed(h[inside]) >> shift)
     return np.concatenate(of), np.concatenate(bucket).astype(np.int64), whole
 
 
@@ -95,7 +108,7 @@ def pair_buckets(codes: np.ndarray, whole: np.ndarray, shape: Shape) -> np.ndarr
     """Bucket of each word with the next one; a word that is said twice has one bucket whatever the word."""
     a, b = whole[codes[:-1]], whole[codes[1:]]
     joined = np.where(codes[:-1] == codes[1:], _TWICE, a * _PAIR + b)
-    return (_mixed(joined) >> U(64 - shape.bits)).astype(np.int64)
+    return (mixed(joined) >> U(64 - shape.bits)).astype(np.int64)
 
 
 def bags(texts: pa.Array, shape: Shape, most_words: int) -> list[tuple[np.ndarray, np.ndarray]]:
