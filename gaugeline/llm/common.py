@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,13 +53,14 @@ class Shelf:
 
 
 def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_CHARS):
-    """Parts of a batch with some `limit` bytes of text each, one row at least.  Whole rows, all of them."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
-    start = held = 0
-    for row, size in enumerate(sizes):
-        if row > start and held + size > limit:
-            yield batch.slice(start, row - start)
-            start, held = row, 0
-        held += size
-    if len(sizes) > start:
-        yield batch.slice(start)
+    """Parts of a batch with some `limit` bytes of text each, one row at least.  Whole rows, all of them.
+
+    Parts are copies: string kernels misread a view into a batch after a cast.
+    """
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(ends):
+        held = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, held + limit, "right")))
+        yield batch.take(pa.array(np.arange(start, end)))
+        start = end

@@ -58,10 +58,10 @@ def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
         if end - start >= GRAM:
             yield np.unique(grams[start:end - GRAM + 1])
         elif end > start:
-            whole = U(end - start)
-            for h in own[start:end]:
-                whole = whole * odd + h
-            yield mixed(np.array([whole], U))
+            whole = np.full(1, end - start, U)
+            for k in range(start, end):
+                whole = whole * odd + own[k]
+            yield mixed(whole)
         else:
             yield np.zeros(0, U)
 

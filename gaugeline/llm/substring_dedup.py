@@ -167,11 +167,11 @@ def stretches(rows: DataFrame) -> DataFrame:
 
 def _ladder(data: np.ndarray, stops: np.ndarray, edge: int, mark: np.int64, ahead: bool, begins: np.ndarray) -> list[dict]:
     out = []
-    seed = int(mark) & ((1 << 64) - 1) ^ (0x5555 if ahead else 0)
+    seed = np.array([mark], np.int64).view(np.uint64) ^ np.uint64(0x5555 if ahead else 0)
     for stop in stops.tolist():
         piece = data[edge:stop] if ahead else data[stop:edge]
         full = digests(piece, np.array([0, len(piece)]))[0]
-        key = _mix(np.array([seed], np.uint64) + full.view(np.uint64) * _P).view(np.int64)[0]
+        key = _mix(seed + np.array([full]).view(np.uint64) * _P).view(np.int64)[0]
         low, high = (edge, stop) if ahead else (stop, edge)
         out.append({"key": int(key), "bytes": len(piece),
                     "words": int(np.searchsorted(begins, high) - np.searchsorted(begins, low))})

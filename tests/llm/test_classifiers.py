@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -8,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeline.llm import language, quality
+from gaugeline.llm.common import slices
+from gaugeline.llm.ngram_join import shingle_sets
 from gaugeline.llm.subword import Shape, bags, features_of, pair_buckets, train, words_of
 
 SMALL = "/root/testdata/sf0.1"
@@ -18,6 +21,24 @@ def test_words_of_odd_white_space():
     assert [[w.unique[c].as_py() for c in w.codes[x:y]] for x, y in zip(w.bounds, w.bounds[1:])] == [["a", "b"], [], [], [], ["b", "c", "a"]]
 
 
+def test_parts_of_a_batch_read_like_the_whole():
+    r = random.Random(2)
+    texts = ["".join(r.choices("ABcé  ñ漢\n", k=r.randint(0, 60))) for _ in range(300)] + [None, "", "x" * 5_000]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    for source in (batch, batch.slice(7)):
+        seen = []
+        for part in slices(source, "text", 500):
+            for lower in (False, True):
+                w = words_of(part.column("text"), lower)
+                got = [[w.unique[c].as_py() for c in w.codes[x:y]] for x, y in zip(w.bounds, w.bounds[1:])]
+                own = [(t or "").lower() if lower else t or "" for t in part.column("text").to_pylist()]
+                assert got == [re.findall(r"[^\x20\x09-\x0D]+", t) for t in own]
+            seen += [len(s) for s in shingle_sets(part.column("text"))]
+        own = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in source.column("text").to_pylist()]
+        assert seen == [len({tuple(x.lower() if x.isascii() else x for x in w[i:i + 5]) for i in range(max(1, len(w) - 4))}) if w else 0
+                        for w in [["".join(c.lower() if c.isascii() else c for c in x) for x in w] for w in own]]
+
+
 @pytest.mark.parametrize("pairs", [False, True])
 def test_scores_equal_the_average_of_vectors(pairs):
     shape = Shape(bits=10, pairs=pairs)
