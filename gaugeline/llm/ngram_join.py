@@ -99,13 +99,12 @@ def frequent(docs: DataFrame, most: int = KNOWN) -> tuple[np.ndarray, np.ndarray
                     [pa.array(range(ranges), pa.int32()), pa.array(packed, pa.binary())], ["range", "packed"])
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        for batch in batches:
-            for blob in batch.column("packed"):
-                more, n = _unpack(blob.as_py())
-                both = np.concatenate([tokens, more])
-                tokens, at = np.unique(both, return_inverse=True)
-                counts = np.bincount(at, np.concatenate([counts, n]), len(tokens)).astype(np.int64)
+        parts = [_unpack(blob.as_py()) for batch in batches for blob in batch.column("packed")]
+        tokens, counts = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(tokens)
+        tokens, counts = tokens[order], counts[order].astype(np.int64)
+        first = np.flatnonzero(np.diff(tokens, prepend=tokens[:1] + np.uint32(1)))
+        tokens, counts = tokens[first], np.add.reduceat(counts, first) if len(first) else counts
         often = counts >= LEAST_COUNT
         level = np.log2(counts[often]).astype(np.int32)
         sizes = np.bincount(level, minlength=64)
@@ -166,28 +165,32 @@ def parity(ordered: np.ndarray) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, known) -> DataFrame:
-    """doc_id, n, sign (two hashes of the set), matches (l), prefix, parity.  known: the broadcast list."""
+    """doc_id, n, sign (two hashes of the set), matches (l), rare (prefix shingles without a class), prefix, parity.
+    known: the broadcast list."""
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "sign", "matches", "prefix", "parity"]
+        names = ["doc_id", "n", "sign", "matches", "rare", "prefix", "parity"]
         tokens, levels = known.value
         for batch in batches:
             for part in slices(batch, "text", 16_000_000):
-                n, sign, matches, prefix, bits = [], [], [], [], []
+                n, sign, matches, rare, prefix, bits = [], [], [], [], [], []
                 for shingles in shingle_sets(part.column("text")):
                     n.append(len(shingles))
                     sign.append([int(mixed(shingles).sum().view(np.int64)), int(mixed(shingles + U(77)).sum().view(np.int64))])
                     own = ordered_set(shingles, tokens, levels)
                     best = best_matches(own) if len(own) else 0
                     matches.append(best)
-                    prefix.append(own[:len(own) - (PERCENT * len(own) + 99) // 100 + best].view(np.int64))
+                    head = own[:len(own) - (PERCENT * len(own) + 99) // 100 + best]
+                    rare.append(int(np.searchsorted(head, U(1) << U(58))))
+                    prefix.append(head.view(np.int64))
                     bits.append(parity(own))
                 longs = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(sign, longs), pa.array(matches, pa.int32()),
-                     pa.array(prefix, longs), pa.array(bits, longs)], names)
+                     pa.array(rare, pa.int32()), pa.array(prefix, longs), pa.array(bits, longs)], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(make, f"doc_id {kind}, n long, sign array<bigint>, matches int, prefix array<bigint>, parity array<bigint>")
+    return docs.mapInArrow(make, f"doc_id {kind}, n long, sign array<bigint>, matches int, rare int, prefix array<bigint>, "
+                           "parity array<bigint>")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -291,19 +294,24 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # One document stands for all with the same set.
     real = made.filter("n > 0 and doc_id is not null")
+    repeated = not real.groupBy("doc_id").count().filter("count > 1").isEmpty()
+
+    def single(df: DataFrame) -> DataFrame:
+        """One row per id; only rows repeated under one id make a shuffle necessary."""
+        return df.dropDuplicates(["doc_id"]) if repeated else df
+
     groups = shelf.put(real.groupBy("n", "sign").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "groups")
     first = groups.select(F.col("first").alias("doc_id"))
-    facts = real.join(if_small(first), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    facts = shelf.put(facts.select("doc_id", "n", "matches", "prefix", "parity"), "facts")
+    facts = single(real.join(if_small(first), "doc_id", "left_semi")).drop("sign")
 
     # Rows of the buckets that hold two documents or more.
     short = F.col("n") - F.floor((F.col("n") * PERCENT + 99) / 100)
-    every = facts.select("doc_id", "n", "matches", F.posexplode("prefix").alias("at", "token"))
+    every = facts.select("doc_id", "n", "matches", "rare", F.posexplode("prefix").alias("at", "token"))
     every = every.withColumn("level", F.greatest(F.lit(1), F.col("at") - short + 1).cast("int"))
     live = every.groupBy("token").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).filter("x < y").select("token")
     buckets = shelf.put(every.join(live, "token", "left_semi"), "buckets")
     wanted = shelf.put(buckets.select("doc_id").distinct(), "wanted")
-    sets = shelf.put(full_sets(rows.join(if_small(wanted), "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "sets")
+    sets = shelf.put(single(full_sets(rows.join(if_small(wanted), "doc_id", "left_semi"))), "sets")
     known_facts = shelf.put(facts.join(if_small(wanted), "doc_id", "left_semi").select("doc_id", "n", "parity"), "known")
 
     join = _Join(shelf, buckets, known_facts, sets)
@@ -314,8 +322,9 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.sum((F.col("all") * F.col("all") - F.col("same")) / 2), F.sum("all")).first()
         if turn and (size[0] or 0) <= 4 * (size[1] or 0):
             break
-        # The first leader is the document with the fewest rarer shingles; later ones are drawn by hash.
-        rank = F.col("at") if turn == 0 else F.xxhash64("component", F.lit(turn))
+        # The first leader is the document with the fewest rare shingles, often what others were copied
+        # from; later ones are drawn by hash.  Either is mostly the same one in all buckets that documents share.
+        rank = F.col("rare").cast("long") if turn == 0 else F.xxhash64("component", F.lit(turn))
         leader = placed.groupBy("token").agg(F.min(F.struct(rank.alias("rank"), "doc_id", "n", "at", "component")).alias("l")).select(
             "token", "l.*")
         star = placed.alias("x").join(leader.alias("y"), "token").filter(
