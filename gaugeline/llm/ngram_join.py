@@ -224,6 +224,11 @@ def _differing(a: str, b: str) -> Column:
     return sum((F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(PARITY_LONGS)), F.lit(0))
 
 
+def _alike(a: str, b: str, na: Column, nb: Column) -> Column:
+    """Parity test: sets that link differ in at most na + nb - 2 * overlap shingles, so in no more bits."""
+    return _differing(a, b) <= na + nb - 2 * _overlap_needed(na, nb)
+
+
 def _overlap_needed(na: Column, nb: Column) -> Column:
     """The least intersection of sets that link: 180 * common >= 80 * (na + nb)."""
     return F.ceil(F.lit(PERCENT) * (na + nb) / F.lit(100 + PERCENT)).cast("long")
@@ -260,7 +265,7 @@ class _Join:
         own = {s: self.facts.select(F.col("doc_id").alias(s), F.col("n").alias(f"n{s}"), F.col("parity").alias(f"p{s}"))
                for s in "ab"}
         near = pairs.join(if_small(own["a"], 100_000), "a").join(if_small(own["b"], 100_000), "b")
-        near = near.filter(_differing("pa", "pb") <= F.col("na") + F.col("nb") - 2 * _overlap_needed(F.col("na"), F.col("nb")))
+        near = near.filter(_alike("pa", "pb", F.col("na"), F.col("nb")))
         near = self.shelf.put(near.select("a", "b"), f"near{self.step}")
         held = {s: self.sets.select(F.col("doc_id").alias(s), F.col("set").alias(f"s{s}")) for s in "ab"}
         return linked(near.join(if_small(held["a"], SET_ROWS), "a").join(if_small(held["b"], SET_ROWS), "b"))
@@ -334,9 +339,10 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             break
 
     # Every pair that is left: different components, and enough shared in the prefixes of the shorter match.
-    placed = shelf.put(join.placed(), "placed")
+    placed = shelf.put(join.placed().join(if_small(known_facts.select("doc_id", "parity"), 100_000), "doc_id"), "placed")
     met = placed.alias("x").join(placed.alias("y"), "token").filter(
-        (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & _possible("x", "y"))
+        (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & _possible("x", "y")
+        & _alike("x.parity", "y.parity", F.col("x.n"), F.col("y.n")))
     needed = F.least("x.matches", "y.matches")
     pairs = (met.filter(F.greatest("x.level", "y.level") <= needed)
              .groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).agg(
