@@ -32,24 +32,28 @@ def sample(df: DataFrame, id_col: str, rows: int) -> DataFrame:
 
 
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", shape: Shape = SHAPE,
-          most_words: int = LEARN_WORDS) -> Model:
-    """A model from the texts and languages of `docs`, which has a bounded number of rows.
+          most_words: int = LEARN_WORDS, id_col: str = "doc_id") -> Model:
+    """A model from the texts and labels of `docs`, which has a bounded number of rows.
 
-    Texts become bags of hashed features in the tasks, so that only those reach the driver.
+    Texts become bags of hashed features in the tasks, so that only those reach the driver, where they
+    stay in Arrow's arrays: some 25 kB a row at most.
     """
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 made = bags(part.column("text"), shape, most_words)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("lang"), pa.array([x for x, _ in made], pa.list_(pa.int64())),
-                     pa.array([w for _, w in made], pa.list_(pa.float32()))], ["lang", "ids", "weights"])
-
-    rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).mapInArrow(
-        bag, "lang string, ids array<bigint>, weights array<float>").toArrow()
-    made = sorted(zip(rows["lang"].to_pylist(), rows["ids"].to_pylist(), rows["weights"].to_pylist()))
-    made = [x for x in made if x[1]]
-    return train([(np.array(i, np.int64), np.array(w, np.float32)) for _, i, w in made], [x[0] for x in made], shape)
+                    [part.column("id"), part.column("lang"),
+                     pa.array([x.astype(np.int32) for x, _ in made], pa.list_(pa.int32())),
+                     pa.array([w for _, w in made], pa.list_(pa.float32()))], ["id", "lang", "ids", "weights"])
+
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"),
+                       F.col(lang_col).cast("string").alias("lang"))
+    made = rows.mapInArrow(bag, "id string, lang string, ids array<int>, weights array<float>").toArrow().combine_chunks()
+    made = made.filter(pc.greater(pc.list_value_length(made["ids"]), 0))
+    made = made.take(pc.sort_indices(made, [("id", "ascending"), ("lang", "ascending")])).combine_chunks()
+    samples = [(i.values.to_numpy(), w.values.to_numpy()) for i, w in zip(made["ids"], made["weights"])]
+    return train(samples, made["lang"].to_pylist(), shape)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
