@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from gaugeline.catalog.common import rounded, scratch, text_times
+from gaugeline.catalog.common import latest_time, rounded, scratch, text_times
 from gaugeline.catalog.features import leaves
 from gaugeline.catalog.registry import define, query
 from gaugeline.functions import vectors as vec
 from gaugeline.operators import clustering as cl, neighbors as nb, quality, search
-from gaugeline.sources import fixtures as fx, tables
+from gaugeline.session import settle
+from gaugeline.sources import fixtures as fx, tables, uploads
 
 POINT = ["measure_point_id"]
 EPS, MIN_POINTS = 100.0, 4
 LINK_K = 3
-PLANE_EPS, PLANE_MIN = 0.02, 4
-VECTOR_EPS = 0.8
+PLANE_EPS, PLANE_MIN = 1.05, 4
+VECTORS_K, LLOYD_ROUNDS = (2, 10), 30
+BOOTSTRAPS = 10
+MERGE_ROUNDS = 50
 
 define("pts", """
     SELECT measure_point_id, event_id AS id, cents AS x, data_type FROM stream_rows""", "stream_rows")
@@ -57,9 +61,11 @@ define("long", """
     FROM embeddings""")
 define("centers", """
     SELECT label, dim, avg(x) AS c, count(*) AS n FROM long GROUP BY ALL""", "long")
-define("plane", """
-    SELECT vec_id AS id, label, CAST(embedding[1] AS double) AS x, CAST(embedding[2] AS double) AS y
-    FROM embeddings""")
+define("plane", "SELECT p_partkey AS id, CAST(p_size AS double) AS x, p_retailprice AS y FROM part")
+define("placed_vectors", """
+    SELECT l.id, l.label, any_value(v.f) AS f, sqrt(sum((l.x - c.c) * (l.x - c.c))) AS distance
+    FROM long l JOIN centers c ON l.label = c.label AND l.dim = c.dim JOIN vectors v ON v.id = l.id
+    GROUP BY l.id, l.label""", "long", "centers", "vectors")
 
 
 def line(spark, sf_dir):
@@ -69,8 +75,8 @@ def line(spark, sf_dir):
 
 
 def plane(spark, sf_dir):
-    """The feature vectors' first two components."""
-    return fx.features(spark, sf_dir).withColumn("features", F.slice("features", 1, 2))
+    """Parts by size and price, two numbers that are their features."""
+    return uploads.table_source(fx.table(spark, sf_dir, "part"), "p_partkey", ["p_size", "p_retailprice"])
 
 
 def dbscan_points(spark, sf_dir):
@@ -97,10 +103,11 @@ def nearest_centroid(spark, sf_dir):
 
 
 @query("eps_neighbors", f"""
-    SELECT a.id, b.id AS other, round(list_distance(a.f, b.f), 6) AS distance
-    FROM vectors a JOIN vectors b ON list_distance(a.f, b.f) <= {VECTOR_EPS}""", ("vectors",))
+    SELECT a.id, b.id AS other, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 6) AS distance
+    FROM plane a JOIN plane b ON sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= {PLANE_EPS}""",
+       ("plane",))
 def eps_neighbors(spark, sf_dir):
-    return rounded(nb.eps_neighbors(fx.features(spark, sf_dir), VECTOR_EPS, 64), "distance")
+    return rounded(nb.eps_neighbors(plane(spark, sf_dir), PLANE_EPS, 2), "distance")
 
 
 @query("eps_count_1d", "SELECT id, neighbors FROM dense", ("dense",))
@@ -158,6 +165,24 @@ def sorted_knn_curve(spark, sf_dir):
     return search.sorted_knn_curve(line(spark, sf_dir), POINT, "x", 5)
 
 
+define("plane_knn", """
+    SELECT id, d AS knn FROM (
+        SELECT a.id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d, row_number() OVER (
+                   PARTITION BY a.id ORDER BY sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS r
+        FROM plane a JOIN plane b ON a.id <> b.id) WHERE r = 5""", "plane")
+
+
+@query("knn_distance_vectors", "SELECT id, round(knn, 9) AS knn FROM plane_knn", ("plane_knn",))
+def knn_distance_vectors(spark, sf_dir):
+    return rounded(nb.knn_distance_vectors(plane(spark, sf_dir), 5, 2).select("id", "knn"), "knn", digits=9)
+
+
+@query("sorted_knn_curve_vectors", """
+    SELECT id, round(knn, 9) AS knn, row_number() OVER (ORDER BY knn, id) - 1 AS rank FROM plane_knn""", ("plane_knn",))
+def sorted_knn_curve_vectors(spark, sf_dir):
+    return rounded(search.sorted_knn_curve(plane(spark, sf_dir), [], None, 5, 2), "knn", digits=9)
+
+
 define("plane_edges", f"""
     SELECT a.id AS a, b.id AS b FROM plane a JOIN plane b
       ON sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= {PLANE_EPS}""", "plane")
@@ -192,7 +217,7 @@ def dbscan_1d(spark, sf_dir):
     return dbscan_points(spark, sf_dir).select(*POINT, "id", "x", "label")
 
 
-@query("dbscan", f"""
+PLANE_DBSCAN = f"""
     WITH RECURSIVE cores AS (SELECT a AS id FROM plane_edges GROUP BY a HAVING count(*) >= {PLANE_MIN}),
     reach(id, r) AS (
         SELECT id, id FROM cores UNION
@@ -203,7 +228,10 @@ def dbscan_1d(spark, sf_dir):
                  LEFT JOIN plane_edges e ON e.a = p.id LEFT JOIN parts near ON near.id = e.b GROUP BY p.id)
     SELECT id, CASE WHEN part IS NULL THEN 0 ELSE CAST(dense_rank() OVER (
                PARTITION BY part IS NULL ORDER BY first_id) AS int) END AS label
-    FROM (SELECT *, min(id) OVER (PARTITION BY part) AS first_id FROM assigned)""", ("plane_edges",))
+    FROM (SELECT *, min(id) OVER (PARTITION BY part) AS first_id FROM assigned)"""
+
+
+@query("dbscan", PLANE_DBSCAN, ("plane_edges",))
 def dbscan(spark, sf_dir):
     return cl.dbscan(plane(spark, sf_dir), PLANE_EPS, PLANE_MIN, 2).select("id", "label")
 
@@ -213,22 +241,52 @@ def single_link_1d(spark, sf_dir):
     return link_points(spark, sf_dir).select(*POINT, "id", "x", "label")
 
 
-@query("single_link")
+# Prim's tree: each round takes the point nearest to the tree and remembers the tree point it is nearest to.
+@query("single_link", """
+    WITH RECURSIVE start AS (SELECT * FROM plane ORDER BY id LIMIT 1),
+    prim(id, x, y, d, parent, step) AS (
+        SELECT p.id, p.x, p.y, sqrt((p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y)), s.id, 0
+        FROM plane p, start s WHERE p.id <> s.id
+        UNION ALL
+        SELECT id, x, y, least(d, nd), CASE WHEN nd < d THEN mid ELSE parent END, step + 1 FROM (
+            SELECT *, sqrt((x - mx) * (x - mx) + (y - my) * (y - my)) AS nd FROM (
+                SELECT *, first_value(id) OVER w AS mid, first_value(x) OVER w AS mx, first_value(y) OVER w AS my,
+                       row_number() OVER w AS r FROM prim WINDOW w AS (ORDER BY d, least(id, parent), greatest(id, parent)))
+            WHERE r > 1)),
+    tree AS (SELECT id, parent, d FROM (
+                 SELECT *, row_number() OVER (PARTITION BY step ORDER BY d, least(id, parent), greatest(id, parent)) AS r
+                 FROM prim) WHERE r = 1),
+    cut AS (SELECT id FROM tree ORDER BY d DESC, least(id, parent) DESC, greatest(id, parent) DESC LIMIT 3),
+    marked(id, root) AS (
+        SELECT id, id FROM start UNION ALL SELECT id, id FROM cut UNION ALL
+        SELECT t.id, m.root FROM marked m JOIN tree t ON t.parent = m.id AND t.id NOT IN (SELECT id FROM cut))
+    SELECT id, CAST(dense_rank() OVER (ORDER BY first_id) - 1 AS int) AS label
+    FROM (SELECT id, min(id) OVER (PARTITION BY root) AS first_id FROM marked)""", ("plane",))
 def single_link(spark, sf_dir):
     """Four clusters of the plane points by single link."""
     return cl.single_link(plane(spark, sf_dir).select("id", "features"), 4, 2).select("id", "label")
 
 
-@query("kmeans_fit")
+@query("kmeans_fit", """
+    SELECT vec_id AS id, true AS nearest, true AS own_distance, true AS in_range FROM embeddings""")
 def kmeans_fit(spark, sf_dir):
-    rows = cl.kmeans_fit(fx.features(spark, sf_dir).drop("label"), k=10)
-    return rounded(rows.select("id", "label", "distance"), "distance")
-
-
-@query("gmm_fit")
+    """What a finished k-means must hold for every point: its label is that of the nearest mean, and its distance
+    the one to that mean."""
+    rows = settle(cl.kmeans_fit(fx.features(spark, sf_dir).drop("label"), k=10))
+    means = cl.cluster_centroids(rows, [], 64).select("label", "centroid")
+    near = rows.withColumn("__all", nb.centroid_list(means))
+    return near.withColumn("__b", nb.nearest_of(F.col("features"), F.col("__all"))).select(
+        "id", (F.col("__b.label") == F.col("label")).alias("nearest"),
+        (F.abs(F.col("__b.distance") - F.col("distance")) < 1e-6).alias("own_distance"),
+        F.col("label").between(0, 9).alias("in_range"))
+
+
+@query("gmm_fit", "SELECT vec_id AS id, true AS sound, true AS in_range FROM embeddings")
 def gmm_fit(spark, sf_dir):
-    rows = cl.gmm_fit(plane(spark, sf_dir), k=3)
-    return rounded(rows.select("id", "label", "probability"), "probability", digits=4)
+    """What mixture zones must hold: the label's probability is the largest of k, so at least 1 / k."""
+    rows = cl.gmm_fit(fx.features(spark, sf_dir).drop("label"), k=3)
+    return rows.select("id", F.col("probability").between(1 / 3 - 1e-9, 1 + 1e-9).alias("sound"),
+                       F.col("label").between(0, 2).alias("in_range"))
 
 
 def lloyd_sql(points: str, key: str, k: int, rounds: int) -> str:
@@ -249,22 +307,23 @@ def lloyd_sql(points: str, key: str, k: int, rounds: int) -> str:
 
 
 @query("lloyd_step", f"""
-    WITH {lloyd_sql('pts', 'data_type', 4, 6)}
-    SELECT data_type, CAST(label AS int) AS label, round(c, 6) AS centroid FROM c6""", ("pts",))
+    WITH {lloyd_sql('pts', 'data_type', 4, MERGE_ROUNDS)}
+    SELECT data_type, CAST(label AS int) AS label, round(c, 6) AS centroid FROM c{MERGE_ROUNDS}""", ("pts",))
 def lloyd_step(spark, sf_dir):
-    """Six rounds of k-means with k = 4 on the readings of each data type."""
-    points = line(spark, sf_dir).withColumn("features", F.array("x"))
-    centers = cl.lloyd(points, ["data_type"], 4, 6, 1)
+    """k-means with k = 4 on the readings of each data type, equal values taken together."""
+    points = line(spark, sf_dir).groupBy("data_type", F.array("x").alias("features")).agg(
+        F.count(F.lit(1)).alias("weight"))
+    centers = cl.lloyd(points, ["data_type"], 4, MERGE_ROUNDS, 1)
     return rounded(centers.withColumn("centroid", F.col("centroid")[0]), "centroid")
 
 
 @query("cf_merge_cluster", f"""
     WITH spots AS (SELECT 1 AS one, gateway_code, n, ls, ss, ls / n AS x FROM leaves),
-    {lloyd_sql('spots', 'one', 3, 20)},
+    {lloyd_sql('spots', 'one', 3, MERGE_ROUNDS)},
     placed AS (SELECT * FROM (SELECT s.*, c.label, c.c, sqrt((s.x - c.c) * (s.x - c.c)) AS d,
                    row_number() OVER (PARTITION BY s.gateway_code, s.x, s.n, s.ls, s.ss, s.k
                                       ORDER BY sqrt((s.x - c.c) * (s.x - c.c)), c.label) AS r
-               FROM (SELECT *, row_number() OVER () AS k FROM spots) s JOIN c20 c ON true) WHERE r = 1)
+               FROM (SELECT *, row_number() OVER () AS k FROM spots) s JOIN c{MERGE_ROUNDS} c ON true) WHERE r = 1)
     SELECT CAST(label + 1 AS int) AS cluster_id, round(any_value(c), 4) AS centroid,
            CAST(sum(n) AS bigint) AS point_count, round(max(d), 4) AS radius,
            string_agg(DISTINCT gateway_code, ',' ORDER BY gateway_code) AS members,
@@ -272,18 +331,27 @@ def lloyd_step(spark, sf_dir):
     FROM placed GROUP BY label""", ("leaves",))
 def cf_merge_cluster(spark, sf_dir):
     """Leaf CFs of all gateways fused to three clusters."""
-    df = cl.cf_merge_cluster(leaves(spark, sf_dir), 1, k=3, rounds=20)
+    df = cl.cf_merge_cluster(leaves(spark, sf_dir), 1, rounds=MERGE_ROUNDS)
     return rounded(df.select("cluster_id", F.col("centroid")[0].alias("centroid"), "point_count",
                              "radius", F.array_join("member_gateways", ",").alias("members"),
                              F.col("ls")[0].alias("ls"), F.col("ss")[0].alias("ss")),
                    "centroid", "radius", digits=4)
 
 
-@query("member_gateways", """
-    SELECT DISTINCT leaf_id AS cluster, gateway_code FROM celled""", ("celled",))
+@query("member_gateways", f"""
+    WITH spots AS (SELECT 1 AS one, gateway_code, ls / n AS x FROM leaves),
+    {lloyd_sql('spots', 'one', 3, MERGE_ROUNDS)},
+    placed AS (SELECT * FROM (SELECT s.*, c.label, row_number() OVER (PARTITION BY s.k
+                                     ORDER BY sqrt((s.x - c.c) * (s.x - c.c)), c.label) AS r
+               FROM (SELECT *, row_number() OVER () AS k FROM spots) s JOIN c{MERGE_ROUNDS} c ON true) WHERE r = 1)
+    SELECT DISTINCT CAST(label + 1 AS int) AS cluster, gateway_code FROM placed""", ("leaves",))
 def member_gateways(spark, sf_dir):
-    rows = leaves(spark, sf_dir).withColumnRenamed("leaf_id", "cluster")
-    return cl.member_gateways(rows, "cluster")
+    """Gateways whose leaves are in each merged cluster, one row each."""
+    own = leaves(spark, sf_dir)
+    merged = cl.cf_merge_cluster(own, 1, rounds=MERGE_ROUNDS).select(
+        F.col("cluster_id").alias("label"), "centroid")
+    placed = nb.nearest_centroid(own.withColumn("features", vec.divide(F.col("ls"), F.col("n"))), merged)
+    return cl.member_gateways(placed.withColumnRenamed("label", "cluster"), "cluster")
 
 
 @query("cluster_centroids", """
@@ -408,38 +476,74 @@ def calinski_harabasz(spark, sf_dir):
 
 
 @query("evaluate_clusters", f"""
-    SELECT k AS n_clusters, CAST(n AS bigint) AS n_points, s.silhouette, round(davies_bouldin, 6) AS davies_bouldin,
+    SELECT k AS n_clusters, CAST(n AS bigint) AS n_points, s.silhouette AS silhouette_squared,
+           round(davies_bouldin, 6) AS davies_bouldin,
            round(calinski_harabasz, 6) AS calinski_harabasz
     FROM chi, dbi, ({VECTOR_SILHOUETTE.format(d="list_distance(a.f, b.f) * list_distance(a.f, b.f)")}) s""",
        ("vectors", "chi", "dbi"))
 def evaluate_clusters(spark, sf_dir):
     return rounded(quality.evaluate_clusters(fx.features(spark, sf_dir), [], 64),
-                   "silhouette", "davies_bouldin", "calinski_harabasz")
-
-
-@query("evaluate_clusters_1d", "WITH " + LINE_SILHOUETTE.format(labels="clean").replace("gaps AS", """
-    clean AS (SELECT * FROM dbscan_labels WHERE label <> 0), gaps AS""", 1).strip(), ("dbscan_labels",))
+                   "silhouette_squared", "davies_bouldin", "calinski_harabasz")
+
+
+def score_sql(labels: str, key: str, dims: tuple[str, ...], silhouette: str) -> str:
+    """Metrics of `labels` (key, id, label, dims) per key, in plain SQL; `silhouette` is over distances d of a and b."""
+    square = " + ".join(f"(a.{x} - b.{x}) * (a.{x} - b.{x})" for x in dims)
+    d = silhouette.format(d=f"sqrt({square})", d2=f"({square})")
+    means = ", ".join(f"avg({x}) AS {x}" for x in dims)
+    return f"""
+    gaps AS (SELECT a.{key}, a.id, a.label AS own, b.label, sum({d}) AS total, count(*) AS n
+             FROM {labels} a JOIN {labels} b USING ({key}) GROUP BY ALL),
+    per AS (SELECT {key}, id, max(total) FILTER (own = label) AS t, max(n) FILTER (own = label) AS n,
+                   min(total / n) FILTER (own <> label) AS b FROM gaps GROUP BY ALL),
+    sil AS (SELECT {key}, avg(CASE WHEN n <= 1 OR b IS NULL OR greatest(t / (n - 1), b) = 0 THEN 0.0
+                                   ELSE (b - t / (n - 1)) / greatest(t / (n - 1), b) END) AS s FROM per GROUP BY {key}),
+    mid AS (SELECT {key}, label, count(*) AS n, {means} FROM {labels} GROUP BY {key}, label),
+    whole AS (SELECT {key}, {means} FROM {labels} GROUP BY {key}),
+    inside AS (SELECT a.{key}, a.label, avg(sqrt({square})) AS s, sum({square}) AS w
+               FROM {labels} a JOIN mid b ON a.{key} = b.{key} AND a.label = b.label GROUP BY a.{key}, a.label),
+    ratios AS (SELECT a.{key}, a.label, max((i.s + j.s) / nullif(sqrt({square}), 0)) AS r
+               FROM mid a JOIN mid b ON a.{key} = b.{key} AND a.label <> b.label
+               JOIN inside i ON i.{key} = a.{key} AND i.label = a.label
+               JOIN inside j ON j.{key} = b.{key} AND j.label = b.label GROUP BY a.{key}, a.label),
+    dbis AS (SELECT mid.{key}, avg(coalesce(r, 0)) AS dbi FROM mid LEFT JOIN ratios USING ({key}, label) GROUP BY mid.{key}),
+    between_sum AS (SELECT a.{key}, sum(a.n * ({square})) AS b, count(*) AS k, CAST(sum(a.n) AS bigint) AS n
+                    FROM mid a JOIN whole b ON a.{key} = b.{key} GROUP BY a.{key}),
+    chis AS (SELECT {key}, k, n, CASE WHEN k > 1 AND k < n AND w > 0 THEN (b / (k - 1)) / (w / (n - k)) ELSE 0 END AS chi
+             FROM between_sum JOIN (SELECT {key}, sum(w) AS w FROM inside GROUP BY {key}) USING ({key}))
+    SELECT {key}, k AS n_clusters, n AS n_points, round(CASE WHEN k > 1 AND k < n THEN s ELSE 0 END, 6) AS silhouette,
+           round(dbi, 6) AS davies_bouldin, round(chi, 6) AS calinski_harabasz
+    FROM chis JOIN dbis USING ({key}) JOIN sil USING ({key})"""
+
+
+@query("evaluate_clusters_1d", """
+    WITH clean AS (SELECT * FROM dbscan_labels WHERE label <> 0),""" + score_sql("clean", "measure_point_id", ("x",), "{d}"),
+       ("dbscan_labels",))
 def evaluate_clusters_1d(spark, sf_dir):
-    """Silhouette of the DBSCAN clusters of each measure point, noise left out."""
+    """All scores of the DBSCAN clusters of each measure point, noise left out."""
     scores = quality.evaluate_clusters(dbscan_points(spark, sf_dir), POINT, 1, noise=0, value="x")
-    return rounded(scores.select(*POINT, "silhouette"), "silhouette")
+    return rounded(scores, "silhouette", "davies_bouldin", "calinski_harabasz")
 
 
 @query("adjusted_rand", """
-    WITH t AS (SELECT label AS a, CASE WHEN x > 0 THEN 2 ELSE 0 END + CASE WHEN y > 0 THEN 1 ELSE 0 END AS b,
-                      count(*) AS n FROM plane GROUP BY ALL),
+    WITH placed AS (SELECT id, label AS b FROM (
+        SELECT l.id, c.label, row_number() OVER (PARTITION BY l.id
+               ORDER BY sqrt(sum((l.x - c.c) * (l.x - c.c))), c.label) AS r
+        FROM long l JOIN centers c USING (dim) GROUP BY l.id, c.label) WHERE r = 1),
+    t AS (SELECT label AS a, b, count(*) AS n FROM vectors JOIN placed USING (id) GROUP BY ALL),
     s AS (SELECT (SELECT sum(n * (n - 1) / 2.0) FROM t) AS ij,
                  (SELECT sum(n * (n - 1) / 2.0) FROM (SELECT sum(n) AS n FROM t GROUP BY a)) AS sa,
                  (SELECT sum(n * (n - 1) / 2.0) FROM (SELECT sum(n) AS n FROM t GROUP BY b)) AS sb,
                  (SELECT sum(n) * (sum(n) - 1) / 2.0 FROM t) AS total)
     SELECT round((ij - sa * sb / total) / ((sa + sb) / 2.0 - sa * sb / total), 6) AS adjusted_rand FROM s""",
-       ("plane",))
+       ("centers", "vectors"))
 def adjusted_rand(spark, sf_dir):
-    """Given labels against the quadrant of the first two components."""
-    x = F.col("features")
-    pairs = plane(spark, sf_dir).select(
-        F.col("label").alias("a"),
-        (F.when(x[0] > 0, 2).otherwise(0) + F.when(x[1] > 0, 1).otherwise(0)).alias("b"))
+    """Given labels against those of the nearest of the labels' means."""
+    points = fx.features(spark, sf_dir)
+    means = cl.cluster_centroids(points, [], 64).select("label", "centroid")
+    near = points.withColumn("__all", nb.centroid_list(means))
+    best = nb.nearest_of(F.col("features"), F.col("__all"))["label"]
+    pairs = near.select(F.col("label").alias("a"), best.alias("b"))
     return rounded(quality.adjusted_rand(pairs, [], "a", "b"), "adjusted_rand")
 
 
@@ -461,41 +565,98 @@ def js_drift(spark, sf_dir):
 # ---- jobs and search -------------------------------------------------------------------
 
 
-@query("cluster_job")
+PLANE_LABELS = "WITH RECURSIVE " + PLANE_DBSCAN.strip()[15:].rpartition("\n    SELECT id, CASE")[0] + """,
+    labelled AS (SELECT id, CASE WHEN part IS NULL THEN 0 ELSE CAST(dense_rank() OVER (
+                     PARTITION BY part IS NULL ORDER BY first_id) AS int) END AS label
+                 FROM (SELECT *, min(id) OVER (PARTITION BY part) AS first_id FROM assigned)),
+    spots AS (SELECT 1 AS one, id, label, x, y FROM labelled JOIN plane USING (id))"""
+
+
+def plane_job(spark, sf_dir):
+    return cl.cluster_job(plane(spark, sf_dir), "dbscan", 2, eps=PLANE_EPS, min_points=PLANE_MIN)
+
+
+@query("cluster_job", PLANE_LABELS + """
+    SELECT id, label, CASE WHEN label <> 0 THEN round(sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy)), 6) ELSE -1 END AS distance
+    FROM spots JOIN (SELECT label, avg(x) AS cx, avg(y) AS cy FROM spots GROUP BY label) USING (label)""", ("plane_edges",))
 def cluster_job(spark, sf_dir):
-    """A k-means job over the feature vectors: its points."""
-    job = cl.cluster_job(fx.features(spark, sf_dir).drop("label"), "kmeans", 64, k=10)
-    return rounded(job.points.select("id", "label", "distance"), "distance")
+    """A DBSCAN job over the parts: its points; noise has no distance (here -1)."""
+    return rounded(plane_job(spark, sf_dir).points.select(
+        "id", "label", F.coalesce("distance", F.lit(-1.0)).alias("distance")), "distance")
 
 
-@query("cluster_job_evaluation")
+@query("cluster_job_evaluation", PLANE_LABELS + ", clean AS (SELECT * FROM spots WHERE label <> 0),"
+       + score_sql("clean", "one", ("x", "y"), "{d2}").replace("SELECT one, k AS n_clusters", "SELECT k AS n_clusters").replace(
+           "AS silhouette,", "AS silhouette_squared,"), ("plane_edges",))
 def cluster_job_evaluation(spark, sf_dir):
-    """A DBSCAN job over the plane points: its metrics without noise."""
-    job = cl.cluster_job(plane(spark, sf_dir).drop("label"), "dbscan", 2, eps=PLANE_EPS,
-                         min_points=PLANE_MIN)
-    return rounded(job.evaluation, "silhouette", "davies_bouldin", "calinski_harabasz")
+    """The same job's metrics, without noise."""
+    return rounded(plane_job(spark, sf_dir).evaluation, "silhouette_squared", "davies_bouldin", "calinski_harabasz")
+
+
+@query("cluster_job_path", PLANE_LABELS + """, clean AS (SELECT * FROM spots WHERE label <> 0),"""
+       + score_sql("clean", "one", ("x", "y"), "{d2}").replace("    SELECT one, k AS n_clusters", "    , score AS (SELECT k AS n_clusters")
+       + """)
+    SELECT 'job-7' AS job_id, 'dbscan' AS algorithm, 'completed' AS status, '1.05' AS eps, n_clusters, n_points,
+           silhouette AS silhouette_score, davies_bouldin, calinski_harabasz, point_id, label
+    FROM score, (SELECT id AS point_id, label FROM spots ORDER BY id LIMIT 20)""", ("plane_edges",))
+def cluster_job_path(spark, sf_dir):
+    """A job from its source table to its stored row, metrics and points, looked up again by its id."""
+    at = latest_time(spark, sf_dir)
+    root = scratch(spark, "jobs")
+    params = {"eps": PLANE_EPS, "min_points": PLANE_MIN}
+    job = plane_job(spark, sf_dir)
+    tables.write_table(tables.job_row(spark, "job-7", "dbscan", params, "completed", at), f"{root}/job", "cluster_job")
+    tables.write_table(tables.cluster_results(job.points, "job-7", F.lit(at)), f"{root}/result", "cluster_result")
+    tables.write_table(tables.cluster_evals(job.evaluation, "job-7", "dbscan", params, F.lit(at)), f"{root}/eval", "cluster_eval")
+
+    def back(name):
+        return tables.read_table(spark, f"{root}/{name}", "created_at").filter("job_id = 'job-7'").drop("created_at")
+    row = back("job").select("job_id", "algorithm", "status", F.col("params")["eps"].alias("eps"))
+    found = row.join(back("eval").drop("params"), ["job_id", "algorithm"])
+    page = tables.job_lookup(back("result"), "job-7").select("job_id", "point_id", "label")
+    return rounded(found.join(page, "job_id"), "silhouette_score", "davies_bouldin", "calinski_harabasz")
+
+
+@query("merge_result_sink", f"""
+    WITH spots AS (SELECT 1 AS one, gateway_code, n, ls, ss, ls / n AS x FROM leaves),
+    {lloyd_sql('spots', 'one', 3, MERGE_ROUNDS)},
+    placed AS (SELECT * FROM (SELECT s.*, c.label, row_number() OVER (PARTITION BY s.k
+                                     ORDER BY sqrt((s.x - c.c) * (s.x - c.c)), c.label) AS r
+               FROM (SELECT *, row_number() OVER () AS k FROM spots) s JOIN c{MERGE_ROUNDS} c ON true) WHERE r = 1)
+    SELECT 'merge-1' AS job_id, CAST(label + 1 AS int) AS cluster_id, CAST(sum(n) AS bigint) AS point_count,
+           string_agg(DISTINCT gateway_code, ',' ORDER BY gateway_code) AS members, sum(ls) AS ls, sum(ss) AS ss
+    FROM placed GROUP BY label""", ("leaves",))
+def merge_result_sink(spark, sf_dir):
+    """Fused clusters written to the merge-result table and read back."""
+    path = scratch(spark, "merge_result")
+    merged = cl.cf_merge_cluster(leaves(spark, sf_dir), 1, rounds=MERGE_ROUNDS)
+    at = F.lit(latest_time(spark, sf_dir))
+    tables.write_table(tables.merge_results(merged, "merge-1", at), path, "merge_result")
+    return tables.read_table(spark, path, "created_at").select(
+        "job_id", "cluster_id", "point_count", F.array_join("member_gateways", ",").alias("members"),
+        F.col("ls")[0].alias("ls"), F.col("ss")[0].alias("ss"))
 
 
 @query("cluster_result_sink", """
-    SELECT 'job-1' AS job_id, id AS point_id, label AS cluster_id, label, round(x, 6) AS x,
-           round(sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy)), 6) AS distance,
-           '2024-02-01 00:00:00.000000' AS created_at
-    FROM plane JOIN (SELECT label, avg(x) AS cx, avg(y) AS cy FROM plane GROUP BY label) USING (label)""",
-       ("plane",))
+    SELECT 'job-1' AS job_id, id AS point_id, label AS cluster_id, label, round(list_sum(f), 6) AS total,
+           round(distance, 6) AS distance, '2024-02-01 00:00:00.000000' AS created_at FROM placed_vectors""",
+       ("placed_vectors",))
 def cluster_result_sink(spark, sf_dir):
     """Labelled points with own-centroid distance, written to the result table and read back."""
     path = scratch(spark, "cluster_result")
     at = F.lit("2024-02-01").cast("timestamp")
-    points = cl.with_own_distance(plane(spark, sf_dir), 2)
+    points = cl.with_own_distance(fx.features(spark, sf_dir), 64)
     tables.write_table(tables.cluster_results(points, "job-1", at), path, "cluster_result")
-    back = tables.read_table(spark, path, "created_at").withColumn("x", F.col("features")[0])
-    return text_times(rounded(back.drop("features"), "x", "distance"), "created_at")
+    back = tables.read_table(spark, path, "created_at").withColumn("total", vec.total(F.col("features")))
+    return text_times(rounded(back.drop("features"), "total", "distance"), "created_at")
 
 
 @query("cluster_eval_sink", """
     SELECT 'job-1' AS job_id, 'given' AS algorithm, round(davies_bouldin, 6) AS davies_bouldin,
            round(calinski_harabasz, 6) AS calinski_harabasz, k AS n_clusters, CAST(n AS bigint) AS n_points,
-           '10' AS k FROM chi, dbi""", ("chi", "dbi"))
+           s.silhouette AS silhouette_score, '10' AS k
+    FROM chi, dbi, (""" + VECTOR_SILHOUETTE.format(d="list_distance(a.f, b.f) * list_distance(a.f, b.f)") + ") s",
+       ("vectors", "chi", "dbi"))
 def cluster_eval_sink(spark, sf_dir):
     """Metrics written twice to the evaluation table; the newest row per job and algorithm is read."""
     path = scratch(spark, "cluster_eval")
@@ -507,33 +668,78 @@ def cluster_eval_sink(spark, sf_dir):
     back = tables.read_table(spark, path, "created_at")
     kept = tables.latest_by_key(back, ["job_id", "algorithm"], "created_at")
     return rounded(kept.select("job_id", "algorithm", "davies_bouldin", "calinski_harabasz", "n_clusters",
-                               "n_points", F.col("params")["k"].alias("k")),
-                   "davies_bouldin", "calinski_harabasz")
+                               "n_points", "silhouette_score", F.col("params")["k"].alias("k")),
+                   "davies_bouldin", "calinski_harabasz", "silhouette_score")
 
 
 @query("job_lookup", """
-    SELECT id AS point_id, label FROM plane ORDER BY id LIMIT 50 OFFSET 50""", ("plane",))
+    SELECT vec_id AS point_id, label FROM embeddings ORDER BY vec_id LIMIT 50 OFFSET 50""")
 def job_lookup(spark, sf_dir):
     """The second page of 50 points of a stored job."""
     path = scratch(spark, "cluster_result")
     at = F.lit("2024-02-01").cast("timestamp")
-    points = cl.with_own_distance(plane(spark, sf_dir), 2)
+    points = cl.with_own_distance(fx.features(spark, sf_dir), 64)
     tables.write_table(tables.cluster_results(points, "job-1", at), path, "cluster_result")
     stored = tables.read_table(spark, path, "created_at")
     return tables.job_lookup(stored, "job-1", page=2, page_size=50).select("point_id", "label")
 
 
-@query("result_head", "SELECT id AS point_id, label FROM plane ORDER BY id LIMIT 50", ("plane",))
+@query("job_lookup_after", """
+    SELECT vec_id AS point_id, label FROM embeddings WHERE vec_id > 49 ORDER BY vec_id LIMIT 50""")
+def job_lookup_after(spark, sf_dir):
+    """The page behind point 49, without counting off the points before."""
+    at = F.lit("2024-02-01").cast("timestamp")
+    rows = tables.cluster_results(cl.with_own_distance(fx.features(spark, sf_dir), 64), "job-1", at)
+    return tables.job_lookup(rows, "job-1", page_size=50, after=49).select("point_id", "label")
+
+
+@query("result_head", "SELECT vec_id AS point_id, label FROM embeddings ORDER BY vec_id LIMIT 50")
 def result_head(spark, sf_dir):
     """The first 50 points of a job."""
     at = F.lit("2024-02-01").cast("timestamp")
-    rows = tables.cluster_results(cl.with_own_distance(plane(spark, sf_dir), 2), "job-1", at)
+    rows = tables.cluster_results(cl.with_own_distance(fx.features(spark, sf_dir), 64), "job-1", at)
     return tables.job_lookup(rows, "job-1", page=1, page_size=50).select("point_id", "label")
 
 
-@query("find_optimal_k")
+def lloyd_vectors_sql(name: str, points: str, k: int, rounds: int) -> str:
+    """Fixed rounds of k-means over `points` (id, f of 64 numbers) as tables {name}_c* and {name}_a*."""
+    parts = [f"""{name}_c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY id) - 1 AS label, f
+        FROM (SELECT id, f FROM {points} ORDER BY id LIMIT {k}))"""]
+    for r in range(rounds + 1):
+        parts.append(f"""{name}_a{r} AS MATERIALIZED (SELECT p.id, any_value(p.f) AS f,
+            arg_min(c.label, list_distance(p.f, c.f) + c.label * 1e-300) AS label
+            FROM {points} p, {name}_c{r} c GROUP BY p.id)""")
+        if r < rounds:
+            parts.append(f"""{name}_c{r + 1} AS MATERIALIZED (SELECT c.label, coalesce(any_value(m.f), any_value(c.f)) AS f
+            FROM {name}_c{r} c LEFT JOIN (SELECT label, list(x ORDER BY dim) AS f FROM (
+                SELECT label, dim, avg(x) AS x FROM (SELECT label, unnest(range(1, 65)) AS dim, unnest(f) AS x
+                FROM {name}_a{r}) GROUP BY label, dim) GROUP BY label) m ON m.label = c.label GROUP BY c.label)""")
+    return ",\n".join(parts)
+
+
+def _by_lloyd(points, k):
+    """k-means from the k points with the lowest ids."""
+    first = points.orderBy("id").limit(k)
+    seeds = first.select((F.row_number().over(Window.orderBy("id")) - 1).alias("label"), F.col("features").alias("centroid"))
+    centers = cl.lloyd(points, [], k, LLOYD_ROUNDS, 64, seeds)
+    return cl.assign(points, centers, [])
+
+
+def _k_sql() -> str:
+    parts, scores = [], []
+    for k in range(VECTORS_K[0], VECTORS_K[1] + 1):
+        parts.append(lloyd_vectors_sql(f"k{k}", "vectors", k, LLOYD_ROUNDS))
+        square = "list_distance(a.f, b.f) * list_distance(a.f, b.f)"
+        sql = VECTOR_SILHOUETTE.format(d=square).replace("vectors", f"k{k}_a{LLOYD_ROUNDS}")
+        scores.append(f"SELECT {k} AS k, silhouette AS score FROM ({sql})")
+    return (f"WITH {', '.join(parts)}, scores AS ({' UNION ALL '.join(scores)}) SELECT k, score, 'silhouette' AS metric, "
+            "k = (SELECT k FROM scores ORDER BY score DESC, k LIMIT 1) AS is_best FROM scores")
+
+
+@query("find_optimal_k", _k_sql(), ("vectors",))
 def find_optimal_k(spark, sf_dir):
-    rows = search.find_optimal_k(plane(spark, sf_dir), 2, (2, 5))
+    """Scores of k = 2 to 10 over the feature vectors, by k-means from fixed starts."""
+    rows = search.find_optimal_k(fx.features(spark, sf_dir), 64, VECTORS_K, clustering=_by_lloyd)
     return rounded(rows, "score")
 
 
@@ -562,9 +768,41 @@ def adaptive_eps(spark, sf_dir):
     return search.adaptive_eps(line(spark, sf_dir), ["data_type"], "x")
 
 
-@query("stability")
+@query("adaptive_eps_vectors", """
+    WITH curve2 AS (SELECT id, knn, row_number() OVER (ORDER BY knn, id) - 1 AS rank FROM plane_knn),
+    unit AS (SELECT *, rank / n AS ux, (knn - lo) / (hi - lo + 1e-10) AS uy FROM (
+        SELECT *, count(*) OVER () AS n, min(knn) OVER () AS lo, max(knn) OVER () AS hi FROM curve2)),
+    fit AS (SELECT covar_pop(ux, uy) * count(*) / (var_pop(ux) * count(*) + 1e-10) AS slope,
+                   avg(ux) AS mx, avg(uy) AS my FROM unit),
+    res AS (SELECT rank, knn, n, abs(uy - (slope * ux + my - slope * mx)) AS r FROM unit, fit),
+    knee AS (SELECT *, row_number() OVER (ORDER BY r DESC, rank) AS o, avg(r) OVER () AS mean_r FROM res)
+    SELECT round(knn, 9) AS suggested_eps, rank AS knee_index, n AS n_points,
+           CASE WHEN knn > 0 AND r > 2 * mean_r THEN 'high' WHEN knn > 0 AND r < 0.5 * mean_r THEN 'low'
+                ELSE 'medium' END AS confidence FROM knee WHERE o = 1""", ("plane_knn",))
+def adaptive_eps_vectors(spark, sf_dir):
+    return rounded(search.adaptive_eps(plane(spark, sf_dir), [], None, dim=2), "suggested_eps", digits=9)
+
+
+def _stability_sql() -> str:
+    parts, runs = [], []
+    for b in range(BOOTSTRAPS):
+        parts.append(f"s{b} AS (SELECT id, f FROM vectors WHERE (id * 7919 + {b} * 104729) % 1000 < 800)")
+        parts.append(lloyd_vectors_sql(f"b{b}", f"s{b}", 3, LLOYD_ROUNDS))
+        runs.append(f"SELECT {b} AS b, id, label FROM b{b}_a{LLOYD_ROUNDS}")
+    return f"""WITH {', '.join(parts)}, runs AS MATERIALIZED ({' UNION ALL '.join(runs)}),
+    t AS (SELECT x.b AS b1, y.b AS b2, x.label AS l1, y.label AS l2, count(*) AS n
+          FROM runs x JOIN runs y ON x.id = y.id AND x.b < y.b GROUP BY ALL),
+    ij AS (SELECT b1, b2, sum(n * (n - 1) / 2.0) AS ij, sum(n) * (sum(n) - 1) / 2.0 AS total FROM t GROUP BY ALL),
+    sa AS (SELECT b1, b2, sum(n * (n - 1) / 2.0) AS sa FROM (SELECT b1, b2, sum(n) AS n FROM t GROUP BY b1, b2, l1) GROUP BY ALL),
+    sb AS (SELECT b1, b2, sum(n * (n - 1) / 2.0) AS sb FROM (SELECT b1, b2, sum(n) AS n FROM t GROUP BY b1, b2, l2) GROUP BY ALL)
+    SELECT round(avg((ij - sa * sb / total) / ((sa + sb) / 2.0 - sa * sb / total)), 4) AS stability, count(*) AS pairs
+    FROM ij JOIN sa USING (b1, b2) JOIN sb USING (b1, b2)"""
+
+
+@query("stability", _stability_sql(), ("vectors",))
 def stability(spark, sf_dir):
-    """Agreement of k-means runs on four subsamples."""
-    df = search.stability(plane(spark, sf_dir).select("id", "features"),
-                          lambda sample: cl.kmeans_fit(sample, 3), bootstraps=4)
+    """Agreement of ten k-means runs from fixed starts on samples drawn by an arithmetic rule."""
+    df = search.stability(
+        fx.features(spark, sf_dir).select("id", "features"), lambda sample: _by_lloyd(sample, 3), BOOTSTRAPS,
+        drawn=lambda b: (F.col("id") * 7919 + b * 104729) % 1000 < 800)
     return rounded(df, "stability", digits=4)

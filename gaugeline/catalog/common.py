@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeline.operators import outliers
-from gaugeline.session import checkpoint_dir
+from gaugeline.session import kept_path
 from gaugeline.sources import fixtures as fx
 
 ORDER = ["value_time", "event_id"]
 # Baseline scoring in hundredths of the value, so that all sums are exact.
 ONLINE = {"threshold": 1000.0, "min_baseline": 5, "radius_floor": 1.0, "sigma_floor": 10.0}
+# One running baseline per gateway and data type.
+BASELINE = ["gateway_code", "data_type"]
 DIGITS = 6
 
 
@@ -50,13 +51,13 @@ def flagged_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings scored online, with runs and alerts."""
     rows = fx.reading_stream(spark, sf_dir)
-    scored = outliers.cf_online_outlier(rows, ["record_id"], ORDER, "cents", **ONLINE)
-    return outliers.consecutive_alerts(scored, ["record_id"], ORDER, size_of=rows)
+    scored = outliers.cf_online_outlier(rows, BASELINE, ORDER, "cents", **ONLINE)
+    return outliers.consecutive_alerts(scored, BASELINE, ORDER, size_of=rows)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder for a written table under the shared folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return kept_path(spark, name)
 
 
 def tm(column: str, name: str | None = None) -> str:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
-from gaugeline.catalog.common import ORDER, newest, rounded, scratch, text_times, tm
+from gaugeline.catalog.common import ORDER, latest_time, newest, rounded, scratch, text_times, tm
 from gaugeline.catalog.registry import define, query
+from gaugeline.functions import vectors as vec
 from gaugeline.operators import cf
-from gaugeline.plans.ordered import Running, ordered
 from gaugeline.sources import fixtures as fx, snapshots, tables
 
 KEYS = ["gateway_code", "data_type"]
@@ -73,9 +75,12 @@ def cf_merge(spark, sf_dir):
     SELECT gateway_code, leaf_id, count(*) AS n, sum(cents) AS ls, sum(cents * cents) AS ss
     FROM celled GROUP BY ALL""", ("celled",))
 def cf_union(spark, sf_dir):
-    """The trees of all data types laid together, then merged leaf by leaf."""
-    per_type = leaves(spark, sf_dir)
-    parts = [per_type.filter(F.col("data_type") == t) for t in range(1, 6)]
+    """Snapshots of two spans of time, each from its own scan, laid together and merged leaf by leaf."""
+    middle = latest_time(spark, sf_dir) - timedelta(days=10)
+    when = F.col("value_time")
+    rows = fx.reading_stream(spark, sf_dir)
+    parts = [cf.cf_leaves(rows.filter(span), ["gateway_code", "data_type"], "cents", threshold=T_CENTS)
+             for span in (when < F.lit(middle), when >= F.lit(middle))]
     return flat(cf.cf_merge(cf.cf_union(*parts), ["gateway_code", "leaf_id"]))
 
 
@@ -116,16 +121,15 @@ def cf_leaves(spark, sf_dir):
 
 
 @query("cf_leaves_vectors", """
-    SELECT label, cell, count(*) AS n, round(sum(x1), 6) AS ls1, round(sum(x2), 6) AS ls2
-    FROM (SELECT label, concat(CAST(floor(x1 / 0.2) AS bigint), ',', CAST(floor(x2 / 0.2) AS bigint)) AS cell, x1, x2
-          FROM (SELECT label, CAST(embedding[1] AS double) AS x1, CAST(embedding[2] AS double) AS x2
-                FROM embeddings)) GROUP BY ALL""")
+    SELECT label, cell, count(*) AS n, round(sum(s), 6) AS ls, round(sum(f[64]), 6) AS ls64, round(sum(q), 6) AS ss
+    FROM (SELECT label, array_to_string(list_transform(f, lambda x: CAST(floor(x / 0.2) AS bigint)), ',') AS cell, f,
+                 list_sum(f) AS s, list_sum(list_transform(f, lambda x: x * x)) AS q
+          FROM (SELECT label, CAST(embedding AS DOUBLE[]) AS f FROM embeddings)) GROUP BY label, cell""")
 def cf_leaves_vectors(spark, sf_dir):
-    """Leaves of the plane of the first two components."""
-    plane = fx.features(spark, sf_dir).withColumn("features", F.slice("features", 1, 2))
-    df = cf.cf_leaves(plane, ["label"], "features", dim=2, threshold=0.2 / 2 ** 0.5)
-    return rounded(df.select("label", F.array_join("leaf_id", ",").alias("cell"), "n",
-                             F.col("ls")[0].alias("ls1"), F.col("ls")[1].alias("ls2")), "ls1", "ls2")
+    """Leaves of the feature vectors, in cells 0.2 wide."""
+    df = cf.cf_leaves(fx.features(spark, sf_dir), ["label"], "features", dim=64, threshold=0.1 * 64 ** 0.5)
+    return rounded(df.select("label", F.array_join("leaf_id", ",").alias("cell"), "n", vec.total(F.col("ls")).alias("ls"),
+                             F.col("ls")[63].alias("ls64"), vec.total(F.col("ss")).alias("ss")), "ls", "ls64", "ss")
 
 
 @query("cf_compact")
@@ -185,12 +189,8 @@ def nearest_leaf_cf(spark, sf_dir):
                              ORDER BY value_time, event_id)""", ("celled",))
 def as_of_leaf_state(spark, sf_dir):
     """State of a reading's own leaf just before the reading."""
-    x = F.col("cents")
-    rows = fx.reading_stream(spark, sf_dir).withColumn("leaf_id", F.floor(x / (2 * T_CENTS)))
-    scan = ordered(rows, [*TREE, "leaf_id"], ORDER).running(
-        n=Running("sum", F.lit(1).cast("bigint"), inclusive=False),
-        ls=Running("sum", x, inclusive=False), ss=Running("sum", x * x, inclusive=False))
-    return scan.result().select("event_id", "leaf_id", "n", "ls", "ss")
+    rows = cf.leaf_state(fx.reading_stream(spark, sf_dir), TREE, ORDER, "cents", T_CENTS)
+    return rows.select("event_id", "leaf_id", "n", "ls", "ss")
 
 
 @query("every_nth_snapshot", """
@@ -201,10 +201,8 @@ def as_of_leaf_state(spark, sf_dir):
     WHERE seq % 10 = 0""", ("stream_rows",))
 def every_nth_snapshot(spark, sf_dir):
     """CF of a measure point after every tenth reading."""
-    x = F.col("cents")
-    scan = ordered(fx.reading_stream(spark, sf_dir), ["measure_point_id"], ORDER).running(
-        seq=Running("sum", F.lit(1).cast("bigint")), ls=Running("sum", x), ss=Running("sum", x * x))
-    return scan.result().filter("seq % 10 = 0").select("measure_point_id", "seq", "ls", "ss")
+    rows = cf.every_nth(fx.reading_stream(spark, sf_dir), ["measure_point_id"], ORDER, "cents", 10)
+    return rows.select("measure_point_id", "seq", "ls", "ss")
 
 
 def documents(spark, sf_dir):
@@ -216,19 +214,25 @@ def documents(spark, sf_dir):
 @query("cf_to_json", """
     SELECT concat(gateway_code, '_', measure_point_id, '_', data_type) AS tree_id,
            CAST(sum(n) AS bigint) AS num_points, count(*) AS num_clusters, '1.0' AS version,
-           'birch_cf_v1' AS method, CAST(sum(ls) AS double) AS ls, 500.0::DOUBLE AS threshold
-    FROM leaves GROUP BY gateway_code, measure_point_id, data_type""", ("leaves",))
+           'birch_cf_v1' AS method, CAST(sum(ls) AS double) AS ls, CAST(sum(ss) AS double) AS ss,
+           round(sum(radius), 6) AS radii, round(sum(diameter), 6) AS diameters, 500.0::DOUBLE AS threshold
+    FROM shaped GROUP BY gateway_code, measure_point_id, data_type""", ("shaped",))
 def cf_to_json(spark, sf_dir):
     """Snapshot documents, read with plain JSON paths."""
     def at(path):
         return F.get_json_object("body", f"$.{path}")
-    return documents(spark, sf_dir).select(
+    items = F.from_json(at("centroids"), "array<struct<ls:array<double>,ss:array<double>,radius:double,diameter:double>>")
+
+    def summed(value):
+        return F.aggregate(items, F.lit(0.0), lambda acc, c: acc + value(c))
+    df = documents(spark, sf_dir).select(
         at("tree_id").alias("tree_id"), at("stats.total_points").cast("bigint").alias("num_points"),
         F.json_array_length(at("centroids")).cast("bigint").alias("num_clusters"),
         at("version").alias("version"), at("serialization_method").alias("method"),
-        F.aggregate(F.from_json(at("centroids"), "array<struct<ls:array<double>>>"), F.lit(0.0),
-                    lambda acc, c: acc + c["ls"][0]).alias("ls"),
+        summed(lambda c: c["ls"][0]).alias("ls"), summed(lambda c: c["ss"][0]).alias("ss"),
+        summed(lambda c: c["radius"]).alias("radii"), summed(lambda c: c["diameter"]).alias("diameters"),
         at("config.radius_threshold").cast("double").alias("threshold"))
+    return rounded(df, "radii", "diameters")
 
 
 @query("cf_from_json", """
@@ -258,9 +262,18 @@ def cf_validate(spark, sf_dir):
     return checked.select("tree_id", "message", "valid")
 
 
-@query("cf_payload_size")
+@query("cf_payload_size", """
+    SELECT gateway_code, count(*) AS documents, CAST(sum(strlen(body)) AS bigint) AS bytes, max(strlen(body)) AS largest
+    FROM (SELECT gateway_code, CAST(to_json(list({'leaf_id': leaf_id, 'n': n, 'ls': CAST(ls AS bigint),
+                 'ss': CAST(ss AS bigint)} ORDER BY leaf_id)) AS varchar) AS body
+          FROM leaves GROUP BY gateway_code, measure_point_id, data_type)
+    GROUP BY gateway_code""", ("leaves",))
 def cf_payload_size(spark, sf_dir):
-    return snapshots.cf_payload_size(documents(spark, sf_dir), ["gateway_code"])
+    """Bytes per gateway of documents that hold the leaves as whole numbers."""
+    whole = [F.col(c)[0].cast("bigint").alias(c) for c in ("ls", "ss")]
+    items = F.array_sort(F.collect_list(F.struct("leaf_id", "n", *whole)))
+    docs = leaves(spark, sf_dir).groupBy(*TREE).agg(F.to_json(items).alias("body"))
+    return snapshots.cf_payload_size(docs, ["gateway_code"])
 
 
 @query("cf_snapshot_sink", f"""

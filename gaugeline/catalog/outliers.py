@@ -10,13 +10,14 @@ from gaugeline.operators import cf, outliers, reports
 from gaugeline.sources import fixtures as fx
 
 define("placed", """
-    SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY value_time, event_id) - 1 AS position,
+    SELECT *, row_number() OVER (PARTITION BY gateway_code, data_type ORDER BY value_time, event_id) - 1 AS position,
            CAST(floor(cents / 2000) AS bigint) AS cell
     FROM stream_rows""", "stream_rows")
 define("baselines", """
-    SELECT r.event_id, r.record_id, r.cents, r.position, e.cell AS nearest_cell, count(*) AS n,
+    SELECT r.event_id, r.cents, r.position, e.cell AS nearest_cell, count(*) AS n,
            sum(e.cents) AS ls, sum(e.cents * e.cents) AS ss
-    FROM placed r JOIN placed e ON e.record_id = r.record_id AND e.position < r.position
+    FROM placed r JOIN placed e ON e.gateway_code = r.gateway_code AND e.data_type = r.data_type
+                                    AND e.position < r.position
     GROUP BY ALL HAVING count(*) >= 5""", "placed")
 define("nearest", """
     SELECT * FROM (
@@ -30,11 +31,11 @@ define("scored", """
     FROM placed p LEFT JOIN nearest USING (event_id)""", "placed", "nearest")
 define("islands", """
     SELECT *, sum(CASE WHEN is_outlier THEN 0 ELSE 1 END)
-                  OVER (PARTITION BY record_id ORDER BY position) AS island
+                  OVER (PARTITION BY gateway_code, data_type ORDER BY position) AS island
     FROM scored""", "scored")
 define("detections", """
     SELECT *, CASE WHEN is_outlier THEN CAST(sum(CASE WHEN is_outlier THEN 1 ELSE 0 END)
-                  OVER (PARTITION BY record_id, island ORDER BY position) AS bigint) ELSE 0 END AS streak
+                  OVER (PARTITION BY gateway_code, data_type, island ORDER BY position) AS bigint) ELSE 0 END AS streak
     FROM islands""", "islands")
 
 
@@ -104,7 +105,7 @@ def recent_alerts(spark, sf_dir):
 
 
 @query("gateway_rollup", """
-    WITH leaves AS (SELECT DISTINCT gateway_code, data_type, record_id, cell FROM detections),
+    WITH leaves AS (SELECT DISTINCT gateway_code, data_type, cell FROM detections),
     v AS (SELECT gateway_code, data_type, grouping_id(gateway_code, data_type) AS level,
                  count(*) AS total_values, count(*) FILTER (is_outlier) AS outliers,
                  count(*) FILTER (streak >= 3) AS alerts
@@ -117,8 +118,7 @@ def recent_alerts(spark, sf_dir):
       AND v.data_type IS NOT DISTINCT FROM c.data_type AND v.level = c.level""", ("detections",))
 def gateway_rollup(spark, sf_dir):
     rows = fx.reading_stream(spark, sf_dir)
-    leaves = cf.cf_leaves(rows, ["gateway_code", "data_type", "record_id"], "cents",
-                          threshold=1000.0)
+    leaves = cf.cf_leaves(rows, ["gateway_code", "data_type"], "cents", threshold=1000.0)
     return reports.gateway_rollup(detections(spark, sf_dir), leaves).withColumns({
         "gateway_code": F.coalesce("gateway_code", F.lit("all")),
         "data_type": F.coalesce("data_type", F.lit(0))})

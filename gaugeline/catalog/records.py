@@ -6,19 +6,23 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from gaugeline.catalog.common import (flagged, latest_time, newest, rounded, scratch, text_times,
-                                      tm)
+from gaugeline.catalog.common import flagged, latest_time, rounded, scratch, text_times, tm
 from gaugeline.catalog.registry import query
 from gaugeline.functions.scalars import leading_int
 from gaugeline.operators import outliers, records as rec
 from gaugeline.sources import fixtures as fx, tables, uploads
 
+# Uploads that are whole; see fixtures.uploads.
+SOUND = "measure_point_id % 7 <> 0 AND measure_point_id % 11 <> 0 AND measure_point_id % 13 <> 0"
+
+
 @query("upload_parse", f"""
     SELECT measure_point_id, dev_code, {tm('start_time')},
-           data_type, batch_index AS value_index, value
-    FROM (SELECT *, min(record_time) OVER (PARTITION BY measure_point_id, batch_no) AS start_time
-          FROM batched)
-    WHERE measure_point_id % 7 <> 0""", ("batched",))
+           data_type, value_index, value
+    FROM (SELECT *, CASE WHEN measure_point_id % 17 <> 0 THEN min(record_time) OVER (
+                        PARTITION BY measure_point_id, strftime(record_time, '%Y%m')) END AS start_time
+          FROM readings)
+    WHERE {SOUND}""", ("readings",))
 def upload_parse(spark, sf_dir):
     parsed = uploads.upload_parse(fx.uploads(spark, sf_dir))
     items = uploads.upload_items(parsed).select(
@@ -27,20 +31,20 @@ def upload_parse(spark, sf_dir):
     return text_times(rec.readings_explode(items), "start_time")
 
 
-@query("batch_upload_report", """
+@query("batch_upload_report", f"""
     SELECT gateway_code AS batch_id, count(*) AS total_count,
-           count(*) FILTER (measure_point_id % 7 <> 0) AS success_count,
-           count(*) FILTER (measure_point_id % 7 = 0) AS failed_count
-    FROM (SELECT DISTINCT gateway_code, measure_point_id, batch_no FROM batched)
-    GROUP BY gateway_code""", ("batched",))
+           count(*) FILTER ({SOUND}) AS success_count,
+           count(*) FILTER (NOT ({SOUND})) AS failed_count
+    FROM (SELECT DISTINCT gateway_code, measure_point_id, strftime(record_time, '%Y%m') FROM readings)
+    GROUP BY gateway_code""", ("readings",))
 def batch_upload_report(spark, sf_dir):
     return uploads.batch_upload_report(uploads.upload_parse(fx.uploads(spark, sf_dir)), "batch_id")
 
 
-@query("batch_upload_failed", """
-    SELECT DISTINCT gateway_code AS batch_id, concat(measure_point_id, '_', batch_no) AS record_id,
-           'invalid request' AS error
-    FROM batched WHERE measure_point_id % 7 = 0""", ("batched",))
+@query("batch_upload_failed", f"""
+    SELECT DISTINCT gateway_code AS batch_id,
+           concat(measure_point_id, '_', strftime(record_time, '%Y%m')) AS record_id, 'invalid request' AS error
+    FROM readings WHERE NOT ({SOUND})""", ("readings",))
 def batch_upload_failed(spark, sf_dir):
     parsed = uploads.upload_parse(fx.uploads(spark, sf_dir))
     return uploads.failed_uploads(parsed, "batch_id", "upload_id")
@@ -63,8 +67,11 @@ def record_write(spark, sf_dir):
     SELECT event_id, record_id, {tm('value_time')}, value FROM stream_rows
     WHERE value_time >= (SELECT max(ts) FROM events) - INTERVAL 14 DAY""", ("stream_rows",))
 def retention_filter(spark, sf_dir):
-    rows = fx.reading_stream(spark, sf_dir)
-    kept = tables.retention_filter(rows, "value_time", newest(rows, "value_time"), "14 days")
+    """What is left of a stored month table at the newest time; older months are not opened."""
+    path = scratch(spark, "detect_data")
+    rows = fx.reading_stream(spark, sf_dir).withColumn("record_time", F.col("value_time"))
+    tables.write_table(rows, path, "detect_data")
+    kept = tables.retained(spark, path, "record_time", latest_time(spark, sf_dir), timedelta(days=14))
     return text_times(kept.select("event_id", "record_id", "value_time", "value"), "value_time")
 
 
@@ -120,6 +127,16 @@ def record_query(spark, sf_dir):
                                 "record_time", "factor"), "record_time")
 
 
+@query("record_query_device", f"""
+    SELECT record_id, project_id, gateway_code, dev_code, data_type, {tm('record_time')}, factor
+    FROM records WHERE gateway_code = 'GW-00000003' AND dev_code = 'SN-00000002'""", ("records",))
+def record_query_device(spark, sf_dir):
+    """The records of one device of one gateway."""
+    df = rec.record_query(fx.records(spark, sf_dir), gateway_code="GW-00000003", dev_code="SN-00000002")
+    return text_times(df.select("record_id", "project_id", "gateway_code", "dev_code", "data_type",
+                                "record_time", "factor"), "record_time")
+
+
 @query("record_page", f"""
     SELECT record_id, dev_code, {tm('record_time')}, factor, count(*) OVER () AS total
     FROM records ORDER BY records.record_time DESC, record_id LIMIT 20 OFFSET 20""", ("records",))
@@ -129,15 +146,15 @@ def record_page(spark, sf_dir):
 
 
 @query("readings_explode", """
-    SELECT record_id, data_type, batch_index AS value_index, value FROM batched""", ("batched",))
+    SELECT record_id, data_type, value_index, value FROM readings""", ("readings",))
 def readings_explode(spark, sf_dir):
     df = fx.records(spark, sf_dir).select("record_id", "data_type", "vals")
     return rec.readings_explode(df)
 
 
 @query("values_by_type", f"""
-    SELECT {tm('record_time')}, record_id, batch_index AS value_index, value
-    FROM batched WHERE data_type = 3""", ("batched",))
+    SELECT {tm('record_time')}, record_id, value_index, value
+    FROM readings WHERE data_type = 3""", ("readings",))
 def values_by_type(spark, sf_dir):
     return text_times(rec.values_by_type(fx.records(spark, sf_dir), 3), "record_time")
 
@@ -170,14 +187,14 @@ def record_outliers(spark, sf_dir):
 
 BATCH_STATS = """
     SELECT *, count(*) OVER g AS n, avg(value) OVER g AS m, stddev_pop(value) OVER g AS s
-    FROM batched WINDOW g AS (PARTITION BY record_id)"""
+    FROM readings WINDOW g AS (PARTITION BY record_id)"""
 
 
 @query("record_outliers_in_arrays", f"""
-    SELECT record_id, data_type, batch_index AS value_index, value, round(m, 6) AS expected_mean,
+    SELECT record_id, data_type, value_index, value, round(m, 6) AS expected_mean,
            round(s, 6) AS expected_std, round((value - m) / s, 6) AS z_score
     FROM ({BATCH_STATS}) WHERE n >= 5 AND s >= 0.01 AND abs((value - m) / s) > 2.5""",
-       ("batched",))
+       ("readings",))
 def record_outliers_in_arrays(spark, sf_dir):
     rows = outliers.record_outliers_in_arrays(
         fx.records(spark, sf_dir).select("record_id", "data_type", "vals"))
@@ -186,15 +203,19 @@ def record_outliers_in_arrays(spark, sf_dir):
 
 @query("outlier_hint", f"""
     SELECT record_id, CAST(count(*) FILTER (hit) AS int) AS outlier_count,
+           coalesce(string_agg(concat(value_index, ':', CAST(round((value - m) / nullif(s, 0) * 10000) AS bigint)), ','
+                               ORDER BY value_index) FILTER (hit), '') AS details,
            CASE WHEN count(*) FILTER (hit) > 0
                 THEN concat('测点', any_value(measure_point_id), ' 存在', count(*) FILTER (hit), '个离群值')
                 ELSE '' END AS outlier_hint
     FROM (SELECT *, n >= 5 AND s >= 0.01 AND abs((value - m) / nullif(s, 0)) > 2.5 AS hit
           FROM ({BATCH_STATS}))
-    GROUP BY record_id""", ("batched",))
+    GROUP BY record_id""", ("readings",))
 def outlier_hint(spark, sf_dir):
+    details = F.transform("outliers", lambda d: F.concat_ws(
+        ":", d["value_index"], F.round(d["z_score"] * 10000).cast("bigint")))
     return outliers.outlier_hint(fx.records(spark, sf_dir)).select(
-        "record_id", "outlier_count", "outlier_hint")
+        "record_id", "outlier_count", F.array_join(details, ",").alias("details"), "outlier_hint")
 
 
 @query("anomaly_sink", f"""
@@ -203,11 +224,11 @@ def outlier_hint(spark, sf_dir):
            round(z_score, 6) AS z_score, 'z_score' AS anomaly_type, 0 AS handled
     FROM flagged WHERE is_outlier""", ("flagged",))
 def anomaly_sink(spark, sf_dir):
-    """Anomalies written to their table and read back."""
+    """Anomalies written to their table and read back as far as they are retained, six months."""
     path = scratch(spark, "anomaly_record")
     found = outliers.record_outliers(fx.readings(spark, sf_dir), ["record_id"])
     tables.write_table(tables.anomalies(found, "z_score"), path, "anomaly_record")
-    back = tables.read_table(spark, path, "record_time")
+    back = tables.retained(spark, path, "record_time", latest_time(spark, sf_dir), tables.ANOMALY_RETENTION)
     return text_times(rounded(back, "expected_mean", "expected_std", "z_score"), "record_time")
 
 

@@ -14,7 +14,7 @@ SQL: dict[str, str] = {}
 # Views of the checks, in the SQL both engines share.
 VIEWS = {
     "stream_rows": """
-        SELECT event_id, concat(user_id, '_', event_type) AS record_id,
+        SELECT event_id, concat(user_id, '_', event_type, '_', strftime(ts, '%Y%m')) AS record_id,
                user_id % 3 AS project_id,
                concat('GW-', lpad(CAST(user_id % 8 + 1 AS varchar), 8, '0')) AS gateway_code,
                concat('SN-', lpad(CAST(user_id AS varchar), 8, '0')) AS dev_code,
@@ -28,15 +28,11 @@ VIEWS = {
                        AS int) AS value_index,
                min(value_time) OVER (PARTITION BY record_id) AS record_time
         FROM stream_rows""",
-    "batched": """
-        SELECT * EXCLUDE (record_id), concat(record_id, '_', value_index // 256) AS record_id,
-               value_index // 256 AS batch_no, value_index % 256 AS batch_index
-        FROM readings""",
     "records": """
-        SELECT record_id, batch_no, project_id, gateway_code, dev_code, measure_point_id, data_type,
+        SELECT record_id, project_id, gateway_code, dev_code, measure_point_id, data_type,
                record_time, list(value ORDER BY value_index) AS vals, max(value) AS factor,
                count(*) AS n_vals
-        FROM batched GROUP BY ALL""",
+        FROM readings GROUP BY ALL""",
     "zscored": """
         SELECT *, count(*) OVER g AS n_values, avg(value) OVER g AS expected_mean,
                stddev_pop(value) OVER g AS expected_std
@@ -63,7 +59,7 @@ VIEWS = {
         FROM events""",
 }
 NEEDS = {
-    "readings": ["stream_rows"], "batched": ["readings"], "records": ["batched"],
+    "readings": ["stream_rows"], "records": ["readings"],
     "zscored": ["readings"], "flagged": ["zscored"],
 }
 

@@ -72,6 +72,33 @@ def detection_trend_week(spark, sf_dir):
                    digits=5)
 
 
+@query("detection_trend_hour", """
+    SELECT strftime(date_trunc('hour', value_time), '%Y-%m-%d %H') AS bucket, count(*) AS detection_count,
+           count(*) FILTER (is_outlier) AS outlier_count, round(avg(value), 9) AS avg_spacing
+    FROM flagged GROUP BY ALL""", ("flagged",))
+def detection_trend_hour(spark, sf_dir):
+    rows = reports.detection_trend(flagged_stream(spark, sf_dir), "hour")
+    return rounded(rows.withColumn("bucket", F.date_format("bucket", "yyyy-MM-dd HH")), "avg_spacing", digits=9)
+
+
+@query("detection_trend_month", """
+    SELECT strftime(date_trunc('month', value_time), '%Y-%m-%d') AS bucket, count(*) AS detection_count,
+           count(*) FILTER (is_outlier) AS outlier_count, round(avg(value), 5) AS avg_spacing
+    FROM flagged GROUP BY ALL""", ("flagged",))
+def detection_trend_month(spark, sf_dir):
+    rows = reports.detection_trend(flagged_stream(spark, sf_dir), "month")
+    return rounded(rows.withColumn("bucket", F.date_format("bucket", "yyyy-MM-dd")), "avg_spacing", digits=5)
+
+
+@query("device_group_stats_project", """
+    SELECT project_id, type, count(*) AS count,
+           round(count(*) * 100.0 / CAST(sum(count(*)) OVER (PARTITION BY project_id) AS double), 6) AS percentage
+    FROM devices GROUP BY project_id, type""", ("devices",))
+def device_group_stats_project(spark, sf_dir):
+    """Device types within each project."""
+    return rounded(reports.share_by(fx.devices(spark, sf_dir), ["project_id", "type"], ["project_id"]), "percentage")
+
+
 @query("overview", f"""
     SELECT d.*, n AS detections_today, o AS outliers_today, round(o / n, 6) AS outlier_rate
     FROM (SELECT count(*) AS total_devices,

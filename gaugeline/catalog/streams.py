@@ -7,8 +7,8 @@ from contextlib import contextmanager
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from gaugeline.catalog.clusters import lloyd_sql
-from gaugeline.catalog.common import ONLINE, rounded, scratch, text_times, tm
+from gaugeline.catalog.clusters import MERGE_ROUNDS, lloyd_sql
+from gaugeline.catalog.common import BASELINE, ONLINE, rounded, scratch, text_times, tm
 from gaugeline.catalog.features import TREE, T_CENTS, flat
 from gaugeline.catalog.registry import define, query
 from gaugeline.operators import cf, clustering as cl
@@ -16,6 +16,8 @@ from gaugeline.sources import fixtures as fx, snapshots
 from gaugeline.streaming import jobs, sources
 
 PARTS = 3
+# Of the replayed streams; a service sets its own before the first start, for the state it expects.
+STATE_PARTITIONS = 8
 
 
 class Replay:
@@ -42,10 +44,10 @@ class Replay:
 
 @contextmanager
 def state_partitions(spark):
-    """State of a stream started inside has no more partitions than the session has cores."""
+    """State of a stream started inside has STATE_PARTITIONS partitions, which stay for the life of its checkpoint."""
     setting = "spark.sql.shuffle.partitions"
     before = spark.conf.get(setting)
-    spark.conf.set(setting, str(min(int(before), max(8, spark.sparkContext.defaultParallelism))))
+    spark.conf.set(setting, str(STATE_PARTITIONS))
     try:
         yield
     finally:
@@ -79,9 +81,10 @@ def event_stream(spark, sf_dir):
     return Replay(spark, fx.events(spark, sf_dir), "ts", "events")
 
 
-@query("stream_source", """
-    SELECT dev_code AS device_code, family, count(*) AS n, max(k) AS top FROM (
-        SELECT dev_code, CAST(k AS bigint) AS k, CASE event_type WHEN 'click' THEN 'telemetry' WHEN 'error' THEN 'heartbeat'
+@query("stream_source", f"""
+    SELECT dev_code AS device_code, family, count(*) AS n, max(k) AS top, CAST(sum(k) AS bigint) AS total,
+           {tm('max(ts)', 'newest')} FROM (
+        SELECT dev_code, ts, CAST(k AS bigint) AS k, CASE event_type WHEN 'click' THEN 'telemetry' WHEN 'error' THEN 'heartbeat'
                WHEN 'purchase' THEN 'shadow_reported' WHEN 'signup' THEN 'cf_tree' ELSE 'detection' END AS family
         FROM heartbeats) GROUP BY ALL""", ("heartbeats",))
 def stream_source(spark, sf_dir):
@@ -105,21 +108,19 @@ def stream_source(spark, sf_dir):
     value = {"telemetry": "message.memory.used_mb", "heartbeat": "message.uptime_seconds",
              "cf_tree": "message.stats.total_points", "detection": "message.factor",
              "shadow_reported": "message.state.reported.k"}
-    parts = [sources.family_of(replay.stream, f).select(
-        "device_code", F.lit(f).alias("family"), F.col(v).cast("bigint").alias("k"))
-        for f, v in value.items()]
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    rows = collected(replay, union, "families")
-    return rows.groupBy("device_code", "family").agg(F.count(F.lit(1)).alias("n"), F.max("k").alias("top"))
+    parsed = sources.parse_messages(sources.read_messages(spark, replay.path))
+    number = F.coalesce(*[F.col(v.replace("message", f, 1)).cast("bigint") for f, v in value.items()])
+    rows = collected(replay, parsed.select("device_code", "family", "received", number.alias("k")), "families")
+    return rows.groupBy("device_code", "family").agg(
+        F.count(F.lit(1)).alias("n"), F.max("k").alias("top"), F.sum("k").alias("total"),
+        F.date_format(F.max("received"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("newest"))
 
 
 @query("stream_record_outliers", """
-    SELECT record_id, data_type, batch_index AS value_index, value, round((value - m) / s, 6) AS z_score
+    SELECT record_id, data_type, value_index, value, round((value - m) / s, 6) AS z_score
     FROM (SELECT *, count(*) OVER g AS n, avg(value) OVER g AS m, stddev_pop(value) OVER g AS s
-          FROM batched WINDOW g AS (PARTITION BY record_id))
-    WHERE n >= 5 AND s >= 0.01 AND abs((value - m) / s) > 2.5""", ("batched",))
+          FROM readings WINDOW g AS (PARTITION BY record_id))
+    WHERE n >= 5 AND s >= 0.01 AND abs((value - m) / s) > 2.5""", ("readings",))
 def stream_record_outliers(spark, sf_dir):
     records = fx.records(spark, sf_dir).select("record_id", "data_type", "record_time", "vals")
     replay = Replay(spark, records, "record_time", "records")
@@ -138,7 +139,7 @@ def stream_cf_leaves(spark, sf_dir):
 def online_flags(spark, sf_dir):
     replay = event_stream(spark, sf_dir)
     folder = scratch(spark, "detector")
-    detector = jobs.OnlineDetector(spark, folder, ["record_id"], "value_time", "event_id", "cents", **ONLINE)
+    detector = jobs.OnlineDetector(spark, folder, BASELINE, "value_time", "event_id", "cents", **ONLINE)
     for _ in replay.arrivals():
         jobs.run_available(fx.as_stream_rows(replay.stream), detector, f"{folder}/checkpoint")
     return detector.flags()
@@ -152,10 +153,10 @@ def stream_cf_outlier(spark, sf_dir):
     return rounded(rows.select("event_id", "is_outlier", "z_score", "position", "late"), "z_score")
 
 
-@query("stream_alerts", "SELECT event_id, record_id, streak FROM detections WHERE streak >= 3",
+@query("stream_alerts", "SELECT event_id, gateway_code, data_type, streak FROM detections WHERE streak >= 3",
        ("detections",))
 def stream_alerts(spark, sf_dir):
-    return online_flags(spark, sf_dir).filter("alert").select("event_id", "record_id", "streak")
+    return online_flags(spark, sf_dir).filter("alert").select("event_id", *BASELINE, "streak")
 
 
 define("beat_spans", """
@@ -209,10 +210,11 @@ def stream_shadow(spark, sf_dir):
 
 
 @query("stream_telemetry", """
-    SELECT device_code, strftime(bucket, '%Y-%m-%d') AS bucket, round(cpu, 5) AS cpu,
+    SELECT device_code, strftime(bucket, '%Y-%m-%d') AS bucket, round(cpu, 5) AS cpu, coalesce(round(gpu, 5), -1) AS gpu,
            round(inference_ms, 5) AS inference_ms, messages
     FROM (SELECT user_id AS device_code, date_trunc('day', ts) AS bucket,
-                 avg(CAST(json_extract_string(props, '$.k') AS double)) AS cpu, avg(value) AS inference_ms,
+                 avg(CAST(json_extract_string(props, '$.k') AS double)) AS cpu,
+                 avg(CASE WHEN event_id % 4 <> 0 THEN value / 2 END) AS gpu, avg(value) AS inference_ms,
                  count(*) AS messages FROM events GROUP BY ALL)
     WHERE bucket + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
 def stream_telemetry(spark, sf_dir):
@@ -220,11 +222,11 @@ def stream_telemetry(spark, sf_dir):
     flat_rows = replay.stream.select(
         F.col("user_id").alias("device_code"), "ts",
         F.get_json_object("props", "$.k").cast("double").alias("cpu_usage_percent"),
-        F.lit(None).cast("double").alias("gpu_usage_percent"),
+        F.when(F.col("event_id") % 4 != 0, F.col("value") / 2).alias("gpu_usage_percent"),
         F.col("value").alias("inference_last_inference_ms"))
     rows = collected(replay, jobs.telemetry_windows(flat_rows, "ts", "1 day"), "telemetry")
     out = rows.select("device_code", F.date_format("bucket", "yyyy-MM-dd").alias("bucket"), "cpu",
-                      "inference_ms", "messages")
+                      F.coalesce(F.round("gpu", 5), F.lit(-1.0)).alias("gpu"), "inference_ms", "messages")
     return rounded(out, "cpu", "inference_ms", digits=5)
 
 
@@ -242,12 +244,14 @@ def stream_dedup(spark, sf_dir):
     WITH newest AS (SELECT gateway_code, leaf_id, count(*) AS n, sum(cents) AS ls, sum(cents * cents) AS ss
                     FROM celled GROUP BY ALL),
     spots AS (SELECT 1 AS one, gateway_code, n, ls, ss, ls / n AS x FROM newest),
-    {lloyd_sql('spots', 'one', 3, 20)},
+    {lloyd_sql('spots', 'one', 3, MERGE_ROUNDS)},
     placed AS (SELECT * FROM (SELECT s.*, c.label, c.c, row_number() OVER (PARTITION BY s.k
                                      ORDER BY sqrt((s.x - c.c) * (s.x - c.c)), c.label) AS r
-               FROM (SELECT *, row_number() OVER () AS k FROM spots) s JOIN c20 c ON true) WHERE r = 1)
+               FROM (SELECT *, row_number() OVER () AS k FROM spots) s JOIN c{MERGE_ROUNDS} c ON true) WHERE r = 1)
     SELECT CAST(label + 1 AS int) AS cluster_id, round(any_value(c), 4) AS centroid,
-           CAST(sum(n) AS bigint) AS point_count FROM placed GROUP BY label""", ("celled",))
+           CAST(sum(n) AS bigint) AS point_count, round(max(sqrt((x - c) * (x - c))), 4) AS radius,
+           string_agg(DISTINCT gateway_code, ',' ORDER BY gateway_code) AS members, sum(ls) AS ls, sum(ss) AS ss
+    FROM placed GROUP BY label""", ("celled",))
 def stream_latest_snapshot(spark, sf_dir):
     """Snapshots of growing trees, the newest per gateway kept and fused to three clusters."""
     rows = fx.reading_stream(spark, sf_dir)
@@ -263,6 +267,8 @@ def stream_latest_snapshot(spark, sf_dir):
         docs = doc if docs is None else docs.unionByName(doc)
     replay = Replay(spark, docs, "record_time", "snapshots")
     newest = final(replay, jobs.latest_snapshots(replay.stream), ["tree_id"], "latest")
-    merged = cl.cf_merge_cluster(snapshots.cf_from_json(newest), 1, k=3, rounds=20)
-    return rounded(merged.select("cluster_id", F.col("centroid")[0].alias("centroid"), "point_count"),
-                   "centroid", digits=4)
+    merged = cl.cf_merge_cluster(snapshots.cf_from_json(newest), 1)
+    return rounded(merged.select(
+        "cluster_id", F.col("centroid")[0].alias("centroid"), "point_count", "radius",
+        F.array_join("member_gateways", ",").alias("members"), F.col("ls")[0].alias("ls"),
+        F.col("ss")[0].alias("ss")), "centroid", "radius", digits=4)

@@ -55,7 +55,11 @@ def centroid(n: Column, ls: Column) -> Column:
 
 
 def variance(n: Column, ls: Column, ss: Column) -> Column:
-    """Sum over dimensions of max(SS/N - mean squared, 0)."""
+    """Sum over dimensions of max(SS/N - mean squared, 0).
+
+    A CF holds plain sums, so digits are lost where the mean is more than some 1e6 times the
+    spread; shift such values to near zero before they are summed.
+    """
     parts = F.zip_with(ls, ss, lambda a, b: F.greatest(b / n - (a / n) * (a / n), F.lit(0.0)))
     return vec.total(parts)
 
@@ -200,6 +204,24 @@ def _pair_leaves(leaves: DataFrame, keys: list[str], threshold: float) -> DataFr
     }).drop("spot", "left", "right", "choice", "left_choice", "right_choice")
 
 
+def leaf_state(readings: DataFrame, keys: list[str], order: list[str], column: str,
+               threshold: float = schema.RADIUS_THRESHOLD) -> DataFrame:
+    """Each reading with its leaf_id and that leaf's CF (n, ls, ss as numbers) just before the reading."""
+    x = F.col(column)
+    rows = readings.withColumn("leaf_id", F.floor(x / cell_width(threshold, 1)))
+    return ordered(rows, [*keys, "leaf_id"], order).running(
+        n=Running("sum", F.lit(1).cast("bigint"), inclusive=False),
+        ls=Running("sum", x, inclusive=False), ss=Running("sum", x * x, inclusive=False)).result()
+
+
+def every_nth(readings: DataFrame, keys: list[str], order: list[str], column: str, step: int) -> DataFrame:
+    """The CF of a key (seq, ls, ss as numbers) after every `step`-th reading."""
+    x = F.col(column)
+    scan = ordered(readings, keys, order).running(
+        seq=Running("sum", F.lit(1).cast("bigint")), ls=Running("sum", x), ss=Running("sum", x * x))
+    return scan.result().filter(F.col("seq") % step == 0)
+
+
 def cf_tree_stats(leaves: DataFrame, keys: list[str], counts: DataFrame | None = None) -> DataFrame:
     """Points, leaves and leaf sizes per key; with `counts` (keys, processed, outliers) the rate."""
     stats = leaves.groupBy(*keys).agg(

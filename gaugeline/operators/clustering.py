@@ -13,13 +13,10 @@ from pyspark.sql import functions as F
 from gaugeline import schema
 from gaugeline.functions import vectors as vec
 from gaugeline.operators import neighbors as nb
-from gaugeline.plans.groups import Sizes, attach, join_on, measure
+from gaugeline.plans.groups import Sizes, attach, measure
 from gaugeline.plans.ordered import Running, ordered, top_per_key
 from gaugeline.session import settle
 
-# So many candidate pairs may be listed to finish a single-link clustering.
-LISTED_PAIRS = 10_000_000
-
 
 def cluster_centroids(points: DataFrame, keys: list[str], dim: int) -> DataFrame:
     """Mean vector and size of each label."""
@@ -52,7 +49,7 @@ def renumber_labels(points: DataFrame, keys: list[str], noise: object = None,
     clusters = points.filter(~is_noise).groupBy(*keys, "label").agg(F.min("id").alias("first_id"))
     names = (ordered(clusters, keys, ["first_id"], bound=bound).position("__at").result()
              .select(*keys, "label", (F.col("__at") + 1).alias("__new")))
-    named = attach(points, names, [*keys, "label"], "left", bound)
+    named = attach(points, names, [*keys, "label"], "left")
     return named.withColumn("label", F.coalesce("__new", F.lit(0)).cast("int")).drop("__new")
 
 
@@ -85,31 +82,35 @@ def gmm_fit(points: DataFrame, k: int, rounds: int = 100, seed: int = 42) -> Dat
             .drop("__v", "__p"))
 
 
-def lloyd(points: DataFrame, keys: list[str], k: int, rounds: int, dim: int) -> DataFrame:
+def lloyd(points: DataFrame, keys: list[str], k: int, rounds: int, dim: int,
+          seeds: DataFrame | None = None) -> DataFrame:
     """k-means of each key from evenly spaced starts, so the result is fixed.
 
-    Start i lies at (i + 0.5) / k of the diagonal of the key's bounding box.  Equal
-    vectors are reduced to one weighted vector first.  A round attaches the k
+    Start i lies at (i + 0.5) / k of the diagonal of the key's bounding box.  A round attaches the k
     centroids of the key (one row per key) to the vectors and adds up the new
     means with map-side combine; an empty cluster keeps its centroid.  Stops when
-    no centroid moves.  Returns keys, label (0-based), centroid.
+    no centroid moves.  A column `weight` counts a row so many times.  Without keys, `seeds`
+    (label, centroid; k rows) may give other starts.
+    Returns keys, label (0-based), centroid.
     """
     x = F.col("features")
-    grouped = settle(points.groupBy(*keys, "features").agg(F.count(F.lit(1)).alias("weight")))
+    weight = F.col("weight") if "weight" in points.columns else F.lit(1)
+    grouped = settle(points.select(*keys, "features", weight.alias("weight")))
     lo = [F.min(x[i]) for i in range(dim)]
     hi = [F.max(x[i]) for i in range(dim)]
     starts = F.array(*[F.struct(F.lit(c).alias("label"), F.array(*[
         a + (c + 0.5) / k * (b - a) for a, b in zip(lo, hi)]).alias("centroid")) for c in range(k)])
     centroids = grouped.groupBy(*keys).agg(starts.alias("__all"))
+    if seeds is not None:
+        centroids = seeds.agg(F.collect_list(F.struct(F.col("label").cast("int"), "centroid")).alias("__all"))
     if not keys:
         return _lloyd_of_one(grouped, centroids, rounds, dim)
     centroids = settle(centroids)
-    sizes = measure(grouped, keys)
     for _ in range(rounds):
-        moved = _new_means(attach(grouped, centroids, keys, "inner", sizes), keys, dim)
+        moved = _new_means(attach(grouped, centroids, keys, "inner"), keys, dim)
         updates = moved.groupBy(*keys).agg(F.map_from_entries(F.collect_list(
             F.struct("label", "mean"))).alias("__new"))
-        after = settle(join_on(centroids, updates, keys).select(
+        after = settle(attach(centroids, updates, keys).select(
             *keys, "__all", F.transform("__all", lambda c: F.struct(
                 c["label"].alias("label"), F.coalesce(F.try_element_at(
                     F.col("__new"), c["label"]), c["centroid"]).alias("centroid"))).alias("__next")))
@@ -163,16 +164,20 @@ def cf_merge_cluster(leaves: DataFrame, dim: int, k: int = schema.MERGE_K,
 
     Clusters the leaf centroids (each counts once), then per cluster: points,
     largest centroid distance, member gateways and the merged CF.  Ids from 1.
-    Gateways are reduced to distinct (cluster, gateway) rows before they are listed.
+    Fewer leaves than k give as many clusters as leaves.  A cluster lists its distinct gateways, so
+    use `member_gateways` where they are too many for one value.
     """
-    spots = leaves.withColumn("features", vec.divide(F.col("ls"), F.col("n")))
+    spots = settle(leaves.withColumn("features", vec.divide(F.col("ls"), F.col("n"))))
+    k = min(k, spots.limit(k).count())
+    if k == 0:
+        raise ValueError("no leaves to merge")
     centroids = lloyd(spots.select("features"), [], k, rounds, dim)
     placed = nb.nearest_centroid(spots, centroids)
     merged = placed.groupBy("label").agg(
         F.sum("n").alias("point_count"), F.max("distance").alias("radius"),
         F.collect_set("gateway_code").alias("__g"),
         vec.sum_of(F.col("ls"), dim).alias("ls"), vec.sum_of(F.col("ss"), dim).alias("ss"))
-    return join_on(centroids, merged, ["label"], "left").select(
+    return attach(centroids, merged, ["label"], "left").select(
         (F.col("label") + 1).alias("cluster_id"), "centroid",
         F.coalesce("point_count", F.lit(0)).alias("point_count"),
         F.coalesce("radius", F.lit(0.0)).alias("radius"),
@@ -201,7 +206,7 @@ def single_link_1d(points: DataFrame, keys: list[str], value: str, k: int) -> Da
     wide = gaps._with(gaps.df.filter("gap is not null"))
     cuts = top_per_key(wide, [F.col("gap").desc(), F.col("x")], k - 1)
     per_key = cuts.groupBy(*keys).agg(F.collect_list("x").alias("__cuts"))
-    joined = attach(points, per_key, keys, "left", sizes)
+    joined = attach(points, per_key, keys, "left")
     label = F.size(F.filter(F.coalesce("__cuts", F.array().cast("array<double>")),
                             lambda c: c <= F.col(value)))
     return joined.withColumn("label", label).drop("__cuts")
@@ -213,14 +218,14 @@ def eps_components(points: DataFrame, eps: float, dim: int) -> DataFrame:
     Points of one cell are always connected, so the graph is one of cells.
     """
     placed = settle(nb.cell_table(points, eps, dim))
-    return _component_of_cells(placed, placed, eps, dim, nb.widest_dims(points, dim))
+    return _component_of_cells(placed, placed, eps, dim)
 
 
 def _component_of_cells(points: DataFrame, core: DataFrame, eps: float, dim: int,
-                        axes: list[int], pairs: DataFrame | None = None) -> DataFrame:
+                        pairs: DataFrame | None = None) -> DataFrame:
     boxes = settle(nb._box(core, ["cell"], dim))
     if pairs is None:
-        pairs = nb.neighbour_cells(boxes, eps, dim, axes)
+        pairs = nb.neighbour_cells(boxes, eps, dim)
     links = nb.linked_cells(core, pairs, eps, dim)
     ids = boxes.select("cell", F.col("first_id").alias("id"))
     a = ids.select(F.col("cell").alias("home"), F.col("id").alias("a"))
@@ -232,13 +237,13 @@ def _component_of_cells(points: DataFrame, core: DataFrame, eps: float, dim: int
 
 
 def single_link(points: DataFrame, k: int, dim: int) -> DataFrame:
-    """k clusters by single link in any dimension: label 0-based by lowest id.
+    """k clusters by single link in up to four dimensions: label 0-based by lowest id.
 
     Single link at height t is the component split of the graph of points within
-    t.  The height is bracketed by splits with more and with fewer than k parts.
-    Once the pairs within the upper height are few enough to list, the remaining
-    merges are taken in the order of (distance, lowest ids); until then the
-    bracket is narrowed.  Copies of one point always stay together.
+    t.  The height is bracketed by splits with more and with at most k parts, down to a
+    factor of two.  The remaining merges are taken in the order of (distance, lowest ids), each from the
+    closest points of two neighbouring cells of different parts, so no pairs of
+    points are listed.  Copies of one point always stay together.
     """
     points = settle(points.drop("label"))
     x = F.col("features")
@@ -246,43 +251,37 @@ def single_link(points: DataFrame, k: int, dim: int) -> DataFrame:
     if copies.count() <= k:
         return renumber_from_zero(attach(points, copies, ["features"], "inner"))
     spread = points.agg(*[F.max(x[i]) - F.min(x[i]) for i in range(dim)]).first()
-    low, high, many = 0.0, max(math.hypot(*spread), 1e-12), None
-    step = high / 2
-    while True:
-        split = settle(eps_components(points, step, dim).drop("cell"))
+    low, high, many = 0.0, max(math.hypot(*spread), 1e-12) * (1 + 1e-9), None
+    while many is None or high > 2 * low:
+        step = (low + high) / 2 if many is not None else high / 4
+        split = settle(eps_components(points, step, dim))
         parts = split.select("component").distinct().count()
         if parts == k:
-            return renumber_from_zero(split.withColumnRenamed("component", "label"))
+            return renumber_from_zero(split.drop("cell").withColumnRenamed("component", "label"))
         if parts > k:
             low, many = step, split
         else:
             high = step
-        if many is not None:
-            close = high - low <= 1e-12 * high
-            if close or _pairs_within(points, high, dim) <= LISTED_PAIRS:
-                return renumber_from_zero(_merge_nearest(many, high, k, dim))
-        step = (low + high) / 2 if low > 0 else high / 4
-
-
-def _pairs_within(points: DataFrame, eps: float, dim: int) -> int:
-    """Upper bound of the pairs a grid of width eps has to look at."""
-    x = F.col("features")
-    axes = nb.widest_dims(points, dim)
-    cells = points.groupBy(*[F.floor(x[i] / eps).alias(f"c{i}") for i in axes]).count()
-    return (cells.agg(F.sum(F.col("count").cast("double") * F.col("count"))).first()[0] or 0) * 3 ** len(axes)
-
-
-def _merge_nearest(split: DataFrame, height: float, k: int, dim: int) -> DataFrame:
-    """Merge the nearest components, by (distance, ids) up to `height`, until k are left."""
-    labels = settle(split.select("id", "features", F.col("component").alias("label")))
-    part = labels.select("id", "label")
+    return renumber_from_zero(_merge_nearest(many, low, high, k, dim))
+
+
+def _merge_nearest(split: DataFrame, low: float, high: float, k: int, dim: int) -> DataFrame:
+    """Merge the parts of a split at `low` by their closest points, up to `high`, until k are left."""
+    # All points of a cell are within `low`, so a cell belongs to one part.
+    boxes = settle(nb._box(split, ["cell"], dim).join(
+        split.groupBy("cell").agg(F.min("component").alias("part")), "cell"))
+    part = boxes.select("cell", "part")
+    pairs = (nb.neighbour_cells(boxes, low, dim, high)
+             .join(part.withColumnRenamed("part", "la"), "cell")
+             .join(part.select(F.col("cell").alias("other"), F.col("part").alias("lb")), "other")
+             .filter("la <> lb").select("cell", "other"))
+    closest = nb.closest_between(split, settle(pairs), low, dim, high)
     links = settle(
-        nb.eps_neighbors(labels, height, dim).filter("id < other")
-        .join(part.withColumnRenamed("label", "la"), "id")
-        .join(part.select(F.col("id").alias("other"), F.col("label").alias("lb")), "other")
-        .filter("la <> lb")
+        closest.join(part.select(F.col("cell").alias("home"), F.col("part").alias("la")), "home")
+        .join(part.select(F.col("cell").alias("away"), F.col("part").alias("lb")), "away")
         .groupBy(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"))
         .agg(F.min(F.struct("distance", "id", "other")).alias("rank")))
+    labels = split.select("id", "features", F.col("component").alias("label"))
     parts = settle(labels.select(F.col("label").alias("id")).distinct())
     names = parts.withColumn("component", F.col("id"))
     chosen = None
@@ -329,9 +328,9 @@ def dbscan_1d(points: DataFrame, keys: list[str], value: str, eps: float = schem
     cores = scan.with_columns(__new=apart.cast("int")).running(
         island=Running("sum", F.col("__new"))).result().select(*keys, "x", "first_id", "island")
     parts = cores.groupBy(*keys, "island").agg(F.min("first_id").alias("first_core"))
-    cores = attach(cores, parts, [*keys, "island"], "inner", sizes).select(
+    cores = attach(cores, parts, [*keys, "island"], "inner").select(
         *keys, "x", F.struct("x", "first_core").alias("core"))
-    line = join_on(values.select(*keys, "x", "first_id"), cores, [*keys, "x"], "left")
+    line = attach(values.select(*keys, "x", "first_id"), cores, [*keys, "x"], "left")
     scan = ordered(line, keys, ["x"], bound=sizes).running(
         below=Running("last", F.col("core")), above=Running("last", F.col("core"), backward=True))
     x = F.col("x")
@@ -340,7 +339,7 @@ def dbscan_1d(points: DataFrame, keys: list[str], value: str, eps: float = schem
     found = settle(scan.result().select(
         *keys, "x", F.col("first_id").alias("id"), F.least(by_below, by_above).alias("label")))
     found = renumber_labels(found, keys, bound=sizes).select(*keys, F.col("x").alias(value), "label")
-    return attach(points.drop("label"), found, [*keys, value], "inner", sizes)
+    return attach(points.drop("label"), found, [*keys, value], "inner")
 
 
 def dbscan(points: DataFrame, eps: float = schema.DBSCAN_EPS,
@@ -354,31 +353,29 @@ def dbscan(points: DataFrame, eps: float = schema.DBSCAN_EPS,
     """
     placed = settle(nb.cell_table(points, eps, dim).select("id", "features", "cell"))
     boxes = settle(nb._box(placed, ["cell"], dim))
-    axes = nb.widest_dims(placed, dim)
-    pairs = settle(nb.neighbour_cells(boxes, eps, dim, axes))
+    pairs = settle(nb.neighbour_cells(boxes, eps, dim))
     dense = boxes.filter(F.col("n") >= min_points).select("cell")
     sparse = boxes.filter(F.col("n") < min_points)
-    sizes = measure(placed, ["cell"])
-    probes = attach(placed, sparse.select("cell", F.col("n").alias("same")), ["cell"], "inner", sizes)
+    probes = attach(placed, sparse.select("cell", F.col("n").alias("same")), ["cell"], "inner")
 
     def near(targets: DataFrame) -> DataFrame:
         """Probes with each target point of another cell within eps."""
         asked = probes.select("cell", F.col("id").alias("probe"), F.col("features").alias("__p")).join(
             pairs, "cell").select(F.col("other").alias("cell"), "probe", "__p")
-        met = attach(targets, asked, ["cell"], "inner", sizes)
+        met = attach(targets, asked, ["cell"], "inner")
         return met.filter(vec.distance(F.col("__p"), F.col("features")) <= eps)
 
     outside = near(placed).groupBy("probe").agg(F.count(F.lit(1)).alias("outside"))
     counted = probes.join(outside.withColumnRenamed("probe", "id"), "id", "left")
     few_core = counted.filter(F.col("same") + F.coalesce("outside", F.lit(0)) >= min_points)
-    core = settle(attach(placed, dense, ["cell"], "left_semi", sizes).unionByName(
+    core = settle(attach(placed, dense, ["cell"], "left_semi").unionByName(
         few_core.select("id", "features", "cell")))
     if core.isEmpty():
         return points.withColumn("label", F.lit(0))
     core_boxes = core.select("cell").distinct()
     core_pairs = pairs.join(core_boxes, "cell", "left_semi").join(
         core_boxes.withColumnRenamed("cell", "other"), "other", "left_semi").select("cell", "other")
-    core = settle(_component_of_cells(core, core, eps, dim, axes, core_pairs))
+    core = settle(_component_of_cells(core, core, eps, dim, core_pairs))
     named = core.select("id", F.col("component").alias("label"))
     # border points: the lowest component among the cores within eps, own cell included
     border = probes.join(named, "id", "left_anti").select("id", "cell")

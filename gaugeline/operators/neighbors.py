@@ -9,16 +9,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeline.functions import vectors as vec
-from gaugeline.plans.groups import Sizes, attach, join_on
+from gaugeline.plans.groups import Sizes, attach
 from gaugeline.plans.ordered import HOME, Running, ordered
 from gaugeline.session import settle
 
-GRID_DIMS = 3
+# The grid operators are meant for so many dimensions; in more, most cells neighbour each other.
+GRID_DIMS = 4
 # Cell widths keep this relative distance from eps, so that rounding in the cell
 # number can neither part neighbours nor join strangers.
 MARGIN = 1e-9
 # A side of a cell pair with at most this many points is measured point by point.
 FEW = 32
+# Entries of one tree node whose pairs are compared.
+NODE_ENTRIES = 1_000
+# Places that a cell may hold per neighbour asked for when a kNN search starts.
+KNN_CELL = 8
 
 
 def nearest_of(features: Column, centroids: Column) -> Column:
@@ -53,16 +58,27 @@ def centroid_pairs(centroids: DataFrame, keys: list[str]) -> DataFrame:
     b = centroids.select(*keys, F.col("label").alias("b"), F.col("centroid").alias("cb"))
     if not keys:
         a, b, keys = a.withColumn("__one", F.lit(1)), b.withColumn("__one", F.lit(1)), ["__one"]
-    return (join_on(a, b, keys).filter("a <> b")
+    return (attach(a, b, keys).filter("a <> b")
             .withColumn("distance", vec.distance(F.col("ca"), F.col("cb")))
             .drop("ca", "cb", "__one"))
 
 
 def farthest_pair(centroids: DataFrame, keys: list[str]) -> DataFrame:
-    """The two most distant centroids of each key; equal distances go to the lowest labels."""
-    pairs = centroid_pairs(centroids, keys).filter("a < b")
-    top = F.max_by(F.struct("a", "b", "distance"), F.struct(F.col("distance"), -F.col("a"), -F.col("b")))
-    return pairs.groupBy(*keys).agg(top.alias("__p")).select(*keys, "__p.*")
+    """The two most distant centroids of each key; equal distances go to the lowest labels.
+
+    A key is one tree node: its entries are held as one array and compared there.  A node of
+    more than NODE_ENTRIES entries is an error.
+    """
+    many = F.count(F.lit(1)) > NODE_ENTRIES
+    nodes = centroids.groupBy(*keys).agg(
+        F.when(many, F.raise_error(F.lit(f"a node holds more than {NODE_ENTRIES} entries")).cast("boolean")).alias("__many"),
+        F.array_sort(F.collect_list(F.struct("label", "centroid"))).alias("__e"))
+    pairs = F.flatten(F.transform("__e", lambda a: F.transform(
+        F.filter("__e", lambda b: b["label"] > a["label"]), lambda b: F.struct(
+            vec.distance(a["centroid"], b["centroid"]).alias("distance"), (-a["label"]).alias("na"),
+            (-b["label"]).alias("nb"), a["label"].alias("a"), b["label"].alias("b")))))
+    top = nodes.filter("__many is null").select(*keys, F.array_max(pairs).alias("__p")).filter("__p is not null")
+    return top.select(*keys, "__p.a", "__p.b", "__p.distance")
 
 
 def bisect(centroids: DataFrame, keys: list[str]) -> DataFrame:
@@ -72,10 +88,10 @@ def bisect(centroids: DataFrame, keys: list[str]) -> DataFrame:
     one = ["__one"]
     mark = (lambda df: df) if keys else (lambda df: df.withColumn("__one", F.lit(1)))
     on = keys or one
-    first = join_on(mark(seeds), mark(spot), on).filter("a = __l").select(
+    first = attach(mark(seeds), mark(spot), on).filter("a = __l").select(
         *on, F.col("__c").alias("ca"), "b")
-    both = join_on(first, mark(spot), on).filter("b = __l").select(*on, "ca", F.col("__c").alias("cb"))
-    sided = join_on(mark(centroids), both, on)
+    both = attach(first, mark(spot), on).filter("b = __l").select(*on, "ca", F.col("__c").alias("cb"))
+    sided = attach(mark(centroids), both, on)
     to_a, to_b = vec.distance(F.col("centroid"), F.col("ca")), vec.distance(F.col("centroid"), F.col("cb"))
     return sided.withColumn("side", F.when(to_a <= to_b, 0).otherwise(1)).drop("ca", "cb", "__one")
 
@@ -110,7 +126,7 @@ def eps_counts(values: DataFrame, keys: list[str], eps: float,
     ends = scan.result().filter("__sign <> 0")
     counts = ends.groupBy(*keys, F.col("__of").alias("x")).agg(
         F.sum(F.col("__f") * F.col("__sign")).alias("neighbors"))
-    return join_on(values, counts, [*keys, "x"])
+    return attach(values, counts, [*keys, "x"])
 
 
 def knn_distance(points: DataFrame, keys: list[str], value: str, k: int) -> DataFrame:
@@ -136,11 +152,9 @@ def knn_distance(points: DataFrame, keys: list[str], value: str, k: int) -> Data
 # ---- any number of dimensions ----------------------------------------------------------
 
 
-def widest_dims(points: DataFrame, dim: int) -> list[int]:
-    """The up to GRID_DIMS dimensions with the widest spread, for the grid key."""
-    x = F.col("features")
-    row = points.agg(*[(F.max(x[i]) - F.min(x[i])).alias(f"w{i}") for i in range(dim)]).first()
-    return sorted(sorted(range(dim), key=lambda i: (-(row[i] or 0.0), i))[:GRID_DIMS])
+def _grid_only(dim: int) -> None:
+    if dim > GRID_DIMS:
+        raise ValueError(f"grid operators take up to {GRID_DIMS} dimensions, not {dim}")
 
 
 def _around(cell: list[Column], reach: int = 1) -> Column:
@@ -151,14 +165,13 @@ def _around(cell: list[Column], reach: int = 1) -> Column:
 def eps_neighbors(points: DataFrame, eps: float, dim: int) -> DataFrame:
     """All pairs (id, other, distance) within eps, each point with itself included.
 
-    Grid equi-join on up to three dimensions, then the exact distance.  The
-    result has one row per neighbour pair; operators that need only counts or
-    components use the cell table below instead.
+    Grid equi-join, then the exact distance.  The result has one row per neighbour pair;
+    operators that need only counts or components use the cell table below instead.
     """
-    axes = widest_dims(points, dim)
+    _grid_only(dim)
     x = F.col("features")
     width = eps * (1 + MARGIN)
-    cell = [F.floor(x[i] / width) for i in axes]
+    cell = [F.floor(x[i] / width) for i in range(dim)]
     left = points.select("id", "features", F.array(*cell).alias("__cell"))
     right = points.select(F.col("id").alias("other"), x.alias("__f"),
                           F.explode(_around(cell)).alias("__cell2"))
@@ -167,6 +180,53 @@ def eps_neighbors(points: DataFrame, eps: float, dim: int) -> DataFrame:
             .select("id", "other", gap.alias("distance")))
 
 
+def knn_distance_vectors(points: DataFrame, k: int, dim: int) -> DataFrame:
+    """Adds `knn`: the distance to the k-th nearest other point, in up to four dimensions.
+
+    Copies count as one place with a weight.  Cells start so small that few places share one, and a place
+    looks at the cells around its own.  It is done when its k-th distance is within one cell width;
+    the others go on with cells twice as wide, so sparse regions take more rounds and dense ones
+    never meet wide cells.  With fewer than k others the farthest counts; a lone point has 0.
+    """
+    _grid_only(dim)
+    x = F.col("features")
+    places = settle(points.groupBy("features").agg(F.count(F.lit(1)).alias("weight")))
+    ends = places.agg(F.count(F.lit(1)), *[F.min(x[i]) for i in range(dim)], *[F.max(x[i]) for i in range(dim)]).first()
+    low, high = ([v or 0.0 for v in ends[a:a + dim]] for a in (1, 1 + dim))
+    spread = max(b - a for a, b in zip(low, high)) or 1.0
+    width = spread * (max(1, k) / max(1, ends[0])) ** (1 / dim)
+
+    def spot(width: float) -> list[Column]:
+        return [F.floor((x[i] - low[i]) / width) for i in range(dim)]
+
+    while True:
+        cells = [c.alias(f"c{i}") for i, c in enumerate(spot(width))]
+        fullest = places.groupBy(*cells).count().agg(F.max("count")).first()[0] or 0
+        if fullest <= KNN_CELL * k or width < spread * 1e-12:
+            break
+        width /= 2
+    open_places, done = places.select("features", "weight"), None
+    while True:
+        cell = spot(width)
+        asks = open_places.select(x.alias("ask"), F.col("weight").alias("own"), F.explode(_around(cell)).alias("cell"))
+        met = asks.join(places.select(F.array(*cell).alias("cell"), "features", "weight"), "cell")
+        near = met.groupBy("ask", "own").agg(F.array_sort(F.collect_list(F.struct(
+            vec.distance(F.col("ask"), x).alias("d"), F.when(F.col("ask") == x, F.col("weight") - 1).otherwise(
+                F.col("weight")).alias("w")))).alias("near"))
+        reached = F.aggregate("near", F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("d")),
+                              lambda s, o: F.when((s["n"] >= k) | (o["w"] == 0), s).otherwise(
+                                  F.struct((s["n"] + o["w"]).alias("n"), o["d"].alias("d"))))
+        whole = width > 2 * spread
+        judged = settle(near.select(F.col("ask").alias("features"), F.col("own").alias("weight"), reached.alias("r")))
+        sure = F.lit(whole) | ((F.col("r.n") >= k) & (F.col("r.d") <= width * (1 - MARGIN)))
+        ready = judged.filter(sure).select("features", F.col("r.d").alias("knn"))
+        done = ready if done is None else done.unionByName(ready)
+        open_places = judged.filter(~sure).select("features", "weight")
+        if whole or open_places.isEmpty():
+            return attach(points, done, ["features"])
+        width *= 2
+
+
 def cell_table(points: DataFrame, eps: float, dim: int) -> DataFrame:
     """Points with their cell: cells so small that all points of one are within eps."""
     width = eps / math.sqrt(dim) * (1 - MARGIN)
@@ -197,76 +257,106 @@ def _box_span(lo: Column, hi: Column, lo2: Column, hi2: Column) -> Column:
     return F.sqrt(vec.total(vec.squares(across)))
 
 
-def neighbour_cells(boxes: DataFrame, eps: float, dim: int, axes: list[int]) -> DataFrame:
-    """Pairs (cell, other) of different cells whose boxes come within eps.
+def neighbour_cells(boxes: DataFrame, eps: float, dim: int, within: float | None = None) -> DataFrame:
+    """Pairs (cell, other) of different cells whose boxes come within `within` (eps, the cells' own, by default).
 
-    Joined on a coarse grid over up to three dimensions; a cell stands for all its
-    points, so the work depends on the number of cells only.
+    Joined on a coarse grid; a cell stands for all its points, so the work depends on
+    the number of cells only.
     """
-    reach = math.floor(math.sqrt(dim) * (1 + 2 * MARGIN)) + 1
-    coarse = [F.floor(F.col("cell")[i] / reach) for i in axes]
+    _grid_only(dim)
+    within = eps if within is None else within
+    reach = math.floor(math.sqrt(dim) * (1 + 2 * MARGIN) * within / eps) + 1
+    coarse = [F.floor(F.col("cell")[i] / reach) for i in range(dim)]
     left = boxes.select("cell", "lo", "hi", F.array(*coarse).alias("__c"))
     right = boxes.select(F.col("cell").alias("other"), F.col("lo").alias("lo2"),
                          F.col("hi").alias("hi2"), F.explode(_around(coarse)).alias("__c2"))
-    near = _box_gap(F.col("lo"), F.col("hi"), F.col("lo2"), F.col("hi2")) <= eps
+    near = _box_gap(F.col("lo"), F.col("hi"), F.col("lo2"), F.col("hi2")) <= within
     return (left.join(right, (F.col("__c") == F.col("__c2")) & (F.col("cell") != F.col("other")) & near)
             .select("cell", "other"))
 
 
-def linked_cells(points: DataFrame, pairs: DataFrame, eps: float, dim: int) -> DataFrame:
-    """Those of the neighbouring cell pairs that hold two points within eps.
-
-    `points` has cell, id and features.  Boxes decide many pairs: far boxes are
-    out, boxes that fit into eps are in.  Where one side of an open pair holds at
-    most FEW points, these are measured against the other side, so a point meets a
-    bounded number of others.  Two full sides are looked at again with every box
-    cut in half along each side.  Boxes shrink to single points, where gap and
-    span agree, so every pair is decided exactly and no two dense cells are ever
-    paired point by point.
+def _sides(width: float, dim: int, level: int) -> list[float]:
+    """Box sides after `level` halvings, which go round the axes: always a widest side is halved."""
+    return [width / 2 ** ((level + dim - 1 - i) // dim) for i in range(dim)]
+
+
+def _compared(points: DataFrame, pairs: DataFrame, eps: float, dim: int, within: float, nearest: bool) -> DataFrame:
+    """Cell pairs (home, away) with points within `within`; with `nearest` also their closest pair (distance, id, other).
+
+    `points` has cell, id and features.  Boxes decide many pairs: far boxes are out; boxes that fit into `within`
+    are in, or bound the closest distance.  Where one side of an open pair holds at most FEW points, these are
+    measured against the other side.  Two full sides are looked at again with the widest side of every box
+    cut in half, which makes at most four pairs of one, most of them far or decided.  Boxes shrink to single
+    places, where gap and span agree, so every pair is decided exactly and no two full
+    boxes are ever paired point by point.
     """
     width = eps / math.sqrt(dim) * (1 - MARGIN)
     open_pairs = pairs.filter("cell < other").select(
         F.col("cell").alias("home"), F.col("other").alias("away"),
         F.col("cell").alias("a"), F.col("other").alias("b"))
-    linked = None
-    level = 0
+    both = ["home", "away"]
+
+    def part(level: int) -> Column:
+        return F.array(*[F.floor(F.col("features")[i] / s) for i, s in enumerate(_sides(width, dim, level))])
+
+    found, level = None, 0
     while True:
-        side, finer = width / 2 ** level, width / 2 ** (level + 1)
-        parted = points.withColumn("part", F.transform("features", lambda v: F.floor(v / side)))
-        boxes = _box(parted, ["part"], dim).select("part", "n", "lo", "hi")
+        parted = points.withColumn("part", part(level))
+        boxes = _box(parted, ["part"], dim).select("part", "n", "first_id", "lo", "hi")
         one, two = (boxes.select(*[F.col(c).alias(x + c) for c in boxes.columns]) for x in "ab")
         args = [F.col(c) for c in ("alo", "ahi", "blo", "bhi")]
-        judged = settle(
-            open_pairs.join(one, F.col("a") == F.col("apart")).join(two, F.col("b") == F.col("bpart"))
-            .withColumns({"gap": _box_gap(*args), "span": _box_span(*args)})
-            .filter(F.col("gap") <= eps)
-            .select("home", "away", "a", "b", (F.col("span") <= eps).alias("inside"),
-                    F.least("an", "bn").alias("fewer"), (F.col("an") <= F.col("bn")).alias("a_fewer")))
-        found = judged.filter("inside").select("home", "away").distinct()
-        undecided = judged.filter("not inside").join(found, ["home", "away"], "left_anti")
+        judged = (open_pairs.join(one, F.col("a") == F.col("apart")).join(two, F.col("b") == F.col("bpart"))
+                  .withColumns({"gap": _box_gap(*args), "span": _box_span(*args)}).filter(F.col("gap") <= within)
+                  .select(*both, "a", "b", "gap", "span", "afirst_id", "bfirst_id",
+                          F.least("an", "bn").alias("fewer"), (F.col("an") <= F.col("bn")).alias("a_fewer")))
+        judged = settle(judged)
+        if nearest:
+            bound = judged.groupBy(*both).agg(F.min("span").alias("bound"))
+            judged = judged.join(bound, both).filter("gap <= bound")
+            sure = judged.filter("gap = span")
+            undecided = judged.filter("gap < span")
+        else:
+            sure = judged.filter(F.col("span") <= within)
+            undecided = judged.filter(F.col("span") > within).join(sure.select(*both).distinct(), both, "left_anti")
+        ids = [F.least("afirst_id", "bfirst_id"), F.greatest("afirst_id", "bfirst_id")]
+        closest = sure.select(*both, F.struct(F.col("span").alias("distance"), ids[0].alias("id"), ids[1].alias("other")).alias("p"))
         small = undecided.filter(F.col("fewer") <= FEW).select(
-            "home", "away", F.when(F.col("a_fewer"), F.col("a")).otherwise(F.col("b")).alias("part"),
+            *both, F.when(F.col("a_fewer"), F.col("a")).otherwise(F.col("b")).alias("part"),
             F.when(F.col("a_fewer"), F.col("b")).otherwise(F.col("a")).alias("full"))
-        probes = small.join(parted.select("part", F.col("features").alias("probe")), "part").select(
-            "home", "away", F.col("full").alias("part"), "probe")
-        met = attach(parted.select("part", "features"), probes, ["part"], "inner")
-        met = met.filter(vec.distance(F.col("probe"), F.col("features")) <= eps)
-        found = found.unionByName(met.select("home", "away").distinct())
-        linked = found if linked is None else linked.unionByName(found)
+        probes = small.join(parted.select("part", F.col("features").alias("probe"), F.col("id").alias("__id")), "part").select(
+            *both, F.col("full").alias("part"), "probe", "__id")
+        met = attach(parted.select("part", "features", "id"), probes, ["part"])
+        gap = vec.distance(F.col("probe"), F.col("features"))
+        met = met.filter(gap <= within).select(*both, F.struct(
+            gap.alias("distance"), F.least("id", "__id").alias("id"), F.greatest("id", "__id").alias("other")).alias("p"))
+        best = closest.unionByName(met).groupBy(*both).agg(F.min("p").alias("p"))
+        found = best if found is None else found.unionByName(best)
         full = undecided.filter(F.col("fewer") > FEW)
         if full.isEmpty():
-            return settle(linked.distinct())
-        halves = parted.select(
-            "part", F.transform("features", lambda v: F.floor(v / finer)).alias("half")).distinct()
+            return settle(found.groupBy(*both).agg(F.min("p").alias("p")).select(*both, "p.*"))
+        halves = parted.select("part", part(level + 1).alias("half")).distinct()
         open_pairs = settle(
             full.join(halves.select(F.col("part").alias("a"), F.col("half").alias("a2")), "a")
             .join(halves.select(F.col("part").alias("b"), F.col("half").alias("b2")), "b")
-            .select("home", "away", F.col("a2").alias("a"), F.col("b2").alias("b")))
-        live = open_pairs.select(F.explode(F.array("home", "away")).alias("cell")).distinct()
+            .select(*both, F.col("a2").alias("a"), F.col("b2").alias("b")))
+        live = open_pairs.select(F.explode(F.array(*both)).alias("cell")).distinct()
         points = settle(attach(points, live, ["cell"], "left_semi"))
         level += 1
 
 
+def linked_cells(points: DataFrame, pairs: DataFrame, eps: float, dim: int) -> DataFrame:
+    """Those of the neighbouring cell pairs that hold two points within eps."""
+    return _compared(points, pairs, eps, dim, eps, False).select("home", "away")
+
+
+def closest_between(points: DataFrame, pairs: DataFrame, eps: float, dim: int, within: float) -> DataFrame:
+    """Closest points (distance, id, other) of each cell pair, if within `within`; cells are those of eps.
+
+    Of equal distances the lowest ids count.
+    """
+    return _compared(points, pairs, eps, dim, within, True)
+
+
 def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """Component of each vertex: the lowest id in it.
 

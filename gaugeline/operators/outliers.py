@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeline import schema
-from gaugeline.plans.groups import Sizes, attach, join_on, with_group_aggs
+from gaugeline.plans.groups import Sizes, attach, with_group_aggs
 from gaugeline.plans.ordered import HOME, Ordered, Running, ordered
 from gaugeline.functions.vectors import let, total
 from gaugeline.session import settle
@@ -94,8 +94,11 @@ def cf_online_outlier(
     Leaves are the grid leaves of `cf_leaves`.  A leaf is a baseline from its
     `min_baseline`-th reading on, and centroids of different cells are ordered
     like the cells, so the nearest baseline is the reading's own cell or the
-    closest baseline cell below or above.  Only those three are looked up, with
-    one ordered scan over (key, cell): cost is linear in the readings.
+    closest baseline cell below or above.  A key's baselines only change when a leaf becomes one, so
+    these three are found once per (key, number of baselines so far, cell) and joined to the
+    readings; their CFs come from one ordered scan over (key, cell).  The work is linear in the
+    readings, plus those distinct places times the key's baselines.  Radii are taken from SS/N - mean^2, so
+    values should be shifted to near zero first where they are more than some 1e6 sigmas away.
 
     `prior` carries the leaf CFs of all earlier readings (streams): keys, leaf_id, n, ls, ss.
 
@@ -107,7 +110,7 @@ def cf_online_outlier(
     rows = scan.result().withColumn("cell", F.floor(v / step))
     if prior is not None:
         seen = prior.groupBy(*keys).agg(F.sum("n").alias("__seen"))
-        rows = attach(rows, seen, keys, "left", scan.sizes)
+        rows = attach(rows, seen, keys, "left")
         rows = rows.withColumn("position", F.col("position") + F.coalesce("__seen", F.lit(0)))
         rows = rows.drop("__seen")
     rows = settle(rows)
@@ -126,21 +129,24 @@ def cf_online_outlier(
                .result()
                .filter(F.col("__count") >= min_baseline)
                .groupBy(*leaf_keys).agg(F.min("position").alias("since")))
-    # Baseline leaves of a key: the summary, at most readings / min_baseline cells of width 2T.
-    leaves = reached.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("leaf", "since"))).alias("__leaves"))
-
-    # 2. the up to three candidate cells of each reading
-    ready = F.filter("__leaves", lambda b: b["since"] < F.col("position"))
-    below = F.array_max(F.filter(F.transform(ready, lambda b: b["leaf"]),
-                                 lambda c: c < F.col("cell")))
-    above = F.array_min(F.filter(F.transform(ready, lambda b: b["leaf"]),
-                                 lambda c: c > F.col("cell")))
-    same = F.exists(ready, lambda b: b["leaf"] == F.col("cell"))
-    asking = rows.select(*keys, "position", "cell", v.alias("__v"))
-    asking = attach(asking, leaves, keys, "inner", scan.sizes)
-    probes = asking.select(*keys, "position", "__v", F.explode(F.array_compact(F.array(
-        below, F.when(same, F.col("cell")), above))).alias("leaf"))
+    # 2. how many baselines a key has before each reading, and the candidate cells of each such place
+    begins = reached.select(*keys, F.col("since").alias("position"), F.lit(1).alias("__turn"), F.col("leaf").alias("cell"),
+                            F.lit(None).cast("double").alias("__v"))
+    asking = rows.select(*keys, "position", F.lit(0).alias("__turn"), "cell", v.alias("__v"))
+    line = settle(ordered(asking.unionByName(begins), keys, ["position", "__turn", "cell"], bound=scan.sizes)
+                  .running(__epoch=Running("sum", F.col("__turn"))).result())
+    # Baseline leaves of a key: the summary, cells of width 2T that hold min_baseline readings each.
+    leaves = line.filter("__turn = 1").groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct(F.col("cell").alias("leaf"), "__epoch"))).alias("__leaves"))
+    asking = line.filter("__turn = 0 and __epoch > 0").drop("__turn")
+    places = attach(asking.select(*keys, "__epoch", "cell").distinct(), leaves, keys)
+    ready = F.transform(F.filter("__leaves", lambda b: b["__epoch"] <= F.col("__epoch")), lambda b: b["leaf"])
+    places = places.withColumn("__ready", ready).select(*keys, "__epoch", "cell", F.array_compact(F.array(
+        F.array_max(F.filter("__ready", lambda c: c < F.col("cell"))),
+        F.when(F.array_contains("__ready", F.col("cell")), F.col("cell")),
+        F.array_min(F.filter("__ready", lambda c: c > F.col("cell"))))).alias("__near"))
+    probes = attach(asking, places, [*keys, "__epoch", "cell"]).select(
+        *keys, "position", "__v", F.explode("__near").alias("leaf"))
 
     # 3. CF of each candidate just before the reading: probes and updates in one scan
     updates = own.withColumn("__v", F.lit(None).cast("double")).withColumn("__probe", F.lit(0))
@@ -161,7 +167,7 @@ def cf_online_outlier(
                         F.col("leaf").alias("nearest_cell"))
     best = near.groupBy(*keys, "position").agg(
         F.min(F.struct("distance", "nearest_cell", "scale")).alias("__b"))
-    scored = join_on(rows, best, [*keys, "position"], "left")
+    scored = attach(rows, best, [*keys, "position"], "left")
     z = F.col("__b.distance") / F.col("__b.scale")
     return (scored
             .withColumn("nearest_cell", F.col("__b.nearest_cell"))
@@ -185,7 +191,7 @@ def consecutive_alerts(scored: DataFrame, keys: list[str], order: list[str],
     before = F.lit(0).cast("bigint")
     if prior is not None:
         carried = prior.select(*keys, F.col("streak").alias("__carried"))
-        rows = attach(rows, carried, keys, "left", scan.sizes)
+        rows = attach(rows, carried, keys, "left")
         before = F.coalesce("__carried", F.lit(0))
     run = F.when(F.col("__reset").isNull(), F.col("__at") + 1 + before).otherwise(
         F.col("__at") - F.col("__reset"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gaugeline.functions import vectors as vec
 from gaugeline.operators import neighbors as nb
-from gaugeline.plans.groups import attach, join_on, measure
+from gaugeline.plans.groups import attach, measure
 from gaugeline.plans.ordered import Running, ordered
 from gaugeline.session import settle
 
@@ -24,6 +24,17 @@ def without_noise(points: DataFrame, noise: int | None) -> DataFrame:
     return points if noise is None else points.filter(F.col("label") != noise)
 
 
+def centred(points: DataFrame, keys: list[str], dim: int) -> DataFrame:
+    """Points moved so that the mean of each key is the origin.
+
+    Distances stay the same.  Sums of squares lose digits when the mean is large against the
+    spread, so whatever works from CFs does it on centred points.
+    """
+    middle = points.groupBy(*keys).agg(vec.mean_of(F.col("features"), dim).alias("__middle"))
+    moved = _with_key_row(points, middle, keys)
+    return moved.withColumn("features", F.zip_with("features", "__middle", lambda x, m: x - m)).drop("__middle")
+
+
 def cluster_features(points: DataFrame, keys: list[str], dim: int) -> DataFrame:
     """CF and centroid of each label."""
     x = F.col("features")
@@ -52,7 +63,7 @@ def davies_bouldin(points: DataFrame, keys: list[str], dim: int, noise: int | No
     gaps = attach(points, centers, on, "inner").withColumn(
         "__d", vec.distance(F.col("features"), F.col("__c")))
     spread = gaps.groupBy(*on).agg(F.avg("__d").alias("__s"))
-    rows = join_on(clusters.select(*on, "centroid"), spread, on)
+    rows = attach(clusters.select(*on, "centroid"), spread, on)
     lists = rows.groupBy(*keys).agg(
         F.collect_list(F.struct("label", "centroid", "__s")).alias("__all"))
     rows = _with_key_row(rows, lists, keys)
@@ -70,9 +81,11 @@ def calinski_harabasz(points: DataFrame, keys: list[str], dim: int, noise: int |
     """(B / (k - 1)) / (W / (n - k)); 0 for k < 2, k >= n or W = 0.
 
     The squared form comes from the clusters' CFs alone.  `squared=False` adds up
-    plain distances and joins the centroids back to the points.
+    plain distances and joins the centroids back to the points.  `clusters`, if given, come from
+    centred points, as the points then are.
     """
     points = without_noise(points, noise)
+    points = points if clusters is not None else settle(centred(points, keys, dim))
     clusters = clusters if clusters is not None else cluster_features(points, keys, dim)
     whole = clusters.groupBy(*keys).agg(
         F.sum("n").alias("__n"),
@@ -90,7 +103,7 @@ def calinski_harabasz(points: DataFrame, keys: list[str], dim: int, noise: int |
         centers = clusters.select(*on, F.col("centroid").alias("__c"))
         gaps = attach(points, centers, on, "inner").groupBy(*on).agg(
             F.sum(vec.distance(F.col("features"), F.col("__c"))).alias("__w"))
-        parts = join_on(both, gaps, on)
+        parts = attach(both, gaps, on)
     sums = parts.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("__k"), F.sum("n").alias("__rows"),
         F.sum(F.col("n") * between).alias("__b"), F.sum("__w").alias("__in"))
@@ -102,7 +115,7 @@ def calinski_harabasz(points: DataFrame, keys: list[str], dim: int, noise: int |
 
 def _with_key_row(rows: DataFrame, per_key: DataFrame, keys: list[str]) -> DataFrame:
     if keys:
-        return join_on(rows, per_key, keys)
+        return attach(rows, per_key, keys)
     return rows.withColumns({c: per_key.select(c).scalar() for c in per_key.columns})
 
 
@@ -139,7 +152,7 @@ def silhouette_1d(points: DataFrame, keys: list[str], value: str, noise: int | N
     clusters = values.groupBy(*keys, "label").agg(
         F.sum("weight").alias("own_n"), F.sum(w * x).alias("own_s"),
         F.min("x").alias("__lo"), F.max("x").alias("__hi"))
-    rows = attach(scan.result(), clusters.drop("__lo", "__hi"), [*keys, "label"], "inner", sizes)
+    rows = attach(scan.result(), clusters.drop("__lo", "__hi"), [*keys, "label"], "inner")
     own = _gap_sum(x, F.col("__c"), F.col("__s"), F.col("own_n"), F.col("own_s"))
     rows = rows.withColumn("__a", own / F.nullif(F.col("own_n") - (0 if include_self else 1), F.lit(0)))
     rows = rows.drop("__c", "__s")
@@ -150,35 +163,35 @@ def silhouette_1d(points: DataFrame, keys: list[str], value: str, noise: int | N
     clusters = line.result()
     if clusters.filter("__hi_before >= __lo").isEmpty():
         near = clusters.select(*keys, "label", "__left", "__right")
-        rows = attach(rows, near, [*keys, "label"], "inner", sizes)
+        rows = attach(rows, near, [*keys, "label"], "inner")
         b = F.least(x - F.col("__left"), F.col("__right") - x)
         return _mean_silhouette(rows, keys, F.col("__a"), b)
 
     others = clusters.select(*keys, F.col("label").alias("other"), F.col("own_n").alias("__n"),
                              F.col("own_s").alias("__t"))
-    lines = _each_other(rows.select(*keys, "x").distinct(), others, keys, sizes)
+    lines = _each_other(rows.select(*keys, "x").distinct(), others, keys)
     asks = lines.select(*keys, "other", "x", F.lit(1).alias("__turn"),
                         F.lit(0).cast("bigint").alias("weight"))
     mass = values.select(*keys, F.col("label").alias("other"), "x", F.lit(0).alias("__turn"), "weight")
     sums = ordered(mass.unionByName(asks), [*keys, "other"], ["x", "__turn"], bound=sizes).running(
         __c=Running("sum", w), __s=Running("sum", w * x)).result().filter("__turn = 1")
-    sums = attach(sums, others, [*keys, "other"], "inner", sizes)
+    sums = attach(sums, others, [*keys, "other"], "inner")
     far = _gap_sum(x, F.col("__c"), F.col("__s"), F.col("__n"), F.col("__t")) / F.col("__n")
     # nearest and second nearest cluster of each value: one of them is not its own
     spot = [*keys, "x"]
     sums = sums.withColumn("__far", far)
     nearest = sums.groupBy(*spot).agg(F.min(F.struct("__far", "other")).alias("__one"))
-    second = join_on(sums, nearest, spot).filter(F.col("other") != F.col("__one.other")).groupBy(
+    second = attach(sums, nearest, spot).filter(F.col("other") != F.col("__one.other")).groupBy(
         *spot).agg(F.min("__far").alias("__two"))
-    rows = join_on(join_on(rows, nearest, spot), second, spot, "left")
+    rows = attach(attach(rows, nearest, spot), second, spot, "left")
     b = F.when(F.col("__one.other") != F.col("label"), F.col("__one.__far")).otherwise(F.col("__two"))
     return _mean_silhouette(rows, keys, F.col("__a"), b)
 
 
-def _each_other(values: DataFrame, clusters: DataFrame, keys: list[str], sizes) -> DataFrame:
+def _each_other(values: DataFrame, clusters: DataFrame, keys: list[str]) -> DataFrame:
     names = clusters.groupBy(*keys).agg(F.collect_set("other").alias("__others"))
     if keys:
-        rows = attach(values, names, keys, "inner", sizes)
+        rows = attach(values, names, keys, "inner")
     else:
         rows = values.withColumn("__others", names.scalar())
     return rows.withColumn("other", F.explode("__others")).drop("__others")
@@ -193,9 +206,11 @@ def silhouette_squared(points: DataFrame, keys: list[str], dim: int, noise: int
                        clusters: DataFrame | None = None) -> DataFrame:
     """Mean silhouette with squared distances, from the clusters' CFs: linear in the points.
 
-    The mean squared distance of x to a cluster is |x|^2 - 2 x.LS/N + sum(SS)/N.
+    The mean squared distance of x to a cluster is |x|^2 - 2 x.LS/N + sum(SS)/N.  `clusters`, if given,
+    come from centred points, as the points then are.
     """
     points = without_noise(points, noise)
+    points = points if clusters is not None else settle(centred(points, keys, dim))
     clusters = clusters if clusters is not None else cluster_features(points, keys, dim)
     lists = clusters.groupBy(*keys).agg(F.collect_list(F.struct(
         "label", "n", "centroid", (vec.total(F.col("ss")) / F.col("n")).alias("q"))).alias("__all"))
@@ -268,18 +283,22 @@ def evaluate_clusters(points: DataFrame, keys: list[str], dim: int, noise: int |
                       silhouette: str = "squared", value: str | None = None) -> DataFrame:
     """All metrics with cluster and point counts, one row per key.
 
-    With `value` the points lie on a line and the silhouette is the exact one.
+    `silhouette` is the mean by plain distances: exact on a line (with `value`), quadratic work
+    for vectors.  The default for vectors is linear, by squared distances, and its column is
+    named `silhouette_squared`.
     """
     if silhouette not in SILHOUETTES:
         raise ValueError(f"silhouette must be one of {SILHOUETTES}")
     points = without_noise(points, noise)
     if value is not None:
         points = points.withColumn("features", F.array(F.col(value).cast("double")))
+    points = settle(centred(points, keys, dim))
     clusters = settle(cluster_features(points, keys, dim))
     if value is not None:
         shape = silhouette_1d(points, keys, value)
     elif silhouette == "squared":
-        shape = silhouette_squared(points, keys, dim, clusters=clusters)
+        shape = silhouette_squared(points, keys, dim, clusters=clusters).withColumnRenamed(
+            "silhouette", "silhouette_squared")
     elif keys:
         raise ValueError("the euclidean silhouette of vectors takes no keys")
     else:

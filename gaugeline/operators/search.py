@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline import schema
@@ -35,7 +35,7 @@ def find_optimal_k(points: DataFrame, dim: int, k_range: tuple[int, int] = (2, 1
         if metric == "silhouette" and euclidean:
             score = silhouette_euclidean(labelled)
         elif metric == "silhouette":
-            score = silhouette_squared(labelled, [], dim)
+            score = silhouette_squared(labelled, [], dim)  # linear; its column is still `silhouette`
         elif metric == "davies_bouldin":
             score = davies_bouldin(labelled, [], dim)
         else:
@@ -48,22 +48,30 @@ def find_optimal_k(points: DataFrame, dim: int, k_range: tuple[int, int] = (2, 1
     return scores.withColumns({"metric": F.lit(metric), "is_best": F.col("k") == best})
 
 
-def sorted_knn_curve(points: DataFrame, keys: list[str], value: str, k: int = schema.KNN) -> DataFrame:
-    """kNN distances of each key in ascending order with their 0-based rank."""
-    distances = nb.knn_distance(points, keys, value, k).select(*keys, "id", "knn")
+def sorted_knn_curve(points: DataFrame, keys: list[str], value: str | None, k: int = schema.KNN,
+                     dim: int | None = None) -> DataFrame:
+    """kNN distances of each key in ascending order with their 0-based rank.
+
+    Points are numbers in the column `value`, or vectors of `dim` numbers, which take no keys.
+    """
+    if dim is not None and keys:
+        raise ValueError("vectors take no keys")
+    near = (nb.knn_distance(points, keys, value, k) if dim is None
+            else settle(nb.knn_distance_vectors(points, k, dim)))
+    distances = near.select(*keys, "id", "knn")
     return ordered(distances, keys, ["knn", "id"], size_of=points).position("rank").result()
 
 
-def adaptive_eps(points: DataFrame, keys: list[str], value: str, k: int = schema.KNN,
-                 min_samples: int = schema.DBSCAN_MIN_POINTS) -> DataFrame:
-    """DBSCAN eps per key: the knee of the sorted kNN curve.
+def adaptive_eps(points: DataFrame, keys: list[str], value: str | None, k: int = schema.KNN,
+                 min_samples: int = schema.DBSCAN_MIN_POINTS, dim: int | None = None) -> DataFrame:
+    """DBSCAN eps per key: the knee of the sorted kNN curve, of numbers or of vectors.
 
     The curve is scaled to the unit square and fitted by a line; the point with
     the largest residual (of equal ones the first) gives eps.  Keys with fewer
     than min_samples + 1 points give 0 and low confidence.
     """
     tiny = 1e-10
-    curve = sorted_knn_curve(points, keys, value, k)
+    curve = sorted_knn_curve(points, keys, value, k, dim)
     curve = with_group_aggs(curve, keys, n=F.count(F.lit(1)), lo=F.min("knn"), hi=F.max("knn"))
     curve = curve.withColumns({
         "x": F.col("rank") / F.col("n"),
@@ -93,18 +101,18 @@ def adaptive_eps(points: DataFrame, keys: list[str], value: str, k: int = schema
 
 def stability(points: DataFrame, clustering: Callable[[DataFrame], DataFrame],
               bootstraps: int = schema.BOOTSTRAPS, ratio: float = schema.BOOTSTRAP_RATIO,
-              seed: int = 42) -> DataFrame:
+              seed: int = 42, drawn: Callable[[int], Column] | None = None) -> DataFrame:
     """Mean adjusted Rand index over all pairs of subsample clusterings.
 
     A point is in sample b when its hash with b falls below the ratio, so samples
-    repeat exactly on any cluster.  Two samples are compared on the points both
-    hold.
+    repeat exactly on any cluster; `drawn(b)` may give another rule.  Two samples are compared on the
+    points both hold; `pairs` counts those that share any.  A single sample agrees with itself: 1.
     """
     points = settle(points)
     runs = None
     for b in range(bootstraps):
-        draw = F.pmod(F.xxhash64(F.col("id"), F.lit(seed), F.lit(b)), F.lit(1_000_000))
-        labelled = clustering(points.filter(draw < ratio * 1_000_000)).select(
+        hashed = F.pmod(F.xxhash64(F.col("id"), F.lit(seed), F.lit(b)), F.lit(1_000_000))
+        labelled = clustering(points.filter(drawn(b) if drawn else hashed < ratio * 1_000_000)).select(
             "id", F.col("label").alias("l"), F.lit(b).alias("b"))
         runs = labelled if runs is None else runs.unionByName(labelled)
     runs = settle(runs)
@@ -112,4 +120,5 @@ def stability(points: DataFrame, clustering: Callable[[DataFrame], DataFrame],
     two = runs.select("id", F.col("b").alias("b2"), F.col("l").alias("l2"))
     pairs = one.join(two, "id").filter("b1 < b2")
     scores = adjusted_rand(pairs, ["b1", "b2"], "l1", "l2")
-    return scores.agg(F.avg("adjusted_rand").alias("stability"), F.count(F.lit(1)).alias("pairs"))
+    return scores.agg(F.coalesce(F.avg("adjusted_rand"), F.lit(1.0)).alias("stability"),
+                      F.count(F.lit(1)).alias("pairs"))

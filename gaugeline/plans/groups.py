@@ -5,13 +5,11 @@ from __future__ import annotations
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A group up to this many rows may be one task; larger ones are split.
+# A group up to this many rows may be one task of an ordered scan; larger ones are split.
 MAX_GROUP_ROWS = 2_000_000
-# Keys holding at least total / HOT_SHARE rows number at most HOT_SHARE.
-HOT_SHARE = 1_000
 LIMIT_SETTING = "spark.gaugeline.maxGroupRows"
 
 
@@ -30,8 +28,12 @@ def measure(df: DataFrame, keys: list[str]) -> Sizes:
     return Sizes(row[0] or 0, row[1] or 0)
 
 
-def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Equi-join that also matches null keys and keeps one copy of them."""
+def attach(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join that also matches null keys and keeps one copy of them.
+
+    Each side is read once.  Adaptive execution sees the real sizes: it broadcasts a small side, and
+    otherwise splits the partitions of hot keys, so no key is bound to one task.
+    """
     renamed = right.select(
         *[F.col(k).alias(f"__{k}") for k in keys],
         *[c for c in right.columns if c not in keys],
@@ -43,41 +45,9 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
     return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"__{k}" for k in keys])
 
 
-def attach(rows: DataFrame, per_key: DataFrame, keys: list[str], how: str = "left",
-           sizes: Sizes | None = None) -> DataFrame:
-    """Join one or a few rows per key to many rows of that key, without a hot task.
-
-    `sizes` may come from the same rows measured by coarser keys.
-
-    While one task can hold the largest key this is a plain join.  Otherwise the
-    rows of the hot keys (at most HOT_SHARE of them, so a bounded table) meet
-    their `per_key` row by broadcast, and only the others are shuffled.
-    """
-    sizes = sizes or measure(rows, keys)
-    limit = group_limit(rows)
-    if sizes.largest <= limit:
-        return join_on(rows, per_key, keys, how)
-    bar = max(limit, sizes.total // HOT_SHARE)
-    hot = (rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
-           .filter(F.col("__rows") > bar).drop("__rows").withColumn("__hot", F.lit(True)))
-    marked = join_on(rows, F.broadcast(hot), keys, "left")
-    per_hot = join_on(per_key, F.broadcast(hot.drop("__hot")), keys, "left_semi")
-    ours = marked.filter("__hot").drop("__hot")
-    rest = marked.filter("__hot is null").drop("__hot")
-    return join_on(ours, F.broadcast(per_hot), keys, how).unionByName(
-        join_on(rest, per_key, keys, how))
-
-
 def with_group_aggs(df: DataFrame, keys: list[str], **aggs: Column) -> DataFrame:
-    """Every row plus aggregates of its group.
-
-    Groups of a size one task can hold use one window, so one shuffle.  When a
-    larger group exists the aggregates are built with map-side combine and
-    attached, hot keys by broadcast.
-    """
-    sizes = measure(df, keys)
-    if sizes.largest <= group_limit(df):
-        window = Window.partitionBy(*keys)
-        return df.withColumns({name: agg.over(window) for name, agg in aggs.items()})
+    """Every row plus aggregates of its group, which are built with map-side combine."""
     per_key = df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()])
-    return attach(df, per_key, keys, "inner", sizes)
+    if not keys:
+        return df.withColumns({n: per_key.select(n).scalar() for n in aggs})
+    return attach(df, per_key, keys)

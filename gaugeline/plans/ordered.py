@@ -16,7 +16,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeline.plans.groups import Sizes, group_limit, join_on, measure
+from gaugeline.plans.groups import Sizes, attach, group_limit, measure
 from gaugeline.session import settle
 
 CHUNK = "_chunk"
@@ -42,6 +42,7 @@ class Ordered:
     split: bool
     limit: int
     sizes: Sizes
+    stored: bool = False  # whether reading `df` again costs no more than a scan of a settled table
 
     @property
     def parts(self) -> list[str]:
@@ -50,8 +51,12 @@ class Ordered:
     def _rows(self) -> Window:
         return Window.partitionBy(*self.parts).orderBy(*self.order)
 
-    def _with(self, df: DataFrame) -> "Ordered":
-        return replace(self, df=df)
+    def _with(self, df: DataFrame, stored: bool | None = None) -> "Ordered":
+        return replace(self, df=df, stored=self.stored if stored is None else stored)
+
+    def _settled(self) -> "Ordered":
+        """Ready for a step that reads the rows twice, so that m steps read 2m tables and not 2^m."""
+        return self if self.stored else self._with(settle(self.df), True)
 
     def with_columns(self, **columns: Column) -> "Ordered":
         return self._with(self.df.withColumns(columns))
@@ -65,6 +70,8 @@ class Ordered:
         return ones
 
     def running(self, **specs: Running) -> "Ordered":
+        if self.split and not self.stored:
+            return self._settled().running(**specs)
         local = self.df.withColumns({
             n: _over(s, s.value, self._rows()) for n, s in specs.items()
         })
@@ -81,14 +88,16 @@ class Ordered:
             _over(replace(s, inclusive=False), F.col(f"__{n}"), chunks).alias(f"__carry_{n}")
             for n, s in specs.items()
         ])
-        joined = join_on(local, carried, self.parts)
+        joined = attach(local, carried, self.parts)
         joined = joined.withColumns({
             n: _combine(s, F.col(n), F.col(f"__carry_{n}")) for n, s in specs.items()
         })
-        return self._with(joined.drop(*[f"__carry_{n}" for n in specs]))
+        return self._with(joined.drop(*[f"__carry_{n}" for n in specs]), False)
 
     def neighbour(self, step: int, **values: Column) -> "Ordered":
         """Values of the previous (-1) or next (+1) row of the key."""
+        if self.split and not self.stored:
+            return self._settled().neighbour(step, **values)
         shift = F.lag if step < 0 else F.lead
         rows = self._rows()
         local = self.df.withColumns({n: shift(v).over(rows) for n, v in values.items()})
@@ -104,10 +113,10 @@ class Ordered:
         carried = edges.select(*self.parts, *[
             shift(F.col(f"__{n}")).over(chunks).alias(f"__edge_{n}") for n in values
         ])
-        joined = join_on(local, carried, self.parts).withColumns({
+        joined = attach(local, carried, self.parts).withColumns({
             n: F.when(F.col("__inside"), F.col(n)).otherwise(F.col(f"__edge_{n}")) for n in values
         })
-        return self._with(joined.drop("__inside", *[f"__edge_{n}" for n in values]))
+        return self._with(joined.drop("__inside", *[f"__edge_{n}" for n in values]), False)
 
     def blocks(self, position: str, before: int, after: int) -> tuple[DataFrame, list[str]]:
         """Rows ready for a bounded frame of `before` and `after` rows.
@@ -151,7 +160,7 @@ def ordered(df: DataFrame, keys: list[str], order: list[str],
     pieces = math.ceil(sizes.total / limit)
     chunked = (df.repartitionByRange(pieces, *keys, *order)
                .withColumn(CHUNK, F.spark_partition_id()))
-    return Ordered(settle(chunked), keys, order, True, limit, sizes)
+    return Ordered(settle(chunked), keys, order, True, limit, sizes, True)
 
 
 def top_per_key(scan: Ordered, by: list[Column], keep: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+# Field names and types of the messages on the wire.
 DATA_ITEM = "struct<type:int,vals:array<double>,outlier_indices:array<int>>"
 
 UPLOAD = (
@@ -36,10 +37,6 @@ TELEMETRY = (
     "total_outliers_detected:bigint>"
 )
 
-HEARTBEAT = (
-    "dev_code string, ts timestamp, ip string, version string, reported map<string,string>"
-)
-
 # Defaults of the measurement platform.
 RADIUS_THRESHOLD = 1.0
 MAX_CHILDREN = 5
@@ -66,7 +63,6 @@ BOOTSTRAPS = 10
 BOOTSTRAP_RATIO = 0.8
 ONLINE_MINUTES = 5
 READING_RETENTION = "1 year"
-ANOMALY_RETENTION = "6 months"
 DEVICE_CODE = r"^[A-Z]{2}-\d{8}$"
 SNAPSHOT_VERSION = "1.0"
 SNAPSHOT_METHOD = "birch_cf_v1"

@@ -1,8 +1,7 @@
 """The driver tables shaped into readings, records, devices and features.
 
-`events` is the reading stream: one record is one (user, event type), one device
-and measure point is one user.  A record longer than RECORD_VALUES readings goes
-on as further batches, so that no array grows with the data.
+`events` is the reading stream: one device and measure point is one user, and one
+record holds what a device sends of one event type in one calendar month.
 """
 
 from __future__ import annotations
@@ -10,11 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeline.functions.scalars import month
 from gaugeline.plans.ordered import Running, ordered
 from gaugeline.session import prepare
 
-RECORD_VALUES = 256
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
@@ -31,7 +29,7 @@ def as_stream_rows(raw: DataFrame) -> DataFrame:
     user = F.col("user_id")
     return raw.select(
         "event_id",
-        F.concat_ws("_", user, kind).alias("record_id"),
+        F.concat_ws("_", user, kind, month(F.col("ts").cast("timestamp"))).alias("record_id"),
         (user % 3).alias("project_id"),
         gateway(user).alias("gateway_code"),
         F.concat(F.lit("SN-"), F.lpad(user.cast("string"), 8, "0")).alias("dev_code"),
@@ -63,12 +61,9 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per record batch, values as an array of at most RECORD_VALUES."""
-    batch = F.floor(F.col("value_index") / RECORD_VALUES)
+    """One row per record, its values as an array in order."""
     head = ["project_id", "gateway_code", "dev_code", "measure_point_id", "data_type"]
-    rows = readings(spark, sf_dir).withColumn("batch_no", batch)
-    rows = rows.withColumn("record_id", F.concat_ws("_", "record_id", "batch_no"))
-    grouped = rows.groupBy("record_id", "batch_no", *head, "record_time").agg(
+    grouped = readings(spark, sf_dir).groupBy("record_id", *head, "record_time").agg(
         F.array_sort(F.collect_list(F.struct("value_index", "value"))).alias("pairs"),
         F.max("value").alias("factor"),
     )
@@ -76,31 +71,33 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw uploads as JSON text: one per measure point and batch.
+    """Raw uploads as JSON text: one per measure point and month.
 
-    Every upload of a measure point divisible by 7 is cut short, as a broken
-    transfer would be.
+    Some are broken, by measure point: divisible by 7, cut short as by a broken transfer; by 11, a
+    time that is none; by 13, no device code.  Those divisible by 17 give no time at all, which is allowed.
     """
     item = F.struct(F.col("data_type").alias("type"), F.col("vals"))
+    point = F.col("measure_point_id")
     per_upload = records(spark, sf_dir).groupBy(
-        "gateway_code", "measure_point_id", "dev_code", "batch_no"
+        "gateway_code", "measure_point_id", "dev_code", month(F.col("record_time")).alias("month")
     ).agg(
         F.array_sort(F.collect_list(item)).alias("data_list"),
         F.max("factor").alias("factor"),
         F.min("record_time").alias("record_time"),
     )
     body = F.to_json(F.struct(
-        F.col("measure_point_id").cast("string").alias("id"),
-        "dev_code",
+        point.cast("string").alias("id"),
+        F.when(point % 13 != 0, F.col("dev_code")).alias("dev_code"),
         "factor",
-        F.date_format("record_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("record_time"),
+        F.when(point % 11 == 0, "yesterday, 25:61").when(
+            point % 17 != 0, F.date_format("record_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).alias("record_time"),
         "data_list",
         F.lit(1).alias("source"),
     ))
-    broken = F.col("measure_point_id") % 7 == 0
+    broken = point % 7 == 0
     return per_upload.withColumn("body", body).select(
         F.col("gateway_code").alias("batch_id"),
-        F.concat_ws("_", "measure_point_id", "batch_no").alias("upload_id"),
+        F.concat_ws("_", "measure_point_id", "month").alias("upload_id"),
         F.when(broken, F.expr("left(body, length(body) - 4)")).otherwise(F.col("body"))
         .alias("body"),
     )

@@ -87,9 +87,3 @@ def snapshot_rows(snapshots: DataFrame, record_time: Column) -> DataFrame:
                             F.col("tree_id").alias("cf_tree_id"),
                             F.col("body").alias("serialized_data"), "num_points", "num_clusters")
 
-
-def latest_snapshots(snapshots: DataFrame, tree: str = "cf_tree_id", time: str = "record_time",
-                     body: str = "serialized_data") -> DataFrame:
-    """The newest document of each tree."""
-    return snapshots.groupBy(tree).agg(F.max_by(body, time).alias("body"),
-                                       F.max(time).alias(time))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,12 +11,16 @@ from gaugeline import schema
 from gaugeline.functions.scalars import month
 
 MONTH = "ym"
+# How long detections and anomalies are kept.
+ANOMALY_RETENTION = timedelta(days=183)
 
 # The column that gives the month, and the sort key, per table.
 LAYOUTS = {
     "detect_data": ("record_time", ["project_id", "record_time"]),
     "cluster_result": ("created_at", ["job_id", "cluster_id"]),
     "cluster_eval": ("created_at", ["job_id", "algorithm"]),
+    "cluster_job": ("created_at", ["job_id"]),
+    "merge_result": ("created_at", ["job_id", "cluster_id"]),
     "cf_tree_data": ("record_time", ["gateway_code", "record_time"]),
     "anomaly_record": ("record_time", ["gateway_code", "record_time"]),
 }
@@ -52,6 +56,11 @@ def retention_filter(df: DataFrame, time: str, asof: Column,
     return df.filter(F.col(time) >= asof - F.expr(f"interval {keep}"))
 
 
+def retained(spark: SparkSession, path: str, time: str, asof: datetime, keep: timedelta) -> DataFrame:
+    """Rows of a stored table that are not older than `keep` at `asof`; older months are not read."""
+    return read_table(spark, path, time, start=asof - keep)
+
+
 def latest_by_key(df: DataFrame, keys: list[str], newest: str, tie: str | None = None) -> DataFrame:
     """The newest row per key, as a replacing table keeps it.
 
@@ -65,10 +74,30 @@ def latest_by_key(df: DataFrame, keys: list[str], newest: str, tie: str | None =
 
 
 def job_lookup(results: DataFrame, job_id: str, page: int = 1,
-               page_size: int = schema.PAGE_SIZE) -> DataFrame:
-    """One page of a job's stored points, in point order."""
-    return (results.filter(F.col("job_id") == job_id)
-            .orderBy("point_id").offset((max(page, 1) - 1) * page_size).limit(page_size))
+               page_size: int = schema.PAGE_SIZE, after: object = None) -> DataFrame:
+    """One page of a job's stored points, in point order.
+
+    `after` is the last point of the page before: the page then starts behind it, and no task holds the
+    pages before, as it must for a page number.
+    """
+    rows = results.filter(F.col("job_id") == job_id)
+    if after is not None:
+        return rows.filter(F.col("point_id") > F.lit(after)).orderBy("point_id").limit(page_size)
+    return rows.orderBy("point_id").offset((max(page, 1) - 1) * page_size).limit(page_size)
+
+
+def job_row(spark: SparkSession, job_id: str, algorithm: str, params: dict[str, object], status: str,
+            created_at: datetime) -> DataFrame:
+    """A job in the layout of the job table."""
+    return spark.createDataFrame([(job_id, algorithm, {k: str(v) for k, v in params.items()}, status, created_at)],
+                                 "job_id string, algorithm string, params map<string,string>, status string, "
+                                 "created_at timestamp")
+
+
+def merge_results(merged: DataFrame, job_id: str, created_at: Column) -> DataFrame:
+    """Fused clusters in the layout of the merge-result table."""
+    return merged.select(F.lit(job_id).alias("job_id"), "cluster_id", "centroid", "point_count", "radius",
+                         "member_gateways", "ls", "ss", created_at.alias("created_at"))
 
 
 def cluster_results(points: DataFrame, job_id: str, created_at: Column) -> DataFrame:
@@ -85,7 +114,8 @@ def cluster_evals(scores: DataFrame, job_id: str, algorithm: str, params: dict[s
     pairs = [F.lit(str(x)) for kv in params.items() for x in kv]
     return scores.select(
         F.lit(job_id).alias("job_id"), F.lit(algorithm).alias("algorithm"),
-        F.col("silhouette").alias("silhouette_score"), "davies_bouldin", "calinski_harabasz",
+        F.col("silhouette" if "silhouette" in scores.columns else "silhouette_squared").alias("silhouette_score"),
+        "davies_bouldin", "calinski_harabasz",
         "n_clusters", "n_points",
         F.create_map(*pairs).cast("map<string,string>").alias("params"),
         created_at.alias("created_at"))

@@ -15,15 +15,18 @@ def read_uploads(spark: SparkSession, path: str) -> DataFrame:
 
 
 def upload_parse(raw: DataFrame, body: str = "body") -> DataFrame:
-    """JSON text to typed columns; `valid` is false for text that does not parse."""
+    """JSON text to typed columns; `valid` is false for text that does not parse, without a
+    device code, or with a time that is none.  A missing or empty time is allowed and null."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     parsed = F.from_json(F.col(body), schema.UPLOAD + ", _corrupt string", options)
     kept = [c for c in raw.columns if c != body]
     return (raw.withColumn("__u", parsed)
             .select(*kept, "__u.*")
-            .withColumn("valid", F.col("_corrupt").isNull() & F.col("dev_code").isNotNull())
-            .withColumn("record_time", F.to_timestamp("record_time"))
-            .drop("_corrupt"))
+            .withColumn("__time", F.try_to_timestamp("record_time"))
+            .withColumn("valid", F.col("_corrupt").isNull() & F.col("dev_code").isNotNull()
+                        & (F.col("__time").isNotNull() | (F.coalesce("record_time", F.lit("")) == "")))
+            .withColumn("record_time", F.col("__time"))
+            .drop("_corrupt", "__time"))
 
 
 def batch_upload_report(parsed: DataFrame, batch: str) -> DataFrame:

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gaugeline import schema
 from gaugeline.functions.scalars import entries
 from gaugeline.operators import cf, outliers
-from gaugeline.plans.groups import attach, join_on, measure
-from gaugeline.session import settle
+from gaugeline.plans.groups import attach, measure
+from gaugeline.session import delete, settle
 
 
 def record_outliers(records: DataFrame, **limits: float) -> DataFrame:
@@ -105,8 +105,13 @@ class OnlineDetector:
     as well, and reading the state means that sum and the few batches after it.  A
     repeated batch overwrites its own output and nothing else.  Readings not after
     the last time of their key are written as late and change no state.
+
+    State tables are parted by a hash of the key, so a batch reads the parts of its own keys.
+    What a finished batch leaves that no later one reads is deleted when the next batch starts.
     """
 
+    PARTS = 64
+
     def __init__(self, spark: SparkSession, folder: str, keys: list[str], time: str, tie: str,
                  value: str, limit: int = schema.CONSECUTIVE_LIMIT, compact_every: int = 16,
                  **settings: float) -> None:
@@ -118,26 +123,54 @@ class OnlineDetector:
         self.compact_every = compact_every
         self.settings = settings
 
-    def _parts(self, kind: str, last: int) -> DataFrame | None:
-        """The tables that together hold the state after batch `last`."""
+    def _part(self) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.PARTS)).cast("int")
+
+    def _base(self, last: int) -> int:
+        """The batch up to which the state after `last` is in one sum, or -1."""
+        return (last + 1) // self.compact_every * self.compact_every - 1
+
+    def _parts(self, kind: str, last: int, touched: list[int] | None = None) -> DataFrame | None:
+        """The tables that together hold the state after batch `last`; of `touched` parts only, if given."""
         if last < 0:
             return None
-        base = (last + 1) // self.compact_every * self.compact_every - 1
+        base = self._base(last)
         paths = [f"{self.folder}/{kind}/sum/{base}"] if base >= 0 else []
         paths += [f"{self.folder}/{kind}/batch/{b}" for b in range(base + 1, last + 1)]
-        return self.spark.read.parquet(*paths)
-
-    def _leaves(self, last: int) -> DataFrame | None:
-        parts = self._parts("leaves", last)
+        out = None
+        for path in paths:
+            one = self.spark.read.parquet(path)
+            one = one if touched is None else one.filter(F.col("part").isin(touched))
+            out = one.drop("part") if out is None else out.unionByName(one.drop("part"))
+        return out
+
+    def _store(self, table: DataFrame, path: str) -> None:
+        table.withColumn("part", self._part()).repartition("part").write.mode("overwrite").partitionBy(
+            "part").parquet(f"{self.folder}/{path}")
+
+    def _clean(self, done: int) -> None:
+        """Delete what batch `done`, which is finished, and those before it leave and nobody reads."""
+        base, every = self._base(done), self.compact_every
+        old = [f"input/{done}"]
+        for kind in ("leaves", "runs"):
+            if done == base:  # the batches that are in the new sum, and the sum before it
+                old += [f"{kind}/batch/{b}" for b in range(max(0, base - every + 1), base + 1)]
+                old += [f"{kind}/sum/{base - every}"] if base >= every else []
+        delete(self.spark, [f"{self.folder}/{path}" for path in old])
+
+    def _leaves(self, last: int, touched: list[int]) -> DataFrame | None:
+        parts = self._parts("leaves", last, touched)
         return None if parts is None else cf.cf_merge(parts, [*self.keys, "leaf_id"])
 
-    def _runs(self, last: int) -> DataFrame | None:
-        parts = self._parts("runs", last)
+    def _runs(self, last: int, touched: list[int]) -> DataFrame | None:
+        parts = self._parts("runs", last, touched)
         return None if parts is None else parts.groupBy(*self.keys).agg(
             F.max_by("streak", "last").alias("streak"), F.max("last").alias("last"))
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         keys, order = self.keys, [self.time, self.tie]
+        if batch_id:
+            self._clean(batch_id - 1)
         place = F.struct(self.time, self.tie)
         # Read the source once; from here on the work is a batch job of the main
         # session, with adaptive execution, which streams run without.
@@ -146,13 +179,14 @@ class OnlineDetector:
         batch = self.spark.read.schema(batch.schema).parquet(arrived)
         sizes = measure(batch, keys)
         present = batch.select(*keys).distinct()
-        leaves, runs = self._leaves(batch_id - 1), self._runs(batch_id - 1)
+        touched = [r[0] for r in present.select(self._part().alias("part")).distinct().collect()]
+        leaves, runs = self._leaves(batch_id - 1, touched), self._runs(batch_id - 1, touched)
         rows = batch.withColumn("late", F.lit(False))
         if runs is not None:
-            leaves = join_on(leaves, present, keys, "left_semi")
-            runs = settle(join_on(runs, present, keys, "left_semi"))
+            leaves = attach(leaves, present, keys, "left_semi")
+            runs = settle(attach(runs, present, keys, "left_semi"))
             last = runs.select(*keys, F.col("last").alias("__last"))
-            rows = attach(rows.drop("late"), last, keys, "left", sizes).withColumn(
+            rows = attach(rows.drop("late"), last, keys, "left").withColumn(
                 "late", F.coalesce(place <= F.col("__last"), F.lit(False))).drop("__last")
         late = rows.filter("late")
         fresh = rows.filter(~F.col("late")).drop("late")
@@ -171,14 +205,14 @@ class OnlineDetector:
         newest = done.groupBy(*self.keys).agg(F.max_by("streak", place).alias("streak"),
                                               F.max(place).alias("last"))
         for kind, table in (("leaves", added), ("runs", newest)):
-            table.write.mode("overwrite").parquet(f"{self.folder}/{kind}/batch/{batch_id}")
+            self._store(table, f"{kind}/batch/{batch_id}")
         if (batch_id + 1) % self.compact_every == 0:
             for kind, parts in (("leaves", self._all_leaves), ("runs", self._all_runs)):
-                parts(batch_id).write.mode("overwrite").parquet(f"{self.folder}/{kind}/sum/{batch_id}")
+                self._store(parts(batch_id), f"{kind}/sum/{batch_id}")
 
     def _before_sum(self, kind: str, batch_id: int) -> DataFrame:
         """The earlier sum, if any, and the batches since, `batch_id` included."""
-        own = self.spark.read.parquet(f"{self.folder}/{kind}/batch/{batch_id}")
+        own = self.spark.read.parquet(f"{self.folder}/{kind}/batch/{batch_id}").drop("part")
         earlier = self._parts(kind, batch_id - 1)
         return own if earlier is None else earlier.unionByName(own)
 

@@ -53,6 +53,13 @@ def with_family(messages: DataFrame) -> DataFrame:
         "device_code": F.regexp_extract("topic", r"^devices/([^/]+)/", 1), "family": family})
 
 
+def parse_messages(messages: DataFrame) -> DataFrame:
+    """All families in one pass: family, and one parsed column per family, null for the others."""
+    rows = with_family(messages).filter("family is not null")
+    return rows.withColumns({
+        f: F.when(F.col("family") == f, F.from_json("body", kind)) for f, kind in BODIES.items()}).drop("body")
+
+
 def family_of(messages: DataFrame, family: str) -> DataFrame:
     """Messages of one family with their body parsed into `message`."""
     if family not in BODIES:

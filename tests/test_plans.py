@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from gaugeline.plans.groups import HOT_SHARE, attach, measure, with_group_aggs
+from gaugeline.plans.groups import attach, measure, with_group_aggs
 from gaugeline.plans.ordered import Running, ordered, top_per_key
 
 
@@ -78,7 +78,7 @@ def test_attach_keeps_every_row(spark, any_split):
     data, df = rows(spark)
     df = df.unionByName(spark.createDataFrame([(None, 1000, 1.0)], df.schema))
     names = df.select("key").distinct().filter("key <> 'k1'").withColumn("name", F.upper("key"))
-    left = attach(df, names, ["key"]).collect()
+    left = attach(df, names, ["key"], "left").collect()
     assert len(left) == len(data) + 1
     assert all(r.name == (r.key.upper() if r.key not in (None, "k1") else None) for r in left)
     assert attach(df, names, ["key"], "inner").count() == sum(1 for k, *_ in data if k != "k1")
@@ -86,9 +86,43 @@ def test_attach_keeps_every_row(spark, any_split):
         1 for k, *_ in data if k == "k1") + 1
 
 
-def test_hot_keys_are_bounded(spark):
+def scans(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+
+def test_sizes(spark):
     _, df = rows(spark)
     sizes = measure(df, ["key"])
     assert sizes.total == 60 and sizes.largest > 20
-    # a key is hot above total / HOT_SHARE rows, so there are at most HOT_SHARE of them
-    assert HOT_SHARE * (sizes.total / HOT_SHARE) <= sizes.total
+
+
+def test_scans_grow_with_the_steps_and_not_faster(spark, any_split, tmp_path):
+    _, df = rows(spark)
+    df.write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    assert scans(with_group_aggs(df, ["key"], n=F.count("v"))) == 2
+    assert scans(attach(df, df.select("key").distinct(), ["key"])) == 2
+    scan = ordered(df, ["key"], ["id"])
+    for step in range(4):
+        scan = scan.running(**{f"s{step}": Running("sum", F.col("v"))}).neighbour(-1, **{f"n{step}": F.col("v")})
+    # every step reads one settled table twice at most
+    assert scans(scan.result()) <= (2 if any_split else 1)
+
+
+def test_hot_key_is_split_at_run_time(spark):
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+                "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8k"}
+    old = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        df = spark.range(0, 40_000, 1, 8).select(F.when(F.col("id") % 10 < 9, 0).otherwise(F.col("id")).alias("key"), "id")
+        names = df.select("key").distinct().withColumn("name", F.col("key") + 1)
+        joined = attach(df, names, ["key"])
+        assert joined.agg(F.sum("name")).collect()[0][0] is not None
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
