@@ -22,8 +22,8 @@ CUT_BITS = 5
 MIN_CHUNK_BYTES = 12
 MIN_RUN_BYTES = 40
 MIN_WORDS = 50
-#: Words by which a stretch can grow on each side.
-REACH_WORDS = 40
+#: Bytes on which a cut depends.
+MEMORY = 16
 #: Documents with runs up to which these are broadcast.
 RUN_ROWS = 100_000
 GEAR = np.random.default_rng(20).integers(0, 1 << 16, 256, np.uint16)
@@ -130,8 +130,9 @@ def runs(shared: DataFrame) -> DataFrame:
     return shared.mapInArrow(join, "doc_id long, runs array<struct<low:int,high:int,first:bigint>>")
 
 
-def stretches(rows: DataFrame) -> DataFrame:
-    """Per run: doc_id, first, start, end (bytes), words, and the ladders of words on each side.
+def stretches(rows: DataFrame, min_words: int) -> DataFrame:
+    """Per run that may belong to a passage of `min_words`: doc_id, first, start, end (bytes), words, and the ladders
+    of words on each side.
 
     rows: doc_id, text, runs.  A ladder lists, for k from 1, a hash of the next k words together with the chunk
     they touch, their bytes and their number.
@@ -151,13 +152,20 @@ def stretches(rows: DataFrame) -> DataFrame:
                 for run in own:
                     low, high = long[run["low"]], long[run["high"] - 1]
                     start, end = int(bounds[low]), int(bounds[high + 1])
-                    inside = int(np.searchsorted(begins, end) - np.searchsorted(begins, start))
-                    if inside + 2 * REACH_WORDS < MIN_WORDS:
+                    # A passage ends inside the next counted chunk, and starts inside the one before or, as cuts
+                    # near its start depend on what stands before it, a few bytes earlier.
+                    least = max(0, int(bounds[long[run["low"] - 1]]) - MEMORY - 8) if run["low"] else 0
+                    most = int(bounds[long[run["high"]] + 1]) if run["high"] < len(long) else len(data)
+                    first, b, c = np.searchsorted(begins, [least, start, end])
+                    last = np.searchsorted(begins, most)
+                    if last - first < min_words:
                         continue
-                    b, e = np.searchsorted(begins, start), np.searchsorted(ends, end, "right")
-                    out.append((doc, run["first"], start, end, inside,
-                                _ladder(data, begins[max(0, b - REACH_WORDS):b][::-1], start, marks[low], False, begins),
-                                _ladder(data, ends[e:e + REACH_WORDS], end, marks[high], True, begins)))
+                    e = np.searchsorted(ends, [end, most], "right")
+                    out.append((doc, run["first"], start, end, int(c - b),
+                                _ladder(data[least:start][::-1], start - begins[first:b][::-1], marks[low], False,
+                                        np.arange(1, b - first + 1)),
+                                _ladder(data[end:most], ends[e[0]:e[1]] - end, marks[high], True,
+                                        np.searchsorted(begins, ends[e[0]:e[1]]) - c)))
             columns = list(zip(*out)) if out else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
@@ -165,17 +173,15 @@ def stretches(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(find, f"doc_id long, first long, start int, end int, words int, left {step}, right {step}")
 
 
-def _ladder(data: np.ndarray, stops: np.ndarray, edge: int, mark: np.int64, ahead: bool, begins: np.ndarray) -> list[dict]:
-    out = []
+def _ladder(outward: np.ndarray, sizes: np.ndarray, mark: np.int64, ahead: bool, words: np.ndarray) -> list[dict]:
+    """Hashes of the first `sizes` bytes of `outward`, the bytes from a run's edge away from it, with the run's outer chunk."""
+    if not len(sizes):
+        return []
+    outward = outward[:sizes[-1]]
+    sums = np.cumsum(_mix(outward.astype(np.uint64) + np.uint64(1)) * _powers(len(outward)), dtype=np.uint64)
     seed = np.array([mark], np.int64).view(np.uint64) ^ np.uint64(0x5555 if ahead else 0)
-    for stop in stops.tolist():
-        piece = data[edge:stop] if ahead else data[stop:edge]
-        full = digests(piece, np.array([0, len(piece)]))[0]
-        key = _mix(seed + np.array([full]).view(np.uint64) * _P).view(np.int64)[0]
-        low, high = (edge, stop) if ahead else (stop, edge)
-        out.append({"key": int(key), "bytes": len(piece),
-                    "words": int(np.searchsorted(begins, high) - np.searchsorted(begins, low))})
-    return out
+    keys = _mix(seed + _mix(sums[sizes - 1] + sizes.astype(np.uint64)) * _P).view(np.int64)
+    return [{"key": k, "bytes": n, "words": w} for k, n, w in zip(keys.tolist(), sizes.tolist(), words.tolist())]
 
 
 def passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,7 +203,7 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id"
     held = held.filter("first < last").select("digest", "first")
     shared = shelf.put(runs(cut.join(held, "digest").groupBy("doc_id").agg(
         F.collect_set(F.struct("no", "size", "first")).alias("chunks"))), "runs")
-    found = shelf.put(stretches(rows.join(if_small(shared, RUN_ROWS), "doc_id")), "stretches")
+    found = shelf.put(stretches(rows.join(if_small(shared, RUN_ROWS), "doc_id"), min_words), "stretches")
     shelf.drop("chunks", "runs")
     steps = found.select("doc_id", F.explode(F.concat("left", "right")).alias("s")).select("doc_id", "s.key")
     agreed = steps.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("key")
