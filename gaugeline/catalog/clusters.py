@@ -17,7 +17,7 @@ POINT = ["measure_point_id"]
 EPS, MIN_POINTS = 100.0, 4
 LINK_K = 3
 PLANE_EPS, PLANE_MIN = 1.05, 4
-VECTORS_K, LLOYD_ROUNDS = (2, 10), 30
+VECTORS_K, LLOYD_ROUNDS = (2, 10), 15
 BOOTSTRAPS = 10
 MERGE_ROUNDS = 50
 

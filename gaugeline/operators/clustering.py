@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from typing import NamedTuple
 
@@ -102,7 +103,7 @@ def lloyd(points: DataFrame, keys: list[str], k: int, rounds: int, dim: int,
         a + (c + 0.5) / k * (b - a) for a, b in zip(lo, hi)]).alias("centroid")) for c in range(k)])
     centroids = grouped.groupBy(*keys).agg(starts.alias("__all"))
     if seeds is not None:
-        centroids = seeds.agg(F.collect_list(F.struct(F.col("label").cast("int"), "centroid")).alias("__all"))
+        centroids = seeds.agg(F.collect_list(F.struct(F.col("label").cast("int").alias("label"), "centroid")).alias("__all"))
     if not keys:
         return _lloyd_of_one(grouped, centroids, rounds, dim)
     centroids = settle(centroids)
@@ -136,8 +137,8 @@ def _lloyd_of_one(grouped: DataFrame, starts: DataFrame, rounds: int, dim: int)
     session = grouped.sparkSession
     current = {c["label"]: list(c["centroid"]) for c in starts.first()[0]}
     for _ in range(rounds):
-        literal = F.array(*[F.struct(F.lit(c).alias("label"), F.array(*map(F.lit, m)).alias("centroid"))
-                            for c, m in sorted(current.items())]).cast(kind)
+        # One value, so that the plan does not grow with k and the dimension.
+        literal = F.from_json(F.lit(json.dumps([{"label": c, "centroid": m} for c, m in sorted(current.items())])), kind)
         means = _new_means(grouped.withColumn("__all", literal), [], dim).collect()
         after = {**current, **{r["label"]: list(r["mean"]) for r in means}}
         if after == current:
