@@ -37,13 +37,14 @@ MOST_MATCHES = 4
 VERIFY_COST = 8.0
 PARITY_LONGS = 8
 MOST_ROUNDS = 6
+_CLASSED = np.uint64(1) << np.uint64(58)
 #: Rows with a whole set that may be broadcast.
 SET_ROWS = 2_000
 U = np.uint64
 
 
-def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
-    """Distinct 64-bit shingles of each text, unordered text by text.
+def shingles_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit shingles of all texts in order, and the bounds of each text's own.
 
     Words are divided by ASCII white space, A-Z in lower case.  A text of one to four words is one shingle of its own kind.
     """
@@ -52,18 +53,38 @@ def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
     odd = U(0x9E3779B97F4A7C15)
     grams = np.full(max(0, len(own) - GRAM + 1), GRAM, U)
     for k in range(GRAM):
-        grams = grams * odd + own[k:k + len(grams)]
+        grams *= odd
+        grams += own[k:k + len(grams)]
     grams = mixed(grams)
-    for start, end in zip(words.bounds.tolist(), words.bounds[1:].tolist()):
-        if end - start >= GRAM:
-            yield np.unique(grams[start:end - GRAM + 1])
-        elif end > start:
-            whole = np.full(1, end - start, U)
-            for k in range(start, end):
-                whole = whole * odd + own[k]
-            yield mixed(whole)
-        else:
-            yield np.zeros(0, U)
+    counts = np.diff(words.bounds)
+    last = np.repeat(words.bounds[1:] - GRAM, counts)  # where the last shingle of a word's text starts
+    grams = grams[(np.arange(len(own)) <= last)[:len(grams)]]
+    sizes = np.maximum(counts - GRAM + 1, 0)
+    few = np.flatnonzero((counts > 0) & (counts < GRAM))
+    if len(few):
+        whole = counts[few].astype(U)
+        for k in range(GRAM - 1):
+            there = counts[few] > k
+            whole[there] = whole[there] * odd + own[words.bounds[few[there]] + k]
+        grams = np.insert(grams, np.cumsum(sizes)[few], mixed(whole))
+        sizes[few] = 1
+    return grams, np.append(0, np.cumsum(sizes))
+
+
+def distinct(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of each part ascending and once, and the new bounds.  Sorts `values` itself."""
+    for start, end in zip(bounds.tolist(), bounds[1:].tolist()):
+        values[start:end].sort()
+    keep = np.ones(len(values), bool)
+    keep[1:] = values[1:] != values[:-1]
+    keep[bounds[:-1][bounds[:-1] < len(values)]] = True
+    return values[keep], np.append(0, np.cumsum(keep))[bounds]
+
+
+def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
+    """Distinct shingles of each text, ascending."""
+    flat, bounds = distinct(*shingles_of(texts))
+    return iter(np.split(flat, bounds[1:-1]))
 
 
 def _pack(tokens: np.ndarray, counts: np.ndarray) -> bytes:
@@ -89,14 +110,25 @@ def frequent(docs: DataFrame, most: int = KNOWN) -> tuple[np.ndarray, np.ndarray
     width = -(-(1 << 32) // ranges)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def packed() -> pa.RecordBatch:
+            tokens, counts = np.unique(np.concatenate(held), return_counts=True)
+            cut = np.searchsorted(tokens, np.arange(1, ranges, dtype=np.int64) * width)
+            blobs = [_pack(t, c) for t, c in zip(np.split(tokens, cut), np.split(counts, cut))]
+            return pa.RecordBatch.from_arrays([pa.array(range(ranges), pa.int32()), pa.array(blobs, pa.binary())],
+                                              ["range", "packed"])
+
         for batch in batches:
-            for part in slices(batch, "text", 16_000_000):
-                sets = [(s >> U(32)).astype(np.uint32) for s in shingle_sets(part.column("text"))]
-                tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
-                cut = np.searchsorted(tokens, np.arange(1, ranges, dtype=np.int64) * width)
-                packed = [_pack(t, c) for t, c in zip(np.split(tokens, cut), np.split(counts, cut))]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(ranges), pa.int32()), pa.array(packed, pa.binary())], ["range", "packed"])
+            for part in slices(batch, "text"):
+                shingles, bounds = shingles_of(part.column("text"))
+                held.append(distinct((shingles >> U(32)).astype(np.uint32), bounds)[0])
+                size += len(held[-1])
+                if size >= RANGE_SHINGLES:
+                    yield packed()
+                    held, size = [], 0
+        if held:
+            yield packed()
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [_unpack(blob.as_py()) for batch in batches for blob in batch.column("packed")]
@@ -139,29 +171,43 @@ def frequent(docs: DataFrame, most: int = KNOWN) -> tuple[np.ndarray, np.ndarray
     return tokens[order], levels[order]
 
 
-def ordered_set(shingles: np.ndarray, tokens: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """The set as ascending numbers: the class in the top 6 bits, then the hash.  Rare shingles come first."""
-    high = (shingles >> U(32)).astype(np.uint32)
-    at = np.minimum(np.searchsorted(tokens, high), max(0, len(tokens) - 1))
-    level = np.where(tokens[at] == high, levels[at], 0).astype(U) if len(tokens) else np.zeros(len(shingles), U)
-    return np.sort((level << U(58)) | (shingles >> U(6)))
+def ordered_sets(shingles: np.ndarray, bounds: np.ndarray, tokens: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each set as ascending numbers, the class in the top 6 bits and then the hash, and the bounds.  Rare shingles come first."""
+    level = np.zeros(len(shingles), U)
+    if len(tokens):
+        high = (shingles >> U(32)).astype(np.uint32)
+        at = np.minimum(np.searchsorted(tokens, high), len(tokens) - 1)
+        level = np.where(tokens[at] == high, levels[at], 0).astype(U)
+    return distinct((level << U(58)) | (shingles >> U(6)), bounds)
+
+
+def skipped(n: np.ndarray) -> np.ndarray:
+    """How many of n shingles a set can lack and still link: n - ceil(0.8 n)."""
+    return n - (PERCENT * n + 99) // 100
 
 
 def best_matches(ordered: np.ndarray) -> int:
     """The l that costs least: rows met by the prefix, and candidates to verify, which fall as l grows."""
     n = len(ordered)
-    short = n - (PERCENT * n + 99) // 100
+    short = int(skipped(np.int64(n)))
     most = min(MOST_MATCHES, n - short)
     met = np.cumsum(np.exp2((ordered[:short + most] >> U(58)).astype(np.float64)) - 1)
     costs = [met[short + l - 1] * (1 + VERIFY_COST / l**2) + l for l in range(1, most + 1)]
     return 1 + int(np.argmin(costs))
 
 
-def parity(ordered: np.ndarray) -> np.ndarray:
-    """512 bits, each the parity of the shingles that fall on it: two sets differ in at least as many shingles as bits."""
-    spot = ((ordered * U(0xD6E8FEB86659FD93)) >> U(64 - 9)).astype(np.int64)
-    bits = np.bincount(spot, minlength=64 * PARITY_LONGS) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sum of each part, modulo 2^64."""
+    total = np.append(U(0), np.cumsum(values, dtype=U))
+    return total[bounds[1:]] - total[bounds[:-1]]
+
+
+def parities(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """512 bits per set, each the parity of the shingles that fall on it: two sets differ in at least as many shingles as bits."""
+    width, n = 64 * PARITY_LONGS, len(bounds) - 1
+    spot = ((flat * U(0xD6E8FEB86659FD93)) >> U(64 - 9)).astype(np.int64)
+    bits = np.bincount(np.repeat(np.arange(n), np.diff(bounds)) * width + spot, minlength=n * width) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64).reshape(n, PARITY_LONGS)
 
 
 def prefixes(docs: DataFrame, known) -> DataFrame:
@@ -171,22 +217,31 @@ def prefixes(docs: DataFrame, known) -> DataFrame:
         names = ["doc_id", "n", "sign", "matches", "rare", "prefix", "parity"]
         tokens, levels = known.value
         for batch in batches:
-            for part in slices(batch, "text", 16_000_000):
-                n, sign, matches, rare, prefix, bits = [], [], [], [], [], []
-                for shingles in shingle_sets(part.column("text")):
-                    n.append(len(shingles))
-                    sign.append([int(mixed(shingles).sum().view(np.int64)), int(mixed(shingles + U(77)).sum().view(np.int64))])
-                    own = ordered_set(shingles, tokens, levels)
-                    best = best_matches(own) if len(own) else 0
-                    matches.append(best)
-                    head = own[:len(own) - (PERCENT * len(own) + 99) // 100 + best]
-                    rare.append(int(np.searchsorted(head, U(1) << U(58))))
-                    prefix.append(head.view(np.int64))
-                    bits.append(parity(own))
-                longs = pa.list_(pa.int64())
+            for part in slices(batch, "text"):
+                flat, bounds = ordered_sets(*shingles_of(part.column("text")), tokens, levels)
+                n = np.diff(bounds)
+                short = skipped(n)
+                matches = np.minimum(n, 1)
+                # Only where a longer prefix may reach a known shingle is there anything to weigh.
+                ends = bounds[:-1] + short + np.minimum(MOST_MATCHES, n - short)
+                for k in np.flatnonzero(n):
+                    if flat[ends[k] - 1] >= _CLASSED:
+                        matches[k] = best_matches(flat[bounds[k]:bounds[k + 1]])
+                size = np.where(n > 0, short + matches, 0)
+                inside = np.arange(len(flat)) - np.repeat(bounds[:-1], n) < np.repeat(size, n)
+                head, heads = flat[inside], np.append(0, np.cumsum(size))
+                rare = np.append(0, np.cumsum(head < _CLASSED))[heads]
+                signs = np.stack([_sums(mixed(flat), bounds), _sums(mixed(flat + U(77)), bounds)], 1).view(np.int64)
+
+                def lists(values: np.ndarray, at: np.ndarray) -> pa.Array:
+                    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values))
+
+                def fixed(rows: np.ndarray) -> pa.Array:
+                    return lists(rows.reshape(-1), np.arange(len(rows) + 1) * rows.shape[1])
+
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(sign, longs), pa.array(matches, pa.int32()),
-                     pa.array(rare, pa.int32()), pa.array(prefix, longs), pa.array(bits, longs)], names)
+                    [part.column("doc_id"), pa.array(n), fixed(signs), pa.array(matches, pa.int32()),
+                     pa.array(np.diff(rare), pa.int32()), lists(head.view(np.int64), heads), fixed(parities(flat, bounds))], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(make, f"doc_id {kind}, n long, sign array<bigint>, matches int, rare int, prefix array<bigint>, "
@@ -197,7 +252,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
     """doc_id and the ascending shingles as bytes."""
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 16_000_000):
+            for part in slices(batch, "text"):
                 sets = [s.tobytes() for s in shingle_sets(part.column("text"))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "set"])
 
@@ -211,7 +266,8 @@ def linked(pairs: DataFrame) -> DataFrame:
             keep = []
             for x, y in zip(batch.column("sa"), batch.column("sb")):
                 x, y = (np.frombuffer(v.as_buffer(), U) for v in (x, y))
-                common = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
+                both = np.sort(np.concatenate([x, y]))
+                common = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * common >= PERCENT * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
