@@ -209,6 +209,6 @@ def test_job(spark):
     center = [sum(x[d] for x in xs[:15]) / 15 for d in (0, 1)]
     assert rows[3].distance == pytest.approx(math.dist(xs[3], center))
     score = job.evaluation.first()
-    assert (score.n_clusters, score.n_points) == (2, 30) and score.silhouette > 0.8
+    assert (score.n_clusters, score.n_points) == (2, 30) and score.silhouette_squared > 0.8
     with pytest.raises(ValueError):
         cl.cluster_job(points(spark, xs), "unknown", 2)
