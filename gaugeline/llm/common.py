@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.session import checkpoint_dir
+from gaugeline.session import kept_path
 
 # Rows of a few numbers each that may be broadcast: some 16 MB.
 BROADCAST_ROWS = 500_000
@@ -34,11 +35,11 @@ def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 class Shelf:
-    """Tables that a job writes to the shared folder and drops when it has read them."""
+    """Tables that a job writes to the shared folder and drops when it has read them; the rest go with `session.release`."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.root = f"{checkpoint_dir(spark).rstrip('/')}/shelf-{uuid.uuid4().hex}"
+        self.root = kept_path(spark, "shelf")
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -52,6 +53,18 @@ class Shelf:
             path.getFileSystem(conf).delete(path, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs inside hand at most `rows` rows at a time to Python, for rows that may be wide."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_CHARS):
     """Parts of a batch with some `limit` bytes of text each, one row at least.  Whole rows, all of them.
 

@@ -148,6 +148,7 @@ def told(path: tuple[tuple[str, ...], ...]) -> int:
 PATH_BUCKETS, WORD_BUCKETS, PATH_DIM, WORD_DIM, SIZES, HIDDEN = 1024, 1024, 12, 4, 5, 12
 INPUT = PATH_DIM + WORD_DIM + SIZES
 LEARN_PAGES = 400
+PLAIN_PAGES = 80
 LEARN_BLOCKS = 120
 
 
@@ -344,17 +345,25 @@ def lesson(r: np.random.Generator, found: list[Block]) -> tuple[list[Block], np.
     return found, np.array(labels, np.float32)
 
 
+def plain_page(r: np.random.Generator) -> list[Block]:
+    """A page of an article alone, in made-up words, so that there is something to learn from whatever the sample."""
+    def sentence() -> str:
+        return " ".join("".join(r.choice(list("aeinorst"), int(r.integers(2, 9)))) for _ in range(r.integers(3, 50))) + "."
+
+    return [Block(sentence(), (("html",), ("body",), ("article",), ("p",)), 0) for _ in range(r.integers(1, 12))]
+
+
 def learn(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", rows: int = LEARN_PAGES) -> Labeller:
-    """From at most about `rows` pages that have a part told to be main text."""
+    """From at most about `rows` pages that have a part told to be main text, and PLAIN_PAGES made-up ones."""
     few = sample(pages.filter(F.col(html_col).isNotNull()), id_col, rows).select(id_col, html_col).toArrow().to_pylist()
-    model, r, made = Labeller(), np.random.default_rng(9), []
+    model, r = Labeller(), np.random.default_rng(9)
+    made = [lesson(r, plain_page(r)) for _ in range(PLAIN_PAGES)]
     for row in sorted(few, key=lambda x: str(x[id_col])):
         found = blocks(row[html_col])
         if any(told(b.path) for b in found[:LEARN_BLOCKS]):
             made += [lesson(r, found) for _ in range(2)]
-    if made:
-        rounds = max(12, min(60, 4_000 // len(made)))
-        model.fit(code([b for b, _ in made]), [y for _, y in made], rounds)
+    rounds = max(12, min(60, 4_000 // len(made)))
+    model.fit(code([b for b, _ in made]), [y for _, y in made], rounds)
     return model
 
 

@@ -69,6 +69,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             for part in slices(batch, "text"):
                 p = model.probabilities(model.logits(part.column("text")))
                 lettered = pc.fill_null(pc.match_substring_regex(part.column("text"), r"\pL"), False).to_numpy(False)
+                if not model.classes:  # nothing was learned
+                    p, lettered = np.zeros((len(p), 1)), np.zeros(len(p), bool)
                 best = np.where(lettered, p.argmax(1), len(model.classes))
                 score = np.where(lettered, p.max(1), 0.0)
                 yield pa.RecordBatch.from_arrays(
@@ -81,8 +83,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Learns from rows whose crc32(doc_id) mod 3 is not 1, predicts every row.  A table without
-    labelled rows has nothing to learn from and raises ValueError, unless it has no rows at all."""
+    """Learns from rows whose crc32(doc_id) mod 3 is not 1, predicts every row.  Where no such row has a language,
+    nothing is learned and every row is `und`."""
     docs = table(spark, sf_dir, "documents")
     known = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     model = learn(sample(known, "doc_id", LEARN_ROWS))

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import Shelf, if_small, slices, table
+from gaugeline.llm.common import Shelf, if_small, slices, small_batches, table
 from gaugeline.llm.subword import mixed, word_hashes, words_of
 from gaugeline.operators.neighbors import connected_components
 
@@ -40,6 +40,8 @@ MOST_ROUNDS = 6
 _CLASSED = np.uint64(1) << np.uint64(58)
 #: Rows with a whole set that may be broadcast.
 SET_ROWS = 2_000
+#: Pairs of sets that a task holds at a time.
+PAIR_ROWS = 256
 U = np.uint64
 
 
@@ -329,7 +331,8 @@ class _Join:
     def add(self, found: DataFrame) -> bool:
         """Join what the new links connect; says whether there were any."""
         self.step += 1
-        more = self.shelf.put(found, f"links{self.step}")
+        with small_batches(found.sparkSession, PAIR_ROWS):
+            more = self.shelf.put(found, f"links{self.step}")
         if more.isEmpty():
             return False
         self.links = more if self.links is None else self.links.unionByName(more)

@@ -35,15 +35,17 @@ def learn_quality(docs: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS) ->
 def scores(docs: DataFrame, model: Model) -> DataFrame:
     """`docs` with a column `__score`, the probability of label 1 from the whole text.
 
-    Null and empty texts get the score of a text without words.  All rows and columns stay as they are.
+    Null and empty texts get the score of a text without words.  All rows and columns stay as they are.  A model
+    that has seen no label scores 0.5, one that has seen a single label 1 or 0.
     """
     column = model.classes.index("1") if "1" in model.classes else None
+    unknown = 0.0 if model.classes else 0.5
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 p = model.probabilities(model.logits(part.column("text")))
-                made = np.zeros(len(p)) if column is None else p[:, column]
+                made = np.full(len(p), unknown) if column is None else p[:, column]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made)], [*part.schema.names, "__score"])
 
     return docs.mapInArrow(score, StructType([*docs.schema.fields, StructField("__score", DoubleType())]))

@@ -174,7 +174,7 @@ class Model:
 
     def probabilities(self, logits: np.ndarray) -> np.ndarray:
         z = logits / self.temperature
-        z = np.exp(z - z.max(1, keepdims=True))
+        z = np.exp(z - z.max(1, keepdims=True, initial=-np.inf))
         return z / z.sum(1, keepdims=True)
 
 
@@ -184,17 +184,15 @@ def train(samples: list[tuple[np.ndarray, np.ndarray]], labels: list, shape: Sha
 
     A tenth of the samples is set aside: it fixes the temperature (least cross entropy)
     and the accept bound (the lowest at which 99 % of accepted predictions are right).
-    balance: texts of rare classes count more.
+    balance: texts of rare classes count more.  Without samples the model has no classes.
     """
     random = np.random.default_rng(seed)
     classes = sorted(set(labels))
-    target = np.array([classes.index(x) for x in labels])
+    target = np.array([classes.index(x) for x in labels], np.int64)
     vectors = (random.random((1 << shape.bits, dim), np.float32) - 0.5) / dim
     layer, bias = np.zeros((dim, len(classes)), np.float32), np.zeros(len(classes), np.float32)
     order = random.permutation(len(samples))
     aside, learn = order[: len(order) // 10], order[len(order) // 10:]
-    if not len(classes):
-        raise ValueError("no labelled text to learn from")
     share = np.bincount(target, minlength=len(classes)) / max(1, len(target))
     worth = 1 / (len(classes) * np.maximum(share, 1e-9)) if balance else np.ones(len(classes))
     steps, done = rounds * len(learn), 0

@@ -6,7 +6,6 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from gaugeline.llm import language, quality
 from gaugeline.llm.common import slices
@@ -110,5 +109,16 @@ def test_sample_does_not_depend_on_partitions(spark):
 
 
 def test_nothing_to_learn_from(spark, docs_of):
-    with pytest.raises(ValueError):
-        language.learn(docs_of([]).withColumn("lang", F.lit("en")))
+    model = language.learn(docs_of([]))
+    got = language.identify(docs_of([(1, "some text"), (2, None)]), model).collect()
+    assert [(r["lang_pred"], r["score"], r["accepted"]) for r in got] == [("und", 0.0, False)] * 2
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    model = quality.learn_quality(docs_of({1: "a b"}), labels)
+    assert [r["__score"] for r in quality.scores(docs_of({1: "a b", 2: None}), model).collect()] == [0.5, 0.5]
+    assert quality.keep_good(docs_of({1: "a b", 2: None}), model).count() == 2
+
+
+def test_one_label_only(spark, docs_of):
+    docs = docs_of({k: "word text" for k in range(12)})
+    labels = spark.createDataFrame([(k, 1) for k in range(12)], "doc_id long, quality int")
+    assert {r["__score"] for r in quality.scores(docs, quality.learn_quality(docs, labels)).collect()} == {1.0}
