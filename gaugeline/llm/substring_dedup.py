@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import Shelf, if_small, slices, table
+from gaugeline.llm.common import Shelf, slices, table
 
 CUT_BITS = 5
 MIN_CHUNK_BYTES = 12
@@ -24,8 +24,6 @@ MIN_RUN_BYTES = 40
 MIN_WORDS = 50
 #: Bytes on which a cut depends.
 MEMORY = 16
-#: Documents with runs up to which these are broadcast.
-RUN_ROWS = 100_000
 GEAR = np.random.default_rng(20).integers(0, 1 << 16, 256, np.uint16)
 _P = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
@@ -203,7 +201,7 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id"
     held = held.filter("first < last").select("digest", "first")
     shared = shelf.put(runs(cut.join(held, "digest").groupBy("doc_id").agg(
         F.collect_set(F.struct("no", "size", "first")).alias("chunks"))), "runs")
-    found = shelf.put(stretches(rows.join(if_small(shared, RUN_ROWS), "doc_id"), min_words), "stretches")
+    found = shelf.put(stretches(rows.join(shared, "doc_id"), min_words), "stretches")
     shelf.drop("chunks", "runs")
     steps = found.select("doc_id", F.explode(F.concat("left", "right")).alias("s")).select("doc_id", "s.key")
     agreed = steps.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("key")
