@@ -17,7 +17,7 @@ from gaugeline.session import kept_path
 BROADCAST_ROWS = 500_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Characters that a task holds as separate words at a time.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,7 +68,8 @@ def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
 def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_CHARS):
     """Parts of a batch with some `limit` bytes of text each, one row at least.  Whole rows, all of them.
 
-    Parts are copies: string kernels misread a view into a batch after a cast.
+    Parts are copies: string kernels misread a view into a batch after a cast.  What a part has
+    freed goes back to the system, as a worker lives on for other tasks.
     """
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
@@ -76,4 +77,5 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_CHARS):
         held = ends[start - 1] if start else 0
         end = max(start + 1, int(np.searchsorted(ends, held + limit, "right")))
         yield batch.take(pa.array(np.arange(start, end)))
+        pa.default_memory_pool().release_unused()
         start = end
