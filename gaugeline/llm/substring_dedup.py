@@ -1,15 +1,16 @@
 """Repeated passages by content-defined chunking.
 
 A gear hash rolls over the bytes of a text (16 bytes of memory) and cuts where its top bits are
-zero, so the same passage has the same cuts wherever it stands and insertions only change the chunks they touch.  Chunks are
-counted by digest.  Stretches of chunks that other documents hold too become passages; as a
-passage rarely starts or ends at a cut, hashes of the words next to the stretch extend it to both sides as
-far as another document agrees.
+zero, so the same passage has the same cuts wherever it stands and insertions only change the chunks they touch.  Every
+window of 50 words has a seed that its own bytes decide: the least digest of its whole chunks.
+Windows whose seed other documents have too are counted by a hash of all their bytes; neighbouring
+windows that stand in the same other document make up a passage.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +21,14 @@ from gaugeline.llm.common import Shelf, slices, table
 
 CUT_BITS = 5
 MIN_CHUNK_BYTES = 12
-MIN_RUN_BYTES = 40
 MIN_WORDS = 50
+HOLDER_GROUPS = 4
 #: Bytes on which a cut depends.
 MEMORY = 16
 GEAR = np.random.default_rng(20).integers(0, 1 << 16, 256, np.uint16)
 _P = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(int(_P), -1, 1 << 64))
+_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -47,17 +50,33 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _powers(n: int) -> np.ndarray:
-    return np.cumprod(np.append(np.uint64(1), np.full(max(0, n - 1), _P)), dtype=np.uint64)
+_BYTE = _mix(np.arange(1, 257, dtype=np.uint64))
 
 
-def digests(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """64-bit polynomial digest of each chunk, with its length mixed in; exact per chunk content up to collisions."""
-    sizes = np.diff(bounds)
-    place = np.arange(len(data)) - np.repeat(bounds[:-1], sizes)
-    power = _powers(int(sizes.max()))
-    term = _mix(data.astype(np.uint64) + np.uint64(1)) * power[place]
-    return _mix(np.add.reduceat(term, bounds[:-1]) + sizes.astype(np.uint64)).view(np.int64)
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    return np.cumprod(np.append(np.uint64(1), np.full(max(0, n - 1), base)), dtype=np.uint64)
+
+
+class Digests:
+    """64-bit digests of any stretches of `data`, with their length mixed in; exact per content up to collisions."""
+
+    def __init__(self, data: np.ndarray):
+        self.sums = np.append(np.uint64(0), np.cumsum(_BYTE[data] * _powers(_P, len(data)), dtype=np.uint64))
+        self.back = _powers(_BACK, len(data) + 1)
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return _mix((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64))
+
+
+def least(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The least of values[low:high] for each pair of bounds; the largest number where that is empty."""
+    out, size, span = np.full(len(low), _NONE), 1, high - low
+    while size <= span.max(initial=0):
+        here = (span >= size) & (span < 2 * size)
+        out[here] = np.minimum(values[low[here]], values[high[here] - size])
+        values = np.minimum(values[:-size], values[size:])
+        size *= 2
+    return out
 
 
 def word_starts(data: np.ndarray) -> np.ndarray:
@@ -70,153 +89,173 @@ def word_ends(data: np.ndarray) -> np.ndarray:
     return np.flatnonzero(~space & np.append(space[1:], True)) + 1
 
 
-def _bytes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+@dataclass
+class Windows:
+    """All windows of so many words of some texts: the text's number, the first word's number in it, their bytes in it,
+    a digest of them, and the seed."""
+
+    text: np.ndarray
+    no: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    key: np.ndarray
+    seed: np.ndarray
+
+
+def windows(texts: list[str], words: int) -> Windows:
+    parts = [t.encode("utf-8", "surrogatepass") for t in texts]
+    data = np.frombuffer(b" ".join([*parts, b""]), np.uint8)  # ends in a space, so that no word ends the data
+    offset = np.cumsum([0, *[len(x) + 1 for x in parts]])
+    begins, ends = word_starts(data), word_ends(data)
+    text = np.searchsorted(offset, begins, "right") - 1
+    at = np.flatnonzero(text[words - 1:] == text[:max(0, len(text) - words + 1)])
+    start, end, digests = begins[at], ends[at + words - 1], Digests(data)
+    of = text[at]
+    return Windows(of, at - np.searchsorted(text, of), start - offset[of], end - offset[of],
+                   digests.of(start, end).view(np.int64), _seeds(data, digests, start, end).view(np.int64))
+
+
+def _seeds(data: np.ndarray, digests: Digests, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The least digest among the chunks of a window whose two cuts depend on its own bytes alone."""
+    bounds = cuts(data)[1:-1]
+    if len(bounds) < 2:
+        return np.full(len(start), _NONE)
+    marks = digests.of(bounds[:-1], bounds[1:])
+    marks[np.diff(bounds) < MIN_CHUNK_BYTES] = _NONE  # too short to mean something
+    low = np.searchsorted(bounds, start + MEMORY)
+    return least(marks, low, np.maximum(low, np.searchsorted(bounds, end, "right") - 1))
+
+
+def seeds(docs: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, seed) of the windows of `min_words` words, once for neighbours with the same seed."""
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                w = windows(part.column("text").to_pylist(), min_words)
+                new = np.append(True, (w.seed[1:] != w.seed[:-1]) | (w.text[1:] != w.text[:-1]))[:len(w.seed)]
+                new &= w.seed != _NONE.view(np.int64)
+                docs_of = part.column("doc_id").to_numpy(False)
+                yield pa.RecordBatch.from_arrays([pa.array(docs_of[w.text[new]]), pa.array(w.seed[new])], ["doc_id", "seed"])
 
+    return docs.mapInArrow(find, "doc_id long, seed long")
 
-def counted(bounds: np.ndarray) -> np.ndarray:
-    """Numbers of the chunks that are long enough to mean something; the others belong to their neighbours."""
-    return np.flatnonzero(np.diff(bounds) >= MIN_CHUNK_BYTES)
 
+def candidates(rows: DataFrame, min_words: int) -> DataFrame:
+    """Windows whose seed is in the row's `seeds`: doc_id, key, at.
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, no, size, digest) of the counted chunks, numbered without the others."""
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    at: the number of the window, its first byte and the one after its last, and 1 if the text has the same window before.
+
+    rows: doc_id, text, seeds.
+    """
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                out = []
-                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                    data = _bytes(text)
-                    bounds = cuts(data)
-                    long = counted(bounds)
-                    if len(long):
-                        out.append((np.full(len(long), doc, np.int64), np.arange(len(long), dtype=np.int32),
-                                    np.diff(bounds)[long].astype(np.int32), digests(data, bounds)[long]))
-                if out:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(x)) for x in zip(*out)], ["doc_id", "no", "size", "digest"])
-
-    return docs.mapInArrow(cut, "doc_id long, no int, size int, digest long")
-
-
-def runs(shared: DataFrame) -> DataFrame:
-    """Stretches of neighbouring shared chunks with MIN_RUN_BYTES or more: doc_id, runs (low, high, first).
-
-    shared: doc_id, chunks (array of struct no, size, first).  low and high (exclusive) are chunk numbers; first
-    belongs to the longest chunk.
+                w = windows(part.column("text").to_pylist(), min_words)
+                known, edges = part.column("seeds"), np.searchsorted(w.text, np.arange(len(part) + 1))
+                shared = np.concatenate([np.zeros(0, bool), *[
+                    np.isin(w.seed[a:b], known[k].values.to_numpy(False))
+                    for k, (a, b) in enumerate(zip(edges, edges[1:]))]])
+                first = np.zeros(len(shared), bool)
+                order = np.lexsort([w.key, w.text])
+                first[order] = np.append(True, (np.diff(w.key[order]) != 0) | (np.diff(w.text[order]) != 0))[:len(order)]
+                at = np.stack([w.no, w.start, w.end, ~first], axis=1)[shared].astype(np.int32)
+                doc = part.column("doc_id").to_numpy(False)[w.text[shared]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(doc), pa.array(w.key[shared]),
+                     pa.ListArray.from_arrays(np.arange(len(at) + 1, dtype=np.int32) * 4, at.ravel())], ["doc_id", "key", "at"])
+
+    return rows.mapInArrow(find, "doc_id long, key long, at array<int>")
+
+
+def stretches(doc: int, no: np.ndarray, place: np.ndarray, other: np.ndarray, many: np.ndarray,
+              min_words: int) -> Iterator[tuple[int, int, int]]:
+    """Longest stretches of a document's windows that one other document holds: first and last window (places in
+    `no`), the least document with the stretch.
+
+    no: ascending window numbers; place and other: known holders of them; many: a window has more than those.  A
+    document that is not known for a few such windows, but is before and after them, has them too, as windows overlap.
     """
+    place, other = place[other != doc], other[other != doc]
+    order = np.lexsort([place, other])
+    place, other = place[order], other[order]
+    crowd = np.append(0, np.cumsum(many))
+    a, b = place[:-1], place[1:]
+    gap = no[b] - no[a]
+    joined = (other[1:] == other[:-1]) & (gap == b - a) & (
+        (gap == 1) | (gap <= min_words) & (crowd[b] - crowd[np.minimum(a + 1, b)] == gap - 1))
+    edges = np.flatnonzero(np.concatenate([[True], ~joined, [True]]))
+    low, high, other = place[edges[:-1]], place[edges[1:] - 1], other[edges[:-1]]
+    reached = -1
+    for k in np.lexsort([other, -high, low]):  # the least document of equal stretches comes first
+        if high[k] > reached:
+            reached = high[k]
+            yield int(low[k]), int(high[k]), min(doc, int(other[k]))
+
+
+def joined(shared: DataFrame, min_words: int) -> DataFrame:
+    """Passages from the shared windows of each document: doc_id, list of (at, holders, many)."""
+    names = ["doc_id", "start_byte", "end_byte", "n_words", "first_doc_id", "kept"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
+
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32()), ("first", pa.int64())]))
         for batch in batches:
-            ids, found = [], []
-            lists = batch.column("chunks")
+            out = []
+            lists = batch.column("windows")
             flat, bounds = lists.flatten(), np.append(0, np.cumsum(lists.value_lengths().to_numpy(False)))
-            number, size, first = (flat.field(n).to_numpy(False) for n in ("no", "size", "first"))
+            no, start, end, _ = flat.field("at").flatten().to_numpy(False).reshape(-1, 4).T
+            many = flat.field("many").to_numpy(False)
+            holders = flat.field("holders")
+            held = np.append(0, np.cumsum(holders.value_lengths().to_numpy(False)))
+            holders = holders.flatten().to_numpy(False)
             for k, doc in enumerate(batch.column("doc_id").to_pylist()):
-                order = bounds[k] + np.argsort(number[bounds[k]:bounds[k + 1]], kind="stable")
-                no = number[order]
-                edges = np.concatenate([[0], np.flatnonzero(np.diff(no) != 1) + 1, [len(no)]])
-                held = np.add.reduceat(size[order], edges[:-1])
-                own = [{"low": int(no[a]), "high": int(no[b - 1]) + 1,
-                        "first": int(first[order[a:b]][np.argmax(size[order[a:b]])])}
-                       for a, b in zip(edges[:-1][held >= MIN_RUN_BYTES], edges[1:][held >= MIN_RUN_BYTES])]
-                if own:
-                    ids.append(doc)
-                    found.append(own)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, kind)], ["doc_id", "runs"])
-
-    return shared.mapInArrow(join, "doc_id long, runs array<struct<low:int,high:int,first:bigint>>")
-
-
-def stretches(rows: DataFrame, min_words: int) -> DataFrame:
-    """Per run that may belong to a passage of `min_words`: doc_id, first, start, end (bytes), words, and the ladders
-    of words on each side.
-
-    rows: doc_id, text, runs.  A ladder lists, for k from 1, a hash of the next k words together with the chunk
-    they touch, their bytes and their number.
-    """
-    names = ["doc_id", "first", "start", "end", "words", "left", "right"]
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = pa.list_(pa.struct([("key", pa.int64()), ("bytes", pa.int32()), ("words", pa.int32())]))
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), step, step]
-        for batch in batches:
-            out = []
-            for doc, text, own in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "runs"))):
-                data = _bytes(text)
-                bounds = cuts(data)
-                long, marks = counted(bounds), digests(data, bounds)
-                begins, ends = word_starts(data), word_ends(data)
-                for run in own:
-                    low, high = long[run["low"]], long[run["high"] - 1]
-                    start, end = int(bounds[low]), int(bounds[high + 1])
-                    # A passage ends inside the next counted chunk, and starts inside the one before or, as cuts
-                    # near its start depend on what stands before it, a few bytes earlier.
-                    least = max(0, int(bounds[long[run["low"] - 1]]) - MEMORY - 8) if run["low"] else 0
-                    most = int(bounds[long[run["high"]] + 1]) if run["high"] < len(long) else len(data)
-                    first, b, c = np.searchsorted(begins, [least, start, end])
-                    last = np.searchsorted(begins, most)
-                    if last - first < min_words:
-                        continue
-                    e = np.searchsorted(ends, [end, most], "right")
-                    out.append((doc, run["first"], start, end, int(c - b),
-                                _ladder(data[least:start][::-1], start - begins[first:b][::-1], marks[low], False,
-                                        np.arange(1, b - first + 1)),
-                                _ladder(data[end:most], ends[e[0]:e[1]] - end, marks[high], True,
-                                        np.searchsorted(begins, ends[e[0]:e[1]]) - c)))
-            columns = list(zip(*out)) if out else [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
-
-    step = "array<struct<key:bigint,bytes:int,words:int>>"
-    return rows.mapInArrow(find, f"doc_id long, first long, start int, end int, words int, left {step}, right {step}")
-
-
-def _ladder(outward: np.ndarray, sizes: np.ndarray, mark: np.int64, ahead: bool, words: np.ndarray) -> list[dict]:
-    """Hashes of the first `sizes` bytes of `outward`, the bytes from a run's edge away from it, with the run's outer chunk."""
-    if not len(sizes):
-        return []
-    outward = outward[:sizes[-1]]
-    sums = np.cumsum(_mix(outward.astype(np.uint64) + np.uint64(1)) * _powers(len(outward)), dtype=np.uint64)
-    seed = np.array([mark], np.int64).view(np.uint64) ^ np.uint64(0x5555 if ahead else 0)
-    keys = _mix(seed + _mix(sums[sizes - 1] + sizes.astype(np.uint64)) * _P).view(np.int64)
-    return [{"key": k, "bytes": n, "words": w} for k, n, w in zip(keys.tolist(), sizes.tolist(), words.tolist())]
+                a = bounds[k]
+                one = a + np.unique(no[a:bounds[k + 1]], return_index=True)[1]  # a repeated row has its windows twice
+                size = held[one + 1] - held[one]
+                inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                others = holders[np.repeat(held[one], size) + inner]
+                for low, high, first in stretches(doc, no[one], np.repeat(np.arange(len(one)), size), others, many[one],
+                                                  min_words):
+                    low, high = one[low], one[high]
+                    out.append((doc, int(start[low]), int(end[high]), int(no[high] - no[low]) + min_words, first, first == doc))
+            found = list(zip(*out)) if out else [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, kinds)], names)
+
+    return shared.mapInArrow(
+        join, "doc_id long, start_byte int, end_byte int, n_words int, first_doc_id long, kept boolean")
 
 
 def passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Passages of `min_words` words or more that also stand in other documents.
+    """Passages of `min_words` words or more that also stand, whole, in one other document.
 
     Per occurrence: doc_id, start_byte, end_byte (exclusive, in UTF-8), n_words, first_doc_id, kept.
-    first_doc_id is the least id that holds the passage's longest chunk; its occurrence is the one `kept`.
-    White space divides words.  Repeats inside one document alone do not count, nor do rows repeated
-    under one id.  Null and empty texts, null ids and empty tables give no rows; other columns are not read.
-
-    A passage is missed when it holds no whole chunk stretch of 40 bytes, which befalls about one in
-    a few hundred of the shortest, and fewer the longer they are.
+    first_doc_id is the least id that has the whole passage; its occurrence is the one `kept`.  Passages
+    that different documents share with this one may overlap.
+    White space divides words and counts like other bytes between them.  Repeats inside one document alone do not count,
+    nor do rows repeated under one id.  Null and empty texts, null ids and empty tables give no rows; other columns
+    are not read.
+
+    Of each window the least and the greatest holder are known in each of HOLDER_GROUPS groups of documents.  Where still
+    more hold a part than hold the rest, a passage can come out as several that overlap.
     """
     shelf = Shelf(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter(
         "doc_id is not null and length(text) > 0")
-    cut = shelf.put(chunks(rows), "chunks")
-    held = cut.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    held = held.filter("first < last").select("digest", "first")
-    shared = shelf.put(runs(cut.join(held, "digest").groupBy("doc_id").agg(
-        F.collect_set(F.struct("no", "size", "first")).alias("chunks"))), "runs")
-    found = shelf.put(stretches(rows.join(shared, "doc_id"), min_words), "stretches")
-    shelf.drop("chunks", "runs")
-    steps = found.select("doc_id", F.explode(F.concat("left", "right")).alias("s")).select("doc_id", "s.key")
-    agreed = steps.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("key")
-    numbered = found.withColumn("run", F.struct("doc_id", "start"))
-    sides = numbered.select("run", F.explode(F.concat(
-        F.transform("left", lambda s: s.withField("side", F.lit(0))),
-        F.transform("right", lambda s: s.withField("side", F.lit(1))))).alias("s")).select("run", "s.*")
-    best = sides.join(agreed, "key", "left_semi").groupBy("run").agg(
-        *[F.coalesce(F.max(F.when(F.col("side") == side, F.col(what))), F.lit(0)).alias(f"{what}{side}")
-          for side in (0, 1) for what in ("bytes", "words")])
-    grown = numbered.join(best, "run", "left").fillna(0, ["bytes0", "bytes1", "words0", "words1"])
-    return (grown.select(
-        "doc_id", (F.col("start") - F.col("bytes0")).alias("start_byte"), (F.col("end") + F.col("bytes1")).alias("end_byte"),
-        (F.col("words") + F.col("words0") + F.col("words1")).alias("n_words"), F.col("first").alias("first_doc_id"),
-        (F.col("doc_id") == F.col("first")).alias("kept")).filter(F.col("n_words") >= min_words).distinct())
+    ends = [F.min("doc_id").alias("first"), F.max("doc_id").alias("last")]
+    sown = shelf.put(seeds(rows, min_words), "seeds")
+    held = sown.groupBy("seed").agg(*ends).filter("first < last").select("seed")
+    wanted = sown.join(held, "seed").groupBy("doc_id").agg(F.collect_set("seed").alias("seeds"))
+    # One shuffle by key serves the counts and the join with them; that is why `at` is one column.
+    spots = shelf.put(candidates(rows.join(shelf.put(wanted, "wanted"), "doc_id"), min_words), "windows").repartition("key")
+    shelf.drop("seeds", "wanted")
+    group = F.pmod(F.xxhash64("doc_id"), F.lit(HOLDER_GROUPS))
+    known = [end(F.when(group == g, F.col("doc_id"))) for g in range(HOLDER_GROUPS) for end in (F.min, F.max)]
+    agreed = spots.groupBy("key").agg(
+        F.array_distinct(F.array_compact(F.array(*known))).alias("holders"),
+        F.sum(1 - F.get("at", F.lit(3))).alias("n")).filter("size(holders) > 1")
+    agreed = agreed.select("key", "holders", (F.col("n") > F.size("holders")).alias("many"))
+    shared = spots.join(agreed, "key").groupBy("doc_id").agg(
+        F.collect_list(F.struct("at", "holders", "many")).alias("windows"))
+    return joined(shared, min_words).distinct()
 
 
 def without_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:

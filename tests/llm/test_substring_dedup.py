@@ -68,3 +68,16 @@ def test_a_group_of_many_copies(docs_of):
     long = prose(r, 70)
     rows = {k: long if k % 3 == 0 else prose(r, 20) for k in range(300)}
     assert found(docs_of(rows)) == {(k, 70, 0) for k in range(0, 300, 3)}
+
+
+def test_a_low_near_copy_with_short_stretches_does_not_take_the_kept_one(docs_of):
+    r = random.Random(8)
+    for _ in range(5):
+        long = prose(r, 120)
+        edited = " ".join("zq" if i % 40 == 20 else w for i, w in enumerate(long.split()))
+        rows = {1: f"{prose(r, 30)} {edited} {prose(r, 30)}"} | {k: f"{prose(r, 40)} {long} {prose(r, 40)}" for k in (4, 6, 8)}
+        docs = docs_of(rows)
+        got = s.passages(docs)
+        assert {(x["doc_id"], x["n_words"], x["first_doc_id"], x["kept"]) for x in got.collect()} == {
+            (k, 120, 4, k == 4) for k in (4, 6, 8)}
+        assert [x["doc_id"] for x in s.without_repeats(docs, got).collect() if long in x["text"]] == [4]
