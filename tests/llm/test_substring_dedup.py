@@ -81,3 +81,32 @@ def test_a_low_near_copy_with_short_stretches_does_not_take_the_kept_one(docs_of
         assert {(x["doc_id"], x["n_words"], x["first_doc_id"], x["kept"]) for x in got.collect()} == {
             (k, 120, 4, k == 4) for k in (4, 6, 8)}
         assert [x["doc_id"] for x in s.without_repeats(docs, got).collect() if long in x["text"]] == [4]
+
+
+def test_a_passage_stands_whole_in_one_other_document(docs_of):
+    r = random.Random(9)
+    rows, n = {}, 60
+    for k in range(n):
+        a, b = prose(r, 30), prose(r, 30)
+        rows |= {10 * k: f"{prose(r, 30)} {a} {b} {prose(r, 30)}", 10 * k + 1: f"{prose(r, 30)} {a} {prose(r, 30)}",
+                 10 * k + 2: f"{prose(r, 30)} {b} {prose(r, 30)}"}
+    assert found(docs_of(rows)) == set()
+    long = prose(r, 100).split()
+    parts = {1: long, 2: long[:70], 3: long[20:]}
+    got = found(docs_of({k: f"{prose(r, 30)} {' '.join(p)} {prose(r, 30)}" for k, p in parts.items()}))
+    assert got == {(1, 70, 1), (2, 70, 1), (1, 80, 1), (3, 80, 1)}
+
+
+def test_chunks_shared_elsewhere_at_the_edges_of_a_passage(docs_of):
+    r = random.Random(10)
+    rows, n = {}, 60
+    for k in range(n):
+        passage, before, after = prose(r, 52), prose(r, 40), prose(r, 40)
+        text = f"{before} {passage} {after}"
+        rows |= {10 * k: text, 10 * k + 1: f"{prose(r, 40)} {passage} {prose(r, 40)}"}
+        words = text.split()
+        rows |= {10 * k + 2: f"{prose(r, 9)} {' '.join(words[20:60])} {prose(r, 9)}",
+                 10 * k + 3: f"{prose(r, 9)} {' '.join(words[72:112])} {prose(r, 9)}"}
+    got = found(docs_of(rows))
+    assert {d % 10 for d, _, _ in got} == {0, 1}
+    assert len({d for d, _, _ in got}) >= 0.99 * 2 * n
