@@ -2,7 +2,8 @@
 
 A gear hash rolls over the bytes of a text (16 bytes of memory) and cuts where its top bits are
 zero, so the same passage has the same cuts wherever it stands and insertions only change the chunks they touch.  Every
-window of 50 words has a seed that its own bytes decide: the least digest of its whole chunks.
+window of 50 words has a seed that its own bytes decide: the least digest of its whole chunks or, where cuts leave
+none, of its stretches of 16 words.
 Windows whose seed other documents have too are counted by a hash of all their bytes; neighbouring
 windows that stand in the same other document make up a passage.
 """
@@ -112,18 +113,25 @@ def windows(texts: list[str], words: int) -> Windows:
     start, end, digests = begins[at], ends[at + words - 1], Digests(data)
     of = text[at]
     return Windows(of, at - np.searchsorted(text, of), start - offset[of], end - offset[of],
-                   digests.of(start, end).view(np.int64), _seeds(data, digests, start, end).view(np.int64))
+                   digests.of(start, end).view(np.int64),
+                   _seeds(data, digests, begins, ends, at, words).view(np.int64))
 
 
-def _seeds(data: np.ndarray, digests: Digests, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """The least digest among the chunks of a window whose two cuts depend on its own bytes alone."""
+def _seeds(data: np.ndarray, digests: Digests, begins: np.ndarray, ends: np.ndarray, at: np.ndarray, words: int) -> np.ndarray:
+    """The least digest among the chunks of a window whose two cuts depend on its own bytes alone, or among its
+    stretches of a third of its words if there is no such chunk."""
+    out = np.full(len(at), _NONE)
     bounds = cuts(data)[1:-1]
-    if len(bounds) < 2:
-        return np.full(len(start), _NONE)
-    marks = digests.of(bounds[:-1], bounds[1:])
-    marks[np.diff(bounds) < MIN_CHUNK_BYTES] = _NONE  # too short to mean something
-    low = np.searchsorted(bounds, start + MEMORY)
-    return least(marks, low, np.maximum(low, np.searchsorted(bounds, end, "right") - 1))
+    if len(bounds) > 1:
+        marks = digests.of(bounds[:-1], bounds[1:])
+        marks[np.diff(bounds) < MIN_CHUNK_BYTES] = _NONE  # too short to mean something
+        low = np.searchsorted(bounds, begins[at] + MEMORY)
+        out = least(marks, low, np.maximum(low, np.searchsorted(bounds, ends[at + words - 1], "right") - 1))
+    bare, few = np.flatnonzero(out == _NONE), max(1, words // 3)
+    if len(bare):
+        marks = digests.of(begins[:len(begins) - few + 1], ends[few - 1:])
+        out[bare] = least(marks, at[bare], at[bare] + words - few + 1)
+    return out
 
 
 def seeds(docs: DataFrame, min_words: int) -> DataFrame:
@@ -133,7 +141,6 @@ def seeds(docs: DataFrame, min_words: int) -> DataFrame:
             for part in slices(batch, "text"):
                 w = windows(part.column("text").to_pylist(), min_words)
                 new = np.append(True, (w.seed[1:] != w.seed[:-1]) | (w.text[1:] != w.text[:-1]))[:len(w.seed)]
-                new &= w.seed != _NONE.view(np.int64)
                 docs_of = part.column("doc_id").to_numpy(False)
                 yield pa.RecordBatch.from_arrays([pa.array(docs_of[w.text[new]]), pa.array(w.seed[new])], ["doc_id", "seed"])
 
@@ -234,6 +241,7 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id"
     nor do rows repeated under one id.  Null and empty texts, null ids and empty tables give no rows; other columns
     are not read.
 
+    None is missed.  A periodic stretch longer than the other document's counts as held where all its windows are.
     Of each window the least and the greatest holder are known in each of HOLDER_GROUPS groups of documents.  Where still
     more hold a part than hold the rest, a passage can come out as several that overlap.
     """
@@ -244,9 +252,10 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id"
     sown = shelf.put(seeds(rows, min_words), "seeds")
     held = sown.groupBy("seed").agg(*ends).filter("first < last").select("seed")
     wanted = sown.join(held, "seed").groupBy("doc_id").agg(F.collect_set("seed").alias("seeds"))
+    wanted = shelf.put(wanted, "wanted")
+    shelf.drop("seeds")
     # One shuffle by key serves the counts and the join with them; that is why `at` is one column.
-    spots = shelf.put(candidates(rows.join(shelf.put(wanted, "wanted"), "doc_id"), min_words), "windows").repartition("key")
-    shelf.drop("seeds", "wanted")
+    spots = candidates(rows.join(wanted, "doc_id"), min_words).repartition("key")
     group = F.pmod(F.xxhash64("doc_id"), F.lit(HOLDER_GROUPS))
     known = [end(F.when(group == g, F.col("doc_id"))) for g in range(HOLDER_GROUPS) for end in (F.min, F.max)]
     agreed = spots.groupBy("key").agg(

@@ -110,3 +110,41 @@ def test_chunks_shared_elsewhere_at_the_edges_of_a_passage(docs_of):
     got = found(docs_of(rows))
     assert {d % 10 for d, _, _ in got} == {0, 1}
     assert len({d for d, _, _ in got}) >= 0.99 * 2 * n
+
+
+def test_recall_of_short_words_and_periodic_text(docs_of):
+    r = random.Random(11)
+    rows, want = {}, set()
+    for k in range(150):
+        passage = " ".join("".join(r.choices("abcdefgh", k=r.randint(1, 3))) for _ in range(52))
+        rows |= {2 * k + i: f"{prose(r, 40)} {passage} {prose(r, 40)}" for i in (0, 1)}
+    for k in range(30):
+        passage = " ".join([" ".join(prose(r, 2).split())] * 40)
+        rows |= {1_000 + 2 * k + i: f"{prose(r, 40)} {passage} {prose(r, 40)}" for i in (0, 1)}
+    got = found(docs_of(rows))
+    assert {d for d, _, _ in got} == set(rows)
+    assert all(n >= (80 if d >= 1_000 else 52) and first == d - d % 2 for d, n, first in got)
+
+
+def test_passages_equal_a_search_of_all_windows(docs_of):
+    r = random.Random(12)
+    rows = {}
+    for k in range(40):
+        words = [f"w{r.randint(0, 9)}" for _ in range(r.randint(0, 120))]
+        for _ in range(r.randint(0, 2) if rows else 0):
+            own = rows[r.choice(list(rows))].split()
+            a = r.randint(0, len(own))
+            words += own[a:a + r.randint(20, 90)] + [f"x{r.randint(0, 99)}"]
+        rows[k] = " ".join(words)
+    held = {}
+    for d, text in rows.items():
+        words = text.split()
+        for i in range(len(words) - 49):
+            held.setdefault(tuple(words[i:i + 50]), set()).add((d, i))
+    want = {(d, i) for places in held.values() if len({d for d, _ in places}) > 1 for d, i in places}
+    covered = set()
+    for x in s.passages(docs_of(rows)).collect():
+        first = len(rows[x["doc_id"]].encode()[:x["start_byte"]].split())
+        covered |= {(x["doc_id"], i) for i in range(first, first + x["n_words"] - 49)}
+        assert rows[x["doc_id"]].encode()[x["start_byte"]:x["end_byte"]].decode() in rows[x["first_doc_id"]]
+    assert want and covered == want
