@@ -2,9 +2,8 @@
 
 A mask such as 1110111 is laid over the words at every position of a text; the words under
 its ones are hashed and the word under a zero may be anything.  Seeds of documents meet seeds
-of benchmark items in a join.  Around each hit document and item are compared word by word in both
-directions, a match counting 1 and a substitution -4, so the best stretch through the hit
-has at least 80 % equal words.  Everything is DataFrame functions.
+of benchmark items in a join.  Document and item, laid over each other as a hit has them, are compared word by word along
+the whole item, and the stretches with at least 80 % equal words are found.  Everything is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -16,8 +15,6 @@ from gaugeline.llm.common import if_small, table
 
 MASKS = ("1110111", "11011011", "1011001101")
 MIN_MATCH = 12
-REACH = 32
-SUBSTITUTION = 4
 ITEM_SHARE = 0.8
 
 
@@ -38,20 +35,24 @@ def seeds(rows: DataFrame, masks: tuple[str, ...], *carried: str) -> DataFrame:
     return placed.select(*carried, "at", "words", F.explode(F.array(*under)).alias("seed")).filter("seed is not null")
 
 
-def _stretch(equal: Column) -> Column:
-    """Best end of a stretch from the start of a boolean array: (best, length, matched)."""
-    start = F.struct(*[F.lit(0).alias(n) for n in ("score", "at", "hits", "best", "length", "matched")])
+def _stretches(equal: Column, needed: Column) -> Column:
+    """Stretches from one equal word to another with ITEM_SHARE (four in five) equal words and `needed` of them: an array
+    of (start, end, matched) with the longest from each start.
 
-    def step(s: Column, same: Column) -> Column:
-        score = s["score"] + F.when(same, 1).otherwise(-SUBSTITUTION)
-        at, hits = s["at"] + 1, s["hits"] + F.when(same, 1).otherwise(0)
-        ahead = score > s["best"]
-        return F.struct(
-            score.alias("score"), at.alias("at"), hits.alias("hits"), F.greatest(score, s["best"]).alias("best"),
-            F.when(ahead, at).otherwise(s["length"]).alias("length"),
-            F.when(ahead, hits).otherwise(s["matched"]).alias("matched"))
+    equal: ascending places of the equal words.  From the i-th to the j-th of them 5 (j - i + 1) >= 4 (place j -
+    place i + 1), so 5 j - 4 place j may be less by one at most than 5 i - 4 place i.
+    """
+    lead = F.transform(equal, lambda place, i: 5 * i - 4 * place)
+
+    def longest(own: Column, i: Column) -> Column:
+        last = F.array_max(F.transform(lead, lambda v, j: F.when(v + 1 >= own, j)))
+        return F.struct(F.get(equal, i).alias("start"), (F.get(equal, last) + 1).alias("end"), (last - i + 1).alias("matched"))
 
-    return F.aggregate(equal, start, step)
+    whole = F.get(lead, F.size(equal) - 1) + 1 >= F.get(lead, F.lit(0))
+    found = F.when(whole, F.array(F.struct(
+        F.get(equal, F.lit(0)).alias("start"), (F.element_at(equal, -1) + 1).alias("end"), F.size(equal).alias("matched"))))
+    return F.when(F.size(equal) >= needed, F.filter(
+        found.otherwise(F.transform(lead, longest)), lambda s: s["matched"] >= needed))
 
 
 def overlaps(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, min_match: int = MIN_MATCH,
@@ -59,10 +60,10 @@ def overlaps(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS,
     """Per document and benchmark item that share a passage: doc_id, item_id, start_word, end_word,
     n_matched, n_hits.
 
-    items: item_id, text.  A passage counts when its best stretch through a seed holds `min_match` equal
-    words, or for shorter items 80 % of the item.  start_word and end_word (exclusive) span
-    all such stretches of the pair; n_matched is the largest number of equal words of one, within
-    32 words on either side of the hit.  Items with fewer words than the shortest mask cannot be found.
+    items: item_id, text.  A passage counts when a stretch with 80 % equal words, placed as a seed has it, holds
+    `min_match` equal words, or for shorter items 80 % of the item.  start_word and end_word (exclusive) span
+    all such stretches of the pair; n_matched is the largest number of equal words of one; n_hits counts the seeds
+    placed so.  Items with fewer words than the shortest mask cannot be found.
     Null or empty texts, null ids and empty tables give no rows.  Repeated items count once
     each id; other columns are not read.
 
@@ -74,23 +75,18 @@ def overlaps(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS,
     their = (seeds(right.withColumnRenamed("item", "words"), masks, "item_id")
              .select("seed", "item_id", F.col("at").alias("item_at")).distinct())
     hits = seeds(left, masks, "doc_id").join(if_small(their), "seed").join(if_small(right), "item_id")
-    before = F.least(F.lit(REACH), F.col("at"), F.col("item_at"))
-    after = F.least(F.lit(REACH), F.size("words") - F.col("at"), F.size("item") - F.col("item_at"))
-    around = hits.select(
-        "doc_id", "item_id", "at", F.size("item").alias("item_words"),
-        F.zip_with(F.slice("words", F.col("at") + 1, after), F.slice("item", F.col("item_at") + 1, after),
-                   lambda a, b: a == b).alias("ahead"),
-        F.reverse(F.zip_with(F.slice("words", F.col("at") - before + 1, before),
-                             F.slice("item", F.col("item_at") - before + 1, before),
-                             lambda a, b: a == b)).alias("behind"))
-    scored = around.select("doc_id", "item_id", "at", "item_words", _stretch(F.col("ahead")).alias("r"),
-                           _stretch(F.col("behind")).alias("l"))
-    needed = F.least(F.lit(min_match), F.ceil(F.col("item_words") * ITEM_SHARE))
-    matched = F.col("r.matched") + F.col("l.matched")
-    return (scored.filter(matched >= needed).groupBy("doc_id", "item_id").agg(
-        F.min(F.col("at") - F.col("l.length")).alias("start_word"),
-        F.max(F.col("at") + F.col("r.length")).alias("end_word"),
-        F.max(matched).alias("n_matched"), F.count("*").alias("n_hits")))
+    before = F.least(F.col("at"), F.col("item_at"))
+    after = F.least(F.size("words") - F.col("at"), F.size("item") - F.col("item_at"))
+    laid = hits.select(
+        "doc_id", "item_id", (F.col("at") - before).alias("low"), F.size("item").alias("item_words"),
+        F.filter(F.sequence(F.lit(0), before + after - 1),
+                 lambda k: F.get("words", F.col("at") - before + k) == F.get("item", F.col("item_at") - before + k)).alias("equal"))
+    needed = F.least(F.lit(min_match), F.ceil(F.col("item_words") * ITEM_SHARE)).cast("int")
+    scored = laid.select("doc_id", "item_id", "low", _stretches(F.col("equal"), needed).alias("s")).filter("size(s) > 0")
+    return scored.groupBy("doc_id", "item_id").agg(
+        F.min(F.col("low") + F.array_min("s.start")).alias("start_word"),
+        F.max(F.col("low") + F.array_max("s.end")).alias("end_word"),
+        F.max(F.array_max("s.matched")).alias("n_matched"), F.count("*").alias("n_hits"))
 
 
 def clean_of(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -61,3 +61,18 @@ def test_empty_tables(items, docs_of):
     assert overlaps(docs_of([]), table).count() == 0
     assert overlaps(docs_of({1: "a b c"}), table.limit(0)).count() == 0
     assert clean_of(docs_of([(None, "a"), (1, None)]), table).count() == 2
+
+
+def test_four_in_five_equal_words_and_long_items(spark, docs_of):
+    r = random.Random(3)
+    texts = {k: prose(r, n) for k, n in enumerate((45, 15, 200, 60))}
+    table = spark.createDataFrame(list(texts.items()), "item_id long, text string")
+
+    def fifth(text):
+        return " ".join("zzzz" if i % 5 == 4 else w for i, w in enumerate(text.split()))
+
+    words = texts[3].split()
+    gap = " ".join([*words[:20], *["zzzz"] * 20, *words[40:]])  # two stretches, placed alike
+    docs = docs_of({k: f"{prose(r, 40)} {t} {prose(r, 40)}" for k, t in enumerate((fifth(texts[0]), fifth(texts[1]), texts[2], gap))})
+    got = {(x["doc_id"], x["item_id"]): x[2:5] for x in overlaps(docs, table).collect()}
+    assert got == {(0, 0): (40, 84, 36), (1, 1): (40, 54, 12), (2, 2): (40, 240, 200), (3, 3): (40, 100, 20)}
