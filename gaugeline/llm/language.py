@@ -14,8 +14,10 @@ from gaugeline.llm.common import slices, table
 from gaugeline.llm.subword import Model, Shape, bags, train
 
 SHAPE = Shape(bits=16, grams=(1, 2, 3, 4), lower=True)
-# The model learns from at most so many rows, and so many words of each.
+# The model learns from about so many rows by the languages' shares, at least so many of each language (or all it has;
+# fewer when there are many languages), and so many words of each.
 LEARN_ROWS = 3_000
+LEARN_LEAST = 60
 LEARN_WORDS = 400
 
 
@@ -31,6 +33,20 @@ def sample(df: DataFrame, id_col: str, rows: int) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1_000_000)) < rows * 1_000_000 // total)
 
 
+def sample_languages(df: DataFrame, id_col: str, rows: int, lang_col: str = "lang", least: int = LEARN_LEAST) -> DataFrame:
+    """About `rows` rows by the languages' shares, where a language with fewer than `least` among them has `least`, or all its
+    rows; twice `rows` at most while there are no more languages than `rows`.  Chosen by a hash of the id; the same for
+    any partitioning.  A rare language's share is so raised, also for the score and its rejection bound."""
+    counts = df.groupBy(F.col(lang_col).alias("__lang")).agg(F.count("*").alias("__rows"))
+    total, languages = counts.agg(F.sum("__rows"), F.count("*")).first()
+    if not total or total <= rows:
+        return df
+    wanted = F.greatest(F.lit(rows / total) * F.col("__rows"), F.lit(float(min(least, max(1, rows // languages)))))
+    rates = counts.select("__lang", (wanted / F.col("__rows")).alias("__rate"))
+    drawn = F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(10**12)) < F.col("__rate") * 1e12
+    return df.join(F.broadcast(rates), F.col(lang_col) == F.col("__lang")).filter(drawn).select(*df.columns)
+
+
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", shape: Shape = SHAPE,
           most_words: int = LEARN_WORDS, id_col: str = "doc_id") -> Model:
     """A model from the texts and labels of `docs`, which has a bounded number of rows.
@@ -87,6 +103,6 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     nothing is learned and every row is `und`."""
     docs = table(spark, sf_dir, "documents")
     known = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    model = learn(sample(known, "doc_id", LEARN_ROWS))
+    model = learn(sample_languages(known, "doc_id", LEARN_ROWS))
     return identify(docs, model).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted")

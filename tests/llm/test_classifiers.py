@@ -122,3 +122,16 @@ def test_one_label_only(spark, docs_of):
     docs = docs_of({k: "word text" for k in range(12)})
     labels = spark.createDataFrame([(k, 1) for k in range(12)], "doc_id long, quality int")
     assert {r["__score"] for r in quality.scores(docs, quality.learn_quality(docs, labels)).collect()} == {1.0}
+
+
+def test_a_rare_language_is_learned_beside_a_frequent_one(spark, monkeypatch, tmp_path):
+    r = random.Random(21)
+    rows = [(k, " ".join(r.choices(["mo", "lat", "perin", "sola", "duvet"], k=12)), "aa") for k in range(6_000)]
+    rows += [(k, " ".join(r.choices(["xyk", "wrj", "zzoq", "qhyx", "jjw"], k=12)), "bb") for k in range(6_000, 6_030)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr("gaugeline.llm.language.LEARN_ROWS", 100)
+    known = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    picked = {x["lang"]: x["count"] for x in language.sample_languages(known, "doc_id", 100).groupBy("lang").count().collect()}
+    assert picked["bb"] == 30 and 60 < picked["aa"] < 140
+    got = language.op2_language_id(spark, str(tmp_path)).filter("doc_id >= 6000").collect()
+    assert len(got) == 30 and {x["lang_pred"] for x in got} == {"bb"}
