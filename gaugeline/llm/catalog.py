@@ -8,6 +8,7 @@ from gaugeline.llm.filter_audit import OP12_SQL, op12_filter_interaction_audit
 from gaugeline.llm.html_text import op3_html_extraction
 from gaugeline.llm.language import op2_language_id
 from gaugeline.llm.merkle import OP11_SQL, op11_merkle_dataset_manifest
+from gaugeline.llm.minhash_join import OP13_SQL, op13_minhash_near_dedup
 from gaugeline.llm.ngram_join import OP7_SQL, op7_ngram_jaccard_join
 from gaugeline.llm.packing import op8_packing
 from gaugeline.llm.pii import op5_pii
@@ -28,10 +29,12 @@ QUERIES = {f.__name__: f for f in (
     op10_quality_classifier,
     op11_merkle_dataset_manifest,
     op12_filter_interaction_audit,
+    op13_minhash_near_dedup,
 )}
 SQL = {
     "op6_exact_dedup": OP6_SQL,
     "op7_ngram_jaccard_join": OP7_SQL,
     "op11_merkle_dataset_manifest": OP11_SQL,
     "op12_filter_interaction_audit": OP12_SQL,
+    "op13_minhash_near_dedup": OP13_SQL,
 }

@@ -45,27 +45,27 @@ TEXT_ROWS, PAIR_ROWS = 1_000, 256
 U = np.uint64
 
 
-def shingles_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit shingles of all texts in order, and the bounds of each text's own.
+def shingles_of(texts: pa.Array, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit shingles of `gram` words of all texts in order, and the bounds of each text's own.
 
-    Words are divided by ASCII white space, A-Z in lower case.  A text of one to four words is one shingle of its own kind.
+    Words are divided by ASCII white space, A-Z in lower case.  A text of fewer words is one shingle of its own kind.
     """
     words = words_of(pc.ascii_lower(texts.cast(pa.large_string())))
     own = word_hashes(words.unique)[words.codes] if len(words.codes) else np.zeros(0, U)
     odd = U(0x9E3779B97F4A7C15)
-    grams = np.full(max(0, len(own) - GRAM + 1), GRAM, U)
-    for k in range(GRAM):
+    grams = np.full(max(0, len(own) - gram + 1), gram, U)
+    for k in range(gram):
         grams *= odd
         grams += own[k:k + len(grams)]
     grams = mixed(grams)
     counts = np.diff(words.bounds)
-    last = np.repeat(words.bounds[1:] - GRAM, counts)  # where the last shingle of a word's text starts
+    last = np.repeat(words.bounds[1:] - gram, counts)  # where the last shingle of a word's text starts
     grams = grams[(np.arange(len(own)) <= last)[:len(grams)]]
-    sizes = np.maximum(counts - GRAM + 1, 0)
-    few = np.flatnonzero((counts > 0) & (counts < GRAM))
+    sizes = np.maximum(counts - gram + 1, 0)
+    few = np.flatnonzero((counts > 0) & (counts < gram))
     if len(few):
         whole = counts[few].astype(U)
-        for k in range(GRAM - 1):
+        for k in range(gram - 1):
             there = counts[few] > k
             whole[there] = whole[there] * odd + own[words.bounds[few[there]] + k]
         grams = np.insert(grams, np.cumsum(sizes)[few], mixed(whole))
@@ -83,9 +83,9 @@ def distinct(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return values[keep], np.append(0, np.cumsum(keep))[bounds]
 
 
-def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
+def shingle_sets(texts: pa.Array, gram: int = GRAM) -> Iterator[np.ndarray]:
     """Distinct shingles of each text, ascending."""
-    flat, bounds = distinct(*shingles_of(texts))
+    flat, bounds = distinct(*shingles_of(texts, gram))
     return iter(np.split(flat, bounds[1:-1]))
 
 
