@@ -16,7 +16,7 @@ some 4 million such pairs, for 0.9 once in 10^10, and a document is lost only if
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +36,10 @@ PREFIX = COORDINATES - MATCHES + 1
 #: Postings that get a frequency class: the most frequent ones, at most so many (9 bytes each).
 KNOWN = 1 << 18
 LEAST_COUNT = 4
-SKETCH_LONGS = COORDINATES // 8
+SKETCH_LONGS = COORDINATES // 16
 MOST_ROUNDS = 6
-#: Rows of some 150 bytes, and of a whole set, that may be broadcast; texts and pairs of sets a task holds at a time.
-TRAIT_ROWS, SET_ROWS = 100_000, 1_000
+#: Rows of some 350 bytes, and of a whole set, that may be broadcast; texts and pairs of sets a task holds at a time.
+TRAIT_ROWS, SET_ROWS = 50_000, 1_000
 TEXT_ROWS, PAIR_ROWS = 1_000, 256
 U = np.uint64
 _FACTORS = mixed(np.arange(1, COORDINATES + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
@@ -110,7 +110,7 @@ def frequent(sets: DataFrame, most: int = KNOWN) -> tuple[np.ndarray, np.ndarray
 
 
 def prefixes(sets: DataFrame, known) -> DataFrame:
-    """doc_id, n, rare (postings without a class), prefix, sketch (8 bits of every coordinate), parity.  known: the broadcast list."""
+    """doc_id, n, rare (postings without a class), prefix, sketch (4 bits of every coordinate).  known: the broadcast list."""
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, levels = known.value
         for batch in batches:
@@ -121,15 +121,20 @@ def prefixes(sets: DataFrame, known) -> DataFrame:
                 at = np.minimum(np.searchsorted(names, tokens), len(names) - 1)
                 level = np.where(names[at] == tokens, levels[at], 0).astype(U)
             ordered = np.sort((level << U(58)) | tokens, axis=1)[:, :PREFIX]
-            sketch = np.ascontiguousarray(values.astype(np.uint8)).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("n"), pa.array((level == 0).sum(1), pa.int32()),
-                 _lists(ordered.view(np.int64)), _lists(sketch), batch.column("parity")],
-                ["doc_id", "n", "rare", "prefix", "sketch", "parity"])
+                 _lists(ordered.view(np.int64)), _lists(sketches(values))],
+                ["doc_id", "n", "rare", "prefix", "sketch"])
 
     kind = sets.schema["doc_id"].dataType.simpleString()
-    return sets.select("doc_id", "n", "coordinates", "parity").mapInArrow(
-        make, f"doc_id {kind}, n long, rare int, prefix array<bigint>, sketch array<bigint>, parity array<bigint>")
+    return sets.select("doc_id", "n", "coordinates").mapInArrow(
+        make, f"doc_id {kind}, n long, rare int, prefix array<bigint>, sketch array<bigint>")
+
+
+def sketches(values: np.ndarray) -> np.ndarray:
+    """The lowest 4 bits of all coordinates, 16 of them in a long."""
+    low = (values & np.uint32(15)).astype(np.uint8)
+    return np.ascontiguousarray(low[:, ::2] | low[:, 1::2] << 4).view(np.int64)
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -159,56 +164,73 @@ def confirmed(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(verify, f"a {kind}, b {kind}")
 
 
-def collisions(a: Column, b: Column) -> Column:
-    """Coordinates of two sketches that agree (a pair of different values agrees once in 256)."""
-    def zero_bytes(k: int) -> Column:
+def agreeing(a: Column, b: Column) -> Column:
+    """Coordinates whose 4 bits agree in two sketches: all that collide, and one in 16 of the others."""
+    def zero_nibbles(k: int) -> Column:
         x = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
-        for step in (4, 2, 1):
+        for step in (2, 1):
             x = x.bitwiseOR(F.shiftrightunsigned(x, step))
-        return F.lit(8) - F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+        return F.lit(16) - F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+
+    return sum((zero_nibbles(k) for k in range(1, SKETCH_LONGS)), zero_nibbles(0))
+
+
+def collisions(a: Column, b: Column) -> Column:
+    """Coordinates that two signatures have in common."""
+    same = [(F.get(a, F.lit(k)) == F.get(b, F.lit(k))).cast("int") for k in range(COORDINATES)]
+    return sum(same[1:], same[0])
+
 
-    return sum((zero_bytes(k) for k in range(1, SKETCH_LONGS)), zero_bytes(0))
+def _promising(x: str, y: str) -> Column:
+    """What two rows of one list must have to collide in MATCHES coordinates and to link; no pair that does is refused."""
+    (n, a), (m, b) = ((F.col(f"{s}.n"), F.col(f"{s}.sketch")) for s in (x, y))
+    return (n * PERCENT <= m * 100) & (m * PERCENT <= n * 100) & (agreeing(a, b) >= MATCHES)
+
+
+def _parity_allows(n: Column, m: Column, a: Column, b: Column) -> Column:
+    """Sets that link differ in at most n + m - 2 * overlap shingles, so in no more bits of their parities."""
+    needed = F.ceil(F.lit(PERCENT) * (n + m) / F.lit(100 + PERCENT)).cast("long")
+    differing = sum((F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(PARITY_LONGS)), F.lit(0))
+    return differing <= n + m - 2 * needed
 
 
 def _retained(x: str, y: str) -> Column:
-    """Whether two sets have MATCHES collisions, and sizes and parities with which they can link."""
-    a, b = ({f: F.col(f"{s}.{f}") for f in ("n", "sketch", "parity")} for s in (x, y))
-    needed = F.ceil(F.lit(PERCENT) * (a["n"] + b["n"]) / F.lit(100 + PERCENT)).cast("long")
-    differing = sum((F.bit_count(F.get(a["parity"], F.lit(k)).bitwiseXOR(F.get(b["parity"], F.lit(k))))
-                     for k in range(PARITY_LONGS)), F.lit(0))
-    return ((a["n"] * PERCENT <= b["n"] * 100) & (b["n"] * PERCENT <= a["n"] * 100)
-            & (collisions(a["sketch"], b["sketch"]) >= MATCHES) & (differing <= a["n"] + b["n"] - 2 * needed))
+    """MATCHES collisions, and parities with which two sets can link."""
+    a, b = ({f: F.col(f"{s}.{f}") for f in ("n", "coordinates", "parity")} for s in (x, y))
+    return ((collisions(a["coordinates"], b["coordinates"]) >= MATCHES)
+            & _parity_allows(a["n"], b["n"], a["parity"], b["parity"]))
 
 
 class _Merge:
-    """The merge of posting lists: rows (doc_id, token, rare), traits and sets by doc_id, and the components so far."""
+    """The merge of posting lists: rows (doc_id, token, rare, n, sketch), traits (doc_id, n, coordinates, parity) and
+    texts by doc_id, and the components so far."""
 
-    def __init__(self, shelf: Shelf, rows: DataFrame, traits: DataFrame, sets: DataFrame):
-        self.shelf, self.rows, self.traits, self.sets = shelf, rows, traits, sets
+    def __init__(self, shelf: Shelf, rows: DataFrame, traits: DataFrame, sets_of: Callable[[DataFrame], DataFrame]):
+        self.shelf, self.rows, self.traits, self.sets_of = shelf, rows, traits, sets_of
         self.links, self.component, self.step = None, None, 0
 
     def placed(self) -> DataFrame:
-        """Rows with their component; lists within one component are gone."""
+        """Rows with their component."""
         if self.component is None:
             return self.rows.withColumn("component", F.col("doc_id"))
-        rows = self.rows.join(if_small(self.component), "doc_id", "left").withColumn(
+        return self.rows.join(if_small(self.component), "doc_id", "left").withColumn(
             "component", F.coalesce("component", "doc_id"))
-        still = rows.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
-        return rows.join(still.select("token"), "token", "left_semi")
 
-    def with_traits(self, pairs: DataFrame) -> DataFrame:
-        x, y = (self.traits.select(F.col("doc_id").alias(s), F.struct("n", "sketch", "parity").alias(f"t{s}")) for s in "ab")
-        return pairs.join(if_small(x, TRAIT_ROWS), "a").join(if_small(y, TRAIT_ROWS), "b")
-
-    def confirm(self, retained: DataFrame) -> bool:
-        """Add the retained pairs (a, b) that link; says whether there were any."""
+    def confirm(self, met: DataFrame) -> bool:
+        """Add the pairs (a, b) of `met` that are retained and link; says whether there were any."""
         self.step += 1
-        near = self.shelf.put(retained, f"near{self.step}")
-        held = {s: self.sets.select(F.col("doc_id").alias(s), F.col("set").alias(f"s{s}")) for s in "ab"}
-        found = confirmed(near.join(if_small(held["a"], SET_ROWS), "a").join(if_small(held["b"], SET_ROWS), "b"))
-        with small_batches(found.sparkSession, PAIR_ROWS):
-            more = self.shelf.put(found, f"links{self.step}")
-        self.shelf.drop(f"near{self.step}")
+        pairs = self.shelf.put(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"met{self.step}")
+        ends = self.shelf.put(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"ends{self.step}")
+        own = self.shelf.put(self.traits.join(if_small(ends), "doc_id", "left_semi"), f"traits{self.step}")
+        x, y = (if_small(own.select(F.col("doc_id").alias(s), F.struct("n", "coordinates", "parity").alias(f"t{s}")), TRAIT_ROWS)
+                for s in "ab")
+        near = self.shelf.put(pairs.join(x, "a").join(y, "b").filter(_retained("ta", "tb")).select("a", "b"), f"near{self.step}")
+        ends = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        sets = self.shelf.put(self.sets_of(ends), f"sets{self.step}")
+        x, y = (if_small(sets.select(F.col("doc_id").alias(s), F.col("set").alias(f"s{s}")), SET_ROWS) for s in "ab")
+        with small_batches(near.sparkSession, PAIR_ROWS):
+            more = self.shelf.put(confirmed(near.join(x, "a").join(y, "b")), f"links{self.step}")
+        self.shelf.drop(*[f"{name}{self.step}" for name in ("met", "ends", "traits", "near", "sets")])
         if more.isEmpty():
             return False
         self.links = more if self.links is None else self.links.unionByName(more)
@@ -219,30 +241,40 @@ class _Merge:
 
     def run(self) -> DataFrame | None:
         """(doc_id, component) of all linked sets."""
-        for turn in range(MOST_ROUNDS):
-            placed = self.shelf.put(self.placed(), f"placed{turn}")
-            size = placed.groupBy("token", "component").count().groupBy("token").agg(
-                F.sum("count").alias("all"), F.sum(F.col("count") * F.col("count")).alias("same")).agg(
-                F.sum((F.col("all") * F.col("all") - F.col("same")) / 2), F.sum("all")).first()
-            if turn and (size[0] or 0) <= 4 * (size[1] or 0):
-                self.shelf.drop(f"placed{turn}")
-                break
+        before = None
+        for turn in range(MOST_ROUNDS + 1):
+            placed = self.placed()
             # The first leader is the set whose postings are the commonest, often what others were copied from;
             # later ones are drawn by hash.  Either is mostly the same one in all lists that sets share.
             rank = F.col("rare").cast("long") if turn == 0 else F.xxhash64("component", F.lit(turn))
-            leader = placed.groupBy("token").agg(F.min(F.struct(rank.alias("rank"), "doc_id", "component")).alias("l"))
-            star = placed.join(leader, "token").filter(F.col("component") != F.col("l.component"))
-            pairs = star.select(F.least("doc_id", "l.doc_id").alias("a"), F.greatest("doc_id", "l.doc_id").alias("b")).distinct()
-            more = self.confirm(self.with_traits(pairs).filter(_retained("ta", "tb")).select("a", "b"))
-            self.shelf.drop(f"placed{turn}")
-            if turn and not more:
+            lists = placed.groupBy("token").agg(
+                F.count("*").alias("m"), F.min("component").alias("x"), F.max("component").alias("y"),
+                F.min(F.struct(rank.alias("rank"), "doc_id", "component", "n", "sketch")).alias("leader"))
+            lists = self.shelf.put(lists.filter("x < y").select("token", "m", "leader"), f"lists{turn}")
+            pairs, rows = lists.agg(F.sum(F.col("m") * F.col("m")), F.sum("m")).first()
+            # Stars go on while they make the lists smaller and many pairs would be left without them.
+            if turn == MOST_ROUNDS or (pairs or 0) <= 4 * (rows or 0) or (before and pairs > 0.8 * before):
+                break
+            before = pairs
+            star = placed.alias("own").join(lists.select("token", "leader"), "token").filter(
+                (F.col("own.component") != F.col("leader.component")) & _promising("own", "leader"))
+            more = self.confirm(star.select(F.col("own.doc_id").alias("a"), F.col("leader.doc_id").alias("b")))
+            self.shelf.drop(f"lists{turn}")
+            if not more:
+                lists = None
                 break
         # What is left: every two sets of one list in different components.
-        placed = self.shelf.put(self.placed().drop("rare").join(if_small(self.traits, TRAIT_ROWS), "doc_id"), "placed")
-        met = placed.alias("x").join(placed.alias("y"), "token").filter(
-            (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & _retained("x", "y"))
-        self.confirm(met.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct())
-        self.shelf.drop("placed")
+        rest = self.placed().drop("rare")
+        if lists is not None:
+            rest = rest.join(lists.select("token"), "token", "left_semi")
+        ids = self.shelf.put(rest.select("doc_id").distinct(), "ids")
+        parity = self.shelf.put(self.traits.join(if_small(ids), "doc_id", "left_semi").select("doc_id", "parity"), "parity")
+        rest = self.shelf.put(rest.join(if_small(parity, 2 * TRAIT_ROWS), "doc_id"), "rest")
+        met = rest.alias("x").join(rest.alias("y"), "token").filter(
+            (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & _promising("x", "y")
+            & _parity_allows(*[F.col(c) for c in ("x.n", "y.n", "x.parity", "y.parity")]))
+        self.confirm(met.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")))
+        self.shelf.drop("rest", "ids", "parity")
         return self.component
 
 
@@ -276,26 +308,25 @@ def _components(docs: DataFrame, id_col: str, text_col: str, known: int) -> Data
                       .filter("first < last").drop("last"), "twins")
     sets = real.join(if_small(twins), ["n", "sign"], "left").filter("first is null or first = doc_id")
     shared = spark.sparkContext.broadcast(frequent(sets, known))
-    traits = shelf.put(prefixes(sets, shared), "prefixes")
+    headed = shelf.put(prefixes(sets, shared), "prefixes")
     shared.destroy()
 
     # Rows of the lists that hold two sets or more.
-    every = traits.select("doc_id", "rare", F.explode("prefix").alias("token"))
+    every = headed.select("doc_id", "rare", "n", "sketch", F.explode("prefix").alias("token"))
     live = every.groupBy("token").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).filter("x < y").select("token")
-    lists = shelf.put(every.join(live, "token", "left_semi"), "lists")
-    wanted = shelf.put(lists.select("doc_id").distinct(), "wanted")
-    traits = shelf.put(traits.join(if_small(wanted), "doc_id", "left_semi").select("doc_id", "n", "sketch", "parity"), "traits")
+    lists = shelf.put(every.join(live, "token", "left_semi"), "rows")
     shelf.drop("prefixes")
-    texts = full_sets(rows.join(if_small(wanted), "doc_id", "left_semi"))
-    if repeated:  # the set that stands for the id
-        size = F.octet_length("set")
-        texts = texts.join(real.select("doc_id", F.col("n").alias("own")), "doc_id").filter(size == 8 * F.col("own")).groupBy(
-            "doc_id").agg(F.min("set").alias("set"))
-    sets = shelf.put(texts, "sets")
-
-    joined = _Merge(shelf, lists, traits, sets).run()
-    for name in ("lists", "wanted", "traits", "sets"):
-        shelf.drop(name)
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """The full sets of some documents; of texts under one id the one that stands for it."""
+        found = full_sets(rows.join(if_small(ids), "doc_id", "left_semi"))
+        if not repeated:
+            return found
+        found = found.join(real.select("doc_id", "n"), "doc_id").filter(F.octet_length("set") == 8 * F.col("n"))
+        return found.groupBy("doc_id").agg(F.min("set").alias("set"))
+
+    joined = _Merge(shelf, lists, real.select("doc_id", "n", "coordinates", "parity"), sets_of).run()
+    shelf.drop("rows")
     own = (real if repeated else made).select("doc_id", "n", "sign").join(if_small(twins), ["n", "sign"], "left").withColumn(
         "first", F.coalesce("first", "doc_id"))
     component = F.col("first")

@@ -110,12 +110,14 @@ def test_collisions_follow_similarity():
     assert (made[:-1:2][1:] == made[1:-2:2]).mean() < 0.001
 
 
-def test_sketch_counts_equal_bytes(spark):
+def test_counts_of_collisions(spark):
     from pyspark.sql import functions as F
     r = np.random.default_rng(7)
-    a = r.integers(0, 256, (50, j.COORDINATES), np.uint8)
-    b = np.where(r.random(a.shape) < 0.5, a, r.integers(0, 256, a.shape, np.uint8))
-    rows = [(i, x.view(np.int64).tolist(), y.view(np.int64).tolist()) for i, (x, y) in enumerate(zip(a, b))]
-    df = spark.createDataFrame(rows, "i int, a array<bigint>, b array<bigint>")
-    counted = {x.i: x.n for x in df.select("i", j.collisions(F.col("a"), F.col("b")).alias("n")).collect()}
-    assert counted == dict(enumerate((a == b).sum(1).tolist()))
+    a = r.integers(0, 2**32, (50, j.COORDINATES), np.uint32)
+    b = np.where(r.random(a.shape) < 0.5, a, r.integers(0, 2**32, a.shape, np.uint32))
+    rows = [(i, *(m.view(np.int32).tolist() for m in (x, y)), *(j.sketches(m[None])[0].tolist() for m in (x, y)))
+            for i, (x, y) in enumerate(zip(a, b))]
+    df = spark.createDataFrame(rows, "i int, a array<int>, b array<int>, sa array<bigint>, sb array<bigint>")
+    counted = df.select("i", j.collisions(F.col("a"), F.col("b")), j.agreeing(F.col("sa"), F.col("sb"))).collect()
+    assert {x[0]: x[1] for x in counted} == dict(enumerate((a == b).sum(1).tolist()))
+    assert {x[0]: x[2] for x in counted} == dict(enumerate((a % 16 == b % 16).sum(1).tolist()))
