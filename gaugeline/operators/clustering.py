@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gaugeline import schema
 from gaugeline.functions import vectors as vec
-from gaugeline.operators import neighbors as nb
+from gaugeline.operators import metric, neighbors as nb
 from gaugeline.plans.groups import Sizes, attach, measure
 from gaugeline.plans.ordered import Running, ordered, top_per_key
 from gaugeline.session import settle
@@ -238,19 +238,22 @@ def _component_of_cells(points: DataFrame, core: DataFrame, eps: float, dim: int
 
 
 def single_link(points: DataFrame, k: int, dim: int) -> DataFrame:
-    """k clusters by single link in up to four dimensions: label 0-based by lowest id.
+    """k clusters by single link: label 0-based by lowest id.
 
     Single link at height t is the component split of the graph of points within
     t.  The height is bracketed by splits with more and with at most k parts, down to a
     factor of two.  The remaining merges are taken in the order of (distance, lowest ids), each from the
     closest points of two neighbouring cells of different parts, so no pairs of
-    points are listed.  Copies of one point always stay together.
+    points are listed.  Copies of one point always stay together.  Above four dimensions the
+    minimum spanning tree is built over a tree of balls and loses its k - 1 longest edges.
     """
     points = settle(points.drop("label"))
     x = F.col("features")
     copies = points.groupBy("features").agg(F.min("id").alias("label"))
     if copies.count() <= k:
         return renumber_from_zero(attach(points, copies, ["features"], "inner"))
+    if dim > nb.GRID_DIMS:
+        return renumber_from_zero(metric.single_link_components(points, k))
     spread = points.agg(*[F.max(x[i]) - F.min(x[i]) for i in range(dim)]).first()
     low, high, many = 0.0, max(math.hypot(*spread), 1e-12) * (1 + 1e-9), None
     while many is None or high > 2 * low:
@@ -350,8 +353,11 @@ def dbscan(points: DataFrame, eps: float = schema.DBSCAN_EPS,
     Cells are so small that their points are all neighbours.  A cell with
     `min_points` points is all core.  Only points of sparser cells are measured
     against the points of neighbouring cells, at most `min_points` - 1 per cell,
-    so a dense cell meets few probes.  Clusters are components of core cells.
+    so a dense cell meets few probes.  Clusters are components of core cells.  Above four
+    dimensions balls around pivots take the place of cells.
     """
+    if dim > nb.GRID_DIMS:
+        return renumber_labels(metric.dbscan_components(points, eps, min_points), [])
     placed = settle(nb.cell_table(points, eps, dim).select("id", "features", "cell"))
     boxes = settle(nb._box(placed, ["cell"], dim))
     pairs = settle(nb.neighbour_cells(boxes, eps, dim))

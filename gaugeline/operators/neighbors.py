@@ -13,7 +13,7 @@ from gaugeline.plans.groups import Sizes, attach
 from gaugeline.plans.ordered import HOME, Running, ordered
 from gaugeline.session import settle
 
-# The grid operators are meant for so many dimensions; in more, most cells neighbour each other.
+# Grids serve so many dimensions; in more, most cells neighbour each other, and `metric` is used.
 GRID_DIMS = 4
 # Cell widths keep this relative distance from eps, so that rounding in the cell
 # number can neither part neighbours nor join strangers.
@@ -165,10 +165,13 @@ def _around(cell: list[Column], reach: int = 1) -> Column:
 def eps_neighbors(points: DataFrame, eps: float, dim: int) -> DataFrame:
     """All pairs (id, other, distance) within eps, each point with itself included.
 
-    Grid equi-join, then the exact distance.  The result has one row per neighbour pair;
-    operators that need only counts or components use the cell table below instead.
+    Grid equi-join, then the exact distance; above GRID_DIMS dimensions a tree of balls.  The result has one row
+    per neighbour pair; operators that need only counts or components list no pairs.
     """
-    _grid_only(dim)
+    if dim > GRID_DIMS:
+        from gaugeline.operators import metric
+
+        return metric.eps_neighbors(points, eps)
     x = F.col("features")
     width = eps * (1 + MARGIN)
     cell = [F.floor(x[i] / width) for i in range(dim)]
@@ -181,14 +184,17 @@ def eps_neighbors(points: DataFrame, eps: float, dim: int) -> DataFrame:
 
 
 def knn_distance_vectors(points: DataFrame, k: int, dim: int) -> DataFrame:
-    """Adds `knn`: the distance to the k-th nearest other point, in up to four dimensions.
+    """Adds `knn`: the distance to the k-th nearest other point.  Above GRID_DIMS dimensions a tree of balls is used.
 
     Copies count as one place with a weight.  Cells start so small that few places share one, and a place
     looks at the cells around its own.  It is done when its k-th distance is within one cell width;
     the others go on with cells twice as wide, so sparse regions take more rounds and dense ones
     never meet wide cells.  With fewer than k others the farthest counts; a lone point has 0.
     """
-    _grid_only(dim)
+    if dim > GRID_DIMS:
+        from gaugeline.operators import metric
+
+        return metric.knn_distance(points, k)
     x = F.col("features")
     places = settle(points.groupBy("features").agg(F.count(F.lit(1)).alias("weight")))
     ends = places.agg(F.count(F.lit(1)), *[F.min(x[i]) for i in range(dim)], *[F.max(x[i]) for i in range(dim)]).first()
