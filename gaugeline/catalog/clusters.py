@@ -17,7 +17,9 @@ POINT = ["measure_point_id"]
 EPS, MIN_POINTS = 100.0, 4
 LINK_K = 3
 PLANE_EPS, PLANE_MIN = 1.05, 4
-VECTORS_K, LLOYD_ROUNDS = (2, 10), 15
+VECTORS_K, LLOYD_ROUNDS = (2, 10), 50
+KMEANS_ROUNDS = 100
+VECTORS_EPS, VECTORS_MIN = 1.2, 4
 BOOTSTRAPS = 10
 MERGE_ROUNDS = 50
 
@@ -267,18 +269,117 @@ def single_link(spark, sf_dir):
     return cl.single_link(plane(spark, sf_dir).select("id", "features"), 4, 2).select("id", "label")
 
 
-@query("kmeans_fit", """
-    SELECT vec_id AS id, true AS nearest, true AS own_distance, true AS in_range FROM embeddings""")
+define("vector_edges", f"""
+    SELECT a.id AS a, b.id AS b, list_distance(a.f, b.f) AS d FROM vectors a JOIN vectors b ON list_distance(a.f, b.f) <= {VECTORS_EPS}""",
+       "vectors")
+
+
+def vectors(spark, sf_dir):
+    return fx.features(spark, sf_dir).select("id", "features")
+
+
+@query("eps_neighbors_vectors", "SELECT a AS id, b AS other, round(d, 6) AS distance FROM vector_edges", ("vector_edges",))
+def eps_neighbors_vectors(spark, sf_dir):
+    """All pairs of feature vectors of 64 numbers within eps."""
+    return rounded(nb.eps_neighbors(vectors(spark, sf_dir), VECTORS_EPS, 64), "distance")
+
+
+VECTORS_DBSCAN = PLANE_DBSCAN.replace("plane_edges", "vector_edges").replace("FROM plane p", "FROM vectors p").replace(
+    f">= {PLANE_MIN})", f">= {VECTORS_MIN})")
+
+
+@query("dbscan_vectors", VECTORS_DBSCAN, ("vector_edges",))
+def dbscan_vectors(spark, sf_dir):
+    """DBSCAN of the feature vectors."""
+    return cl.dbscan(vectors(spark, sf_dir), VECTORS_EPS, VECTORS_MIN, 64).select("id", "label")
+
+
+@query("cluster_job_vectors", "WITH RECURSIVE " + VECTORS_DBSCAN.strip()[15:].rpartition("\n    SELECT id, CASE")[0] + """,
+    labelled AS (SELECT id, CASE WHEN part IS NULL THEN 0 ELSE CAST(dense_rank() OVER (
+                     PARTITION BY part IS NULL ORDER BY first_id) AS int) END AS label
+                 FROM (SELECT *, min(id) OVER (PARTITION BY part) AS first_id FROM assigned)),
+    spots AS (SELECT id, label, unnest(range(1, 65)) AS dim, unnest(f) AS x FROM labelled JOIN (SELECT id, f FROM vectors) USING (id)),
+    means AS (SELECT label, dim, avg(x) AS c FROM spots GROUP BY ALL)
+    SELECT id, label, CASE WHEN label <> 0 THEN round(sqrt(sum((x - c) * (x - c))), 6) ELSE -1 END AS distance
+    FROM spots JOIN means USING (label, dim) GROUP BY id, label""", ("vector_edges",))
+def cluster_job_vectors(spark, sf_dir):
+    """The points of a DBSCAN job over the feature vectors; noise has no distance (here -1)."""
+    job = cl.cluster_job(vectors(spark, sf_dir), "dbscan", 64, eps=VECTORS_EPS, min_points=VECTORS_MIN)
+    return rounded(job.points.select("id", "label", F.coalesce("distance", F.lit(-1.0)).alias("distance")), "distance")
+
+
+@query("knn_distance_embeddings", """
+    SELECT id, round(d, 6) AS knn FROM (
+        SELECT a.id, list_distance(a.f, b.f) AS d, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.f, b.f)) AS r
+        FROM vectors a JOIN vectors b ON a.id <> b.id) WHERE r = 5""", ("vectors",))
+def knn_distance_embeddings(spark, sf_dir):
+    """The distance of every feature vector to its fifth neighbour."""
+    return rounded(nb.knn_distance_vectors(vectors(spark, sf_dir), 5, 64).select("id", "knn"), "knn")
+
+
+# Prim's tree over all pairs, as for the plane.
+@query("single_link_vectors", """
+    WITH RECURSIVE start AS (SELECT * FROM vectors ORDER BY id LIMIT 1),
+    prim(id, f, d, parent, step) AS (
+        SELECT p.id, p.f, list_distance(p.f, s.f), s.id, 0 FROM vectors p, start s WHERE p.id <> s.id
+        UNION ALL
+        SELECT id, f, least(d, nd), CASE WHEN nd < d THEN mid ELSE parent END, step + 1 FROM (
+            SELECT *, list_distance(f, mf) AS nd FROM (
+                SELECT *, first_value(id) OVER w AS mid, first_value(f) OVER w AS mf,
+                       row_number() OVER w AS r FROM prim WINDOW w AS (ORDER BY d, least(id, parent), greatest(id, parent)))
+            WHERE r > 1)),
+    tree AS (SELECT id, parent, d FROM (
+                 SELECT *, row_number() OVER (PARTITION BY step ORDER BY d, least(id, parent), greatest(id, parent)) AS r
+                 FROM prim) WHERE r = 1),
+    cut AS (SELECT id FROM tree ORDER BY d DESC, least(id, parent) DESC, greatest(id, parent) DESC LIMIT 7),
+    marked(id, root) AS (
+        SELECT id, id FROM start UNION ALL SELECT id, id FROM cut UNION ALL
+        SELECT t.id, m.root FROM marked m JOIN tree t ON t.parent = m.id AND t.id NOT IN (SELECT id FROM cut))
+    SELECT id, CAST(dense_rank() OVER (ORDER BY first_id) - 1 AS int) AS label
+    FROM (SELECT id, min(id) OVER (PARTITION BY root) AS first_id FROM marked)""", ("vectors",))
+def single_link_vectors(spark, sf_dir):
+    """Eight clusters of the feature vectors by single link."""
+    return cl.single_link(vectors(spark, sf_dir), 8, 64).select("id", "label")
+
+
+def kmeans_sql(points: str, keys: str, k: str, rounds: int) -> str:
+    """`km` (keys, r, cs): centroids of k-means over `points` (keys, id, f) after r rounds; starts are in `starts` (keys, cs)."""
+    near = "list_transform(cs, lambda c: list_distance(p.f, c))"
+    return f"""km AS (
+        SELECT {keys}, 0 AS r, cs FROM starts
+        UNION ALL
+        SELECT {keys}, r + 1, list_transform(range(1, {k} + 1), lambda i: coalesce(found[i], cs[i]))
+        FROM (SELECT {keys}, r, any_value(cs) AS cs, map_from_entries(list((label, mean))) AS found
+              FROM (SELECT {keys}, r, label, any_value(cs) AS cs, list(x ORDER BY dim) AS mean
+                    FROM (SELECT {keys}, r, label, dim, any_value(cs) AS cs, avg(x) AS x
+                          FROM (SELECT {keys}, r, cs, label, unnest(range(1, 65)) AS dim, unnest(f) AS x
+                                FROM (SELECT {keys}, r, cs, p.f, list_position({near}, list_min({near})) AS label
+                                      FROM km JOIN {points} p USING ({keys}) WHERE r < {rounds}))
+                          GROUP BY {keys}, r, label, dim)
+                    GROUP BY {keys}, r, label)
+              GROUP BY {keys}, r)),
+    placed AS (SELECT {keys}, p.id, p.f, list_position({near}, list_min({near})) - 1 AS label, list_min({near}) AS distance
+               FROM km JOIN {points} p USING ({keys}) WHERE r = {rounds})"""
+
+
+@query("kmeans_fit", f"""
+    WITH RECURSIVE spots AS (SELECT 1 AS one, id, f FROM vectors),
+    races AS (SELECT one, id, f, i, -ln(((id * 7919 + i * 104729) % 10007 + 0.5) / 10007) AS t
+              FROM spots, (SELECT unnest(range(0, 10)) AS i)),
+    drawn AS (
+        SELECT 0 AS j, (SELECT [arg_min(f, t)] FROM races WHERE i = 0) AS cs
+        UNION ALL
+        SELECT j + 1, list_append(any_value(cs), arg_min(f, t / (gap * gap)))
+        FROM (SELECT j, cs, f, t, list_min(list_transform(cs, lambda c: list_distance(f, c))) AS gap
+              FROM drawn JOIN races ON i = j + 1) WHERE gap > 0 GROUP BY j),
+    starts AS (SELECT 1 AS one, cs FROM drawn WHERE j = 9),
+    {kmeans_sql('spots', 'one', '10', KMEANS_ROUNDS)}
+    SELECT id, CAST(label AS int) AS label, round(distance, 6) AS distance FROM placed""", ("vectors",))
 def kmeans_fit(spark, sf_dir):
-    """What a finished k-means must hold for every point: its label is that of the nearest mean, and its distance
-    the one to that mean."""
-    rows = settle(cl.kmeans_fit(fx.features(spark, sf_dir).drop("label"), k=10))
-    means = cl.cluster_centroids(rows, [], 64).select("label", "centroid")
-    near = rows.withColumn("__all", nb.centroid_list(means))
-    return near.withColumn("__b", nb.nearest_of(F.col("features"), F.col("__all"))).select(
-        "id", (F.col("__b.label") == F.col("label")).alias("nearest"),
-        (F.abs(F.col("__b.distance") - F.col("distance")) < 1e-6).alias("own_distance"),
-        F.col("label").between(0, 9).alias("in_range"))
+    """k-means with k = 10 over the feature vectors, seeded with numbers drawn by an arithmetic rule."""
+    points = fx.features(spark, sf_dir).select("id", "features")
+    rows = cl.kmeans_fit(points, 10, KMEANS_ROUNDS, draw=lambda i: ((F.col("id") * 7919 + i * 104729) % 10007 + 0.5) / 10007)
+    return rounded(rows.select("id", "label", "distance"), "distance")
 
 
 @query("gmm_fit", "SELECT vec_id AS id, true AS sound, true AS in_range FROM embeddings")
@@ -701,45 +802,34 @@ def result_head(spark, sf_dir):
     return tables.job_lookup(rows, "job-1", page=1, page_size=50).select("point_id", "label")
 
 
-def lloyd_vectors_sql(name: str, points: str, k: int, rounds: int) -> str:
-    """Fixed rounds of k-means over `points` (id, f of 64 numbers) as tables {name}_c* and {name}_a*."""
-    parts = [f"""{name}_c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY id) - 1 AS label, f
-        FROM (SELECT id, f FROM {points} ORDER BY id LIMIT {k}))"""]
-    for r in range(rounds + 1):
-        parts.append(f"""{name}_a{r} AS MATERIALIZED (SELECT p.id, any_value(p.f) AS f,
-            arg_min(c.label, list_distance(p.f, c.f) + c.label * 1e-300) AS label
-            FROM {points} p, {name}_c{r} c GROUP BY p.id)""")
-        if r < rounds:
-            parts.append(f"""{name}_c{r + 1} AS MATERIALIZED (SELECT c.label, coalesce(any_value(m.f), any_value(c.f)) AS f
-            FROM {name}_c{r} c LEFT JOIN (SELECT label, list(x ORDER BY dim) AS f FROM (
-                SELECT label, dim, avg(x) AS x FROM (SELECT label, unnest(range(1, 65)) AS dim, unnest(f) AS x
-                FROM {name}_a{r}) GROUP BY label, dim) GROUP BY label) m ON m.label = c.label GROUP BY c.label)""")
-    return ",\n".join(parts)
-
-
-def _by_lloyd(points, k):
-    """k-means from the k points with the lowest ids."""
-    first = points.orderBy("id").limit(k)
-    seeds = first.select((F.row_number().over(Window.orderBy("id")) - 1).alias("label"), F.col("features").alias("centroid"))
-    centers = cl.lloyd(points, [], k, LLOYD_ROUNDS, 64, seeds)
-    return cl.assign(points, centers, [])
+def first_vectors(points, k):
+    """The k feature vectors with the lowest ids."""
+    return [list(r["features"]) for r in points.orderBy("id").limit(k).collect()]
 
 
 def _k_sql() -> str:
-    parts, scores = [], []
-    for k in range(VECTORS_K[0], VECTORS_K[1] + 1):
-        parts.append(lloyd_vectors_sql(f"k{k}", "vectors", k, LLOYD_ROUNDS))
+    low, high = VECTORS_K
+    labelled, scores = [], []
+    for k in range(low, high + 1):
+        labelled.append(f"placed{k} AS (SELECT id, f, label FROM placed WHERE k = {k})")
         square = "list_distance(a.f, b.f) * list_distance(a.f, b.f)"
-        sql = VECTOR_SILHOUETTE.format(d=square).replace("vectors", f"k{k}_a{LLOYD_ROUNDS}")
+        sql = VECTOR_SILHOUETTE.format(d=square).replace("vectors", f"placed{k}")
         scores.append(f"SELECT {k} AS k, silhouette AS score FROM ({sql})")
-    return (f"WITH {', '.join(parts)}, scores AS ({' UNION ALL '.join(scores)}) SELECT k, score, 'silhouette' AS metric, "
-            "k = (SELECT k FROM scores ORDER BY score DESC, k LIMIT 1) AS is_best FROM scores")
+    return f"""
+    WITH RECURSIVE spots AS (SELECT unnest(range({low}, {high + 1})) AS k, id, f FROM vectors),
+    starts AS (SELECT k, list(f ORDER BY id)[1:k] AS cs FROM spots GROUP BY k),
+    {kmeans_sql('spots', 'k', 'len(cs)', LLOYD_ROUNDS)}, {', '.join(labelled)},
+    scores AS ({' UNION ALL '.join(scores)})
+    SELECT k, score, 'silhouette' AS metric, k = (SELECT k FROM scores ORDER BY score DESC, k LIMIT 1) AS is_best FROM scores"""
 
 
 @query("find_optimal_k", _k_sql(), ("vectors",))
 def find_optimal_k(spark, sf_dir):
     """Scores of k = 2 to 10 over the feature vectors, by k-means from fixed starts."""
-    rows = search.find_optimal_k(fx.features(spark, sf_dir), 64, VECTORS_K, clustering=_by_lloyd)
+    points, (low, high) = vectors(spark, sf_dir), VECTORS_K
+    first = first_vectors(points, high)
+    fits = cl.lloyd_fits(points, {k: first[:k] for k in range(low, high + 1)}, LLOYD_ROUNDS)
+    rows = search.find_optimal_k(points, 64, VECTORS_K, clustering=lambda df, k: cl.nearest_label(df, fits[k]))
     return rounded(rows, "score")
 
 
@@ -784,14 +874,13 @@ def adaptive_eps_vectors(spark, sf_dir):
 
 
 def _stability_sql() -> str:
-    parts, runs = [], []
-    for b in range(BOOTSTRAPS):
-        parts.append(f"s{b} AS (SELECT id, f FROM vectors WHERE (id * 7919 + {b} * 104729) % 1000 < 800)")
-        parts.append(lloyd_vectors_sql(f"b{b}", f"s{b}", 3, LLOYD_ROUNDS))
-        runs.append(f"SELECT {b} AS b, id, label FROM b{b}_a{LLOYD_ROUNDS}")
-    return f"""WITH {', '.join(parts)}, runs AS MATERIALIZED ({' UNION ALL '.join(runs)}),
+    return f"""
+    WITH RECURSIVE spots AS (SELECT b, id, f FROM vectors, (SELECT unnest(range(0, {BOOTSTRAPS})) AS b)
+                             WHERE (id * 7919 + b * 104729) % 1000 < 800),
+    starts AS (SELECT b, list(f ORDER BY id)[1:3] AS cs FROM spots GROUP BY b),
+    {kmeans_sql('spots', 'b', 'len(cs)', LLOYD_ROUNDS)},
     t AS (SELECT x.b AS b1, y.b AS b2, x.label AS l1, y.label AS l2, count(*) AS n
-          FROM runs x JOIN runs y ON x.id = y.id AND x.b < y.b GROUP BY ALL),
+          FROM placed x JOIN placed y ON x.id = y.id AND x.b < y.b GROUP BY ALL),
     ij AS (SELECT b1, b2, sum(n * (n - 1) / 2.0) AS ij, sum(n) * (sum(n) - 1) / 2.0 AS total FROM t GROUP BY ALL),
     sa AS (SELECT b1, b2, sum(n * (n - 1) / 2.0) AS sa FROM (SELECT b1, b2, sum(n) AS n FROM t GROUP BY b1, b2, l1) GROUP BY ALL),
     sb AS (SELECT b1, b2, sum(n * (n - 1) / 2.0) AS sb FROM (SELECT b1, b2, sum(n) AS n FROM t GROUP BY b1, b2, l2) GROUP BY ALL)
@@ -802,7 +891,12 @@ def _stability_sql() -> str:
 @query("stability", _stability_sql(), ("vectors",))
 def stability(spark, sf_dir):
     """Agreement of ten k-means runs from fixed starts on samples drawn by an arithmetic rule."""
-    df = search.stability(
-        fx.features(spark, sf_dir).select("id", "features"), lambda sample: _by_lloyd(sample, 3), BOOTSTRAPS,
-        drawn=lambda b: (F.col("id") * 7919 + b * 104729) % 1000 < 800)
-    return rounded(df, "stability", digits=4)
+    points = vectors(spark, sf_dir)
+
+    def drawn(b):
+        return (F.col("id") * 7919 + b * 104729) % 1000 < 800
+
+    starts = {b: first_vectors(points.filter(drawn(b)), 3) for b in range(BOOTSTRAPS)}
+    fits = cl.lloyd_fits(points, starts, LLOYD_ROUNDS, drawn)
+    runs = [lambda df, cs=fits[b]: cl.nearest_label(df, cs) for b in range(BOOTSTRAPS)]
+    return rounded(search.stability(points, runs, BOOTSTRAPS, drawn=drawn), "stability", digits=4)

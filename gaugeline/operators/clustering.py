@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.ml.clustering import GaussianMixture, KMeans
+from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline import schema
@@ -58,19 +59,59 @@ def renumber_labels(points: DataFrame, keys: list[str], noise: object = None,
 
 
 def kmeans_fit(points: DataFrame, k: int = schema.KMEANS_K, rounds: int = schema.KMEANS_ROUNDS,
-               seed: int = 42) -> DataFrame:
-    """k-means with k-means|| seeding; adds label (0-based) and distance to the own centroid."""
-    rows = points.drop("label", "distance").withColumn("__v", array_to_vector("features"))
-    model = KMeans(k=k, maxIter=rounds, seed=seed, initMode="k-means||", tol=0.0,
-                   featuresCol="__v", predictionCol="label").fit(rows)
-    session = points.sparkSession
-    centers = session.createDataFrame(
-        [(i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())],
-        "label int, centroid array<double>")
-    labelled = model.transform(rows).drop("__v")
-    own = F.element_at("__all", F.col("label") + 1)["centroid"]
-    return (labelled.withColumn("__all", nb.centroid_list(centers))
-            .withColumn("distance", vec.distance(F.col("features"), own)).drop("__all"))
+               seed: int = 42, draw: Callable[[int], Column] | None = None) -> DataFrame:
+    """k-means with D² seeding; adds label (0-based) and distance to the own centroid.
+
+    Rounds end when no label changes, or after `rounds`; an empty cluster keeps its centroid.  Fewer distinct points than k give
+    as many clusters as points; rows without features get no label, an empty table gives no rows.  `draw(i)` may give
+    other uniform numbers in (0, 1) for the i-th seed than the hash of the id.
+    """
+    rows = settle(points.drop("label", "distance"))
+    current = d2_seeds(rows, k, seed, draw)
+    if not current:
+        return rows.withColumns({"label": F.lit(None).cast("int"), "distance": F.lit(None).cast("double")})
+    before, x, dim = None, F.col("features"), len(current[0])
+    known = rows.filter("features is not null")
+    for _ in range(rounds):
+        label = nb.nearest_of(x, _centroid_literal(current))["label"]
+        old = F.lit(-1) if before is None else nb.nearest_of(x, _centroid_literal(before))["label"]
+        sums = known.select("features", label.alias("label"), old.alias("old")).groupBy("label").agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") != F.col("old")).alias("moved"), vec.sum_of(x, dim).alias("s"))
+        found = sums.collect()  # one row per cluster
+        if not any(r["moved"] for r in found):
+            break
+        before, current = current, list(current)
+        for r in found:
+            current[r["label"]] = [v / r["n"] for v in r["s"]]
+    best = F.when(x.isNotNull(), nb.nearest_of(x, _centroid_literal(current)))
+    return rows.withColumn("__best", best).withColumns(
+        {"label": F.col("__best.label"), "distance": F.col("__best.distance")}).drop("__best")
+
+
+def d2_seeds(points: DataFrame, k: int, seed: int = 42, draw: Callable[[int], Column] | None = None) -> list[list[float]]:
+    """k starts, each drawn with a chance in proportion to its squared distance from the starts before it.
+
+    The draw is a race: a point arrives after -ln(u) / D², u uniform by a hash of its id, and the first to arrive is chosen; so
+    a start is one distributed minimum, and the same for any partitioning.  Copies of a start are never drawn.
+    """
+    chosen: list[list[float]] = []
+    rows, x = points.filter("features is not null"), F.col("features")
+    for i in range(k):
+        hashed = (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(i)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+        far = F.pow(nb.nearest_of(x, _centroid_literal(chosen))["distance"], 2) if chosen else F.lit(1.0)
+        time = -F.ln(draw(i) if draw else hashed) / F.nullif(far, F.lit(0.0))
+        first = rows.withColumn("__time", time).filter("__time is not null").agg(
+            F.min_by("features", F.struct("__time", "id"))).first()[0]
+        if first is None:
+            break
+        chosen.append(list(first))
+    return chosen
+
+
+def _centroid_literal(centroids: list[list[float]]) -> Column:
+    """Labelled centroids as one value, so that the plan does not grow with their number and dimension."""
+    text = json.dumps([{"label": i, "centroid": c} for i, c in enumerate(centroids)])
+    return F.from_json(F.lit(text), "array<struct<label:int,centroid:array<double>>>")
 
 
 def gmm_fit(points: DataFrame, k: int, rounds: int = 100, seed: int = 42) -> DataFrame:
@@ -121,6 +162,40 @@ def lloyd(points: DataFrame, keys: list[str], k: int, rounds: int, dim: int,
     return centroids.select(*keys, F.inline("__all"))
 
 
+def lloyd_fits(points: DataFrame, starts: dict[int, list[list[float]]], rounds: int,
+               drawn: Callable[[int], Column] | None = None) -> dict[int, list[list[float]]]:
+    """k-means of several fits at once: one scan per round for all that have not settled.
+
+    starts: the first centroids of each fit, a few vectors that travel as one value.  `drawn(fit)` says which points a
+    fit sees.  A fit has settled when none of its centroids moves; an empty cluster keeps its centroid.
+    """
+    current, open_fits, x = {fit: [list(c) for c in cs] for fit, cs in starts.items()}, set(starts), F.col("features")
+    dim = len(next(iter(starts.values()))[0])
+    rows = settle(points.select("features", *[(drawn(fit) if drawn else F.lit(True)).alias(f"in{fit}") for fit in starts]))
+    kind = "array<struct<fit:int,cs:array<struct<label:int,centroid:array<double>>>>>"
+    for _ in range(rounds):
+        text = json.dumps([{"fit": fit, "cs": [{"label": i, "centroid": c} for i, c in enumerate(current[fit])]}
+                           for fit in sorted(open_fits)])
+        seen = F.array_compact(F.array(*[F.when(F.col(f"in{fit}"), F.lit(fit)) for fit in sorted(open_fits)]))
+        placed = rows.select("features", seen.alias("seen"), F.explode(F.from_json(F.lit(text), kind)).alias("f")).filter(
+            F.array_contains("seen", F.col("f.fit")))
+        sums = placed.select("features", "f.fit", nb.nearest_of(x, F.col("f.cs"))["label"].alias("label")).groupBy(
+            "fit", "label").agg(vec.mean_of(x, dim).alias("mean"))
+        after = {fit: list(current[fit]) for fit in open_fits}
+        for r in sums.collect():  # one row per cluster
+            after[r["fit"]][r["label"]] = list(r["mean"])
+        open_fits = {fit for fit, cs in after.items() if cs != current[fit]}
+        current.update(after)
+        if not open_fits:
+            break
+    return current
+
+
+def nearest_label(points: DataFrame, centroids: list[list[float]]) -> DataFrame:
+    """Points with the label of the nearest of a few centroids."""
+    return points.withColumn("label", nb.nearest_of(F.col("features"), _centroid_literal(centroids))["label"])
+
+
 def _new_means(placed: DataFrame, keys: list[str], dim: int) -> DataFrame:
     """Weighted mean of the vectors nearest to each centroid in `__all`."""
     x, w = F.col("features"), F.col("weight")

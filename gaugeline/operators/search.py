@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -99,7 +99,7 @@ def adaptive_eps(points: DataFrame, keys: list[str], value: str | None, k: int =
                         confidence.alias("confidence"), "n_points")
 
 
-def stability(points: DataFrame, clustering: Callable[[DataFrame], DataFrame],
+def stability(points: DataFrame, clustering: Callable[[DataFrame], DataFrame] | Sequence[Callable[[DataFrame], DataFrame]],
               bootstraps: int = schema.BOOTSTRAPS, ratio: float = schema.BOOTSTRAP_RATIO,
               seed: int = 42, drawn: Callable[[int], Column] | None = None) -> DataFrame:
     """Mean adjusted Rand index over all pairs of subsample clusterings.
@@ -107,12 +107,14 @@ def stability(points: DataFrame, clustering: Callable[[DataFrame], DataFrame],
     A point is in sample b when its hash with b falls below the ratio, so samples
     repeat exactly on any cluster; `drawn(b)` may give another rule.  Two samples are compared on the
     points both hold; `pairs` counts those that share any.  A single sample agrees with itself: 1.
+    `clustering` may be a list with one callable per sample.
     """
     points = settle(points)
     runs = None
     for b in range(bootstraps):
         hashed = F.pmod(F.xxhash64(F.col("id"), F.lit(seed), F.lit(b)), F.lit(1_000_000))
-        labelled = clustering(points.filter(drawn(b) if drawn else hashed < ratio * 1_000_000)).select(
+        fit = clustering if callable(clustering) else clustering[b]
+        labelled = fit(points.filter(drawn(b) if drawn else hashed < ratio * 1_000_000)).select(
             "id", F.col("label").alias("l"), F.lit(b).alias("b"))
         runs = labelled if runs is None else runs.unionByName(labelled)
     runs = settle(runs)

@@ -169,6 +169,56 @@ def test_kmeans_finds_separate_blobs(spark):
     assert all(len(set(got[i:i + 20])) == 1 for i in (0, 20, 40)) and len(set(got)) == 3
 
 
+def test_kmeans_equals_a_loop(spark):
+    """Seeds by races and rounds until no label changes, in plain Python over the same drawn numbers."""
+    rng = random.Random(13)
+    xs = [[rng.gauss(c, 1.5), rng.gauss(-c, 1.5), rng.random()] for c in (0, 4, 8, 12) for _ in range(15)] + [[0.0] * 3] * 5
+    frame = points(spark, xs)
+
+    def draw(i):
+        return (F.col("id") * 31 + i * 17) % 101 / 101 + 0.004
+
+    seeds = []
+    for i in range(4):
+        gaps = [min((math.dist(x, s) ** 2 for s in seeds), default=1.0) for x in xs]
+        times = [(-math.log((j * 31 + i * 17) % 101 / 101 + 0.004) / g, j) for j, g in enumerate(gaps) if g > 0]
+        seeds.append(list(map(float, xs[min(times)[1]])))
+    assert cl.d2_seeds(frame, 4, draw=draw) == seeds
+    centers, old = seeds, None
+    while True:
+        now = [min(range(4), key=lambda c: (math.dist(x, centers[c]), c)) for x in xs]
+        if now == old:
+            break
+        old = now
+        mine = [[x for x, n in zip(xs, now) if n == c] for c in range(4)]
+        centers = [[sum(v) / len(m) for v in zip(*m)] if m else c for m, c in zip(mine, centers)]
+    rows = {r.id: r for r in cl.kmeans_fit(frame, 4, draw=draw).collect()}
+    assert [rows[i].label for i in range(len(xs))] == now
+    assert all(rows[i].distance == pytest.approx(math.dist(xs[i], centers[now[i]])) for i in rows)
+
+
+def test_kmeans_of_few_nothing_and_any_partitioning(spark):
+    assert labels(cl.kmeans_fit(points(spark, [[1, 1], [1, 1], [5, 5]]), 5)) in ([0, 0, 1], [1, 1, 0])
+    assert cl.kmeans_fit(points(spark, [[1, 1]]).limit(0), 3).count() == 0
+    rng = random.Random(14)
+    frame = points(spark, [[rng.random(), rng.random()] for _ in range(80)])
+    assert cl.d2_seeds(frame, 5) == cl.d2_seeds(frame.repartition(7), 5)
+    assert cl.d2_seeds(frame, 5) != cl.d2_seeds(frame, 5, seed=43)
+
+
+def test_many_fits_at_once_equal_single_ones(spark):
+    rng = random.Random(15)
+    frame = points(spark, [[rng.gauss(c, 2), rng.gauss(c, 2)] for c in (0, 5, 9) for _ in range(20)])
+    first = [list(r.features) for r in frame.orderBy("id").limit(4).collect()]
+    drawn = lambda fit: F.col("id") % 5 != fit
+    fits = cl.lloyd_fits(frame, {k: first[:k] for k in (2, 3, 4)}, 50, drawn)
+    for k, centers in fits.items():
+        seeds = spark.createDataFrame(list(enumerate(first[:k])), "label int, centroid array<double>")
+        alone = cl.lloyd(frame.filter(drawn(k)), [], k, 50, 2, seeds).orderBy("label").collect()
+        for r in alone:
+            assert centers[r.label] == pytest.approx(r.centroid)
+
+
 def test_lloyd_by_key_and_alone(spark):
     rng = random.Random(11)
     xs = [rng.gauss(c, 1) for c in (0, 50, 100) for _ in range(15)]
