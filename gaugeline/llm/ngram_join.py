@@ -333,11 +333,13 @@ class _Join:
         self.step += 1
         with small_batches(found.sparkSession, PAIR_ROWS):
             more = self.shelf.put(found, f"links{self.step}")
+        self.shelf.drop(f"near{self.step - 1}")
         if more.isEmpty():
             return False
         self.links = more if self.links is None else self.links.unionByName(more)
         ends = self.links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        self.component = connected_components(ends, self.links).select(F.col("id").alias("doc_id"), "component")
+        self.component = self.shelf.put(connected_components(ends, self.links).select(
+            F.col("id").alias("doc_id"), "component"), f"component{self.step}")
         return True
 
 
@@ -360,6 +362,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, known: int) -> Data
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     shared = spark.sparkContext.broadcast(frequent(rows, known))
     made = shelf.put(prefixes(rows, shared), "prefixes")
+    shared.destroy()
 
     # One document stands for all with the same set.
     real = made.filter("n > 0 and doc_id is not null")
@@ -376,9 +379,9 @@ def _components(docs: DataFrame, id_col: str, text_col: str, known: int) -> Data
     # Rows of the buckets that hold two documents or more.
     short = F.col("n") - F.floor((F.col("n") * PERCENT + 99) / 100)
     every = facts.select("doc_id", "n", "matches", "rare", F.posexplode("prefix").alias("at", "token"))
-    every = every.withColumn("level", F.greatest(F.lit(1), F.col("at") - short + 1).cast("int"))
     live = every.groupBy("token").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).filter("x < y").select("token")
-    buckets = shelf.put(every.join(live, "token", "left_semi"), "buckets")
+    buckets = shelf.put(every.join(live, "token", "left_semi").withColumn(
+        "level", F.greatest(F.lit(1), F.col("at") - short + 1).cast("int")), "buckets")
     wanted = shelf.put(buckets.select("doc_id").distinct(), "wanted")
     sets = shelf.put(single(full_sets(rows.join(if_small(wanted), "doc_id", "left_semi"))), "sets")
     known_facts = shelf.put(facts.join(if_small(wanted), "doc_id", "left_semi").select("doc_id", "n", "parity"), "known")
@@ -390,6 +393,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, known: int) -> Data
             F.sum("count").alias("all"), F.sum(F.col("count") * F.col("count")).alias("same")).agg(
             F.sum((F.col("all") * F.col("all") - F.col("same")) / 2), F.sum("all")).first()
         if turn and (size[0] or 0) <= 4 * (size[1] or 0):
+            shelf.drop(f"placed{turn}")
             break
         # The first leader is the document with the fewest rare shingles, often what others were copied
         # from; later ones are drawn by hash.  Either is mostly the same one in all buckets that documents share.
@@ -399,7 +403,9 @@ def _components(docs: DataFrame, id_col: str, text_col: str, known: int) -> Data
         star = placed.alias("x").join(leader.alias("y"), "token").filter(
             (F.col("x.component") != F.col("y.component")) & _possible("x", "y"))
         pairs = star.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
-        if not join.add(join.verified(pairs)) and turn:
+        more = join.add(join.verified(pairs))
+        shelf.drop(f"placed{turn}")
+        if turn and not more:
             break
 
     # Every pair that is left: different components, and enough shared in the prefixes of the shorter match.
@@ -412,6 +418,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, known: int) -> Data
              .groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).agg(
                  F.count("*").alias("shared"), F.first(needed).alias("needed")).filter("shared >= needed").select("a", "b"))
     join.add(join.verified(pairs))
+    shelf.drop("placed", "buckets", "wanted", "sets", "known")
 
     joined = join.component
     if joined is None:
