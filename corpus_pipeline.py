@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gc
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from gaugeline.llm import decontaminate, exact_dedup, ngram_join, packing, quality
@@ -11,7 +14,10 @@ from gaugeline.session import kept_path
 
 def good_only(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores 0.5 or more; it learns from labelled documents of this input."""
-    return quality.keep_good(docs, quality.learn_quality(docs, table(spark, sf_dir, "labels")))
+    model = quality.learn_quality(docs, table(spark, sf_dir, "labels"))
+    gc.collect()  # what learning took on the driver goes back before the other stages run
+    pa.default_memory_pool().release_unused()
+    return quality.keep_good(docs, model)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
