@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.01"
 
 def test_every_operator_is_registered():
     numbers = sorted(int(name[2:].split("_")[0]) for name in catalog.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(catalog.QUERIES) < set(entry.queries()) and "pipeline" in entry.queries()
     assert set(catalog.SQL) <= set(entry.oracle_sql())
 
