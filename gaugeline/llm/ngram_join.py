@@ -376,15 +376,20 @@ def _components(docs: DataFrame, id_col: str, text_col: str, known: int) -> Data
     first = groups.select(F.col("first").alias("doc_id"))
     facts = single(real.join(if_small(first), "doc_id", "left_semi")).drop("sign")
 
-    # Rows of the buckets that hold two documents or more.
+    # Rows of the buckets that hold two documents or more.  A document has a token once, so counts tell; what else
+    # is known of it joins the few rows that are left.
+    every = facts.select("doc_id", F.posexplode("prefix").alias("at", "token"))
+    live = every.groupBy("token").count().filter("count > 1").select("token")
+    met = shelf.put(every.join(live, "token", "left_semi"), "met")
     short = F.col("n") - F.floor((F.col("n") * PERCENT + 99) / 100)
-    every = facts.select("doc_id", "n", "matches", "rare", F.posexplode("prefix").alias("at", "token"))
-    live = every.groupBy("token").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).filter("x < y").select("token")
-    buckets = shelf.put(every.join(live, "token", "left_semi").withColumn(
+    buckets = shelf.put(met.join(facts.select("doc_id", "n", "matches", "rare"), "doc_id").withColumn(
         "level", F.greatest(F.lit(1), F.col("at") - short + 1).cast("int")), "buckets")
+    shelf.drop("met")
     wanted = shelf.put(buckets.select("doc_id").distinct(), "wanted")
     sets = shelf.put(single(full_sets(rows.join(if_small(wanted), "doc_id", "left_semi"))), "sets")
     known_facts = shelf.put(facts.join(if_small(wanted), "doc_id", "left_semi").select("doc_id", "n", "parity"), "known")
+    signs = shelf.put(made.select("doc_id", "n", "sign"), "signs")
+    shelf.drop("prefixes")
 
     join = _Join(shelf, buckets, known_facts, sets)
     for turn in range(MOST_ROUNDS):
@@ -425,7 +430,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, known: int) -> Data
         joined = first.limit(0).withColumn("component", F.col("doc_id"))
     moved = joined.filter("doc_id <> component").select(F.col("doc_id").alias("first"), "component")
     twins = groups.filter("first < last").select("n", "sign", "first")
-    return (made.select("doc_id", "n", "sign").join(if_small(twins), ["n", "sign"], "left")
+    return (signs.join(if_small(twins), ["n", "sign"], "left")
             .withColumn("first", F.coalesce("first", "doc_id")).join(if_small(moved), "first", "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "first")).alias("component_id")))
