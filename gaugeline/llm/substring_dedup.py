@@ -4,8 +4,8 @@ A gear hash rolls over the bytes of a text (16 bytes of memory) and cuts where i
 zero, so the same passage has the same cuts wherever it stands and insertions only change the chunks they touch.  Every
 window of 50 words has a seed that its own bytes decide: the least digest of its whole chunks or, where cuts leave
 none, of its stretches of 16 words.
-Windows whose seed other documents have too are counted by a hash of all their bytes; neighbouring
-windows that stand in the same other document make up a passage.
+Windows whose seed other documents have too are compared by a hash of all their bytes; each learns the least document
+that holds it, and neighbouring windows with the same least holder make up a passage.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeline.llm.common import Shelf, slices, table
@@ -23,7 +23,6 @@ from gaugeline.llm.common import Shelf, slices, table
 CUT_BITS = 5
 MIN_CHUNK_BYTES = 12
 MIN_WORDS = 50
-HOLDER_GROUPS = 4
 #: Bytes on which a cut depends.
 MEMORY = 16
 GEAR = np.random.default_rng(20).integers(0, 1 << 16, 256, np.uint16)
@@ -134,6 +133,10 @@ def _seeds(data: np.ndarray, digests: Digests, begins: np.ndarray, ends: np.ndar
     return out
 
 
+def _kind(docs: DataFrame) -> str:
+    return docs.schema["doc_id"].dataType.simpleString()
+
+
 def seeds(docs: DataFrame, min_words: int) -> DataFrame:
     """(doc_id, seed) of the windows of `min_words` words, once for neighbours with the same seed."""
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,16 +144,14 @@ def seeds(docs: DataFrame, min_words: int) -> DataFrame:
             for part in slices(batch, "text"):
                 w = windows(part.column("text").to_pylist(), min_words)
                 new = np.append(True, (w.seed[1:] != w.seed[:-1]) | (w.text[1:] != w.text[:-1]))[:len(w.seed)]
-                docs_of = part.column("doc_id").to_numpy(False)
-                yield pa.RecordBatch.from_arrays([pa.array(docs_of[w.text[new]]), pa.array(w.seed[new])], ["doc_id", "seed"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id").take(pa.array(w.text[new])), pa.array(w.seed[new])], ["doc_id", "seed"])
 
-    return docs.mapInArrow(find, "doc_id long, seed long")
+    return docs.mapInArrow(find, f"doc_id {_kind(docs)}, seed long")
 
 
 def candidates(rows: DataFrame, min_words: int) -> DataFrame:
-    """Windows whose seed is in the row's `seeds`: doc_id, key, at.
-
-    at: the number of the window, its first byte and the one after its last, and 1 if the text has the same window before.
+    """Windows whose seed is in the row's `seeds`: doc_id, key, no, start, size (bytes).
 
     rows: doc_id, text, seeds.
     """
@@ -162,113 +163,64 @@ def candidates(rows: DataFrame, min_words: int) -> DataFrame:
                 shared = np.concatenate([np.zeros(0, bool), *[
                     np.isin(w.seed[a:b], known[k].values.to_numpy(False))
                     for k, (a, b) in enumerate(zip(edges, edges[1:]))]])
-                first = np.zeros(len(shared), bool)
-                order = np.lexsort([w.key, w.text])
-                first[order] = np.append(True, (np.diff(w.key[order]) != 0) | (np.diff(w.text[order]) != 0))[:len(order)]
-                at = np.stack([w.no, w.start, w.end, ~first], axis=1)[shared].astype(np.int32)
-                doc = part.column("doc_id").to_numpy(False)[w.text[shared]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc), pa.array(w.key[shared]),
-                     pa.ListArray.from_arrays(np.arange(len(at) + 1, dtype=np.int32) * 4, at.ravel())], ["doc_id", "key", "at"])
-
-    return rows.mapInArrow(find, "doc_id long, key long, at array<int>")
+                    [part.column("doc_id").take(pa.array(w.text[shared])), pa.array(w.key[shared]),
+                     *[pa.array(x[shared].astype(np.int32)) for x in (w.no, w.start, w.end - w.start)]],
+                    ["doc_id", "key", "no", "start", "size"])
 
-
-def stretches(doc: int, no: np.ndarray, place: np.ndarray, other: np.ndarray, many: np.ndarray,
-              min_words: int) -> Iterator[tuple[int, int, int]]:
-    """Longest stretches of a document's windows that one other document holds: first and last window (places in
-    `no`), the least document with the stretch.
-
-    no: ascending window numbers; place and other: known holders of them; many: a window has more than those.  A
-    document that is not known for a few such windows, but is before and after them, has them too, as windows overlap.
-    """
-    place, other = place[other != doc], other[other != doc]
-    order = np.lexsort([place, other])
-    place, other = place[order], other[order]
-    crowd = np.append(0, np.cumsum(many))
-    a, b = place[:-1], place[1:]
-    gap = no[b] - no[a]
-    joined = (other[1:] == other[:-1]) & (gap == b - a) & (
-        (gap == 1) | (gap <= min_words) & (crowd[b] - crowd[np.minimum(a + 1, b)] == gap - 1))
-    edges = np.flatnonzero(np.concatenate([[True], ~joined, [True]]))
-    low, high, other = place[edges[:-1]], place[edges[1:] - 1], other[edges[:-1]]
-    reached = -1
-    for k in np.lexsort([other, -high, low]):  # the least document of equal stretches comes first
-        if high[k] > reached:
-            reached = high[k]
-            yield int(low[k]), int(high[k]), min(doc, int(other[k]))
+    return rows.mapInArrow(find, f"doc_id {_kind(rows)}, key long, no int, start int, size int")
 
 
 def joined(shared: DataFrame, min_words: int) -> DataFrame:
-    """Passages from the shared windows of each document: doc_id, list of (at, holders, many)."""
-    names = ["doc_id", "start_byte", "end_byte", "n_words", "first_doc_id", "kept"]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
+    """Passages from the shared windows: neighbours in a document with the same `first`.
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            lists = batch.column("windows")
-            flat, bounds = lists.flatten(), np.append(0, np.cumsum(lists.value_lengths().to_numpy(False)))
-            no, start, end, _ = flat.field("at").flatten().to_numpy(False).reshape(-1, 4).T
-            many = flat.field("many").to_numpy(False)
-            holders = flat.field("holders")
-            held = np.append(0, np.cumsum(holders.value_lengths().to_numpy(False)))
-            holders = holders.flatten().to_numpy(False)
-            for k, doc in enumerate(batch.column("doc_id").to_pylist()):
-                a = bounds[k]
-                one = a + np.unique(no[a:bounds[k + 1]], return_index=True)[1]  # a repeated row has its windows twice
-                size = held[one + 1] - held[one]
-                inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                others = holders[np.repeat(held[one], size) + inner]
-                for low, high, first in stretches(doc, no[one], np.repeat(np.arange(len(one)), size), others, many[one],
-                                                  min_words):
-                    low, high = one[low], one[high]
-                    out.append((doc, int(start[low]), int(end[high]), int(no[high] - no[low]) + min_words, first, first == doc))
-            found = list(zip(*out)) if out else [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, kinds)], names)
-
-    return shared.mapInArrow(
-        join, "doc_id long, start_byte int, end_byte int, n_words int, first_doc_id long, kept boolean")
+    The sort is by document, so it holds as many rows as one text has words."""
+    order = Window.partitionBy("doc_id").orderBy("no")
+    new = (F.col("no") - F.lag("no").over(order) == 1) & (F.col("first") == F.lag("first").over(order))
+    runs = shared.withColumn("new", F.when(new, 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
+    return runs.groupBy("doc_id", "run").agg(
+        F.min("start").alias("start_byte"), F.max(F.col("start") + F.col("size")).alias("end_byte"),
+        (F.count("*") + (min_words - 1)).cast("int").alias("n_words"), F.min("first").alias("first_doc_id")).select(
+        "doc_id", "start_byte", "end_byte", "n_words", "first_doc_id", (F.col("first_doc_id") == F.col("doc_id")).alias("kept"))
 
 
 def passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Passages of `min_words` words or more that also stand, whole, in one other document.
+    """Passages of `min_words` words or more whose windows of so many words all stand in other documents too.
 
     Per occurrence: doc_id, start_byte, end_byte (exclusive, in UTF-8), n_words, first_doc_id, kept.
-    first_doc_id is the least id that has the whole passage; its occurrence is the one `kept`.  Passages
-    that different documents share with this one may overlap.
+    A passage is the longest stretch of neighbouring windows with the same least holder, first_doc_id, itself included; it is
+    `kept` where that is its own document.  Every window that two documents hold is in one passage of each of
+    them, and neighbouring passages with different holders overlap.  With all passages cut that are not kept, every word of
+    a repeated window still stands in its least holder, or in turn in the least holder of a window that overlaps it there.
+
     White space divides words and counts like other bytes between them.  Repeats inside one document alone do not count,
-    nor do rows repeated under one id.  Null and empty texts, null ids and empty tables give no rows; other columns
-    are not read.
+    nor do rows repeated under one id, of whose texts the least counts.  Ids are of any type that has an order.  Null and
+    empty texts, null ids and empty tables give no rows; other columns are not read.
 
-    None is missed.  A periodic stretch longer than the other document's counts as held where all its windows are.
-    Of each window the least and the greatest holder are known in each of HOLDER_GROUPS groups of documents.  Where still
-    more hold a part than hold the rest, a passage can come out as several that overlap.
+    None is missed and there is no limit on holders.  Only the least and greatest holder of a window are looked for, which
+    is added up before the shuffle; adaptive execution splits the join back at windows that very many documents hold.
     """
     shelf = Shelf(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter(
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(
         "doc_id is not null and length(text) > 0")
+    if not rows.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"))
     ends = [F.min("doc_id").alias("first"), F.max("doc_id").alias("last")]
     sown = shelf.put(seeds(rows, min_words), "seeds")
     held = sown.groupBy("seed").agg(*ends).filter("first < last").select("seed")
     wanted = sown.join(held, "seed").groupBy("doc_id").agg(F.collect_set("seed").alias("seeds"))
     wanted = shelf.put(wanted, "wanted")
     shelf.drop("seeds")
-    # One shuffle by key serves the counts and the join with them; that is why `at` is one column.
-    spots = candidates(rows.join(wanted, "doc_id"), min_words).repartition("key")
-    group = F.pmod(F.xxhash64("doc_id"), F.lit(HOLDER_GROUPS))
-    known = [end(F.when(group == g, F.col("doc_id"))) for g in range(HOLDER_GROUPS) for end in (F.min, F.max)]
-    agreed = spots.groupBy("key").agg(
-        F.array_distinct(F.array_compact(F.array(*known))).alias("holders"),
-        F.sum(1 - F.get("at", F.lit(3))).alias("n")).filter("size(holders) > 1")
-    agreed = agreed.select("key", "holders", (F.col("n") > F.size("holders")).alias("many"))
-    shared = spots.join(agreed, "key").groupBy("doc_id").agg(
-        F.collect_list(F.struct("at", "holders", "many")).alias("windows"))
-    return joined(shared, min_words).distinct()
+    spots = candidates(rows.join(wanted, "doc_id"), min_words)
+    agreed = shelf.put(spots.groupBy("key").agg(*ends).filter("first < last").select("key", "first"), "agreed")
+    found = shelf.put(joined(spots.join(agreed, "key"), min_words), "passages")
+    shelf.drop("wanted", "agreed")
+    return found
 
 
 def without_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """doc_id and text with every passage that is not `kept` cut out.  docs: doc_id, text."""
+    """doc_id and text with every passage that is not `kept` cut out.  docs: doc_id, text; rows repeated under one id
+    should be one row before, as positions are those of one text."""
     spans = found.filter("not kept").groupBy("doc_id").agg(
         F.sort_array(F.collect_list(F.struct("start_byte", "end_byte"))).alias("spans"))
 
@@ -285,7 +237,8 @@ def without_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
                 texts.append(text)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return docs.select("doc_id", "text").join(spans, "doc_id", "left").mapInArrow(cut, "doc_id long, text string")
+    return docs.select("doc_id", "text").join(spans, "doc_id", "left").mapInArrow(
+        cut, f"doc_id {_kind(docs)}, text string")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,7 +94,7 @@ def test_a_passage_stands_whole_in_one_other_document(docs_of):
     long = prose(r, 100).split()
     parts = {1: long, 2: long[:70], 3: long[20:]}
     got = found(docs_of({k: f"{prose(r, 30)} {' '.join(p)} {prose(r, 30)}" for k, p in parts.items()}))
-    assert got == {(1, 70, 1), (2, 70, 1), (1, 80, 1), (3, 80, 1)}
+    assert got == {(1, 100, 1), (2, 70, 1), (3, 80, 1)}  # a passage goes by its least holder, here document 1 itself
 
 
 def test_chunks_shared_elsewhere_at_the_edges_of_a_passage(docs_of):
@@ -148,3 +148,63 @@ def test_passages_equal_a_search_of_all_windows(docs_of):
         covered |= {(x["doc_id"], i) for i in range(first, first + x["n_words"] - 49)}
         assert rows[x["doc_id"]].encode()[x["start_byte"]:x["end_byte"]].decode() in rows[x["first_doc_id"]]
     assert want and covered == want
+
+
+def least_holders(rows):
+    """(doc_id, first word, words, least holder) of every passage, from all windows of all documents."""
+    held, out = {}, set()
+    for d, text in rows.items():
+        words = text.split()
+        for i in range(len(words) - 49):
+            held.setdefault(tuple(words[i:i + 50]), set()).add(d)
+    for d, text in rows.items():
+        words, at = text.split(), 0
+        own = [min(h) if len(h := held[tuple(words[i:i + 50])]) > 1 else None for i in range(len(words) - 49)]
+        while at < len(own):
+            end = at
+            while end < len(own) and own[end] == own[at]:
+                end += 1
+            if own[at] is not None:
+                out.add((d, at, end - at + 49, own[at]))
+            at = end
+    return out
+
+
+def placed(rows, docs):
+    return {(x["doc_id"], len(rows[x["doc_id"]].encode()[:x["start_byte"]].split()), x["n_words"], x["first_doc_id"])
+            for x in s.passages(docs).collect()}
+
+
+def test_nested_repeats_go_by_the_least_holder(docs_of):
+    r = random.Random(13)
+    words = prose(r, 100).split()
+    rows = {5: " ".join(words), 9: " ".join(words), 1: f"{prose(r, 30)} {' '.join(words[10:70])} {prose(r, 30)}"}
+    docs = docs_of(rows)
+    got = placed(rows, docs)
+    assert got == least_holders(rows)
+    assert got == {(1, 30, 60, 1)} | {(d, *p) for d in (5, 9) for p in ((0, 59, 5), (10, 60, 1), (21, 79, 5))}
+    left = {x["doc_id"]: x["text"] for x in s.without_repeats(docs, s.passages(docs)).collect()}
+    assert left[1] == rows[1] and left[9] == "" and left[5].split() == words[:10] + words[70:]
+
+
+def test_windows_with_many_holders_in_many_settings(docs_of):
+    r = random.Random(14)
+    base = prose(r, 200).split()
+    rows = {}
+    for k in range(60):
+        a, b = sorted(r.sample(range(201), 2))
+        rows[k] = " ".join([*prose(r, r.randint(0, 20)).split(), *base[a:b], *prose(r, r.randint(0, 20)).split(), *base[:r.randint(0, 90)]])
+    docs = docs_of(rows)
+    assert placed(rows, docs) == least_holders(rows)
+    left = " ".join(x["text"] for x in s.without_repeats(docs, s.passages(docs)).collect()).split()
+    assert set(left) >= {w for d, at, n, _ in least_holders(rows) for w in rows[d].split()[at:at + n]}
+
+
+def test_ids_of_text_and_rows_of_one_id(spark):
+    r = random.Random(15)
+    long = prose(r, 70)
+    docs = spark.createDataFrame([("b", long, 1), ("a", f"{prose(r, 9)} {long}", 2), ("b", long, 3), (None, long, 4)],
+                                 "doc_id string, text string, seed int")
+    got = s.passages(docs)
+    assert {(x["doc_id"], x["n_words"], x["first_doc_id"], x["kept"]) for x in got.collect()} == {
+        ("a", 70, "a", True), ("b", 70, "a", False)}
