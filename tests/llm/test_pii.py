@@ -87,3 +87,27 @@ def test_trees_add_a_phone_without_plus(docs_of):
     models = pii.learn(docs_of(texts).select("doc_id", "text"))
     spans = pii.redactions("total 12345678 of 1234 5678", models)[1]
     assert spans == []
+
+
+def test_trees_find_loose_forms_and_leave_plain_numbers(docs_of):
+    r = random.Random(4)
+
+    def digits(n):
+        return "".join(r.choices("0123456789", k=n))
+
+    texts = {}
+    for k in range(900):
+        card = next(c for c in iter(lambda: "4" + digits(15), None) if luhn(c))
+        texts[k] = [f"please call +1 ({digits(3)}) 555-{digits(4)} today", f"mail {r.choice('abc')}{k}.x@host{k}.org now",
+                    f"paid by card {card[:4]} {card[4:8]} {card[8:12]} {card[12:]} then",
+                    f"a total of {digits(8)} and {digits(4)} {digits(4)} rows", f"number {digits(16)} of {digits(11)}"][k % 5]
+    models = pii.learn(docs_of(texts).select("doc_id", "text"))
+
+    def kinds(text):
+        return [(kind, text[s:e]) for s, kind, e in pii.redactions(text, models)[1]]
+
+    assert kinds("please call 1 (415) 555-2671 today") == [("phone", "1 (415) 555-2671")]
+    assert kinds("mail jo.x(at)host7.org now") == [("email", "jo.x(at)host7.org")]
+    assert kinds("paid by card 4111.1111.1111.1111 then") == [("card", "4111.1111.1111.1111")]
+    assert kinds("a total of 12345678 and 1234 5678 rows") == []
+    assert kinds("paid by card 4111.1111.1111.1112 then") == []
