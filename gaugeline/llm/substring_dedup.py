@@ -213,7 +213,8 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id"
     shelf.drop("seeds")
     spots = candidates(rows.join(wanted, "doc_id"), min_words)
     agreed = shelf.put(spots.groupBy("key").agg(*ends).filter("first < last").select("key", "first"), "agreed")
-    found = shelf.put(joined(spots.join(agreed, "key"), min_words), "passages")
+    # Keys are single in `agreed`, so a hash table of a partition of it is small, and the many windows need no sort.
+    found = shelf.put(joined(spots.join(agreed.hint("shuffle_hash"), "key"), min_words), "passages")
     shelf.drop("wanted", "agreed")
     return found
 
