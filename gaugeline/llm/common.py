@@ -34,6 +34,14 @@ def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """`name`, with underscores added until no column of `df` is called so in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Shelf:
     """Tables that a job writes to the shared folder and drops when it has read them; the rest go with `session.release`."""
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import if_small, table
+from gaugeline.llm.common import Shelf, if_small, table, unused
 
 MASKS = ("1110111", "11011011", "1011001101")
 MIN_MATCH = 12
@@ -91,8 +91,9 @@ def overlaps(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS,
 
 def clean_of(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of `docs` that share no passage with any item, with all their columns.  Rows without id stay."""
-    leaked = overlaps(docs, items).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(if_small(leaked), docs["doc_id"] == F.col("__id"), "left_anti")
+    own = unused("__id", docs)
+    leaked = Shelf(docs.sparkSession).put(overlaps(docs, items).select(F.col("doc_id").alias(own)).distinct(), "leaked")
+    return docs.join(if_small(leaked), docs["doc_id"] == F.col(own), "left_anti")
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,15 +3,16 @@
 A Misra-Gries summary (Spark's `approx_top_k`, a bounded counter table that is built per
 task and merged) names the digests that may be frequent.  An exact count verifies them.  The verified
 winners, at most `winners` rows, are broadcast and decide their copies on the map side;
-all other digests have few copies and go through one ordinary shuffle of (id, digest).
+all other digests are counted by an ordinary shuffle, partial counts first, and those that
+repeat are joined to their rows, so that no group is bound to one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import Shelf, ascii_lower, if_small, table
+from gaugeline.llm.common import Shelf, ascii_lower, if_small, table, unused
 
 WINNERS = 1_000
 COUNTERS = 16_384
@@ -41,9 +42,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
         .filter("group_size > 1"), "winners")
     frequent = rows.join(F.broadcast(verified), "text_sha256")
-    same = Window.partitionBy("text_sha256")
-    others = (rows.join(F.broadcast(verified.select("text_sha256")), "text_sha256", "left_anti")
-              .withColumns({"keep_id": F.max("doc_id").over(same), "group_size": F.count("*").over(same)}))
+    rest = rows.join(F.broadcast(verified.select("text_sha256")), "text_sha256", "left_anti")
+    repeated = rest.groupBy("text_sha256").agg(
+        F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
+    others = rest.join(repeated, "text_sha256", "left").withColumns({
+        "keep_id": F.coalesce("keep_id", "doc_id"), "group_size": F.coalesce("group_size", F.lit(1).cast("long"))})
     return frequent.unionByName(others).select(
         "doc_id", "keep_id", "group_size",
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
@@ -52,19 +55,20 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of `docs`, one per group of equal texts; a repeated row stays once.
 
-    Columns are those of `docs`; ids and texts are in doc_id and text.  Texts are shuffled only
-    for ids that occur twice.
+    Columns are those of `docs`, whatever their names; ids and texts are in doc_id and text.  Texts are
+    shuffled only for ids that occur twice.
     """
     shelf = Shelf(docs.sparkSession)
+    own, sha, of, times = (unused(name, docs) for name in ("__id", "__sha", "__of", "__times"))
     stay = shelf.put(exact_groups(docs).filter("kept").groupBy(
-        F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).count(), "stay")
-    signed = docs.withColumn("__of", F.sha2(ascii_lower(docs["text"]), 256))
-    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__sha"))
-    once = signed.join(if_small(stay.filter("count = 1")), same, "left_semi")
-    twice = stay.filter("count > 1")
+        F.col("doc_id").alias(own), F.col("text_sha256").alias(sha)).agg(F.count("*").alias(times)), "stay")
+    signed = docs.withColumn(of, F.sha2(ascii_lower(docs["text"]), 256))
+    same = docs["doc_id"].eqNullSafe(F.col(own)) & (F.col(of) == F.col(sha))
+    once = signed.join(if_small(stay.filter(F.col(times) == 1)), same, "left_semi")
+    twice = stay.filter(F.col(times) > 1)
     if not twice.isEmpty():
-        once = once.unionByName(signed.join(if_small(twice), same, "left_semi").dropDuplicates(["doc_id", "__of"]))
-    return once.drop("__of")
+        once = once.unionByName(signed.join(if_small(twice), same, "left_semi").dropDuplicates(["doc_id", of]))
+    return once.drop(of)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

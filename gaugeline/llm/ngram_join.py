@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import Shelf, if_small, slices, small_batches, table
+from gaugeline.llm.common import Shelf, if_small, slices, small_batches, table, unused
 from gaugeline.llm.subword import mixed, word_hashes, words_of
 from gaugeline.operators.neighbors import connected_components
 
@@ -443,8 +443,10 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def first_of_each(docs: DataFrame) -> DataFrame:
     """The rows of `docs` whose id is the smallest of its component, with all columns; texts without words and rows
     without id stay.  Of rows repeated under one id all stay or none."""
-    away = components(docs).filter("component_id <> doc_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(if_small(away), docs["doc_id"] == F.col("__id"), "left_anti")
+    own = unused("__id", docs)
+    away = Shelf(docs.sparkSession).put(
+        components(docs).filter("component_id <> doc_id").select(F.col("doc_id").alias(own)).distinct(), "away")
+    return docs.join(if_small(away), docs["doc_id"] == F.col(own), "left_anti")
 
 
 OP7_SQL = r"""

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from gaugeline.llm.common import slices, table
+from gaugeline.llm.common import slices, table, unused
 from gaugeline.llm.language import held_out, learn, sample
 from gaugeline.llm.subword import Model, Shape
 
@@ -32,8 +32,8 @@ def learn_quality(docs: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS) ->
     return learn(texts.dropDuplicates(["doc_id"]), "text", "label", SHAPE, LEARN_WORDS)
 
 
-def scores(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` with a column `__score`, the probability of label 1 from the whole text.
+def scores(docs: DataFrame, model: Model, name: str = "__score") -> DataFrame:
+    """`docs` with a column `name`, the probability of label 1 from the whole text.
 
     Null and empty texts get the score of a text without words.  All rows and columns stay as they are.  A model
     that has seen no label scores 0.5, one that has seen a single label 1 or 0.
@@ -46,14 +46,15 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
             for part in slices(batch, "text"):
                 p = model.probabilities(model.logits(part.column("text")))
                 made = np.full(len(p), unknown) if column is None else p[:, column]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made)], [*part.schema.names, "__score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made)], [*part.schema.names, name])
 
-    return docs.mapInArrow(score, StructType([*docs.schema.fields, StructField("__score", DoubleType())]))
+    return docs.mapInArrow(score, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def keep_good(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows that score `least` or more, with their columns."""
-    return scores(docs, model).filter(F.col("__score") >= least).drop("__score")
+    """The rows that score `least` or more, with their columns, whatever their names."""
+    name = unused("__score", docs)
+    return scores(docs, model, name).filter(F.col(name) >= least).drop(name)
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,3 +42,27 @@ def test_no_copy_or_near_copy_is_left(stages):
     assert len(set(lowered)) == len(lowered)
     want = {k for k, _, c in expected(list(stages[2].items())) if c == k}
     assert set(stages[3]) == want
+
+
+def test_stages_bear_columns_of_their_own_names(spark):
+    """Extra columns called as the stages call theirs come through, with their values."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 300")
+    extra = ["__id", "__ID_", "__sha", "__of", "__times", "__score", "count", "component"]
+    wide = docs.selectExpr("*", *[f"doc_id + {i} AS `{name}`" for i, name in enumerate(extra)])
+    model = quality.learn_quality(docs, labels, 200)
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    for stage in (lambda d: quality.keep_good(d, model), exact_dedup.keep_one_of_each, ngram_join.first_of_each,
+                  lambda d: decontaminate.clean_of(d, items)):
+        got = stage(wide)
+        assert got.columns == wide.columns
+        rows = got.collect()
+        assert sorted(r["doc_id"] for r in rows) == sorted(r["doc_id"] for r in stage(docs).collect())
+        assert all(r[name] == r["doc_id"] + i for r in rows for i, name in enumerate(extra))
+
+
+def test_groups_of_null_ids(docs_of):
+    got = exact_dedup.exact_groups(docs_of([(None, "Same"), (None, "same"), (3, "other"), (4, "OTHER"), (5, "alone"), (None, "x")]))
+    assert sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got.collect()), key=str) == sorted([
+        (None, None, 2, True), (None, None, 2, True), (3, 4, 2, False), (4, 4, 2, True), (5, 5, 1, True),
+        (None, None, 1, True)], key=str)
