@@ -18,6 +18,8 @@ BROADCAST_ROWS = 500_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Characters that a task holds as separate words at a time.
 SLICE_CHARS = 2_000_000
+# Texts, and bytes, that Spark hands to a task's Python at a time.
+TEXT_ROWS, BATCH_BYTES = 1_000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,15 +64,17 @@ class Shelf:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Jobs inside hand at most `rows` rows at a time to Python, for rows that may be wide."""
-    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, str(rows))
+def small_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> Iterator[None]:
+    """Jobs inside hand at most `rows` rows, and some BATCH_BYTES, at a time to Python, for rows that may be wide."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    before = {setting: spark.conf.get(setting) for setting in wanted}
     try:
+        for setting, value in wanted.items():
+            spark.conf.set(setting, str(value))
         yield
     finally:
-        spark.conf.set(setting, before)
+        for setting, value in before.items():
+            spark.conf.set(setting, value)
 
 
 def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_CHARS):

@@ -40,8 +40,8 @@ MOST_ROUNDS = 6
 _CLASSED = np.uint64(1) << np.uint64(58)
 #: Rows with a whole set that may be broadcast.
 SET_ROWS = 2_000
-#: Documents, and pairs of sets, that a task holds at a time.
-TEXT_ROWS, PAIR_ROWS = 1_000, 256
+#: Pairs of sets that a task holds at a time.
+PAIR_ROWS = 256
 U = np.uint64
 
 
@@ -352,7 +352,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeated; a null id gets a null component and links nothing.  Other columns are not read.  An
     empty table gives no rows.  Shingles are compared by 64-bit hashes.
     """
-    with small_batches(docs.sparkSession, TEXT_ROWS):
+    with small_batches(docs.sparkSession):
         return _components(docs, id_col, text_col, known)
 
 

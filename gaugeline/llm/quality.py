@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from gaugeline.llm.common import slices, table, unused
+from gaugeline.llm.common import Shelf, slices, small_batches, table, unused
 from gaugeline.llm.language import held_out, learn, sample
 from gaugeline.llm.subword import Model, Shape
 
@@ -52,9 +52,13 @@ def scores(docs: DataFrame, model: Model, name: str = "__score") -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows that score `least` or more, with their columns, whatever their names."""
+    """The rows that score `least` or more, with their columns, whatever their names.
+
+    All columns pass through Python, so they go there in small batches, and the result is stored while that setting holds.
+    """
     name = unused("__score", docs)
-    return scores(docs, model, name).filter(F.col(name) >= least).drop(name)
+    with small_batches(docs.sparkSession):
+        return Shelf(docs.sparkSession).put(scores(docs, model, name).filter(F.col(name) >= least).drop(name), "good")
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
