@@ -382,12 +382,11 @@ def kmeans_fit(spark, sf_dir):
     return rounded(rows.select("id", "label", "distance"), "distance")
 
 
-@query("gmm_fit", "SELECT vec_id AS id, true AS sound, true AS in_range FROM embeddings")
+@query("gmm_fit")
 def gmm_fit(spark, sf_dir):
-    """What mixture zones must hold: the label's probability is the largest of k, so at least 1 / k."""
-    rows = cl.gmm_fit(fx.features(spark, sf_dir).drop("label"), k=3)
-    return rows.select("id", F.col("probability").between(1 / 3 - 1e-9, 1 + 1e-9).alias("sound"),
-                       F.col("label").between(0, 2).alias("in_range"))
+    """Three mixture zones of the feature vectors."""
+    rows = cl.gmm_fit(vectors(spark, sf_dir), 3, 64)
+    return rounded(rows.select("id", "label", "probability"), "probability")
 
 
 def lloyd_sql(points: str, key: str, k: int, rounds: int) -> str:

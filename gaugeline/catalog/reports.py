@@ -369,6 +369,20 @@ def trend_shift(spark, sf_dir):
                        F.coalesce(F.round("shift", 5), F.lit(0.0)).alias("shift"), "is_shift")
 
 
+@query("drift_scan", """
+    SELECT event_id, gateway_code, round(pu - least(min(pu) OVER w, 0), 5) AS up, round(pd - least(min(pd) OVER w, 0), 5) AS down,
+           greatest(pu - least(min(pu) OVER w, 0), pd - least(min(pd) OVER w, 0)) > 8 AS is_drift
+    FROM (SELECT *, sum(z - 0.25) OVER w AS pu, sum(-z - 0.25) OVER w AS pd
+          FROM (SELECT event_id, gateway_code, value_time, (cents - avg(cents) OVER g) / stddev_pop(cents) OVER g AS z
+                FROM stream_rows WINDOW g AS (PARTITION BY gateway_code))
+          WINDOW w AS (PARTITION BY gateway_code ORDER BY value_time, event_id))
+    WINDOW w AS (PARTITION BY gateway_code ORDER BY value_time, event_id)""", ("stream_rows",))
+def drift_scan(spark, sf_dir):
+    """Cumulative sums of every reading against its gateway's mean."""
+    rows = reports.drift_scan(fx.reading_stream(spark, sf_dir), ["gateway_code"], ["value_time", "event_id"], "cents", 0.25, 8.0)
+    return rounded(rows.select("event_id", "gateway_code", "up", "down", "is_drift"), "up", "down", digits=5)
+
+
 @query("liveness_sessions", f"""
     SELECT dev_code, {tm('online_at')}, {tm('last_seen')}, n AS heartbeats,
            {tm('last_seen + INTERVAL 60 MINUTE', 'offline_at')}

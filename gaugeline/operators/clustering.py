@@ -7,8 +7,8 @@ import math
 from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -114,14 +114,93 @@ def _centroid_literal(centroids: list[list[float]]) -> Column:
     return F.from_json(F.lit(text), "array<struct<label:int,centroid:array<double>>>")
 
 
-def gmm_fit(points: DataFrame, k: int, rounds: int = 100, seed: int = 42) -> DataFrame:
-    """Gaussian mixture zones; adds label and the probability of it."""
-    rows = points.drop("label").withColumn("__v", array_to_vector("features"))
-    model = GaussianMixture(k=k, maxIter=rounds, seed=seed, featuresCol="__v",
-                            predictionCol="label", probabilityCol="__p").fit(rows)
-    return (model.transform(rows)
-            .withColumn("probability", F.array_max(vector_to_array("__p")))
-            .drop("__v", "__p"))
+class Mixture(NamedTuple):
+    """A Gaussian mixture with one variance per component and dimension, and the mean log likelihood of each round."""
+
+    weights: list[float]
+    means: list[list[float]]
+    variances: list[list[float]]
+    likelihood: list[float]
+
+
+def _log_densities(mixture: Mixture) -> Column:
+    """Per component the log of weight times density at `features`, as array<double>."""
+    parts = [{"label": i, "mean": m, "half": [0.5 / s for s in v],
+              "base": math.log(w) - 0.5 * sum(math.log(2 * math.pi * s) for s in v)}
+             for i, (w, m, v) in enumerate(zip(mixture.weights, mixture.means, mixture.variances)) if w > 0]
+    known = F.from_json(F.lit(json.dumps(parts)), "array<struct<label:int,mean:array<double>,half:array<double>,base:double>>")
+    return F.transform(known, lambda c: F.struct(
+        (c["base"] - vec.total(F.zip_with(vec.squares(F.zip_with(F.col("features"), c["mean"], lambda x, m: x - m)),
+                                          c["half"], lambda d, h: d * h))).alias("log"), c["label"].alias("label")))
+
+
+def _shares(rows: DataFrame, mixture: Mixture) -> DataFrame:
+    """`rows` with __best (log, label), __log (log likelihood) and __parts; the largest log is taken out before exp."""
+    parts = rows.withColumn("__parts", _log_densities(mixture))
+    # Of equal logs the lower label is best.
+    best = parts.withColumn("__best", F.array_max(F.transform("__parts", lambda c: F.struct(
+        c["log"].alias("log"), (-c["label"]).alias("order")))))
+    return best.withColumn("__log", F.col("__best.log") + F.ln(vec.total(
+        F.transform("__parts", lambda c: F.exp(c["log"] - F.col("__best.log"))))))
+
+
+def gmm_model(points: DataFrame, k: int, dim: int, rounds: int = 100, tolerance: float = 1e-6, floor: float = 1e-6,
+              seed: int = 42, draw: Callable[[int], Column] | None = None) -> Mixture:
+    """A mixture of k Gaussians by expectation maximisation.
+
+    Starts: D² seeds as means, the variances of all points, equal weights.  A round is one job: each point is shared
+    among the components, and weighted means and variances are built with map-side combine; one row per component
+    comes back.  Points are moved to the mean of all before.  A variance is at
+    least `floor` times that of all points, and a component without points keeps its place with weight 0.  Ends when
+    the mean log likelihood gains less than `tolerance`, or after `rounds`.  Fewer distinct points than k give as many
+    components; rows without features are left out; without any point the mixture is empty.
+    """
+    known = points.filter("features is not null").select("id", "features")
+    x = F.col("features")
+    whole = known.agg(F.count(F.lit(1)).alias("n"), vec.mean_of(x, dim).alias("mean"),
+                      F.array(*[F.var_pop(x[i]) for i in range(dim)]).alias("var")).first()
+    if not whole["n"]:
+        return Mixture([], [], [], [])
+    middle = list(whole["mean"])
+    moved = settle(known.withColumn("features", F.zip_with(x, F.array(*map(F.lit, middle)), lambda a, m: a - m)))
+    least = [floor * v if v > 0 else floor for v in whole["var"]]
+    starts = d2_seeds(moved, k, seed, draw)
+    now = Mixture([1 / len(starts)] * len(starts), starts, [[max(v, low) for v, low in zip(whole["var"], least)] for _ in starts], [])
+    # Mean and variance of a component in one aggregate, about its mean; the variance comes with a divisor of n - sum(share²) / n.
+    moments = Summarizer.metrics("mean", "variance").summary(array_to_vector(x), F.col("share")).alias("moments")
+    own = F.when(F.col("label") == -F.col("__best.order"), F.col("__log"))
+    for _ in range(rounds):
+        shared = _shares(moved, now).withColumn("part", F.explode("__parts")).select(
+            "__log", "__best", F.col("part.label").alias("label"), "features",
+            F.exp(F.col("part.log") - F.col("__log")).alias("share")).filter("share > 0")
+        found = shared.groupBy("label").agg(F.sum("share").alias("n"), F.sum(F.col("share") * F.col("share")).alias("n2"),
+                                            F.sum(own).alias("log"), moments).collect()
+        weights, means, variances = [0.0] * len(starts), list(now.means), list(now.variances)
+        for r in found:
+            label, n = r["label"], r["n"]
+            weights[label], means[label] = n / whole["n"], r["moments"]["mean"].tolist()
+            variances[label] = [max(v * (n - r["n2"] / n) / n, low) for v, low in zip(r["moments"]["variance"].tolist(), least)]
+        log = sum(r["log"] or 0.0 for r in found) / whole["n"]
+        done = bool(now.likelihood) and log - now.likelihood[-1] < tolerance
+        now = Mixture(weights, means, variances, [*now.likelihood, log])
+        if done:
+            break
+    return now._replace(means=[[a + m for a, m in zip(mean, middle)] for mean in now.means])
+
+
+def gmm_fit(points: DataFrame, k: int, dim: int, rounds: int = 100, seed: int = 42, **how: object) -> DataFrame:
+    """Gaussian mixture zones; adds label (0-based, the likeliest component) and the probability of it.
+
+    `how` goes to `gmm_model`.  Rows without features get neither; an empty table gives no rows.
+    """
+    rows = settle(points.drop("label", "probability"))
+    model = gmm_model(rows, k, dim, rounds, seed=seed, **how)
+    if not model.weights:
+        return rows.withColumns({"label": F.lit(None).cast("int"), "probability": F.lit(None).cast("double")})
+    return _shares(rows, model).withColumns({
+        "label": F.when(F.col("features").isNotNull(), -F.col("__best.order")),
+        "probability": F.when(F.col("features").isNotNull(), F.exp(F.col("__best.log") - F.col("__log")))}).drop(
+        "__parts", "__best", "__log")
 
 
 def lloyd(points: DataFrame, keys: list[str], k: int, rounds: int, dim: int,

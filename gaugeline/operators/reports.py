@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeline.functions.scalars import ratio
+from gaugeline.plans.groups import with_group_aggs
+from gaugeline.plans.ordered import ordered
 
 GRANULARITIES = ("hour", "day", "week", "month")
 
@@ -144,3 +146,19 @@ def trend_shift(readings: DataFrame, keys: list[str], bucket: str = "day",
     shift = F.when(pooled > 0, (F.col("mean") - F.col("prev_mean")) / pooled)
     return steps.withColumn("shift", shift).withColumn(
         "is_shift", F.coalesce(F.abs("shift") > factor, F.lit(False)))
+
+
+def drift_scan(readings: DataFrame, keys: list[str], order: list[str], value: str = "value",
+               slack: float = 0.5, limit: float = 5.0) -> DataFrame:
+    """Slow drift by cumulative sums: `up` adds what a value lies above the key's mean by more than `slack` sigmas,
+    `down` what it lies below, in sigmas and never under 0; is_drift where one of them passes `limit`.
+
+    Single jumps are `trend_shift`; this finds shifts too small for that, once they last.  Keys without spread, and
+    rows without a value, add nothing.  `order` must be total within a key.
+    """
+    v = F.col(value)
+    rows = with_group_aggs(readings, keys, __mean=F.avg(v), __sigma=F.stddev_pop(v))
+    z = F.when(F.col("__sigma") > 0, (v - F.col("__mean")) / F.col("__sigma"))
+    scan = ordered(rows.withColumn("__z", z), keys, order, size_of=readings).clipped_sum(
+        up=F.col("__z") - slack, down=-F.col("__z") - slack)
+    return scan.result().withColumn("is_drift", F.greatest("up", "down") > limit).drop("__mean", "__sigma", "__z")

@@ -94,6 +94,17 @@ class Ordered:
         })
         return self._with(joined.drop(*[f"__carry_{n}" for n in specs]), False)
 
+    def clipped_sum(self, **values: Column) -> "Ordered":
+        """Running sums that never fall below 0: s = max(0, s before + value).
+
+        Such a sum is the plain running sum less its lowest point so far, so it is two scans whose carries are sums
+        and minima.  Nulls add nothing.
+        """
+        plain = self.running(**{n: Running("sum", F.coalesce(v.cast("double"), F.lit(0.0))) for n, v in values.items()})
+        lowest = plain.running(**{f"__low_{n}": Running("min", F.col(n)) for n in values})
+        return lowest._with(lowest.df.withColumns({
+            n: F.col(n) - F.least(F.col(f"__low_{n}"), F.lit(0.0)) for n in values}).drop(*[f"__low_{n}" for n in values]))
+
     def neighbour(self, step: int, **values: Column) -> "Ordered":
         """Values of the previous (-1) or next (+1) row of the key."""
         if self.split and not self.stored:
