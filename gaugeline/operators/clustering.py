@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from gaugeline import schema
 from gaugeline.functions import vectors as vec
 from gaugeline.operators import metric, neighbors as nb
-from gaugeline.plans.groups import Sizes, attach, measure
+from gaugeline.plans.groups import Sizes, attach, measure, unless_small
 from gaugeline.plans.ordered import Running, ordered, top_per_key
 from gaugeline.session import settle
 
@@ -382,13 +382,13 @@ def _component_of_cells(points: DataFrame, core: DataFrame, eps: float, dim: int
     if pairs is None:
         pairs = nb.neighbour_cells(boxes, eps, dim)
     links = nb.linked_cells(core, pairs, eps, dim)
-    ids = boxes.select("cell", F.col("first_id").alias("id"))
-    a = ids.select(F.col("cell").alias("home"), F.col("id").alias("a"))
-    b = ids.select(F.col("cell").alias("away"), F.col("id").alias("b"))
+    ids, many = boxes.select("cell", F.col("first_id").alias("id")), boxes.count()
+    a = unless_small(ids.select(F.col("cell").alias("home"), F.col("id").alias("a")), many)
+    b = unless_small(ids.select(F.col("cell").alias("away"), F.col("id").alias("b")), many)
     edges = links.join(a, "home").join(b, "away").select("a", "b")
     parts = nb.connected_components(ids.select("id"), edges)
-    named = ids.join(parts, "id").select("cell", "component")
-    return attach(points, named, ["cell"], "inner")
+    named = ids.join(unless_small(parts, many), "id").select("cell", "component")
+    return attach(points, unless_small(named, many), ["cell"], "inner")
 
 
 def single_link(points: DataFrame, k: int, dim: int) -> DataFrame:
@@ -428,7 +428,8 @@ def _merge_nearest(split: DataFrame, low: float, high: float, k: int, dim: int)
     # All points of a cell are within `low`, so a cell belongs to one part.
     boxes = settle(nb._box(split, ["cell"], dim).join(
         split.groupBy("cell").agg(F.min("component").alias("part")), "cell"))
-    part = boxes.select("cell", "part")
+    many = boxes.count()
+    part = unless_small(boxes.select("cell", "part"), many)
     pairs = (nb.neighbour_cells(boxes, low, dim, high)
              .join(part.withColumnRenamed("part", "la"), "cell")
              .join(part.select(F.col("cell").alias("other"), F.col("part").alias("lb")), "other")
@@ -442,8 +443,9 @@ def _merge_nearest(split: DataFrame, low: float, high: float, k: int, dim: int)
     labels = split.select("id", "features", F.col("component").alias("label"))
     parts = settle(labels.select(F.col("label").alias("id")).distinct())
     names = parts.withColumn("component", F.col("id"))
-    chosen = None
+    chosen, many = None, parts.count()
     while True:
+        names = unless_small(names, many)
         # each part takes its first link to another part; together a spanning forest
         ends = (links.join(names.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a")
                 .join(names.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
@@ -455,8 +457,8 @@ def _merge_nearest(split: DataFrame, low: float, high: float, k: int, dim: int)
             break
         chosen = picks if chosen is None else settle(chosen.unionByName(picks).distinct())
         names = nb.connected_components(parts, chosen)
-    merges = chosen.orderBy("rank").limit(parts.count() - k)
-    merged = nb.connected_components(parts, merges).withColumnRenamed("id", "label")
+    merges = chosen.orderBy("rank").limit(many - k)
+    merged = unless_small(nb.connected_components(parts, merges).withColumnRenamed("id", "label"), many)
     return attach(labels, merged, ["label"], "inner").drop("label").withColumnRenamed(
         "component", "label")
 

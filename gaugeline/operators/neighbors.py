@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeline.functions import vectors as vec
-from gaugeline.plans.groups import Sizes, attach
+from gaugeline.plans.groups import Sizes, attach, unless_small
 from gaugeline.plans.ordered import HOME, Running, ordered
 from gaugeline.session import settle
 
@@ -165,22 +168,25 @@ def _around(cell: list[Column], reach: int = 1) -> Column:
 def eps_neighbors(points: DataFrame, eps: float, dim: int) -> DataFrame:
     """All pairs (id, other, distance) within eps, each point with itself included.
 
-    Grid equi-join, then the exact distance; above GRID_DIMS dimensions a tree of balls.  The result has one row
-    per neighbour pair; operators that need only counts or components list no pairs.
+    Grid equi-join, then the exact distance; above GRID_DIMS dimensions a tree of balls.  Equal points are one place that is
+    measured once.  The result has one row per neighbour pair; operators that need only counts or components list no pairs.
     """
     if dim > GRID_DIMS:
         from gaugeline.operators import metric
 
         return metric.eps_neighbors(points, eps)
-    x = F.col("features")
     width = eps * (1 + MARGIN)
-    cell = [F.floor(x[i] / width) for i in range(dim)]
-    left = points.select("id", "features", F.array(*cell).alias("__cell"))
-    right = points.select(F.col("id").alias("other"), x.alias("__f"),
-                          F.explode(_around(cell)).alias("__cell2"))
+    places = settle(points.select("features").distinct())
+    cell = [F.floor(F.col("features")[i] / width) for i in range(dim)]
+    left = places.select("features", F.array(*cell).alias("__cell"))
+    right = places.select(F.col("features").alias("__f"), F.explode(_around(cell)).alias("__cell2"))
     gap = vec.distance(F.col("features"), F.col("__f"))
-    return (left.join(right, (F.col("__cell") == F.col("__cell2")) & (gap <= eps))
-            .select("id", "other", gap.alias("distance")))
+    near = settle(left.join(right.hint("merge"), (F.col("__cell") == F.col("__cell2")) & (gap <= eps)).select(
+        "features", "__f", gap.alias("distance")))
+    # Either side can be far larger than its files.
+    own = points.select("id", "features").hint("merge")
+    other = points.select(F.col("id").alias("other"), F.col("features").alias("__f")).hint("merge")
+    return near.join(own, "features").join(other, "__f").select("id", "other", "distance")
 
 
 def knn_distance_vectors(points: DataFrame, k: int, dim: int) -> DataFrame:
@@ -277,7 +283,7 @@ def neighbour_cells(boxes: DataFrame, eps: float, dim: int, within: float | None
     right = boxes.select(F.col("cell").alias("other"), F.col("lo").alias("lo2"),
                          F.col("hi").alias("hi2"), F.explode(_around(coarse)).alias("__c2"))
     near = _box_gap(F.col("lo"), F.col("hi"), F.col("lo2"), F.col("hi2")) <= within
-    return (left.join(right, (F.col("__c") == F.col("__c2")) & (F.col("cell") != F.col("other")) & near)
+    return (left.join(right.hint("merge"), (F.col("__c") == F.col("__c2")) & (F.col("cell") != F.col("other")) & near)
             .select("cell", "other"))
 
 
@@ -305,33 +311,36 @@ def _compared(points: DataFrame, pairs: DataFrame, eps: float, dim: int, within:
     def part(level: int) -> Column:
         return F.array(*[F.floor(F.col("features")[i] / s) for i, s in enumerate(_sides(width, dim, level))])
 
-    found, level = None, 0
+    def side(df: DataFrame) -> DataFrame:
+        return unless_small(df, many)
+
+    found, level, many = None, 0, points.count()
     while True:
         parted = points.withColumn("part", part(level))
         boxes = _box(parted, ["part"], dim).select("part", "n", "first_id", "lo", "hi")
         one, two = (boxes.select(*[F.col(c).alias(x + c) for c in boxes.columns]) for x in "ab")
         args = [F.col(c) for c in ("alo", "ahi", "blo", "bhi")]
-        judged = (open_pairs.join(one, F.col("a") == F.col("apart")).join(two, F.col("b") == F.col("bpart"))
+        judged = (open_pairs.join(side(one), F.col("a") == F.col("apart")).join(side(two), F.col("b") == F.col("bpart"))
                   .withColumns({"gap": _box_gap(*args), "span": _box_span(*args)}).filter(F.col("gap") <= within)
                   .select(*both, "a", "b", "gap", "span", "afirst_id", "bfirst_id",
                           F.least("an", "bn").alias("fewer"), (F.col("an") <= F.col("bn")).alias("a_fewer")))
         judged = settle(judged)
         if nearest:
             bound = judged.groupBy(*both).agg(F.min("span").alias("bound"))
-            judged = judged.join(bound, both).filter("gap <= bound")
+            judged = judged.join(side(bound), both).filter("gap <= bound")
             sure = judged.filter("gap = span")
             undecided = judged.filter("gap < span")
         else:
             sure = judged.filter(F.col("span") <= within)
-            undecided = judged.filter(F.col("span") > within).join(sure.select(*both).distinct(), both, "left_anti")
+            undecided = judged.filter(F.col("span") > within).join(side(sure.select(*both).distinct()), both, "left_anti")
         ids = [F.least("afirst_id", "bfirst_id"), F.greatest("afirst_id", "bfirst_id")]
         closest = sure.select(*both, F.struct(F.col("span").alias("distance"), ids[0].alias("id"), ids[1].alias("other")).alias("p"))
         small = undecided.filter(F.col("fewer") <= FEW).select(
             *both, F.when(F.col("a_fewer"), F.col("a")).otherwise(F.col("b")).alias("part"),
             F.when(F.col("a_fewer"), F.col("b")).otherwise(F.col("a")).alias("full"))
-        probes = small.join(parted.select("part", F.col("features").alias("probe"), F.col("id").alias("__id")), "part").select(
+        probes = small.join(side(parted.select("part", F.col("features").alias("probe"), F.col("id").alias("__id"))), "part").select(
             *both, F.col("full").alias("part"), "probe", "__id")
-        met = attach(parted.select("part", "features", "id"), probes, ["part"])
+        met = attach(parted.select("part", "features", "id"), side(probes), ["part"])
         gap = vec.distance(F.col("probe"), F.col("features"))
         met = met.filter(gap <= within).select(*both, F.struct(
             gap.alias("distance"), F.least("id", "__id").alias("id"), F.greatest("id", "__id").alias("other")).alias("p"))
@@ -342,11 +351,11 @@ def _compared(points: DataFrame, pairs: DataFrame, eps: float, dim: int, within:
             return settle(found.groupBy(*both).agg(F.min("p").alias("p")).select(*both, "p.*"))
         halves = parted.select("part", part(level + 1).alias("half")).distinct()
         open_pairs = settle(
-            full.join(halves.select(F.col("part").alias("a"), F.col("half").alias("a2")), "a")
-            .join(halves.select(F.col("part").alias("b"), F.col("half").alias("b2")), "b")
+            full.join(side(halves.select(F.col("part").alias("a"), F.col("half").alias("a2"))), "a")
+            .join(side(halves.select(F.col("part").alias("b"), F.col("half").alias("b2"))), "b")
             .select(*both, F.col("a2").alias("a"), F.col("b2").alias("b")))
         live = open_pairs.select(F.explode(F.array(*both)).alias("cell")).distinct()
-        points = settle(attach(points, live, ["cell"], "left_semi"))
+        points = settle(attach(points, side(live), ["cell"], "left_semi"))
         level += 1
 
 
@@ -363,6 +372,57 @@ def closest_between(points: DataFrame, pairs: DataFrame, eps: float, dim: int, w
     return _compared(points, pairs, eps, dim, within, True)
 
 
+def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least of the numbers 0 to n - 1 that each one reaches over the links (a, b)."""
+    root = np.arange(n)
+    while True:
+        ra, rb = root[a], root[b]
+        apart = ra != rb
+        if not apart.any():
+            return root
+        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def star_links(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fewer links that connect what the links (a, b) connect: each end to one end of its component."""
+    ends, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root = _roots(at[:len(a)], at[len(a):], len(ends))
+    moved = np.flatnonzero(root != np.arange(len(ends)))
+    return ends[moved], ends[root[moved]]
+
+
+def _fewer_links(edges: DataFrame, at_once: int = 1 << 20) -> DataFrame:
+    """Links that connect what the edges (a, b) connect: every task hands on a forest of some `at_once` edges at a time."""
+
+    def stars(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(held)
+        size = whole.num_rows
+        codes = pa.chunked_array([*whole["a"].chunks, *whole["b"].chunks]).combine_chunks().dictionary_encode()
+        at = codes.indices.to_numpy()
+        root = _roots(at[:size], at[size:], len(codes.dictionary))
+        moved = np.flatnonzero(root != np.arange(len(root)))
+        return pa.RecordBatch.from_arrays([codes.dictionary.take(pa.array(moved)), codes.dictionary.take(pa.array(root[moved]))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= at_once:
+                held = [stars(held)]
+                size = held[0].num_rows
+                if size > at_once // 2:
+                    yield held[0]
+                    held, size = [], 0
+        if size:
+            yield stars(held)
+
+    return edges.mapInArrow(run, edges.schema)
+
+
 def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """Component of each vertex: the lowest id in it.
 
@@ -370,21 +430,24 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     label, the labels offered across its edges, those offered to its root, and its
     root's root; so paths halve and rounds grow with the logarithm of the graph.
     All joins are between stored tables, so adaptive execution can split a root
-    that holds most vertices.
+    that holds most vertices.  The edges are read once and may be far more than the
+    vertices: tasks hand on forests of them, which connect the same.
     """
-    links = settle(edges.select("a", "b").unionByName(
-        edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
+    fewer = _fewer_links(edges.select("a", "b").filter("a <> b"))
+    links = settle(fewer.select(F.inline(F.array(
+        F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))).distinct())
     labels = settle(vertices.select("id", F.col("id").alias("component")))
+    many = labels.count()
     while True:
-        mine = labels.select(F.col("id").alias("a"), F.col("component").alias("ra"))
-        theirs = labels.select(F.col("id").alias("b"), F.col("component").alias("rb"))
+        mine = unless_small(labels.select(F.col("id").alias("a"), F.col("component").alias("ra")), many)
+        theirs = unless_small(labels.select(F.col("id").alias("b"), F.col("component").alias("rb")), many)
         across = links.join(mine, "a").join(theirs, "b").filter("rb < ra")
         best = across.select(F.explode(F.array("a", "ra")).alias("id"), "rb").groupBy("id").agg(
             F.min("rb").alias("offer"))
         to_root = best.select(F.col("id").alias("component"), F.col("offer").alias("root_offer"))
         above = labels.select(F.col("id").alias("component"), F.col("component").alias("above"))
-        step = (labels.join(best, "id", "left").join(to_root, "component", "left")
-                .join(above, "component", "left"))
+        step = (labels.join(unless_small(best, many), "id", "left").join(unless_small(to_root, many), "component", "left")
+                .join(unless_small(above, many), "component", "left"))
         lowest = F.least("component", "offer", "root_offer", "above")
         labels = settle(step.select("id", lowest.alias("component"),
                                     (lowest < F.col("component")).alias("moved")))

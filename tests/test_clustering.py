@@ -262,3 +262,23 @@ def test_job(spark):
     assert (score.n_clusters, score.n_points) == (2, 30) and score.silhouette_squared > 0.8
     with pytest.raises(ValueError):
         cl.cluster_job(points(spark, xs), "unknown", 2)
+
+
+def test_components_take_few_of_many_edges(spark):
+    n = 60
+    edges = spark.createDataFrame([(i, j) for i in range(n) for j in range(n) if (i < 50) == (j < 50)], "a bigint, b bigint").coalesce(2)
+    assert nb._fewer_links(edges.filter("a <> b")).count() <= 2 * n
+    assert nb._fewer_links(edges.filter("a <> b"), at_once=16).distinct().count() < 50 * 49
+    got = {r.id: r.component for r in nb.connected_components(spark.range(n + 1), edges).collect()}
+    assert got == {i: 0 if i < 50 else 50 for i in range(n)} | {n: n}
+    names = spark.createDataFrame([("b", "a"), ("c", "b"), ("y", "x"), (None, "a")], "a string, b string")
+    got = {r.id: r.component for r in nb.connected_components(spark.createDataFrame([(c,) for c in "abcxyz"], "id string"), names).collect()}
+    assert got == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x", "z": "z"}
+
+
+def test_plane_neighbours_broadcast_nothing_and_measure_copies_once(spark):
+    xs = [[0.0, 0.0]] * 4 + [[0.5, 0.0]] * 3 + [[9.0, 9.0]]
+    near = nb.eps_neighbors(points(spark, xs), 1.0, 2)
+    assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.id, r.other, r.distance) for r in near.collect())
+    assert got == sorted((i, j, math.dist(a, b)) for i, a in enumerate(xs) for j, b in enumerate(xs) if math.dist(a, b) <= 1.0)
