@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,3 +116,33 @@ def test_jobs_in_any_dimension(spark):
     for algorithm in ("dbscan", "hierarchical"):
         job = cl.cluster_job(points(spark, xs), algorithm, 8, k=2, eps=3.0, min_points=4)
         assert job.points.count() == len(xs) and job.evaluation.first().n_clusters >= 1
+
+
+def test_a_leaf_is_sent_once_per_block_and_every_pair_is_met_once(spark, leaf, monkeypatch):
+    monkeypatch.setattr(metric, "BLOCKS", 3)
+    rng = random.Random(9)
+    tree = metric.pivot_tree(points(spark, [[rng.gauss(0, 1) for _ in range(6)] for _ in range(300)]))
+    leaves = metric.close_nodes(tree, 100.0, whole=False)[1]
+    n = tree.nodes.filter("leaf").count()
+    assert leaves.count() == n * (n + 1) // 2
+
+    def work(met):
+        sides, cells = set(), 0
+        for a, b, same in met:
+            sides |= {p[0] for p in a["parts"]} | {p[0] for p in b["parts"]}
+            cells += len(a["id"]) * (len(a["id"]) + 1) // 2 if same else len(a["id"]) * len(b["id"])
+        yield {"sides": np.array([len(sides)]), "cells": np.array([cells])}
+
+    rows = metric._measured(leaves, tree.places, [], "sides bigint, cells bigint", work).collect()
+    assert 1 < len(rows) <= 10 and sum(r.cells for r in rows) == 300 * 301 // 2
+    assert sum(r.sides for r in rows) <= 5 * n
+
+
+def test_bounds_hold_the_distances_of_far_and_equal_vectors():
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(40, 7)), 1e8 + rng.normal(size=(40, 7)) * 1e-3])
+    exact = ((x[:, None] - x[None]) ** 2).sum(-1)
+    low, high = metric._bounds(x, x)
+    assert (low <= exact).all() and (exact <= high).all()
+    for eps in (0.0, 1e-3, 3.0):
+        assert (metric._near(x, x, eps) == (np.sqrt(exact) <= eps)).all()
