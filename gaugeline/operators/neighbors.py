@@ -424,7 +424,7 @@ def _fewer_links(edges: DataFrame, at_once: int = 1 << 20) -> DataFrame:
 
 
 def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """Component of each vertex: the lowest id in it.
+    """Component of each vertex: the lowest id in it.  A vertex given more than once comes out once.
 
     vertices: id; edges: a, b.  In every round a vertex takes the lowest of its own
     label, the labels offered across its edges, those offered to its root, and its
@@ -436,7 +436,7 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     fewer = _fewer_links(edges.select("a", "b").filter("a <> b"))
     links = settle(fewer.select(F.inline(F.array(
         F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))).distinct())
-    labels = settle(vertices.select("id", F.col("id").alias("component")))
+    labels = settle(vertices.select("id").distinct().select("id", F.col("id").alias("component")))
     many = labels.count()
     while True:
         mine = unless_small(labels.select(F.col("id").alias("a"), F.col("component").alias("ra")), many)
