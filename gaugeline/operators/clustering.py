@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Summarizer
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -144,12 +144,69 @@ def _shares(rows: DataFrame, mixture: Mixture) -> DataFrame:
         F.transform("__parts", lambda c: F.exp(c["log"] - F.col("__best.log"))))))
 
 
+def _vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of a column of lists, and which rows have one."""
+    known = column.is_valid().to_numpy(zero_copy_only=False)
+    flat = column.drop_null().flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(known.sum(), -1) if known.any() else flat.reshape(0, 1), known
+
+
+def _merged(a: tuple, b: tuple) -> tuple:
+    """Weight, mean and squares about the mean of two sets of points together."""
+    n = a[0] + b[0]
+    gap = b[1] - a[1]
+    return n, a[1] + gap * (b[0] / n), a[2] + b[2] + gap * gap * (a[0] * b[0] / n)
+
+
+def _moments(points: DataFrame, mixture: Mixture) -> DataFrame:
+    """Per component its weight n among the points, mean, squares about the mean, and a part of the log likelihood."""
+    parts = [(i, w, np.array(m), np.array(v)) for i, (w, m, v) in enumerate(zip(mixture.weights, mixture.means, mixture.variances)) if w > 0]
+    schema = "label int, n double, log double, mean array<double>, squares array<double>"
+
+    def rows(found: dict, log: float) -> pa.RecordBatch:
+        labels = list(found)
+        return pa.RecordBatch.from_arrays([
+            pa.array(labels, pa.int32()), pa.array([found[i][0] for i in labels], pa.float64()),
+            pa.array([log if i == labels[0] else 0.0 for i in labels], pa.float64()),
+            *[pa.array([found[i][k].tolist() for i in labels], pa.list_(pa.float64())) for k in (1, 2)]],
+            ["label", "n", "log", "mean", "squares"])
+
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, total = {}, 0.0
+        for batch in batches:
+            x, _ = _vectors(batch.column("features"))
+            if not len(x):
+                continue
+            logs = np.stack([math.log(w) - 0.5 * np.log(2 * math.pi * v).sum() - ((x - m) ** 2) @ (0.5 / v) for _, w, m, v in parts], 1)
+            most = logs.max(1)
+            log = most + np.log(np.exp(logs - most[:, None]).sum(1))
+            total += float(log.sum())
+            for k, (label, *_) in enumerate(parts):
+                share = np.exp(logs[:, k] - log)
+                n = float(share.sum())
+                if n > 0:
+                    mean = share @ x / n
+                    own = n, mean, share @ (x - mean) ** 2
+                    found[label] = _merged(found[label], own) if label in found else own
+        if found:
+            yield rows(found, total)
+
+    def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = sorted((r for batch in batches for r in batch.to_pylist()), key=lambda r: (r["n"], r["log"], r["mean"]))
+        whole = held[0]["n"], np.array(held[0]["mean"]), np.array(held[0]["squares"])
+        for r in held[1:]:
+            whole = _merged(whole, (r["n"], np.array(r["mean"]), np.array(r["squares"])))
+        yield rows({held[0]["label"]: whole}, math.fsum(r["log"] for r in held))
+
+    return points.select("features").mapInArrow(shares, schema).groupBy("label").applyInArrow(merge, schema)
+
+
 def gmm_model(points: DataFrame, k: int, dim: int, rounds: int = 100, tolerance: float = 1e-6, floor: float = 1e-6,
               seed: int = 42, draw: Callable[[int], Column] | None = None) -> Mixture:
     """A mixture of k Gaussians by expectation maximisation.
 
     Starts: D² seeds as means, the variances of all points, equal weights.  A round is one job: each point is shared
-    among the components, and weighted means and variances are built with map-side combine; one row per component
+    among the components, and every task adds up weighted means and squares about them; one row per component
     comes back.  Points are moved to the mean of all before.  A variance is at
     least `floor` times that of all points, and a component without points keeps its place with weight 0.  Ends when
     the mean log likelihood gains less than `tolerance`, or after `rounds`.  Fewer distinct points than k give as many
@@ -166,20 +223,13 @@ def gmm_model(points: DataFrame, k: int, dim: int, rounds: int = 100, tolerance:
     least = [floor * v if v > 0 else floor for v in whole["var"]]
     starts = d2_seeds(moved, k, seed, draw)
     now = Mixture([1 / len(starts)] * len(starts), starts, [[max(v, low) for v, low in zip(whole["var"], least)] for _ in starts], [])
-    # Mean and variance of a component in one aggregate, about its mean; the variance comes with a divisor of n - sum(share²) / n.
-    moments = Summarizer.metrics("mean", "variance").summary(array_to_vector(x), F.col("share")).alias("moments")
-    own = F.when(F.col("label") == -F.col("__best.order"), F.col("__log"))
     for _ in range(rounds):
-        shared = _shares(moved, now).withColumn("part", F.explode("__parts")).select(
-            "__log", "__best", F.col("part.label").alias("label"), "features",
-            F.exp(F.col("part.log") - F.col("__log")).alias("share")).filter("share > 0")
-        found = shared.groupBy("label").agg(F.sum("share").alias("n"), F.sum(F.col("share") * F.col("share")).alias("n2"),
-                                            F.sum(own).alias("log"), moments).collect()
+        found = _moments(moved, now).collect()  # one row per component
         weights, means, variances = [0.0] * len(starts), list(now.means), list(now.variances)
         for r in found:
             label, n = r["label"], r["n"]
-            weights[label], means[label] = n / whole["n"], r["moments"]["mean"].tolist()
-            variances[label] = [max(v * (n - r["n2"] / n) / n, low) for v, low in zip(r["moments"]["variance"].tolist(), least)]
+            weights[label], means[label] = n / whole["n"], list(r["mean"])
+            variances[label] = [max(v / n, low) for v, low in zip(r["squares"], least)]
         log = sum(r["log"] or 0.0 for r in found) / whole["n"]
         done = bool(now.likelihood) and log - now.likelihood[-1] < tolerance
         now = Mixture(weights, means, variances, [*now.likelihood, log])
@@ -241,6 +291,45 @@ def lloyd(points: DataFrame, keys: list[str], k: int, rounds: int, dim: int,
     return centroids.select(*keys, F.inline("__all"))
 
 
+def _nearest_labels(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """The nearest centroid of each row, the lowest of equal distances."""
+    low, high = metric._bounds(x, centroids)
+    label = low.argmin(1)
+    i, j = np.nonzero(low <= high.min(1)[:, None])
+    several = (np.bincount(i, minlength=len(x)) > 1)[i]
+    i, j = i[several], j[several]
+    order = np.lexsort((j, metric._exact(x, centroids, i, j), i))
+    first = order[np.unique(i[order], return_index=True)[1]]
+    label[i[first]] = j[first]
+    return label
+
+
+def _label_sums(rows: DataFrame, fits: dict[int, list[list[float]]]) -> DataFrame:
+    """Per task, fit and label: number n and sum s of the vectors nearest to the centroid, of those that the fit sees."""
+    centroids = {fit: np.array(cs, float) for fit, cs in fits.items()}
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = {fit: np.zeros(len(cs), np.int64) for fit, cs in centroids.items()}
+        s = {fit: np.zeros(cs.shape) for fit, cs in centroids.items()}
+        for batch in batches:
+            x, known = _vectors(batch.column("features"))
+            for fit, cs in centroids.items():
+                seen = x[batch.column(f"in{fit}").fill_null(False).to_numpy(zero_copy_only=False)[known]]
+                if len(seen):
+                    label = _nearest_labels(seen, cs)
+                    n[fit] += np.bincount(label, minlength=len(cs))
+                    for k in range(len(cs)):
+                        s[fit][k] += seen[label == k].sum(0)
+        found = [(fit, k) for fit in n for k in np.flatnonzero(n[fit]).tolist()]
+        if found:
+            yield pa.RecordBatch.from_arrays([
+                pa.array([fit for fit, _ in found], pa.int32()), pa.array([k for _, k in found], pa.int32()),
+                pa.array([int(n[fit][k]) for fit, k in found], pa.int64()),
+                pa.array([s[fit][k].tolist() for fit, k in found], pa.list_(pa.float64()))], ["fit", "label", "n", "s"])
+
+    return rows.mapInArrow(add, "fit int, label int, n bigint, s array<double>")
+
+
 def lloyd_fits(points: DataFrame, starts: dict[int, list[list[float]]], rounds: int,
                drawn: Callable[[int], Column] | None = None) -> dict[int, list[list[float]]]:
     """k-means of several fits at once: one scan per round for all that have not settled.
@@ -251,18 +340,12 @@ def lloyd_fits(points: DataFrame, starts: dict[int, list[list[float]]], rounds:
     current, open_fits, x = {fit: [list(c) for c in cs] for fit, cs in starts.items()}, set(starts), F.col("features")
     dim = len(next(iter(starts.values()))[0])
     rows = settle(points.select("features", *[(drawn(fit) if drawn else F.lit(True)).alias(f"in{fit}") for fit in starts]))
-    kind = "array<struct<fit:int,cs:array<struct<label:int,centroid:array<double>>>>>"
     for _ in range(rounds):
-        text = json.dumps([{"fit": fit, "cs": [{"label": i, "centroid": c} for i, c in enumerate(current[fit])]}
-                           for fit in sorted(open_fits)])
-        seen = F.array_compact(F.array(*[F.when(F.col(f"in{fit}"), F.lit(fit)) for fit in sorted(open_fits)]))
-        placed = rows.select("features", seen.alias("seen"), F.explode(F.from_json(F.lit(text), kind)).alias("f")).filter(
-            F.array_contains("seen", F.col("f.fit")))
-        sums = placed.select("features", "f.fit", nb.nearest_of(x, F.col("f.cs"))["label"].alias("label")).groupBy(
-            "fit", "label").agg(vec.mean_of(x, dim).alias("mean"))
         after = {fit: list(current[fit]) for fit in open_fits}
+        sums = _label_sums(rows, {fit: current[fit] for fit in sorted(open_fits)}).groupBy("fit", "label").agg(
+            F.sum("n").alias("n"), vec.sum_of(F.col("s"), dim).alias("s"))
         for r in sums.collect():  # one row per cluster
-            after[r["fit"]][r["label"]] = list(r["mean"])
+            after[r["fit"]][r["label"]] = [v / r["n"] for v in r["s"]]
         open_fits = {fit for fit, cs in after.items() if cs != current[fit]}
         current.update(after)
         if not open_fits:

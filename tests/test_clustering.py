@@ -282,3 +282,27 @@ def test_plane_neighbours_broadcast_nothing_and_measure_copies_once(spark):
     assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
     got = sorted((r.id, r.other, r.distance) for r in near.collect())
     assert got == sorted((i, j, math.dist(a, b)) for i, a in enumerate(xs) for j, b in enumerate(xs) if math.dist(a, b) <= 1.0)
+
+
+def test_repeated_vertices_come_out_once(spark):
+    twice = spark.range(6).unionByName(spark.range(6)).unionByName(spark.range(6))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(4)] * 3, "a bigint, b bigint")
+    got = sorted((r.id, r.component) for r in nb.connected_components(twice, edges).collect())
+    assert got == [(0, 0), (1, 0), (2, 0), (3, 0), (4, 0), (5, 5)]
+
+
+def test_sums_of_lloyd_rounds(spark):
+    rng = random.Random(11)
+    xs = [[rng.gauss(0, 1) for _ in range(3)] for _ in range(60)] + [[1.0, 0.0, 0.0]]
+    fits = {2: [[0.0, 0.0, 0.0], [2.0, 0.0, 0.0]], 3: xs[:3]}
+    rows = points(spark, xs).select("features", F.lit(True).alias("in2"), F.when(F.col("id") % 2 == 0, True).alias("in3"))
+    rows = rows.unionByName(rows.limit(1).withColumn("features", F.lit(None).cast("array<double>")))
+    got = {}
+    for r in cl._label_sums(rows, fits).collect():
+        n, s = got.get((r.fit, r.label), (0, [0.0] * 3))
+        got[r.fit, r.label] = n + r.n, [a + b for a, b in zip(s, r.s)]
+    for fit, centroids in fits.items():
+        seen = xs if fit == 2 else xs[::2]
+        for k in range(len(centroids)):
+            own = [x for x in seen if min(range(len(centroids)), key=lambda c: (math.dist(x, centroids[c]), c)) == k]
+            assert got[fit, k][0] == len(own) and got[fit, k][1] == pytest.approx([sum(v) for v in zip(*own)])

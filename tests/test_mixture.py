@@ -78,3 +78,18 @@ def test_odd_inputs(spark):
     assert far[0].label == far[1].label != far[2].label == far[3].label and all(r.probability > 0.999 for r in far)
     empty = table(spark, [[0.0]]).withColumn("label", F.lit("old"))
     assert cl.gmm_fit(empty, 1, 1).first().label == 0
+
+
+def test_moments_of_one_round(spark):
+    rng = np.random.default_rng(2)
+    xs = rng.normal(size=(80, 3)) + 1e4
+    model = cl.Mixture([0.3, 0.0, 0.7], [[1e4] * 3, [0.0] * 3, [1e4 + 1] * 3], [[1.0] * 3, [1.0] * 3, [2.0] * 3], [])
+    found = {r.label: r for r in cl._moments(table(spark, xs.tolist()).repartition(3), model).collect()}
+    own = np.stack([np.log(w) - 0.5 * (np.log(2 * np.pi * np.array(v)).sum() + ((xs - m) ** 2 / v).sum(1))
+                    for w, m, v in zip(*model[:3]) if w], 1)
+    log = np.log(np.exp(own - own.max(1)[:, None]).sum(1)) + own.max(1)
+    assert set(found) == {0, 2} and sum(r.log for r in found.values()) == pytest.approx(log.sum())
+    for label, share in zip((0, 2), np.exp(own - log[:, None]).T):
+        mean = share @ xs / share.sum()
+        assert found[label].n == pytest.approx(share.sum()) and list(found[label].mean) == pytest.approx(mean.tolist())
+        assert list(found[label].squares) == pytest.approx((share @ (xs - mean) ** 2).tolist())
