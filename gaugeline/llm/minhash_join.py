@@ -24,9 +24,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeline.llm.common import Shelf, if_small, slices, small_batches, table
-from gaugeline.llm.ngram_join import PARITY_LONGS, distinct, parities, shingle_sets, shingles_of
+from gaugeline.llm.ngram_join import PARITY_LONGS, distinct, merged, parities, shingle_sets, shingles_of
 from gaugeline.llm.subword import mixed
-from gaugeline.operators.neighbors import connected_components
 
 GRAM = 3
 PERCENT = 85
@@ -207,7 +206,7 @@ class _Merge:
 
     def __init__(self, shelf: Shelf, rows: DataFrame, traits: DataFrame, sets_of: Callable[[DataFrame], DataFrame]):
         self.shelf, self.rows, self.traits, self.sets_of = shelf, rows, traits, sets_of
-        self.links, self.component, self.step = None, None, 0
+        self.component, self.step = None, 0
 
     def placed(self) -> DataFrame:
         """Rows with their component."""
@@ -233,10 +232,8 @@ class _Merge:
         self.shelf.drop(*[f"{name}{self.step}" for name in ("met", "ends", "traits", "near", "sets")])
         if more.isEmpty():
             return False
-        self.links = more if self.links is None else self.links.unionByName(more)
-        ends = self.links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        self.component = self.shelf.put(connected_components(ends, self.links).select(
-            F.col("id").alias("doc_id"), "component"), f"component{self.step}")
+        self.component = self.shelf.put(merged(self.component, more), f"component{self.step}")
+        self.shelf.drop(f"component{self.step - 1}", f"links{self.step}")
         return True
 
     def run(self) -> DataFrame | None:

@@ -108,3 +108,38 @@ def test_packed_counts_come_back():
     tokens, counts = np.array([0, 5, 4_000_000_000], np.uint32), np.array([1, 70_000, 3])
     a, b = j._unpack(j._pack(tokens, counts))
     assert a.tolist() == tokens.tolist() and b.tolist() == counts.tolist()
+
+
+def test_rounds_follow_new_links_and_end_when_they_spare_little(docs_of, monkeypatch):
+    """Around one passage, pairs of near copies that meet only beside a text that links with neither: a round joins
+    those of which it draws one as leader, and hardly spares a pair of the whole."""
+    r = random.Random(8)
+    passage, start, rows = prose(r, 50), prose(r, 15), []
+    for k in range(0, 240, 3):
+        own = prose(r, 9)
+        rows += [(k, f"{start} {passage} {own}"), (k + 1, f"{passage} {own} {prose(r, 2)}"), (k + 2, f"{passage} {own} {prose(r, 2)}")]
+    rounds, followed, verified, whole = [], [], j._Join.verified, j.connected_components
+    monkeypatch.setattr(j._Join, "verified", lambda self, pairs: rounds.append(1) or verified(self, pairs))
+    monkeypatch.setattr(j, "connected_components", lambda ids, edges: followed.append(edges.count()) or whole(ids, edges))
+    out = got(j.components(docs_of(rows)))
+    assert out == expected(rows) and len({c for _, _, c in out}) == 160
+    assert len(followed) > 1 and sum(followed) == 80  # each link once
+    assert len(rounds) <= 3
+
+
+def test_merged_equals_all_links_at_once(spark):
+    r = random.Random(9)
+    component, low = None, {}
+
+    def root(k):
+        while low.setdefault(k, k) != k:
+            k = low[k]
+        return k
+
+    for _ in range(4):
+        links = [tuple(r.sample(range(60), 2)) for _ in range(12)]
+        for a, b in links:
+            p, q = sorted((root(a), root(b)))
+            low[q] = p
+        component = j.merged(component, spark.createDataFrame(links, "a long, b long")).localCheckpoint()
+        assert got(component) == sorted(((k, root(k)) for k in low), key=str)
