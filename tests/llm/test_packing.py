@@ -79,6 +79,18 @@ def test_long_documents_have_the_least_padding(docs_of, monkeypatch):
     assert {x["bucket"] for x in rows} <= set(lengths.tolist()) and min(x["padding"] for x in rows) == 0
 
 
+def test_more_lengths_than_are_weighed_at_once_have_the_least_padding(docs_of, monkeypatch):
+    r = np.random.default_rng(7)
+    lengths = np.sort(r.choice(np.arange(4_097, 4_200), 14, replace=False))
+    counts = r.integers(1, 4, len(lengths))
+    docs = docs_of([(i, "w " * int(x)) for i, x in enumerate(np.repeat(lengths, counts))])
+    monkeypatch.setattr("gaugeline.llm.packing.MOST_LENGTHS", 4)
+    for buckets in (2, 4):
+        best = min(padding(lengths, counts, [*c, lengths[-1]]) for k in range(buckets)
+                   for c in itertools.combinations(lengths[:-1].tolist(), k))
+        assert sum(x["padding"] for x in pack(docs, buckets=buckets).collect()) == best
+
+
 def test_bounds_of_many_lengths():
     r = np.random.default_rng(6)
     lengths, counts = np.sort(r.choice(10**6, 300, replace=False) + 1), r.integers(1, 99, 300)
