@@ -2,20 +2,28 @@
 
 A mask such as 1110111 is laid over the words at every position of a text; the words under
 its ones are hashed and the word under a zero may be anything.  Seeds of documents meet seeds
-of benchmark items in a join.  Document and item, laid over each other as a hit has them, are compared word by word along
-the whole item, and the stretches with at least 80 % equal words are found.  Everything is DataFrame functions.
+of benchmark items in a join, without the words; the few texts with hits are read again.  Document and item, laid over each
+other as hits have them, are compared word by word along the whole item, once for all hits that lay them alike, and the
+stretches with at least 80 % equal words are found.  Everything is DataFrame functions.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import Shelf, if_small, table, unused
+from gaugeline.llm.common import BROADCAST_ROWS, Shelf, if_small, table, unused
 
 MASKS = ("1110111", "11011011", "1011001101")
 MIN_MATCH = 12
 ITEM_SHARE = 0.8
+#: Words of all items that may be broadcast: some 16 MB.
+BROADCAST_WORDS = 2_000_000
+#: A sieve has at most so many blocks of 512 bits, 16 bits a key up to 8 million keys: some 26 MB.
+MOST_BLOCKS = 1 << 18
+SIEVE_WORDS, SIEVE_BITS = 8, 3
 
 
 def word_hashes(text: Column) -> Column:
@@ -27,12 +35,30 @@ def word_hashes(text: Column) -> Column:
 def seeds(rows: DataFrame, masks: tuple[str, ...], *carried: str) -> DataFrame:
     """A row (seed, at) for every mask and position of the array `words`."""
     shortest = min(map(len, masks))
-    placed = rows.filter(F.size("words") >= shortest).select(
-        *carried, "words", F.explode(F.sequence(F.lit(0), F.size("words") - shortest)).alias("at"))
+    starts = F.when(F.size("words") >= shortest, F.sequence(F.lit(0), F.size("words") - shortest))
+    placed = rows.select(*carried, "words", F.explode(starts).alias("at"))
     under = [F.when(F.col("at") + len(mask) <= F.size("words"),
                     F.xxhash64(F.lit(m), *[F.get("words", F.col("at") + k) for k, bit in enumerate(mask) if bit == "1"]))
              for m, mask in enumerate(masks)]
-    return placed.select(*carried, "at", "words", F.explode(F.array(*under)).alias("seed")).filter("seed is not null")
+    return placed.select(*carried, "at", F.explode(F.array(*under)).alias("seed")).filter("seed is not null")
+
+
+def sifted(rows: DataFrame, key: str, held: DataFrame, many: int) -> DataFrame:
+    """The rows whose `key` is among those of `held`, some `many`, and a few others: a broadcast Bloom filter, each key in one block."""
+    blocks = max(1, min(MOST_BLOCKS, many // 32))
+    names = [unused(c, rows) for c in ("__block", "__bits")]
+    block = F.pmod(F.xxhash64(key, F.lit(1)), F.lit(blocks)).alias(names[0])
+    places = [F.shiftright(F.xxhash64(key, F.lit(2)), 9 * k).bitwiseAND(511).cast("int") for k in range(SIEVE_BITS)]
+    word, bit = ([f(p) for p in places] for f in (lambda p: F.shiftright(p, 6), lambda p: p.bitwiseAND(63)))
+
+    def set_in(w: int) -> Column:
+        ones = [F.when(x == w, F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(0) for x, b in zip(word, bit)]
+        return F.bit_or(reduce(lambda x, y: x.bitwiseOR(y), ones))
+
+    sieve = held.groupBy(block).agg(F.array(*[set_in(w) for w in range(SIEVE_WORDS)]).alias(names[1]))
+    passed = [F.bit_get(F.get(names[1], x), b) == 1 for x, b in zip(word, bit)]
+    met = rows.withColumn(names[0], block).join(F.broadcast(sieve), names[0])
+    return met.filter(reduce(lambda x, y: x & y, passed)).drop(*names)
 
 
 def _stretches(equal: Column, needed: Column) -> Column:
@@ -67,26 +93,47 @@ def overlaps(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS,
     Null or empty texts, null ids and empty tables give no rows.  Repeated items count once
     each id; other columns are not read.
 
-    The item side is broadcast only when counted and small.  Beyond that the seeds meet by a
-    shuffle, which adaptive execution splits at frequent seeds.
+    The item side is broadcast only when counted and small.  Beyond that the seeds of documents go through a sieve, and
+    what is left meets by a shuffle, which adaptive execution splits at frequent seeds.
     """
-    left = docs.select(F.col(id_col).alias("doc_id"), word_hashes(F.col(text_col)).alias("words")).filter("doc_id is not null")
-    right = items.select("item_id", word_hashes(F.col("text")).alias("item")).filter("item_id is not null").distinct()
-    their = (seeds(right.withColumnRenamed("item", "words"), masks, "item_id")
-             .select("seed", "item_id", F.col("at").alias("item_at")).distinct())
-    hits = seeds(left, masks, "doc_id").join(if_small(their), "seed").join(if_small(right), "item_id")
-    before = F.least(F.col("at"), F.col("item_at"))
-    after = F.least(F.size("words") - F.col("at"), F.size("item") - F.col("item_at"))
-    laid = hits.select(
-        "doc_id", "item_id", (F.col("at") - before).alias("low"), F.size("item").alias("item_words"),
-        F.filter(F.sequence(F.lit(0), before + after - 1),
-                 lambda k: F.get("words", F.col("at") - before + k) == F.get("item", F.col("item_at") - before + k)).alias("equal"))
+    shelf = Shelf(docs.sparkSession)
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
+    right = shelf.put(items.select("item_id", word_hashes(F.col("text")).alias("item")).filter("item_id is not null").distinct(), "items")
+    their = shelf.put(seeds(right.withColumnRenamed("item", "words"), masks, "item_id")
+                      .select("seed", "item_id", F.col("at").alias("item_at")).distinct(), "seeds")
+
+    def worded(rows: DataFrame) -> DataFrame:
+        """`own` tells the different texts of one id apart."""
+        return rows.select("doc_id", word_hashes(F.col("text")).alias("words")).withColumn("own", F.xxhash64("words"))
+
+    ours, many = seeds(worded(texts), masks, "doc_id", "own"), their.count()
+    if many > BROADCAST_ROWS:
+        ours = sifted(ours, "seed", their.select("seed"), many)
+    # Rows repeated under one id have the same hits, which each of them counts below.
+    hits = ours.join(if_small(their), "seed").select(
+        "doc_id", "own", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), "at", "seed").distinct()
+    found = shelf.put(hits.groupBy("doc_id", "own", "item_id", "shift").agg(F.count("*").alias("n")), "found")
+
+    ids = shelf.put(found.select("doc_id").distinct(), "ids")
+    many = ids.count()
+    if many > BROADCAST_ROWS:
+        texts = sifted(texts, "doc_id", ids, many)
+    held = worded(texts.join(if_small(ids), "doc_id", "left_semi"))
+    few_words = (right.agg(F.sum(F.size("item"))).first()[0] or 0) <= BROADCAST_WORDS
+    # Items too wide for a broadcast meet the hits first, so that no texts are shuffled for them.
+    laid = (held.join(if_small(found), ["doc_id", "own"]).join(if_small(right), "item_id") if few_words
+            else held.join(found.join(right, "item_id"), ["doc_id", "own"]))
+    low, item_low = F.greatest("shift", F.lit(0)), F.greatest(-F.col("shift"), F.lit(0))
+    both = F.least(F.size("words") - low, F.size("item") - item_low)
+    laid = laid.select(
+        "doc_id", "item_id", low.alias("low"), F.size("item").alias("item_words"), "n",
+        F.filter(F.sequence(F.lit(0), both - 1), lambda k: F.get("words", low + k) == F.get("item", item_low + k)).alias("equal"))
     needed = F.least(F.lit(min_match), F.ceil(F.col("item_words") * ITEM_SHARE)).cast("int")
-    scored = laid.select("doc_id", "item_id", "low", _stretches(F.col("equal"), needed).alias("s")).filter("size(s) > 0")
+    scored = laid.select("doc_id", "item_id", "low", "n", _stretches(F.col("equal"), needed).alias("s")).filter("size(s) > 0")
     return scored.groupBy("doc_id", "item_id").agg(
         F.min(F.col("low") + F.array_min("s.start")).alias("start_word"),
         F.max(F.col("low") + F.array_max("s.end")).alias("end_word"),
-        F.max(F.array_max("s.matched")).alias("n_matched"), F.count("*").alias("n_hits"))
+        F.max(F.array_max("s.matched")).alias("n_matched"), F.sum("n").alias("n_hits"))
 
 
 def clean_of(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -76,3 +76,29 @@ def test_four_in_five_equal_words_and_long_items(spark, docs_of):
     docs = docs_of({k: f"{prose(r, 40)} {t} {prose(r, 40)}" for k, t in enumerate((fifth(texts[0]), fifth(texts[1]), texts[2], gap))})
     got = {(x["doc_id"], x["item_id"]): x[2:5] for x in overlaps(docs, table).collect()}
     assert got == {(0, 0): (40, 84, 36), (1, 1): (40, 54, 12), (2, 2): (40, 240, 200), (3, 3): (40, 100, 20)}
+
+
+def test_seeds_travel_without_words(spark, items, docs_of, monkeypatch):
+    from gaugeline.llm import decontaminate as de
+
+    texts, table = items
+    worded = table.select("item_id", de.word_hashes(table["text"]).alias("words"))
+    assert de.seeds(worded, de.MASKS, "item_id").columns == ["item_id", "at", "seed"]
+    # an id given to two texts, a repeated row, and items that shuffle, with and without the sieve
+    docs = docs_of([(1, "one " + texts[0]), (1, "one " + texts[0]), (1, "three words before " + texts[0]), (2, texts[1]), (3, "no such words " * 9)])
+    expected = sorted(overlaps(docs, table).collect())
+    alone, = overlaps(docs_of([(1, "one " + texts[0])]), table).collect()
+    assert [r["doc_id"] for r in expected] == [1, 2] and expected[0]["n_hits"] == 3 * alone["n_hits"]
+    monkeypatch.setattr(de, "if_small", lambda df: df)
+    monkeypatch.setattr(de, "BROADCAST_WORDS", 0)
+    assert sorted(overlaps(docs, table).collect()) == expected
+    monkeypatch.setattr(de, "BROADCAST_ROWS", 0)
+    assert sorted(overlaps(docs, table).collect()) == expected
+
+
+def test_a_sieve_keeps_all_keys_and_few_others(spark):
+    from gaugeline.llm.decontaminate import sifted
+
+    held = spark.range(3_000).selectExpr("id * 7 as k")
+    got = {r["k"] for r in sifted(spark.range(60_000).selectExpr("id as k"), "k", held, 3_000).collect()}
+    assert set(range(0, 21_000, 7)) <= got and len(got) < 3_000 + 57_000 * 0.05
