@@ -9,21 +9,16 @@ stretches with at least 80 % equal words are found.  Everything is DataFrame fun
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import BROADCAST_ROWS, Shelf, if_small, table, unused
+from gaugeline.llm.common import BROADCAST_ROWS, Shelf, if_small, sifted, table, those_of, unused
 
 MASKS = ("1110111", "11011011", "1011001101")
 MIN_MATCH = 12
 ITEM_SHARE = 0.8
 #: Words of all items that may be broadcast: some 16 MB.
 BROADCAST_WORDS = 2_000_000
-#: A sieve has at most so many blocks of 512 bits, 16 bits a key up to 8 million keys: some 26 MB.
-MOST_BLOCKS = 1 << 18
-SIEVE_WORDS, SIEVE_BITS = 8, 3
 
 
 def word_hashes(text: Column) -> Column:
@@ -43,24 +38,6 @@ def seeds(rows: DataFrame, masks: tuple[str, ...], *carried: str) -> DataFrame:
     return placed.select(*carried, "at", F.explode(F.array(*under)).alias("seed")).filter("seed is not null")
 
 
-def sifted(rows: DataFrame, key: str, held: DataFrame, many: int) -> DataFrame:
-    """The rows whose `key` is among those of `held`, some `many`, and a few others: a broadcast Bloom filter, each key in one block."""
-    blocks = max(1, min(MOST_BLOCKS, many // 32))
-    names = [unused(c, rows) for c in ("__block", "__bits")]
-    block = F.pmod(F.xxhash64(key, F.lit(1)), F.lit(blocks)).alias(names[0])
-    places = [F.shiftright(F.xxhash64(key, F.lit(2)), 9 * k).bitwiseAND(511).cast("int") for k in range(SIEVE_BITS)]
-    word, bit = ([f(p) for p in places] for f in (lambda p: F.shiftright(p, 6), lambda p: p.bitwiseAND(63)))
-
-    def set_in(w: int) -> Column:
-        ones = [F.when(x == w, F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(0) for x, b in zip(word, bit)]
-        return F.bit_or(reduce(lambda x, y: x.bitwiseOR(y), ones))
-
-    sieve = held.groupBy(block).agg(F.array(*[set_in(w) for w in range(SIEVE_WORDS)]).alias(names[1]))
-    passed = [F.bit_get(F.get(names[1], x), b) == 1 for x, b in zip(word, bit)]
-    met = rows.withColumn(names[0], block).join(F.broadcast(sieve), names[0])
-    return met.filter(reduce(lambda x, y: x & y, passed)).drop(*names)
-
-
 def _stretches(equal: Column, needed: Column) -> Column:
     """Stretches from one equal word to another with ITEM_SHARE (four in five) equal words and `needed` of them: an array
     of (start, end, matched) with the longest from each start.
@@ -114,11 +91,7 @@ def overlaps(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS,
         "doc_id", "own", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), "at", "seed").distinct()
     found = shelf.put(hits.groupBy("doc_id", "own", "item_id", "shift").agg(F.count("*").alias("n")), "found")
 
-    ids = shelf.put(found.select("doc_id").distinct(), "ids")
-    many = ids.count()
-    if many > BROADCAST_ROWS:
-        texts = sifted(texts, "doc_id", ids, many)
-    held = worded(texts.join(if_small(ids), "doc_id", "left_semi"))
+    held = worded(those_of(texts, "doc_id", shelf.put(found.select("doc_id").distinct(), "ids")))
     few_words = (right.agg(F.sum(F.size("item"))).first()[0] or 0) <= BROADCAST_WORDS
     # Items too wide for a broadcast meet the hits first, so that no texts are shuffled for them.
     laid = (held.join(if_small(found), ["doc_id", "own"]).join(if_small(right), "item_id") if few_words

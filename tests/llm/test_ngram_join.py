@@ -143,3 +143,32 @@ def test_merged_equals_all_links_at_once(spark):
             low[q] = p
         component = j.merged(component, spark.createDataFrame(links, "a long, b long")).localCheckpoint()
         assert got(component) == sorted(((k, root(k)) for k in low), key=str)
+
+
+def test_sets_are_made_for_candidates_only(docs_of, monkeypatch):
+    from gaugeline.llm import common, ngram_join
+
+    r = random.Random(11)
+    own = {k: prose(r, 60).split() for k in range(12)}
+    shared = [prose(r, 14) for _ in range(6)]
+    # pairs share a rare passage, which puts them in common buckets; only 0 and 20 are alike
+    docs = {k: " ".join([*words, shared[k // 2]]) for k, words in own.items()} | {20: " ".join([*own[0], shared[0], "end"])}
+    made, put = [], common.Shelf.put
+
+    def watched(self, df, name):
+        stored = put(self, df, name)
+        if name.startswith("sets"):
+            made.extend(x["doc_id"] for x in stored.select("doc_id").collect())
+        return stored
+
+    monkeypatch.setattr(common.Shelf, "put", watched)
+    cleaned = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    for most in (common.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+        made.clear()
+        table = docs_of(docs)
+        before = table.sparkSession.conf.get(cleaned)
+        got = {x["doc_id"]: x["component_id"] for x in ngram_join.components(table).collect()}
+        assert got == {k: k for k in own} | {20: 0}
+        assert {0, 20} <= set(made) and len(set(made)) <= 4
+        assert table.sparkSession.conf.get(cleaned) == before
