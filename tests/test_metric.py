@@ -146,3 +146,27 @@ def test_bounds_hold_the_distances_of_far_and_equal_vectors():
     assert (low <= exact).all() and (exact <= high).all()
     for eps in (0.0, 1e-3, 3.0):
         assert (metric._near(x, x, eps) == (np.sqrt(exact) <= eps)).all()
+
+
+def test_pairs_are_neither_stored_nor_shuffled(spark, monkeypatch):
+    rng = random.Random(13)
+    xs = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(120)]
+    xs += xs[:5] * 3 + [xs[7]] * 40  # copies, more of one place than a list of members holds
+    expected = sorted((i, j) for i, x in enumerate(xs) for j, y in enumerate(xs) if math.dist(x, y) <= 4.0)
+    stored, keep = [], metric.settle
+
+    def watched(df):
+        kept = keep(df)
+        stored.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(metric, "settle", watched)
+    for most, copies in ((16, 8), (metric.LEAF, metric.COPIES)):
+        monkeypatch.setattr(metric, "LEAF", most)
+        monkeypatch.setattr(metric, "COPIES", copies)
+        for points_of in (xs, xs[:120]):
+            stored.clear()
+            found = metric.eps_neighbors(points(spark, points_of), 4.0)
+            got = sorted((r.id, r.other) for r in found.collect())
+            assert got == [(i, j) for i, j in expected if max(i, j) < len(points_of)]
+            assert max(stored) < len(got) // 8
