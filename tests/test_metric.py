@@ -170,3 +170,17 @@ def test_pairs_are_neither_stored_nor_shuffled(spark, monkeypatch):
             got = sorted((r.id, r.other) for r in found.collect())
             assert got == [(i, j) for i, j in expected if max(i, j) < len(points_of)]
             assert max(stored) < len(got) // 8
+
+
+def test_a_spanning_tree_measures_all_pairs_once(spark, monkeypatch):
+    rng = random.Random(17)
+    xs = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(160)]
+    calls, measured = [], metric._measured
+    monkeypatch.setattr(metric, "_measured", lambda *args: calls.append(1) or measured(*args))
+    assert labels(cl.single_link(points(spark, xs), 5, 6)) == link(xs, 5)
+    assert len(calls) == 1
+    # tight groups fill the lists of their places, so what joins the groups is measured again
+    calls.clear()
+    xs = [[20.0 * g + rng.gauss(0, 1) for _ in range(6)] for g in range(3) for _ in range(30)]
+    assert labels(cl.single_link(points(spark, xs), 3, 6)) == link(xs, 3)
+    assert 1 < len(calls) <= 3
